@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from .pieces import ChunkEncoder
 
 #: Rows of one Arrow batch are encoded in slices of so many characters, to bound a worker's memory.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def byte_table(model) -> list[bytes]:

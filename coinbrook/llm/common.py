@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -83,3 +83,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
         raise RuntimeError("connected components did not settle")
     roots = cur.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def held_out(modulus: int, remainder: int, id: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(id).cast("string")) % modulus == remainder, F.lit(False))

@@ -1,21 +1,23 @@
 """Encoding texts through a tokenizers model, one space-separated chunk at a time.
 
 Both models used here treat what stands on the two sides of a single space separately: a space either
-starts the next piece or is dropped, and no normalisation reaches across it. So a text can be cut before
-each space that touches no other white space, and equal chunks, which make up most of a corpus, need
-encoding once. Texts where a space touches other white space go to the model whole.
+starts the next piece or is dropped, and no normalisation reaches across it; a single line end is a piece
+of its own or is dropped. So a text can be cut at line ends and before spaces, and equal chunks, which make
+up most of a corpus, need encoding once. Texts where white space touches white space go to the model whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
 
 #: Chunks remembered by one worker; the memory is emptied beyond it.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
 
-_TOUCHING = re.compile(r" \s|\s ")
+_TOUCHING = re.compile(r"\s\s")
+_BEHIND = ".,;:!?*&%$#"
+#: Chunks that lower-casing and composing leave at as many bytes: Latin letters, with no special token's mark.
+_SAME_LENGTH = re.compile("[\x00-;=-\u012f\u0131-\u017f]+")
 
 
 class ChunkEncoder:
@@ -26,50 +28,90 @@ class ChunkEncoder:
 
     def __init__(self, path: str, keep_space: bool, specials_as_text: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = specials_as_text
         self.lead = " " if keep_space else ""
+        vocab = self.model.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes: a token has one character for each
+        for token, i in vocab.items():
+            self.sizes[i] = len(token.removesuffix("</w>"))
         self.cache: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.line_end = self._whole(["\n"])[0]
 
-    def _ids(self, texts: list[str]) -> Iterable[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
-        for i in range(0, len(texts), 4096):
-            for e in self.model.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False):
-                yield np.array(e.ids, dtype="<u4").tobytes()
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunks(self, chunks: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of each chunk. Runs of chunks are encoded as one text, which costs the model far less than as
+        many texts, and cut where the bytes of the tokens add up to those of the chunks."""
+        import numpy as np
+
+        plain = [x for x in chunks if _SAME_LENGTH.fullmatch(x)]
+        found = {}
+        for i in range(0, len(plain), 8192):
+            part = plain[i : i + 8192]
+            text = lead + " ".join(part)
+            if self.lead and not lead:  # no white space may be added to chunks that start a line
+                found.update(zip(part, self._whole(part)))
+                continue
+            if lead:
+                ends = np.cumsum([len(x.encode()) + 1 for x in part])
+            else:
+                ends = np.cumsum([len("".join(x.split()).encode()) for x in part])
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            bytes_before = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+            cuts = np.searchsorted(bytes_before, ends)
+            if bytes_before[-1] != ends[-1] or (bytes_before[cuts] != ends).any():
+                found.update(zip(part, self._whole([lead + x for x in part])))
+                continue
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            found.update((x, raw[a:b]) for x, a, b in zip(part, [0, *cuts], cuts))
+        others = list(set(chunks).difference(found))
+        found.update(zip(others, self._whole([lead + x for x in others])))
+        return found
+
+    def _learn(self, new: set[str], cache: dict[str, bytes], lead: str) -> None:
+        """Encodes ``new`` into ``cache``. Punctuation behind a letter is a piece of its own, so words with and
+        without it need encoding once."""
+        split = {}
+        for x in new:
+            core = x.rstrip(_BEHIND)
+            if core and len(core) < len(x) and core[-1].isalpha():
+                split[x] = core, x[len(core) :]
+        cores = {c for c, _ in split.values()}.union(new.difference(split)).difference(cache)
+        cache.update(self._chunks(list(cores), lead))
+        tails = {t for _, t in split.values()}.difference(self.tails)
+        self.tails.update(self._chunks(list(tails), ""))
+        cache.update((x, cache[c] + self.tails[t]) for x, (c, t) in split.items())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts: list[list[str] | None] = []
+        parts: list[list[list[str]] | None] = []
         new: set[str] = set()
+        heads: set[str] = set()
         for t in texts:
-            if not t:
-                parts.append([])
-            elif _TOUCHING.search(t):
+            if not t or _TOUCHING.search(t):
                 parts.append(None)
+                continue
+            parts.append(lines := [x.split(" ") for x in t.split("\n")])
+            for x in lines:
+                new.update(x[1:])
+                heads.add(x[0])
+        if len(self.cache) + len(self.heads) + len(new) + len(heads) > CACHE_CHUNKS:
+            self.cache.clear()
+            self.heads.clear()
+        self._learn(new.difference(self.cache), self.cache, self.lead)
+        self._learn(heads.difference(self.heads), self.heads, "")
+        rest, first, out = self.cache.__getitem__, self.heads.__getitem__, []
+        for t, lines in zip(texts, parts):
+            if lines is None:
+                out.append(self._whole([t])[0] if t else b"")
             else:
-                parts.append(p := t.split(" "))
-                new.update(p)
-        cache = self.cache
-        new.difference_update(cache)
-        if len(cache) + len(new) > CACHE_CHUNKS:
-            cache.clear()
-            new = set().union(*(p for p in parts if p))
-        if new:
-            keys = list(new)
-            cache.update(zip(keys, self._ids([self.lead + x for x in keys])))
-        out = []
-        for t, p in zip(texts, parts):
-            if p is None:
-                out.append(next(iter(self._ids([t]))))
-            elif not p:
-                out.append(b"")
-            elif self.lead and p[0]:
-                first = next(iter(self._ids([p[0]])))
-                out.append(first + b"".join(map(cache.__getitem__, p[1:])))
-            elif self.lead:  # the text starts with a space: what comes before it is empty
-                out.append(b"".join(map(cache.__getitem__, p[1:])))
-            else:
-                out.append(b"".join(map(cache.__getitem__, p)))
+                out.append(self.line_end.join([first(x[0]) + b"".join(map(rest, x[1:])) for x in lines]))
         return out
