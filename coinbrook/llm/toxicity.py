@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .bpe import slices
 from .common import held_out
 
-BUCKETS, DIM, WINDOW, NGRAMS = 1 << 17, 8, 12, (3, 4, 5)
+BUCKETS, DIM, WINDOW, NGRAMS = 1 << 17, 8, 2, (3, 4, 5, 6)
 #: At most so many labelled documents of each class are learned from, those whose hashed id is least.
 TRAIN_ROWS = 1500
 THRESHOLD = 0.7
@@ -39,17 +39,17 @@ class Model:
 
 
 def buckets(word: str) -> list[int]:
-    """Buckets of the n-grams of a word and of the word itself."""
-    marked = f"<{word}>".encode()
-    grams = {marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)} | {marked}
-    return sorted({zlib.crc32(g) % BUCKETS for g in grams})
+    """Buckets of the n-grams of a word, its ends marked."""
+    marked = f"<{word}>"
+    grams = {marked[i : i + n] for n in NGRAMS for i in range(max(1, len(marked) - n + 1))}
+    return sorted({zlib.crc32(g.encode()) % BUCKETS for g in grams})
 
 
 def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def fit(texts: list[str | None], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), epochs: int = 250, seed: int = 7) -> Model:
+def fit(texts: list[str | None], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), epochs: int = 150, seed: int = 7, decay: float = 0.01) -> Model:
     """``weights``: how much a document of class 0 and of class 1 counts."""
     import numpy as np
 
@@ -88,10 +88,11 @@ def fit(texts: list[str | None], labels: list[int], weights: tuple[float, float]
         dword = np.bincount(word_at, dz[window_of], len(grams)) / WINDOW / size
         dgram = np.bincount(flat, dword[owner], len(used))
         toward = vectors.T @ dgram
-        grads = [np.outer(dgram, across) + 1e-7 * vectors, np.stack([-toward, toward]) + 1e-5 * softmax, np.array([-dz.sum(), dz.sum()])]
+        grads = [np.outer(dgram, across), np.stack([-toward, toward]) + 1e-5 * softmax, np.array([-dz.sum(), dz.sum()])]
         for k, g in enumerate(grads):
             moment[k] = 0.9 * moment[k] + 0.1 * g
             square[k] = 0.999 * square[k] + 0.001 * g * g
+            params[k] *= 1 - 0.05 * decay * (k < 2)
             params[k] -= 0.05 * (moment[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)
     weight = np.zeros(BUCKETS, np.float32)
     weight[used] = vectors @ (softmax[1] - softmax[0])
