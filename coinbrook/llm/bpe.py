@@ -28,15 +28,16 @@ def byte_table(model) -> list[bytes]:
     return table
 
 
-def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+def slices(sizes: list[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Consecutive slices of about ``limit`` in all."""
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, n in enumerate(sizes):
+        size += n
         if size >= limit:
             yield start, i + 1
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def char_starts(ids, table_lengths, raw: bytes):
@@ -83,7 +84,7 @@ def encode(
         decimal = [str(i) for i in range(len(table))]
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            for lo, hi in slices(texts):
+            for lo, hi in slices([len(t or "") for t in texts]):
                 part = texts[lo:hi]
                 cols = {"n_tokens": []} | ({"ids_sha256": [], "decoded_sha256": []} if digests else {"ids": []}) | ({"offsets": []} if offsets else {})
                 for t, raw in zip(part, enc.encode(part)):

@@ -43,7 +43,8 @@ def joined(lines: Column, times: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """The paragraph digests of a text at its own level, by line."""
-    base = F.transform(F.split(text, "\n"), lambda line: _pairs(F.split(line, " "), PIECE_WORDS))
+    words = F.transform(F.split(text, "\n"), lambda line: F.split(line, " "))  # bound here, split once for each line
+    base = F.transform(words, lambda line: _pairs(line, PIECE_WORDS))
     return joined(base, level(F.length(text)))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices, tokenizer_path
 from .common import fresh_path
-from .pieces import ChunkEncoder
+from .pieces import WordEncoder
 
 #: Text characters that one shard holds about.
 SHARD_CHARS = 16_000_000
@@ -135,15 +135,22 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "
 
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         shard, out = f"shard-{TaskContext.get().partitionId():06d}.rec", None
-        enc = ChunkEncoder(tokenizer, keep_space=False, specials_as_text=False)
+        enc = WordEncoder(tokenizer)
         width = "<u2" if max(enc.model.get_vocab_size(), end_id + 1) <= 65536 else "<u4"
         offset = ordinal = 0
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                tokens = [np.append(np.frombuffer(x, "<u4"), end_id).astype(width) for x in enc.encode(texts[lo:hi])]
+            ids, chars = b.column(0).to_pylist(), pc.fill_null(pc.utf8_length(b.column(1)), 0).to_pylist()
+            for lo, hi in slices(chars):
+                flat, sizes = enc.encode(b.column(1).slice(lo, hi - lo))
+                sizes = sizes + 1
+                ended = np.full(int(sizes.sum()), end_id, width)
+                last = np.zeros(len(ended), bool)
+                last[np.cumsum(sizes) - 1] = True
+                ended[~last] = flat
+                tokens = np.split(ended, np.cumsum(sizes)[:-1])
                 framed = frames([(i is None).to_bytes(4, "little") + (i or 0).to_bytes(8, "little", signed=True) + x.tobytes() for i, x in zip(ids[lo:hi], tokens)])
                 if out is None:
                     files, base = _opened(path)

@@ -148,7 +148,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
         memory: dict[str, float] = {}
         for column in columns:
             texts = column.tolist()
-            yield pd.Series([p for lo, hi in slices(texts) for p in scores(texts[lo:hi], shared.value, memory)], dtype="float64")
+            yield pd.Series([p for lo, hi in slices([len(t or "") for t in texts]) for p in scores(texts[lo:hi], shared.value, memory)], dtype="float64")
 
     return docs.withColumn(to, _series_udf(run, T.DoubleType())(F.col(text).cast("string")))
 
