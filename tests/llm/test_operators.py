@@ -61,17 +61,32 @@ def test_suffix_tree_counts_and_base(spark, docs, texts):
         assert r["base_score"] == pytest.approx(base) and r["score"] < 0
 
 
-def test_suffix_tree_is_a_distribution_and_uses_contexts(spark):
-    rows = [(i, "red car blue sky " * 40) for i in range(30)] + [(100, "red car"), (101, "red sky"), (102, "red unseen")]
+def test_suffix_tree_scores_by_hand(spark):
+    """Each word has 1 200 of 4 830 tokens, the end 30. "red" has always been followed by "car", and "sky" 30 times
+    by the end, so "red car" fails at its end and "red sky" at "sky", by as much."""
+    rows = [(i, "red car blue sky " * 40) for i in range(30)] + [(100, "red car"), (101, "red sky"), (102, "red car blue sky"), (103, "red sky blue car")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = spread(suffix_tree.score(df, F.col("doc_id") < 100, context_share=0.01, symbol_share=0.001, min_gain=1.0))
-    assert got[100]["score"] > got[101]["score"] + 1
-    tokens = ["red", "car", "blue", "sky"]
-    one = spark.createDataFrame([(i, w) for i, w in enumerate([*tokens, "unknown", ""])], "doc_id long, text string").withColumn("n", F.lit(0))
-    both = df.where("doc_id < 100").unionByName(one.select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
-    got = spread(suffix_tree.score(both, F.col("doc_id") < 100, context_share=0.01, symbol_share=0.001, min_gain=1.0))
-    # P(first token) summed over all symbols is one: a one-word text's score less that of its end after it
-    assert all(got[1000 + k]["score"] < 0 for k in range(6))
+    got = {k: r["score"] for k, r in spread(suffix_tree.score(df, F.col("doc_id") < 100, context_share=0.01, symbol_share=0.001, min_gain=1.0)).items()}
+    word, end, follows = (1200 - 0.1) / 4830, (30 - 0.1) / 4830, (1200 - 0.5) / 1200  # 0.1: an equal part of the mass of unknown words
+    rest = (0.5 / 1200) / (1 - word)  # what a state of one next word gives to what the root holds besides
+    assert got[100] == pytest.approx(math.log10(word * follows * rest * end))
+    assert got[101] == pytest.approx(math.log10(word * rest * word * (30 - 0.5) / 1200))
+    assert got[102] > got[103] + 5
+
+
+def test_suffix_tree_states_are_distributions(spark, docs):
+    src = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t"), F.lit(True).alias("learn"))
+    words = common.written(suffix_tree._word_table(src), "words")
+    total, distinct = words.agg(F.sum("learned"), F.count("*")).first()
+    unknown = 0.01
+    discount = unknown * total / distinct
+    tree = suffix_tree.learn_tree(src, words, total, unknown, discount, 1e-3, 1e-4, 1.0)
+    counts = {bytes(r["word"]): r["learned"] for r in words.collect()}
+    own = [(tree.numbers.get(w, suffix_tree.OTHER), math.log(max(n - discount, 1e-300) / total)) for w, n in counts.items()] + [(suffix_tree.OTHER, math.log(unknown))]
+    symbol, root = np.array([s for s, _ in own]), np.array([p for _, p in own])
+    assert len(tree.contexts) > 20 and tree.contexts.max() >= 1 << 28  # longer contexts are among the states
+    for state in range(len(tree.contexts)):
+        assert np.exp(tree.lookup(np.full(len(symbol), state), symbol, root)).sum() == pytest.approx(1, abs=1e-6)
 
 
 def test_suffix_tree_odd(spark, odd):
