@@ -24,6 +24,9 @@ K1, B, BLOCK = 0.9, 0.4, 16
 MIN_SCORE, MIN_QUESTION, MIN_ANSWER = 0.6, 0.5, 0.5
 QUESTION_GRAM, ANSWER_GRAM = 5, 3
 PASSAGE_WORDS = 64
+#: Items in one range of the bounds that passages must reach before they are searched, and the most such bounds
+#: in one index: with more terms and items, ranges are wider.
+RANGE, RANGE_CELLS = 8, 16_000_000
 #: Characters of test items in one index; more items make more indexes, each broadcast in turn.
 SHARD_CHARS = 16_000_000
 _EDGES = string.punctuation + "«»“”„’‘…–—¡¿"
@@ -65,10 +68,16 @@ class Index:
     answers: list = field(default_factory=list)
     postings: dict = field(default_factory=dict)
     passage: int = PASSAGE_WORDS
+    #: term -> its row in ``ranges``, which has each term's greatest impact in each range of item numbers; the
+    #: last row, of words that no item has, is zero.
+    rows: dict = field(default_factory=dict)
+    ranges: object = None
 
     @classmethod
     def of(cls, items: list[tuple[int, str | None]]) -> Index:
         """Items without words can't be found and are left out."""
+        import numpy as np
+
         index = cls()
         bags = []
         for i, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
@@ -92,11 +101,35 @@ class Index:
             at = range(0, len(found), BLOCK)
             index.postings[t] = (numbers, impacts, [numbers[min(i + BLOCK, len(found)) - 1] for i in at], [max(impacts[i : i + BLOCK]) for i in at], max(impacts))
         index.passage = max(PASSAGE_WORDS, 2 * math.ceil(max(sizes, default=0) / 2))
+        index.rows = {t: k for k, t in enumerate(lists)}
+        wide = max(RANGE, math.ceil(len(bags) * (len(lists) + 1) / RANGE_CELLS))
+        index.ranges = np.zeros((len(lists) + 1, max(1, math.ceil(len(bags) / wide))), np.float32)
+        for k, found in enumerate(lists.values()):
+            np.maximum.at(index.ranges[k], [i // wide for i, _ in found], [w for _, w in found])
         return index
 
-    def bound(self, word: str) -> float:
-        found = self.postings.get(term(word))
-        return found[4] if found else 0.0
+    def row(self, word: str) -> int:
+        return self.rows.get(term(word), len(self.rows))
+
+    def within_reach(self, rows, starts, least: float):
+        """Of the passages of a text that begin at ``starts`` those that might score ``least`` for an item:
+        where the greatest impacts in some range of items, each term's counted once, add up to it."""
+        import numpy as np
+
+        order = np.argsort(rows, kind="stable")
+        before = np.full(len(rows), -1)
+        same = rows[order[1:]] == rows[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        out = []
+        for i in range(0, len(starts), 256):
+            begin = starts[i : i + 256, None]
+            at = begin + np.arange(self.passage)
+            inside = at < len(rows)
+            at = np.minimum(at, len(rows) - 1)
+            counted = (inside & (before[at] < begin)).astype(np.float32)
+            bounds = np.einsum("wpr,wp->wr", self.ranges[rows[at]], counted)
+            out.append(begin[bounds.max(axis=1) >= least - 1e-4, 0])
+        return np.concatenate(out)
 
     def search(self, query: set[str], least: float) -> list[tuple[int, float]]:
         """All (item number, score) of at least ``least``, by block-max WAND: an item is scored only if the
@@ -155,29 +188,25 @@ def _forward(cursors: list, item: int) -> None:
         c[0] = at
 
 
-def leaks(text: str | None, index: Index, bounds: dict[str, float]) -> list[dict]:
-    """What a text leaks: for each item its best passage. ``bounds`` remembers words' greatest impacts."""
+def leaks(text: str | None, index: Index, rows: dict[str, int]) -> list[dict]:
+    """What a text leaks: for each item its best passage. ``rows`` remembers words' rows."""
     import numpy as np
 
     words = (text or "").split()
-    new = [w for w in set(words) if w not in bounds]
-    if len(bounds) + len(new) > 300_000:
-        bounds.clear()
+    if not words:
+        return []
+    new = [w for w in set(words) if w not in rows]
+    if len(rows) + len(new) > 300_000:
+        rows.clear()
         new = list(set(words))
     for w in new:
-        bounds[w] = index.bound(w)
-    reach = np.concatenate([[0.0], np.cumsum(np.fromiter(map(bounds.__getitem__, words), float, len(words)))])
+        rows[w] = index.row(w)
+    own = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
     step = index.passage // 2
-    starts = np.arange(0, max(1, len(words) - step), step)
-    ends = np.minimum(starts + index.passage, len(words))
     best: dict[int, dict] = {}
-    for a, b in zip(starts, ends):
-        if reach[b] - reach[a] < MIN_SCORE:
-            continue
-        query = {t for w in words[a:b] if (t := term(w))}
-        if sum(bounds[w] for w in {term(w): w for w in words[a:b]}.values()) < MIN_SCORE:
-            continue
-        found = index.search(query, MIN_SCORE)
+    for a in index.within_reach(own, np.arange(0, max(1, len(words) - step), step), MIN_SCORE):
+        b = min(a + index.passage, len(words))
+        found = index.search({t for w in words[a:b] if (t := term(w))}, MIN_SCORE)
         if not found:
             continue
         around = [t for w in words[max(0, a - step) : b + step] if (t := term(w))]
@@ -213,9 +242,9 @@ def _finder(shared, kind: str):
     import pandas as pd
 
     def run(columns):
-        bounds: dict[str, float] = {}
+        rows: dict[str, int] = {}
         for column in columns:
-            yield pd.Series([leaks(t, shared.value, bounds) for t in column.tolist()], dtype=object)
+            yield pd.Series([leaks(t, shared.value, rows) for t in column.tolist()], dtype=object)
 
     run.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, kind)

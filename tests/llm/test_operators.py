@@ -397,6 +397,21 @@ def test_block_max_wand_retrieves_all():
             assert got == pytest.approx(brute_bm25(items, query, least))
 
 
+def test_bounds_lose_no_passage(monkeypatch):
+    rng = np.random.default_rng(4)
+    vocab = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(vocab, rng.integers(3, 12)))) for i in range(100)]
+    for cells in (16_000_000, 900):  # the second leaves three ranges of items
+        monkeypatch.setattr(decontaminate, "RANGE_CELLS", cells)
+        index = decontaminate.Index.of(items)
+        words = [*rng.choice([*vocab, "other"], 3000), *items[7][1].split()]
+        rows = np.array([index.row(w) for w in words])
+        starts = np.arange(0, len(words) - 32, 32)
+        got = set(index.within_reach(rows, starts, 0.6).tolist())
+        assert {a for a in starts.tolist() if brute_bm25(items, set(words[a : a + 64]), 0.6)} <= got
+    assert index.ranges.shape[1] <= 4
+
+
 def test_leaks_found_and_clean_left(spark, docs, texts):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     plain = lambda t: " ".join(decontaminate.terms(t))
