@@ -118,24 +118,26 @@ class ChunkEncoder:
         return out
 
 
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ſ]+")
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-įı-ſ]+"
+_LATIN = re.compile(_LETTERS)
 
 
 class WordEncoder:
     """Ids of texts under a model that lower-cases and drops white space, exactly as it encodes whole texts.
 
-    White space only parts pieces there, so texts are split into words and each distinct word is encoded once.
-    Splitting and numbering run in Arrow and gathering in numpy; Python sees distinct words only. Latin
-    letters come to the model lower-cased and composed already, so those skip its normalisation.
+    White space only parts pieces there, so texts are split into words, words into Latin letters and the
+    punctuation behind them, and each distinct one of these is encoded once. Splitting and numbering run in
+    Arrow and gathering in numpy; Python sees distinct pieces only. Latin letters come to the model lower-cased
+    and composed already, so those skip its normalisation.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.model, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.letters.normalizer = normalizers.Sequence([])
+        self.model = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.model.model)  # the same vocabulary and merges in memory
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.model.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
@@ -146,58 +148,71 @@ class WordEncoder:
     def _clear(self) -> None:
         self.rows: dict[str, int] = {}
         self.begins, self.sizes, self.pool = array("q"), array("q"), bytearray()
-        self.parts: dict[str, bytes] = {}
 
-    def _encode_letters(self, words: list[str]) -> None:
+    def _whole(self, text: str):
         import numpy as np
 
-        for i in range(0, len(words), 8192):
-            part = words[i : i + 8192]
-            ids = np.array(self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(self.closes[ids]) + 1  # a word of letters is one piece: its last token closes it
-            if len(cuts) != len(part):
-                self.parts.update((w, self._whole(w)) for w in part)
-                continue
-            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
-            self.parts.update((w, raw[a:b]) for w, a, b in zip(part, [0, *cuts], cuts))
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _whole(self, text: str) -> bytes:
+    def _keep(self, pieces: list[str], ids, sizes) -> None:
+        """Remembers the ids of new pieces, which follow each other in ``ids``."""
         import numpy as np
 
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        split = []
-        for w in words:
-            core = w.rstrip(_BEHIND)
-            split.append((core.lower(), w[len(core) :]) if _LATIN.fullmatch(core) else (None, w))
-        self._encode_letters(list({c for c, _ in split if c}.difference(self.parts)))
-        for w in {t for _, t in split if t}.difference(self.parts):
-            self.parts[w] = self._whole(w)
-        for w, (core, tail) in zip(words, split):
-            ids = (self.parts[core] if core else b"") + (self.parts[tail] if tail else b"")
-            self.rows[w] = len(self.begins)
-            self.begins.append(len(self.pool) // 4)
-            self.sizes.append(len(ids) // 4)
-            self.pool += ids
+        begin = len(self.pool) // 4 + np.cumsum(sizes, dtype=np.int64) - sizes
+        self.rows.update(zip(pieces, range(len(self.begins), len(self.begins) + len(pieces))))
+        self.begins.frombytes(begin.tobytes())
+        self.sizes.frombytes(sizes.astype(np.int64).tobytes())
+        self.pool += ids.tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        import numpy as np
+
+        letters, others = [], []
+        for x in pieces:
+            (letters if _LATIN.fullmatch(x) else others).append(x)
+        for i in range(0, len(letters), 8192):
+            part = letters[i : i + 8192]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.closes[ids]) + 1  # letters are one piece: the last token closes it
+            if len(cuts) == len(part):
+                self._keep(part, ids, np.diff(cuts, prepend=0))
+            else:
+                others += part
+        if others:
+            found = [self._whole(x) for x in others]
+            self._keep(others, np.concatenate(found), np.array([len(x) for x in found]))
 
     def encode(self, texts):
         """Of an Arrow array of strings: all ids (uint32), and how many each text has."""
         import numpy as np
-        import pyarrow as pa
         import pyarrow.compute as pc
 
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
         coded = pc.list_flatten(lists).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.rows) + len(words) > CACHE_CHUNKS:
+        words = coded.dictionary
+        core = pc.utf8_rtrim(words, characters=_BEHIND)
+        lettered = pc.match_substring_regex(core, f"^{_LETTERS}$")
+        first = pc.if_else(lettered, pc.utf8_lower(core), words)
+        tail = pc.if_else(lettered, pc.replace_substring_regex(words, f"^{_LETTERS}", ""), "")
+        pieces = [x.dictionary_encode() for x in (first, tail)]
+        named = [x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in pieces]
+        distinct = set().union(*named)
+        if len(self.rows) + len(distinct) > CACHE_CHUNKS:
             self._clear()
-        self._learn([w for w in words if w not in self.rows])
-        row = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
-        begins, sizes = np.array(self.begins)[row], np.array(self.sizes)[row]
-        after = np.cumsum(sizes)
-        total = int(after[-1]) if len(after) else 0
-        ids = np.frombuffer(bytes(self.pool), "<u4")[np.repeat(begins - after + sizes, sizes) + np.arange(total)]
-        at = np.concatenate([[0], after])[ends]
-        return ids, np.diff(at)
+        self._learn([x for x in distinct if x not in self.rows])
+        pool, begins, sizes = np.frombuffer(bytes(self.pool), "<u4"), np.array(self.begins), np.array(self.sizes)
+
+        def gathered(pool, begins, sizes):
+            after = np.cumsum(sizes)
+            total = int(after[-1]) if len(after) else 0
+            return pool[np.repeat(begins - after + sizes, sizes) + np.arange(total)], after
+
+        rows = [np.fromiter(map(self.rows.__getitem__, own), np.int64, len(own))[x.indices.to_numpy()] for own, x in zip(named, pieces)]
+        both = np.stack(rows, axis=1).ravel()
+        ids, after = gathered(pool, begins[both], sizes[both])  # of each distinct word
+        after = after[1::2]
+        size = np.diff(after, prepend=0)
+        at = coded.indices.to_numpy()
+        ids, after = gathered(ids, (after - size)[at], size[at])
+        return ids, np.diff(np.concatenate([[0], after])[ends])

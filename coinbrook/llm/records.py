@@ -22,6 +22,8 @@ from .pieces import WordEncoder
 
 #: Text characters that one shard holds about.
 SHARD_CHARS = 16_000_000
+#: Characters encoded and framed at once.
+SLICE_CHARS = 400_000
 _HEAD = 12
 
 
@@ -143,7 +145,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "
         offset = ordinal = 0
         for b in batches:
             ids, chars = b.column(0).to_pylist(), pc.fill_null(pc.utf8_length(b.column(1)), 0).to_pylist()
-            for lo, hi in slices(chars):
+            for lo, hi in slices(chars, SLICE_CHARS):
                 flat, sizes = enc.encode(b.column(1).slice(lo, hi - lo))
                 sizes = sizes + 1
                 ended = np.full(int(sizes.sum()), end_id, width)
