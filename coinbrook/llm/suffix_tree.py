@@ -1,21 +1,24 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
 The symbols are the training words, one for all unknown words, and the end of the text. Contexts are the up to
-three symbols before, a text's start among them. A context is kept as a state if it is frequent enough and its
+three symbols before, a text's start among them. A context is kept as a state if it occurs often enough and its
 next-symbol distribution diverges from its parent's (the context without its oldest symbol). A state gives its
-frequent next symbols discounted probabilities and leaves the rest to its parent, in the end to the root, which
+repeated next symbols discounted probabilities and leaves the rest to its parent, in the end to the root, which
 knows all words and gives unknown ones the mass of those seen once. Each symbol is scored from the longest
 suffix of its history that is a state, so a text's score is a proper probability.
 
-At scale: words are counted by one grouping, contexts by another. A context has ``context_share`` of all
-training tokens at least and an explicit next symbol ``symbol_share``, so the tree that is broadcast has a
-proven bound of DEPTH / context_share states and DEPTH / symbol_share distributions' entries, whatever the
-corpus. Everything about single words comes to the texts by a join: texts are dealt into blocks of about
-sixteen million characters, and each block gets one row for each of its distinct words.
+At scale: states and their next symbols are kept by absolute counts, so the tree grows with the corpus; it is a
+table and is never gathered. Known words are numbered by falling count. Texts are dealt into blocks of about
+sixteen million characters; each block gets one row for each of its distinct words and is written as numbers.
+Contexts are counted depth by depth: how often one occurs is the count of the shorter one with its latest symbol
+next, so only contexts frequent enough are counted. Each block then gets the rows of the tree that its own
+contexts ask for. What is broadcast: one row for each distinct count of a word (at most the square root of twice
+the tokens), and Bloom filters of at most FILTER_BITS bits; what they let through is settled by the joins.
 """
 
 from __future__ import annotations
 
+import gc
 import math
 from collections import Counter
 from dataclasses import dataclass
@@ -26,17 +29,21 @@ from pyspark.sql import functions as F
 from .common import held_out, written
 
 DEPTH = 3
-CONTEXT_SHARE, SYMBOL_SHARE = 1e-4, 1e-5
+#: Least occurrences of a context and of a next symbol in it.
+LEAST_CONTEXT, LEAST_SYMBOL = 20, 2
 #: Least gain in nats, over all its occurrences, by which a state's distribution must differ from its parent's.
 MIN_GAIN = 20.0
 #: What each explicit next symbol of a state leaves to the parent, in occurrences.
 DISCOUNT = 0.5
 BLOCK_CHARS = 16_000_000
-_CONTEXT_BITS, _SYMBOL_BITS = 14, 17
-#: Numbers of symbols: 0 stands for all that are not frequent, 1 for the start.
+FILTER_BITS = 1 << 28
+#: A context is (recent, oldest): its latest two symbols, the latest above, and the third or 0.
+_BITS = 32
+#: Numbers of symbols: 0 stands for all unknown words, 1 for the start.
 OTHER, START = 0, 1
 _TASK_WORDS = 400_000
 _GROUP_TOKENS = 300_000
+_SLICE_WORDS = 8192
 
 
 def _tokens(text: str | None) -> list[bytes]:
@@ -87,126 +94,376 @@ def _grouped(texts, number):
         yield np.array(sizes), np.array(numbers)
 
 
+def _encoded_groups(encoded):
+    """Encoded texts in groups, as ``_grouped``."""
+    import numpy as np
+
+    held, size = [], 0
+    for e in encoded:
+        held.append(np.frombuffer(e.as_py(), np.int32))
+        size += len(held[-1])
+        if size > _GROUP_TOKENS:
+            yield np.array([len(x) for x in held]), np.concatenate(held).astype(np.int64)
+            held, size = [], 0
+    if held:
+        yield np.array([len(x) for x in held]), np.concatenate(held).astype(np.int64)
+
+
 def _contexts(sizes, symbols, frequent: int):
-    """For each depth d: the tokens whose d symbols before are all frequent (numbers up to ``frequent``), and
-    those packed, the latest lowest, below a mark. Nothing stands before a start."""
+    """For each depth: the tokens whose so many symbols before are all frequent (numbers up to ``frequent``),
+    with ``recent`` and ``oldest``. Nothing stands before a start."""
     import numpy as np
 
     place = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at, packed = np.arange(len(symbols)), np.zeros(len(symbols), np.int64)
+    at = np.arange(len(symbols))
+    recent, oldest = np.zeros(len(symbols), np.int64), np.zeros(len(symbols), np.int64)
     for d in range(1, DEPTH + 1):
-        at, packed = at[place[at] >= d - 1], packed[place[at] >= d - 1]
+        there = place[at] >= d - 1
+        at, recent, oldest = at[there], recent[there], oldest[there]
         before = np.where(place[at] == d - 1, START, symbols[at - d])
         usable = (before > OTHER) & (before <= frequent)
-        at, packed = at[usable], packed[usable] | before[usable] << _CONTEXT_BITS * (d - 1)
-        yield at, packed | np.int64(1 << _CONTEXT_BITS * d)
+        at, recent, oldest, before = at[usable], recent[usable], oldest[usable], before[usable]
+        if d < 3:
+            recent = recent | before << _BITS * (2 - d)
+        else:
+            oldest = before
+        yield at, recent, oldest
+
+
+def _numbered(words: DataFrame) -> DataFrame:
+    """(word, learned, number): the known words, from 2 on by falling count."""
+    parts = max(1, words.sparkSession.sparkContext.defaultParallelism)
+    ranged = words.where("learned > 0").repartitionByRange(parts, F.desc("learned"), "word").withColumn("part", F.spark_partition_id())
+    ranged = written(ranged.sortWithinPartitions(F.desc("learned"), "word").withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "numbered-words")
+    sizes = sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect())  # one row per range
+    if sum(n for _, n in sizes) >= (1 << 31) - 2:
+        raise ValueError("more than 2**31 known words")
+    begin, rows = 2, []
+    for part, n in sizes:
+        rows.append((part, begin))
+        begin += n
+    begins = words.sparkSession.createDataFrame(rows, "part int, begin long")
+    return ranged.join(F.broadcast(begins), "part").select("word", "learned", (F.col("begin") + F.col("at")).cast("int").alias("number"))
 
 
-def _counted(docs: DataFrame, numbers, frequent: int) -> DataFrame:
-    """(context, symbol, n) over the texts that are learned from; ``numbers``: broadcast, word to number."""
+@dataclass
+class Counts:
+    """By falling count: ``first`` number of the words of each count, and what the root gives such a word (ln);
+    ``base``: the baseline (log10). Numbers below 2 are unknown words."""
 
-    def run(batches):
+    first: object
+    learned: object
+    root: object
+    base: object
+    unknown: float
+    base_unknown: float
+
+    @classmethod
+    def of(cls, words: DataFrame, total: int, distinct: int, unknown: float, discount: float) -> Counts:
+        import numpy as np
+
+        rows = sorted(((r["learned"], r["count"]) for r in words.where("learned > 0").groupBy("learned").count().collect()), reverse=True)
+        learned, n = np.array([x for x, _ in rows], float), np.array([x for _, x in rows], np.int64)
+        base = lambda x: np.log10((x + 0.5) / (total + 0.5 * (distinct + 1)))
+        return cls(2 + np.cumsum(n) - n, learned, np.log(np.maximum(learned - discount, 1e-300) / max(1, total)), base(learned), math.log(unknown), float(base(0)))
+
+    def frequent(self, least: float) -> int:
+        """The last number of a word learned so often, or the start's."""
         import numpy as np
+
+        k = int((self.learned >= least).sum())
+        return START if not k else int(self.first[k]) - 1 if k < len(self.first) else int(np.iinfo(np.int32).max)
+
+    def _of(self, symbols, values, unknown):
+        import numpy as np
+
+        if not len(self.first):
+            return np.full(len(symbols), unknown)
+        return np.where(symbols > START, values[np.maximum(np.searchsorted(self.first, symbols, "right") - 1, 0)], unknown)
+
+    def roots(self, symbols):
+        return self._of(symbols, self.root, self.unknown)
+
+    def bases(self, symbols):
+        return self._of(symbols, self.base, self.base_unknown)
+
+
+def _dealt(src: DataFrame, block_chars: int) -> DataFrame:
+    chars = src.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = max(1, math.ceil(chars / block_chars))
+    return src.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+
+
+def _encoded(src: DataFrame, numbered: DataFrame, block_chars: int) -> DataFrame:
+    """(id, learn, block, symbols): the numbers of each text's tokens as little-endian integers of four bytes."""
+    dealt = _dealt(src.select("id", "t", "learn"), block_chars)
+
+    def distinct_words(batches):
         import pyarrow as pa
 
-        codes, times = [], []
+        found: dict[int, set[bytes]] = {}
+        for b in batches:
+            for block, t in zip(b.column(3).to_pylist(), b.column(1)):
+                found.setdefault(block, set()).update(_tokens(t.as_py()))
+        for block, ws in found.items():
+            ws = list(ws)
+            for i in range(0, len(ws), 20_000):
+                part = ws[i : i + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.binary())], names=["block", "word"])
+
+    # all columns, so that the texts are dealt once for both
+    dictionary = dealt.mapInArrow(distinct_words, "block int, word binary").join(numbered.select("word", "number"), "word")
+
+    def encode(texts, values):
+        import numpy as np
+        import pyarrow as pa
+
+        number = dict(zip(values.column("word").to_pylist(), values.column("number").to_pylist())).get
+        out = []
+        for sizes, ids in _grouped(texts.column("t"), lambda w: number(w, OTHER)):
+            ids = ids.astype(np.int32)
+            out.extend(x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1]))
+        return pa.table([texts.column("id"), texts.column("learn"), texts.column("block"), pa.array(out, pa.binary())], names=["id", "learn", "block", "symbols"])
+
+    schema = f"id {src.schema['id'].dataType.simpleString()}, learn boolean, block int, symbols binary"
+    return dealt.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(encode, schema)
+
+
+def _mixed(recent, rest):
+    import numpy as np
 
-        def merged():
-            code, back = np.unique(np.concatenate(codes), return_inverse=True)
-            n = np.bincount(back, np.concatenate(times), len(code)).astype(np.int64)
-            codes.clear(), times.clear()
-            return code, n
+    x = recent.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ rest.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _place(recent, rest, n_words: int):
+    """The word of a filter that a key belongs to, and its four bits there."""
+    import numpy as np
+
+    h = _mixed(recent, rest)
+    mask = np.zeros(len(h), np.uint64)
+    for k in range(4):
+        mask |= np.uint64(1) << (h >> np.uint64(6 * k) & np.uint64(63))
+    return (h >> np.uint64(32)).astype(np.int64) & (n_words - 1), mask
+
+
+def _filter(keys: DataFrame):
+    """A Bloom filter of the keys (recent, rest), broadcast: no key is missed. Slices are made by executors."""
+    import numpy as np
+
+    n_words = 1 << max(10, math.ceil(math.log2(max(1, min(FILTER_BITS, 16 * keys.count())))) - 6)
+
+    def placed(batches):
+        import pyarrow as pa
 
-        number = lambda w, get=numbers.value.get: get(w, OTHER)
         for b in batches:
-            for sizes, symbols in _grouped(b.column(0), number):
-                for at, packed in _contexts(sizes, symbols, frequent):
-                    code, n = np.unique(packed << _SYMBOL_BITS | symbols[at], return_counts=True)
-                    codes.append(code), times.append(n)
-                if sum(map(len, codes)) > 3_000_000:
-                    code, n = merged()
-                    if len(code) > 1_000_000:
-                        yield from parts(code, n)
-                    else:
-                        codes.append(code), times.append(n)
-        if codes:
-            yield from parts(*merged())
-
-    def parts(code, n):
+            where, mask = _place(b.column(0).to_numpy(), b.column(1).to_numpy(), n_words)
+            yield pa.RecordBatch.from_arrays([pa.array((where // _SLICE_WORDS).astype(np.int32)), pa.array(where % _SLICE_WORDS), pa.array(mask.view(np.int64))], names=["slice", "at", "mask"])
+
+    def made(table):
+        import pyarrow as pa
+
+        words = np.zeros(_SLICE_WORDS, np.uint64)
+        np.bitwise_or.at(words, table.column("at").to_numpy(), table.column("mask").to_numpy().view(np.uint64))
+        return pa.table([pa.array([table.column("slice")[0].as_py()], pa.int32()), pa.array([words.tobytes()], pa.binary())], names=["slice", "words"])
+
+    found = keys.select("recent", "rest").mapInArrow(placed, "slice int, at long, mask long").groupBy("slice", "at").agg(F.bit_or("mask").alias("mask"))
+    whole = np.zeros(max(n_words, _SLICE_WORDS), np.uint64)
+    for r in found.groupBy("slice").applyInArrow(made, "slice int, words binary").collect():
+        whole[r["slice"] * _SLICE_WORDS : (r["slice"] + 1) * _SLICE_WORDS] = np.frombuffer(bytes(r["words"]), np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(whole[:n_words])
+
+
+def _may_hold(words, recent, rest):
+    where, mask = _place(recent, rest, len(words))
+    return words[where] & mask == mask
+
+
+def _distinct(recent, rest, n):
+    """Distinct keys in order, with the sums of ``n``."""
+    import numpy as np
+
+    order = np.lexsort((rest, recent))
+    recent, rest, n = recent[order], rest[order], n[order]
+    first = np.ones(len(recent), bool)
+    first[1:] = (recent[1:] != recent[:-1]) | (rest[1:] != rest[:-1])
+    return recent[first], rest[first], np.add.reduceat(n, np.flatnonzero(first)) if len(n) else n
+
+
+def _counted(encoded: DataFrame, depth: int, frequent: int, least_symbol: float, among=None) -> DataFrame:
+    """(recent, rest, n): how often a symbol followed a context of ``depth``, where it did often enough; ``rest``
+    is the oldest symbol above and the next below. ``among``: a filter of the contexts that count."""
+
+    def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        for i in range(0, len(code), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(code[i : i + 50_000]), pa.array(n[i : i + 50_000])], names=["code", "n"])
+        held, size = [], 0
+
+        def parts(recent, rest, n):
+            for i in range(0, len(n), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (recent, rest, n)], names=["recent", "rest", "n"])
 
-    found = docs.where("learn").select("t").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    return found.select(F.shiftright("code", _SYMBOL_BITS).alias("context"), F.col("code").bitwiseAND((1 << _SYMBOL_BITS) - 1).alias("symbol"), "n")
+        for b in batches:
+            for sizes, symbols in _encoded_groups(b.column(0)):
+                at, recent, oldest = list(_contexts(sizes, symbols, frequent))[depth - 1]
+                if among is not None:
+                    may = _may_hold(among.value, recent, oldest << _BITS)
+                    at, recent, oldest = at[may], recent[may], oldest[may]
+                held.append(_distinct(recent, oldest << _BITS | symbols[at], np.ones(len(at), np.int64)))
+                size += len(held[-1][0])
+                if size > 3_000_000:
+                    held = [_distinct(*map(np.concatenate, zip(*held)))]
+                    size = len(held[0][0])
+                    if size > 1_000_000:
+                        yield from parts(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from parts(*_distinct(*map(np.concatenate, zip(*held))))
+
+    found = encoded.where("learn").select("symbols").mapInArrow(run, "recent long, rest long, n long")
+    return found.groupBy("recent", "rest").agg(F.sum("n").alias("n")).where(F.col("n") >= least_symbol)
+
+
+_NEXT = "rest & 4294967295L"
+
+
+def learn_table(encoded: DataFrame, counts: Counts, least_context: float, least_symbol: float, min_gain: float) -> DataFrame:
+    """The tree as a table (recent, rest, value): for a state, with 0 as the next symbol, what symbols it does not
+    hold get on top of the parent's probability (ln); for each of its next symbols the ln probability."""
+    spark = encoded.sparkSession
+    frequent = counts.frequent(least_context)
+    shared = spark.sparkContext.broadcast(counts)
+
+    @F.pandas_udf("double")
+    def root(symbol):
+        import numpy as np
+        import pandas as pd
 
+        return pd.Series(np.exp(shared.value.roots(symbol.to_numpy())))
 
-def states(pairs: DataFrame, least_context: float, least_symbol: float, min_gain: float) -> DataFrame:
-    """(context, symbol, n, total): the explicit next symbols of each state, from (context, symbol, n)."""
-    totals = pairs.groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= least_context)
-    found = written(pairs.where(F.col("n") >= least_symbol).join(totals, "context"), "suffix-states")
-    # the parent: the mark moves down over the oldest symbol; of one-symbol contexts it is the root, not tested
-    depth = "cast((length(bin(context)) - 1) / 14 as int)"
-    below = f"shiftleft(1L, 14 * ({depth} - 1))"
-    child = found.where("symbol > 0").withColumn("parent", F.expr(f"if({depth} = 1, 1L, context & ({below} - 1) | {below})"))
-    above = found.select(F.col("context").alias("parent"), "symbol", F.col("n").alias("pn"), F.col("total").alias("ptotal"))
-    gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("pn") / F.col("ptotal"))))
-    kept = child.where("parent > 1").join(above, ["parent", "symbol"]).groupBy("context").agg(gain.alias("gain")).where(F.col("gain") >= min_gain).select("context")
-    deeper = found.where("symbol > 0").join(kept, "context", "left_semi")
-    return deeper.union(child.where("parent = 1").select(found.columns))
+    @F.pandas_udf("double")
+    def learned(symbol):
+        import numpy as np
+        import pandas as pd
+
+        v = shared.value
+        return pd.Series(v.learned[np.maximum(np.searchsorted(v.first, symbol.to_numpy(), "right") - 1, 0)])
+
+    texts = encoded.where("learn").count()
+    seen = lambda symbol: F.when(symbol == START, F.lit(float(texts))).otherwise(learned(symbol))
+    made, entries, states, pairs = [], {}, {}, None
+    for depth in range(1, DEPTH + 1):
+        if depth == 1:
+            among, totals = None, None
+        else:  # a context occurs as often as its latest symbol follows the others
+            latest = F.expr(_NEXT)
+            again = pairs.where((F.col("n") >= least_context) & (latest <= frequent))
+            older = F.shiftright("recent", _BITS)
+            moved = (F.shiftleft(latest, _BITS).bitwiseOR(older)).alias("recent")
+            third = F.expr("recent & 4294967295L") if depth == 3 else F.lit(0).cast("long")
+            totals = written(again.select(moved, F.shiftleft(third, _BITS).alias("rest"), F.col("n").alias("total")), f"suffix-totals-{depth}")
+            among = _filter(totals)
+        before = pairs
+        pairs = written(_counted(encoded, depth, frequent, least_symbol, among), f"suffix-counts-{depth}")
+        _released(spark)
+        each = pairs.withColumns({"symbol": F.expr(_NEXT), "own": F.expr("rest & -4294967296L")})
+        if depth == 1:
+            each = each.withColumn("total", seen(F.shiftright("recent", _BITS))).where(F.col("total") >= least_context)
+            each = each.withColumn("parents", root("symbol"))
+        else:
+            each = each.join(totals.select("recent", F.col("rest").alias("own"), "total"), ["recent", "own"])
+            each = each.withColumn("parent", F.expr("recent & -4294967296L") if depth == 2 else F.col("recent"))
+            shorter = before.select(F.col("recent").alias("parent"), F.col("rest").alias("symbol"), F.col("n").alias("pn"))  # with no oldest symbol
+            each = each.join(shorter, ["parent", "symbol"])
+            if depth == 2:
+                each = each.withColumn("ptotal", seen(F.shiftright("parent", _BITS)))
+            else:
+                each = each.join(totals_before.select(F.col("recent").alias("parent"), F.col("total").alias("ptotal")), "parent")
+            each = each.withColumn("parents", F.col("pn") / F.col("ptotal"))
+        totals_before = totals
+        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("parents")))
+        each = each.select("recent", "own", "symbol", "n", "total", "parents")
+        each = written(each, f"suffix-gains-{depth}")
+        kept = each.groupBy("recent", "own").agg(gain.alias("gain")).where(F.col("gain") >= min_gain).select("recent", "own")
+        each = each.join(kept, ["recent", "own"], "left_semi").select("recent", "own", "symbol", ((F.col("n") - DISCOUNT) / F.col("total")).alias("p")).withColumn("up", root("symbol"))
+        for d in range(1, depth):  # what the longest shorter state gives
+            suffix = F.expr("recent & -4294967296L") if d == 1 else F.col("recent")
+            each = each.withColumn("suffix", suffix)
+            each = each.join(states[d].select(F.col("recent").alias("suffix"), F.col("value").alias("b")), "suffix", "left")
+            each = each.join(entries[d].select(F.col("recent").alias("suffix"), "symbol", F.col("p").alias("q")), ["suffix", "symbol"], "left")
+            each = each.withColumn("up", F.coalesce("q", F.exp("b") * F.col("up"), "up")).drop("suffix", "b", "q")
+        entries[depth] = written(each, f"suffix-entries-{depth}")
+        rest = (F.lit(1.0) - F.sum("p")) / F.greatest(F.lit(1.0) - F.sum("up"), F.lit(1e-12))
+        _released(spark)
+        states[depth] = written(entries[depth].groupBy("recent", "own").agg(F.log(rest).alias("value")), f"suffix-states-{depth}")
+        made.append(states[depth].select("recent", F.col("own").alias("rest"), "value"))
+        made.append(entries[depth].select("recent", F.col("own").bitwiseOR(F.col("symbol")).alias("rest"), F.log("p").alias("value")))
+    out = made[0]
+    for m in made[1:]:
+        out = out.union(m)
+    return out
 
 
 @dataclass
 class Tree:
-    """Sorted states (the root, 1, among them); for each the state of its longest proper suffix and what a
-    symbol it does not hold gets on top of that one's probability (ln); and sorted (state number, symbol)
-    entries with their ln probabilities. ``numbers``: word to number; contexts have numbers to ``frequent``."""
+    """A part of the tree: sorted states (the root, 1, among them); for each the state of its longest proper
+    suffix and what a symbol it does not hold gets on top of that one's probability (ln); and sorted (state
+    number, symbol) entries with their ln probabilities. ``recent``: the distinct ones, whose place counts in
+    a state's number from 1 on, above its oldest symbol. ``numbers``: word to number, where it was asked for."""
 
-    numbers: dict
-    frequent: int
+    recent: object
     contexts: object
     parent: object
     backoff: object
     entries: object
     lp: object
+    numbers: dict | None = None
 
     @classmethod
-    def of(cls, numbers: dict, frequent: int, root, found, min_gain: float) -> Tree:
-        """``root``: ln probabilities of the numbered symbols under the root; ``found``: pandas, of ``states``."""
+    def of(cls, recent, rest, value, numbers: dict | None = None) -> Tree:
+        """From rows of the table; with a state the rows of its suffixes that are states."""
         import numpy as np
 
-        context, symbol = found["context"].to_numpy(np.int64), found["symbol"].to_numpy(np.int64)
-        n, total = found["n"].to_numpy(float), found["total"].to_numpy(float)
-        shallow = context < 1 << 2 * _CONTEXT_BITS
-        shallow &= context >= 1 << _CONTEXT_BITS
-        gain = np.zeros(0)
-        if len(context):  # one-symbol contexts are held against the root here
-            code, back = np.unique(context, return_inverse=True)
-            gain = np.bincount(back, np.where(shallow, n * (np.log(n / total) - root[symbol]), 0.0), len(code))
-            keep = ~shallow | (gain[back] >= min_gain)
-            context, symbol, n, total = context[keep], symbol[keep], n[keep], total[keep]
-        contexts, state = np.unique(np.append(context, 1), return_inverse=True)
-        state = state[:-1]
-        depth = (np.frexp(contexts.astype(float))[1] - 1) // _CONTEXT_BITS
-        parent = np.zeros(len(contexts), np.int64)
-        for d in range(1, DEPTH):
-            deeper = np.flatnonzero(depth > d)
-            code = contexts[deeper] & ((1 << _CONTEXT_BITS * d) - 1) | (1 << _CONTEXT_BITS * d)
-            where = np.minimum(np.searchsorted(contexts, code), len(contexts) - 1)
-            hit = contexts[where] == code
-            parent[deeper[hit]] = where[hit]
-        order = np.argsort(state << _SYMBOL_BITS | symbol)
-        state, symbol, p = state[order], symbol[order], (n[order] - DISCOUNT) / total[order]
-        tree = cls(numbers, frequent, contexts, parent, np.zeros(len(contexts)), state << _SYMBOL_BITS | symbol, np.log(p))
-        for d in range(1, DEPTH + 1):
-            at = np.flatnonzero(depth[state] == d)
-            held = np.bincount(state[at], p[at], len(contexts))
-            above = np.bincount(state[at], np.exp(tree.lookup(parent[state[at]], symbol[at], root[symbol[at]])), len(contexts))
-            own = depth == d
-            tree.backoff[own] = np.log((1 - held[own]) / np.maximum(1 - above[own], 1e-12))
+        symbol, oldest = rest & (1 << _BITS) - 1, rest >> _BITS
+        own = symbol == 0
+        distinct = np.unique(recent[own])
+        tree = cls(distinct, np.ones(1, np.int64), None, None, None, None, numbers)
+        code, _ = tree.code(recent, oldest)
+        tree.contexts, where = np.unique(np.append(code[own], 1), return_index=True)
+        tree.backoff = np.append(value[own], 0.0)[where]
+        first, third = np.append(recent[own], 0)[where], np.append(oldest[own], 0)[where]
+        tree.parent = np.zeros(len(tree.contexts), np.int64)
+        for r, deeper in ((first >> _BITS << _BITS, first & (1 << _BITS) - 1 > 0), (first, third > 0)):
+            at = np.flatnonzero(deeper)
+            state = tree.states(r[at], np.zeros(len(at), np.int64))
+            tree.parent[at[state > 0]] = state[state > 0]
+        state = tree.states(recent, oldest)
+        of_state = np.flatnonzero(~own & (state > 0))
+        entry = state[of_state] << _BITS | symbol[of_state]
+        order = np.argsort(entry)
+        # one beyond all, so that there always is an entry
+        tree.entries, tree.lp = np.append(entry[order], np.iinfo(np.int64).max), np.append(value[of_state][order], 0.0)
         return tree
 
+    def code(self, recent, oldest):
+        import numpy as np
+
+        if not len(self.recent):
+            return np.zeros(len(recent), np.int64), np.zeros(len(recent), bool)
+        where = np.minimum(np.searchsorted(self.recent, recent), len(self.recent) - 1)
+        return where + 1 << _BITS | oldest, self.recent[where] == recent
+
+    def states(self, recent, oldest):
+        """The numbers of the states of contexts, 0 where there is none."""
+        import numpy as np
+
+        code, known = self.code(recent, oldest)
+        where = np.minimum(np.searchsorted(self.contexts, code), len(self.contexts) - 1)
+        return np.where(known & (self.contexts[where] == code), where, 0)
+
     def lookup(self, state, symbol, root):
         """ln probabilities of symbols from states; ``root``: what the root gives them."""
         import numpy as np
@@ -218,7 +475,7 @@ class Tree:
             rest = rest[~done]
             if not len(rest):
                 return out
-            code = state[rest] << _SYMBOL_BITS | symbol[rest]
+            code = state[rest] << _BITS | symbol[rest]
             where = np.minimum(np.searchsorted(self.entries, code), len(self.entries) - 1)
             hit = self.entries[where] == code
             out[rest[hit]] += self.lp[where[hit]]
@@ -226,32 +483,36 @@ class Tree:
             out[rest] += self.backoff[state[rest]]
             state[rest] = self.parent[state[rest]]
 
-    def scores(self, sizes, symbols, root):
+    def scores(self, sizes, symbols, root, frequent: int):
         """ln probabilities of texts of so many tokens each."""
         import numpy as np
 
         state = np.zeros(len(symbols), np.int64)
-        for at, code in _contexts(sizes, symbols, self.frequent):
-            where = np.minimum(np.searchsorted(self.contexts, code), len(self.contexts) - 1)
-            hit = self.contexts[where] == code
-            state[at[hit]] = where[hit]
+        for at, recent, oldest in _contexts(sizes, symbols, frequent):
+            found = self.states(recent, oldest)
+            state[at[found > 0]] = found[found > 0]
         return np.add.reduceat(self.lookup(state, symbols, root), np.cumsum(sizes) - sizes)
 
 
+def _released(spark) -> None:
+    """Shuffle files of steps that are written go when the driver collects its garbage; it does so now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _least(total: int, context_share: float, symbol_share: float) -> tuple[float, float]:
+    return max(LEAST_CONTEXT, context_share * total), max(LEAST_SYMBOL, symbol_share * total)
+
+
 def learn_tree(src: DataFrame, words: DataFrame, total: int, unknown: float, discount: float, context_share: float, symbol_share: float, min_gain: float) -> Tree:
+    """The whole tree in memory, to look into small ones."""
     import numpy as np
 
-    if symbol_share * (1 << _SYMBOL_BITS) < 2 or context_share * (1 << _CONTEXT_BITS) < 1.5 or symbol_share > context_share:
-        symbol_share, context_share = max(symbol_share, 2 / (1 << _SYMBOL_BITS)), max(context_share, 1.5 / (1 << _CONTEXT_BITS))
-    frequent = words.where(F.col("learned") >= max(2.0, symbol_share * total)).orderBy(F.desc("learned"), "word").collect()  # at most 1 / symbol_share rows
-    numbers = {bytes(r["word"]): k + 2 for k, r in enumerate(frequent)}
-    counts = np.array([r["learned"] for r in frequent], float)
-    root = np.concatenate([[-np.inf, -np.inf], np.log((counts - discount) / max(1, total))])
-    contexts = 1 + int((counts >= max(2.0, context_share * total)).sum())
-    shared = src.sparkSession.sparkContext.broadcast(numbers)
-    pairs = written(_counted(src, shared, contexts), "suffix-counts")
-    found = states(pairs, max(2.0, context_share * total), max(2.0, symbol_share * total), min_gain)
-    return Tree.of(numbers, contexts, root, found.toPandas(), min_gain)
+    numbered = written(_numbered(words), "numbers")
+    counts = Counts.of(words, total, numbered.count(), unknown, discount)
+    table = learn_table(written(_encoded(src, numbered, BLOCK_CHARS), "encoded"), counts, *_least(total, context_share, symbol_share), min_gain).toPandas()
+    numbers = {bytes(r["word"]): r["number"] for r in numbered.collect()}
+    return Tree.of(table["recent"].to_numpy(np.int64), table["rest"].to_numpy(np.int64), table["value"].to_numpy(float), numbers)
 
 
 def score(
@@ -259,14 +520,15 @@ def score(
     learn: Column,
     text: str = "text",
     id: str = "doc_id",
-    context_share: float = CONTEXT_SHARE,
-    symbol_share: float = SYMBOL_SHARE,
+    context_share: float = 0.0,
+    symbol_share: float = 0.0,
     min_gain: float = MIN_GAIN,
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (the
     unigram baseline) and ``score`` (log10 probability under the tree learned from the rows where ``learn``
-    holds).
+    holds). A context or next symbol that counts less than its share of all training tokens is left out; by
+    default LEAST_CONTEXT and LEAST_SYMBOL alone decide, so the tree grows with the corpus.
 
     A null or empty text is its end alone. Repeated rows and ids each keep their row and are learned from
     as often as they occur; a null condition counts as false. An empty table gives an empty result; without
@@ -281,51 +543,66 @@ def score(
     unknown = (once or 0.5) / total if total else 1.0
     unknown = min(unknown, 0.5) if total else 1.0
     discount = unknown * total / distinct if distinct else 0.0
-    tree = src.sparkSession.sparkContext.broadcast(learn_tree(src, words, total, unknown, discount, context_share, symbol_share, min_gain))
-    base = F.log10((F.col("learned") + 0.5) / (total + 0.5 * (distinct + 1)))
-    own = F.when(seen, F.log((F.col("learned") - discount) / max(1, total))).otherwise(math.log(unknown))
-    valued = words.select("word", seen.alias("known"), base.alias("base"), own.alias("root"))
+    counts = Counts.of(words, total, distinct, unknown, discount)
+    encoded = written(_encoded(src, _numbered(words), block_chars), "encoded")
+    _released(src.sparkSession)
+    least_context, least_symbol = _least(total, context_share, symbol_share)
+    table = written(learn_table(encoded, counts, least_context, least_symbol, min_gain), "suffix-tree")
+    _released(src.sparkSession)
+    frequent = counts.frequent(least_context)
+    may = _filter(table)
+    shared = src.sparkSession.sparkContext.broadcast(counts)
+
+    def asked(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    chars = src.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, math.ceil(chars / block_chars))
-    dealt = src.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+        held: dict[int, list] = {}
 
-    def distinct_words(batches):
-        import pyarrow as pa
+        def parts(block):
+            recent, rest, _ = _distinct(*map(np.concatenate, zip(*held.pop(block))))
+            for i in range(0, len(recent), 50_000):
+                r = recent[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), block, np.int32)), pa.array(r), pa.array(rest[i : i + 50_000])], names=["block", "recent", "rest"])
 
-        found: dict[int, set[bytes]] = {}
         for b in batches:
-            for block, t in zip(b.column(3).to_pylist(), b.column(1)):
-                found.setdefault(block, set()).update(_tokens(t.as_py()))
-        for block, ws in found.items():
-            ws = list(ws)
-            for i in range(0, len(ws), 20_000):
-                part = ws[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.binary())], names=["block", "word"])
-
-    dictionary = dealt.mapInArrow(distinct_words, "block int, word binary").join(valued, "word")
+            blocks = b.column(0).to_numpy()
+            for block in np.unique(blocks).tolist():
+                rows = b.column(1).take(pa.array(np.flatnonzero(blocks == block)))
+                for sizes, symbols in _encoded_groups(rows):
+                    for at, recent, oldest in _contexts(sizes, symbols, frequent):
+                        own = _may_hold(may.value, recent, oldest << _BITS)
+                        at, recent, oldest = at[own], recent[own], oldest[own]
+                        rest = oldest << _BITS | symbols[at]
+                        entry = (symbols[at] > OTHER) & _may_hold(may.value, recent, rest)
+                        recent, rest = np.concatenate([recent, recent[entry]]), np.concatenate([oldest << _BITS, rest[entry]])
+                        held.setdefault(block, []).append(_distinct(recent, rest, np.ones(len(rest), np.int64)))
+                if sum(len(x[0]) for x in held.get(block, [])) > 2_000_000:
+                    yield from parts(block)
+        for block in list(held):
+            yield from parts(block)
+
+    keys = encoded.select("block", "symbols").mapInArrow(asked, "block int, recent long, rest long")  # a few tasks may ask for the same
+    rows = keys.join(table, ["recent", "rest"]).select("block", "recent", "rest", "value")
 
     def add_up(texts, values):
         import numpy as np
         import pyarrow as pa
 
-        known, base, root = (values.column(c).to_numpy() for c in ("known", "base", "root"))
-        ws = values.column("word").to_pylist()
-        symbol = np.array([tree.value.numbers.get(w, OTHER) for w in ws], np.int64)
-        number = {w: i for i, w in enumerate(ws)}
+        tree = Tree.of(*(values.column(c).to_numpy() for c in ("recent", "rest", "value")))
         n, n_known, b, s = [], [], [], []
-        for sizes, ids in _grouped(texts.column("t"), number.__getitem__):
+        for sizes, symbols in _encoded_groups(texts.column("symbols")):
             begin = np.cumsum(sizes) - sizes
             n.append(sizes)
-            n_known.append(np.add.reduceat(known[ids].astype(np.int64), begin))
-            b.append(np.add.reduceat(base[ids], begin))
-            s.append(tree.value.scores(sizes, symbol[ids], root[ids]) / math.log(10))
+            n_known.append(np.add.reduceat((symbols > OTHER).astype(np.int64), begin))
+            b.append(np.add.reduceat(shared.value.bases(symbols), begin))
+            s.append(tree.scores(sizes, symbols, shared.value.roots(symbols), frequent) / math.log(10))
         together = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
         cols = [together(n, pa.int64()), together(n_known, pa.int64()), pa.array([total] * texts.num_rows, pa.int64()), together(b, pa.float64()), together(s, pa.float64())]
         return pa.table([texts.column("id"), *cols], names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = f"id {docs.schema[id].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = dealt.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(add_up, schema)
+    out = encoded.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(add_up, schema)
     return out.withColumnRenamed("id", id)
 
 

@@ -96,6 +96,18 @@ def test_suffix_tree_odd(spark, odd):
     assert {r["n_known"] for r in suffix_tree.score(odd, F.lit(False)).collect()} == {0}
 
 
+@pytest.mark.parametrize("block_chars", [suffix_tree.BLOCK_CHARS, 200_000])
+def test_suffix_tree_keeps_rare_contexts_of_a_large_corpus(spark, block_chars):
+    """40 occurrences make a state however many other tokens there are, here less than 1e-4 of all, unless the
+    caller asks for such a share."""
+    rows = [(i, "zeta omega") for i in range(40)] + [(100 + i, "x " * 30_000) for i in range(20)] + [(200, "zeta omega")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = spread(suffix_tree.score(df, F.col("doc_id") < 200, block_chars=block_chars))[200]["score"]
+    assert got == pytest.approx(math.log10(39.5 / 60 * (39.5 / 40) ** 2))
+    cut = spread(suffix_tree.score(df, F.col("doc_id") < 200, context_share=1e-4, block_chars=block_chars))[200]["score"]
+    assert cut < got - 2
+
+
 # --- 2
 
 
