@@ -136,12 +136,47 @@ def _inside(rows: DataFrame, form: Form) -> DataFrame:
     return rows.withColumn("__in", F.last(mark, ignorenulls=True).over(before)).where("__in = 1").drop("__in")
 
 
+# Lines of Amex that are no transaction.
+AMEX_SKIP = r"Account Ending|Closing Date|Customer Care|Page|Summary|Total|^Card Ending"
+
+
+def _later_amounts(rows: DataFrame) -> DataFrame:
+    """Amex prints the amount of some payments and credits up to five lines below the date: such a line gets what
+    follows, up to and with the amount."""
+    own = Window.partitionBy("source_file").orderBy("place")
+    has = lambda mark: F.col("line").contains(mark)
+    section = (
+        F.when(has("Payments and Credits") | has("Detail") & has("Payments"), 1)
+        .when(has("New Charges") & ~has("Total") & ~has("Summary"), 0)
+        .when(F.col("line").startswith("Fees") & ~has("Total"), 0)
+        .when(has("Credits") & ~has("Payment") & ~has("Total"), 1)
+        .when(has("Payments") & ~has("Credits") & ~has("Total"), 1)
+    )
+    rows = rows.withColumns({f"__l{k}": F.lead("line", k).over(own) for k in range(1, 6)})
+    rows = rows.withColumn("__credits", F.last(section, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    amount = rf"-?\s*\$?({_MONEY})\s*⧫?\s*$"
+    described, joined, going = F.col("line"), F.lit(None).cast("string"), F.lit(True)
+    for k in range(1, 6):
+        nxt = F.col(f"__l{k}")
+        going = going & nxt.isNotNull() & ~nxt.rlike(r"^\d{2}/\d{2}/\d{2}|New Charges|Fees|Total|Summary")
+        minus = F.when(nxt.rlike(rf"-\s*\$?{_MONEY}"), "-$").otherwise("$")
+        rest = F.nullif(F.trim(F.regexp_replace(nxt, amount, "")), F.lit(""))
+        whole = F.concat_ws(" ", described, rest, F.concat(minus, F.regexp_extract(nxt, amount, 1)))
+        joined = F.when(going & nxt.rlike(amount), whole).otherwise(joined)
+        going = going & ~nxt.rlike(amount)
+        described = F.when(going & (nxt != ""), F.concat(described, F.lit(" "), nxt)).otherwise(described)
+    opened = F.col("line").rlike(r"^\d{2}/\d{2}/\d{2}\*?\s+.+") & ~F.col("line").rlike(FORMS["amex"].pattern) & (F.col("__credits") == 1)
+    return rows.where(~F.col("line").rlike(AMEX_SKIP)).select("source_file", "place", F.when(opened & joined.isNotNull(), joined).otherwise(F.col("line")).alias("line"))
+
+
 def parse(statements: DataFrame, name: str, as_of_year: int, as_of_month: int) -> DataFrame:
     """Transactions of one bank's statements: row_index, date, description_raw, amount (charges positive, credits
     negative), is_credit, is_payment. Lines that are no transaction, and days that don't exist, are left out."""
     form = FORMS[name]
     dated = statements.withColumns({"__year": statement_year(F.col("text"), F.lit(as_of_year)), "__month": statement_month(F.col("text"), F.lit(as_of_month))})
     rows = _inside(lines(statements), form)
+    if name == "amex":
+        rows = _later_amounts(rows)
     group = lambda i: F.regexp_extract("line", form.pattern, i)
     own = Window.partitionBy("source_file").orderBy("place")
     described = F.trim(group(form.description))

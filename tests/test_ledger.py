@@ -163,6 +163,32 @@ def test_statement_lines(spark, bank, text, want):
     assert (str(r["date"]), amount, r["is_credit"], r["is_payment"]) == want and r["row_index"] == 0
 
 
+def test_amex_amounts_on_later_lines(spark):
+    text = """Payments and Credits
+03/05/25* AUTOPAY RECEIVED
+THANK YOU -$100.00
+07/06/25 BEST BUY
+SAN CARLOS CA
+
+888BESTBUY
+-$1,286.31 ⧫
+07/07/25 NOTHING FOLLOWS
+07/08/25 ACME -$1.00
+New Charges
+03/04/25 ACME TOYS
+SPRINGFIELD IL $12.50
+03/06/25 Total of nothing $5.00
+03/07/25 ACME $7.00"""
+    df = spark.createDataFrame([("f", text)], "source_file string, text string")
+    got = [(str(r["date"]), r["description_raw"], float(r["amount"]), r["is_credit"]) for r in statements.parse(df, "amex", 2025, 6).orderBy("row_index").collect()]
+    assert got == [
+        ("2025-03-05", "AUTOPAY RECEIVED THANK YOU", -100.0, True),
+        ("2025-07-06", "BEST BUY SAN CARLOS CA 888BESTBUY", -1286.31, True),
+        ("2025-07-08", "ACME", -1.0, True),
+        ("2025-03-07", "ACME", 7.0, False),
+    ]
+
+
 def test_generic_and_balances(spark):
     df = spark.createDataFrame([("f", "2025-01-15 ACME GROCER -10.00\nJan 15 ACME GROCER $10.00\n02/30 NO DAY 1.00\nSpending Account xxxxxx0001 $10.00 $20.00")], "source_file string, text string")
     got = [(str(r["date"]), float(r["amount"])) for r in statements.parse_generic(df, 2025).orderBy("row_index").collect()]
