@@ -1,15 +1,19 @@
-"""Toxicity by subword-bag embeddings under a linear softmax.
+"""Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A word is the average of the vectors of its character n-grams (hashed into a table), a window is the average
-of its words, and a two-way softmax over the window's vector gives its odds. A document is toxic unless all
-of its windows are clean: p = 1 - prod(1 - p_window). Vectors and softmax are trained jointly in numpy.
-Misspelled words that were never seen score through the n-grams they share with seen ones.
+A word is the average of the vectors of its character n-grams (hashed into a table), a text the average of its
+words, with a few neutral words added so that a word or two decide nothing; a two-way softmax over that vector
+gives the score. As the whole bag is averaged, length alone moves no score. Vectors and softmax are trained
+jointly in numpy by proximal steps: an n-gram's vector is weighed by how rare the n-gram is and shrinks to zero
+unless it helps, so most of the table stays empty and chance n-grams of the sample have no say. Misspelled words
+that were never seen score through the n-grams they share with seen ones.
+
+Texts become bags of n-grams on executors; the driver only sees the bags of the bounded labelled sample: at most
+``2 * TRAIN_ROWS`` rows of at most BUCKETS entries of eight bytes, however long a text is.
 """
 
 from __future__ import annotations
 
 import string
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,147 +24,218 @@ from pyspark.sql import types as T
 from .bpe import slices
 from .common import held_out
 
-BUCKETS, DIM, WINDOW, NGRAMS = 1 << 17, 8, 2, (3, 4, 5, 6)
+BUCKETS, DIM, NGRAMS = 1 << 17, 8, range(3, 7)
+#: Neutral words added to each text.
+NEUTRAL = 10
 #: At most so many labelled documents of each class are learned from, those whose hashed id is least.
 TRAIN_ROWS = 1500
+#: Only n-grams of so many labelled documents get a vector; what shrinks vectors; steps of training.
+LEAST_DOCS, SHRINK, STEPS = 5, 1e-4, 150
 THRESHOLD = 0.7
 _EDGES = string.punctuation + "«»“”„’‘…–—¡¿"
-_CACHE_WORDS = 300_000
+_SLICE_CHARS = 2_000_000
+_BATCH_ROWS = 128
 
 
 @dataclass
 class Model:
-    """``weight``: for each n-gram bucket what it adds to a window's log-odds; ``bias``: the log-odds of an
-    empty window; ``prior``: the score of every text if there was nothing to learn from."""
+    """``weight``: for each n-gram bucket what it adds to the log-odds of the average; ``bias``: the log-odds of
+    an empty text; ``prior``: the score of every text if there was nothing to learn from."""
 
     weight: object
     bias: float
     prior: float | None = None
 
 
-def buckets(word: str) -> list[int]:
-    """Buckets of the n-grams of a word, its ends marked."""
-    marked = f"<{word}>"
-    grams = {marked[i : i + n] for n in NGRAMS for i in range(max(1, len(marked) - n + 1))}
-    return sorted({zlib.crc32(g.encode()) % BUCKETS for g in grams})
-
-
-def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+def grams(words):
+    """Of an Arrow array of words, their ends marked: (word number, bucket) of every n-gram, by word."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    marked = pc.binary_join_element_wise(pa.scalar("<"), words, pa.scalar(">"), "")
+    codes = np.frombuffer("".join(marked.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = pc.utf8_length(marked).to_numpy()
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters up to the word's end
+    owners, buckets, h = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], codes
+    for n in range(2, min(NGRAMS.stop, len(codes) + 1)):
+        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
+        if n in NGRAMS:
+            at = np.flatnonzero(left[: len(h)] >= n)
+            x = h[at] ^ np.uint64(n)
+            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            owners.append(owner[at])
+            buckets.append((x >> np.uint64(47)).astype(np.int64))
+    owner, bucket = np.concatenate(owners), np.concatenate(buckets)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], bucket[order]
+
+
+def words_of(texts):
+    """Of an Arrow array of strings: how many words each has, the distinct words (lower case, without the
+    punctuation around them) and the number of every word among these."""
+    import pyarrow.compute as pc
+
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.utf8_trim_whitespace(pc.fill_null(texts, ""))))
+    flat = pc.list_flatten(lists)
+    coded = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
+    blank = pc.equal(pc.list_element(lists, 0), "")  # a blank text splits into one empty word
+    counts = pc.if_else(blank, 0, pc.list_value_length(lists)).to_numpy(zero_copy_only=False)
+    return counts, pc.utf8_trim(coded.dictionary, characters=_EDGES), coded.indices.to_numpy()
+
+
+def bags(texts) -> Iterator[tuple]:
+    """The average of each text: (buckets, their weights)."""
+    import numpy as np
 
+    counts, words, at = words_of(texts)
+    owner, bucket = grams(words)
+    size = np.bincount(owner, minlength=len(words))
+    begin, end = np.cumsum(size) - size, 0
+    for n in counts.tolist():
+        word, often = np.unique(at[end : end + n], return_counts=True)
+        end += n
+        own = size[word]
+        where = np.repeat(begin[word] - np.cumsum(own) + own, own) + np.arange(own.sum())
+        found, which = np.unique(bucket[where], return_inverse=True)
+        yield found.astype(np.int32), (np.bincount(which, np.repeat(often / np.maximum(own, 1), own), len(found)) / (n + NEUTRAL)).astype(np.float32)
+
+
+def scores(texts, model: Model):
+    """The scores of an Arrow array of strings."""
+    import numpy as np
 
-def fit(texts: list[str | None], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), epochs: int = 150, seed: int = 7, decay: float = 0.01) -> Model:
-    """``weights``: how much a document of class 0 and of class 1 counts."""
+    if model.prior is not None:
+        return np.full(len(texts), model.prior)
+    counts, words, at = words_of(texts)
+    owner, bucket = grams(words)
+    size = np.bincount(owner, minlength=len(words))
+    per_word = np.bincount(owner, model.weight[bucket], len(words)) / np.maximum(size, 1)
+    added = np.concatenate([[0.0], np.cumsum(per_word[at])])
+    ends = np.cumsum(counts)
+    z = (added[ends] - added[ends - counts]) / (counts + NEUTRAL) + model.bias
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def fit(found: list[tuple], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), steps: int = STEPS, shrink: float = SHRINK, least_docs: int = LEAST_DOCS, seed: int = 7) -> Model:
+    """Trains on the bags ``found``; ``weights``: how much a document of class 0 and of class 1 counts."""
     import numpy as np
 
     y = np.array(labels, dtype=bool)
     if not y.any() or y.all():
         return Model(np.zeros(BUCKETS, np.float32), 0.0, float(y.mean()) if len(y) else 0.0)
-    vocab: dict[str, int] = {}
-    word_at, window_doc, window_of = [], [], []
-    for d, text in enumerate(texts):
-        for i, w in enumerate(words_of(text)):
-            if i % WINDOW == 0:
-                window_doc.append(d)
-            word_at.append(vocab.setdefault(w.strip(_EDGES), len(vocab)))
-            window_of.append(len(window_doc) - 1)
-    word_at, window_doc, window_of = np.array(word_at), np.array(window_doc), np.array(window_of)
-    grams = [buckets(w) for w in vocab]
-    size = np.array([len(g) for g in grams])
-    flat = np.array([b for g in grams for b in g])
-    begin, owner = np.cumsum(size) - size, np.repeat(np.arange(len(grams)), size)
-    used, flat = np.unique(flat, return_inverse=True)
-    rng = np.random.default_rng(seed)
-    vectors, softmax = rng.normal(0, 0.05, (len(used), DIM)), rng.normal(0, 0.5, (2, DIM))
-    bias = np.array([0.0, -4.0])
-    params = [vectors, softmax, bias]
-    moment, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     share = np.where(y, weights[1], weights[0]) / np.where(y, weights[1], weights[0]).sum()
-    for step in range(1, epochs + 1):
-        across = softmax[1] - softmax[0]
-        per_gram = vectors @ across
-        per_word = np.add.reduceat(per_gram[flat], begin) / size
-        z = np.bincount(window_of, per_word[word_at], len(window_doc)) / WINDOW + bias[1] - bias[0]
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        total = np.bincount(window_doc, np.logaddexp(0, z), len(y)) + 1e-9
-        pull = np.where(y, -1 / np.expm1(np.minimum(total, 30)), 1.0) * share
-        dz = pull[window_doc] * p
-        dword = np.bincount(word_at, dz[window_of], len(grams)) / WINDOW / size
-        dgram = np.bincount(flat, dword[owner], len(used))
-        toward = vectors.T @ dgram
-        grads = [np.outer(dgram, across), np.stack([-toward, toward]) + 1e-5 * softmax, np.array([-dz.sum(), dz.sum()])]
-        for k, g in enumerate(grads):
-            moment[k] = 0.9 * moment[k] + 0.1 * g
-            square[k] = 0.999 * square[k] + 0.001 * g * g
-            params[k] *= 1 - 0.05 * decay * (k < 2)
-            params[k] -= 0.05 * (moment[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)
-    weight = np.zeros(BUCKETS, np.float32)
-    weight[used] = vectors @ (softmax[1] - softmax[0])
-    return Model(weight, float(bias[1] - bias[0]))
-
-
-def scores(texts: list[str | None], model: Model, memory: dict[str, float]) -> Iterator[float]:
-    import numpy as np
+    docs, mean = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
+    for (bucket, value), s in zip(found, share):
+        docs[bucket] += 1
+        mean[bucket] += s * value
+    used = np.flatnonzero(docs >= min(least_docs, len(y)))
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    scale = 1 / np.sqrt(mean[used] + 1e-7)  # chance frequencies then vary alike
+    centre = mean[used] * scale
+    batches = []
+    for i in range(0, len(y), _BATCH_ROWS):
+        part = found[i : i + _BATCH_ROWS]
+        at = place[np.concatenate([b for b, _ in part])]
+        row = np.repeat(np.arange(len(part), dtype=np.int32), [len(b) for b, _ in part])
+        kept = at >= 0
+        batches.append((slice(i, i + len(part)), len(part), at[kept], row[kept], np.concatenate([v for _, v in part])[kept] * scale[at[kept]].astype(np.float32)))
+
+    def averaged(u):
+        return np.concatenate([np.bincount(row, value * u[at], n) for _, n, at, row, value in batches]) - centre @ u
+
+    def gathered(dz):
+        total = np.zeros(len(used))
+        for rows, _, at, row, value in batches:
+            total += np.bincount(at, value * dz[rows][row], len(used))
+        return total - centre * dz.sum()
 
-    if model.prior is not None:
-        yield from [model.prior] * len(texts)
-        return
-    for text in texts:
-        words = words_of(text)
-        if not words:
-            yield 0.0
-            continue
-        new = [w for w in set(words) if w not in memory]
-        if len(memory) + len(new) > _CACHE_WORDS:
-            memory.clear()
-            new = list(set(words))
-        for w in new:
-            memory[w] = float(model.weight[buckets(w.strip(_EDGES))].mean())
-        held = np.zeros(-(-len(words) // WINDOW) * WINDOW)
-        held[: len(words)] = list(map(memory.__getitem__, words))
-        z = held.reshape(-1, WINDOW).sum(axis=1) / WINDOW + model.bias
-        yield float(-np.expm1(-np.logaddexp(0, z).sum()))
+    rng = np.random.default_rng(seed)
+    across = rng.normal(size=len(used))
+    for _ in range(8):  # the greatest curvature, which bounds the steps
+        across = gathered(share * averaged(across / max(1e-12, np.linalg.norm(across))))
+    step = 1 / max(1e-9, 0.3 * np.linalg.norm(across))
+    softmax = rng.normal(0, 1, (2, DIM))
+    bias = np.log([max(share[~y].sum(), 1e-9), max(share[y].sum(), 1e-9)])
+    vectors = np.zeros((len(used), DIM))
+    ahead, pace = vectors, 1.0
+    for _ in range(steps):
+        softmax /= np.linalg.norm(softmax[1] - softmax[0])  # lengths are the vectors' own
+        z = averaged(ahead @ (softmax[1] - softmax[0])) + bias[1] - bias[0]
+        dz = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * share
+        toward = gathered(dz)
+        new = ahead - step * np.outer(toward, softmax[1] - softmax[0])
+        new *= np.maximum(0, 1 - step * shrink / np.maximum(np.linalg.norm(new, axis=1), 1e-12))[:, None]
+        pull = ahead.T @ toward
+        softmax -= 0.1 * np.stack([-pull, pull])
+        bias -= np.array([-dz.sum(), dz.sum()])
+        after = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        ahead, vectors, pace = new + (pace - 1) / after * (new - vectors), new, after
+    softmax /= np.linalg.norm(softmax[1] - softmax[0])
+    own = vectors @ (softmax[1] - softmax[0])
+    weight = np.zeros(BUCKETS, np.float32)
+    weight[used] = own * scale
+    return Model(weight, float(bias[1] - bias[0] - centre @ own))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", id: str = "doc_id", label: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
     """Learns from the rows of ``docs`` whose ids ``learn`` (a condition on ``id``) admits and which ``labels``
-    marks 0 or 1; where more than ``rows`` of a class are marked, from those of the least hashed ids. Each
-    class counts as much as it makes up of all that is marked."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull() & learn).groupBy(id).agg(F.max(label).alias("y"))
+    marks 0 or 1; where more than ``rows`` of a class are marked, from those of the least hashed ids, one row for
+    each id. An id marked both ways counts as 1. Each class counts as much as it makes up of all that is marked.
+    Null texts count as empty; without rows of both classes every text scores the share of class 1."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull() & learn).groupBy(id).agg(F.max(label).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64(id), F.col(id)]
     picked = known.where("y = 0").orderBy(*order).limit(rows).union(known.where("y = 1").orderBy(*order).limit(rows))
-    sample = docs.select(id, F.col(text).alias("t")).join(F.broadcast(picked), id).select("y", "t", *[x.alias(f"o{i}") for i, x in enumerate(order)])
-    found = sorted(sample.collect(), key=lambda r: (r["o0"], r["o1"], r["t"] or ""))
-    y = [int(r["y"]) for r in found]
+    sample = docs.select(id, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(F.broadcast(picked), id)
+    sample = sample.groupBy(id).agg(F.first("y").alias("y"), F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"].alias("t"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for lo, hi in slices([len(t) for t in b.column(2).to_pylist()], _SLICE_CHARS):
+                own = list(bags(b.column(2).slice(lo, hi - lo)))
+                made = [pa.array([x.tobytes() for x, _ in own], pa.binary()), pa.array([v.tobytes() for _, v in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), *made], names=["h", "y", "buckets", "values"])
+
+    import numpy as np
+
+    hashed = sample.select(F.xxhash64(id).alias("h"), "y", "t").mapInArrow(run, "h long, y int, buckets binary, values binary")
+    found = sorted(hashed.collect(), key=lambda r: (r["h"], bytes(r["buckets"]), bytes(r["values"])))
+    y = [r["y"] for r in found]
     weights = tuple(counts.get(k, 0) / max(1, y.count(k)) for k in (0, 1))
-    return fit([r["t"] for r in found], y, weights)
+    return fit([(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["values"], np.float32)) for r in found], y, weights)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
-    """``docs`` with the column ``to`` (0 to 1) added, whatever its other columns. A null, empty or blank text
-    scores 0; rows are independent of each other, so repeated rows score alike."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # one float per bucket: 512 KB
+    """``docs`` with the column ``to`` (0 to 1) added, or replaced if there is one; other columns don't matter.
+
+    A null, empty or blank text scores as a text of neutral words. A text of any length is one bag, never cut.
+    Rows are independent of each other, so repeated rows score alike; an empty table gives an empty one."""
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))  # one float per bucket: 512 KB
 
     def run(columns):
-        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        memory: dict[str, float] = {}
+        own = Model(*shared.value)
         for column in columns:
-            texts = column.tolist()
-            yield pd.Series([p for lo, hi in slices([len(t or "") for t in texts]) for p in scores(texts[lo:hi], shared.value, memory)], dtype="float64")
-
-    return docs.withColumn(to, _series_udf(run, T.DoubleType())(F.col(text).cast("string")))
-
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+            parts = [scores(column.slice(lo, hi - lo), own) for lo, hi in slices(sizes, _SLICE_CHARS)]
+            yield pa.concat_arrays([pa.array(p, pa.float64()) for p in parts]) if parts else pa.array([], pa.float64())
 
-def _series_udf(run, kind):
-    import pandas as pd
+    import pyarrow as pa
 
-    run.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, kind)
+    run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.withColumn(to, F.arrow_udf(run, T.DoubleType())(F.col(text).cast("string")))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` scored by a model of the labels that are not held out; null and empty texts
+    score like neutral ones, rows of a null id are never held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     out = score(docs, train(docs, labels, ~held_out(3, 1)))
