@@ -8,7 +8,6 @@ table (shard, ordinal, id, offset, length, n_tokens), so a reader can visit reco
 
 from __future__ import annotations
 
-import functools
 import math
 import zlib
 
@@ -27,12 +26,13 @@ SLICE_CHARS = 400_000
 _HEAD = 12
 
 
-@functools.cache
-def _crc_tables():
+def _crc_tables(memo: dict = {}):  # noqa: B006 - a memory that travels to executors with the function
     """Byte table of CRC-32C (reflected polynomial 0x82F63B78), and four byte tables for each operator that
     moves a checksum over 2**k zero bytes."""
     import numpy as np
 
+    if memo:
+        return memo["tables"]
     t = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         t = np.where(t & 1, (t >> 1) ^ np.uint32(0x82F63B78), t >> 1).astype(np.uint32)
@@ -40,7 +40,8 @@ def _crc_tables():
     shifts = [one]
     for _ in range(40):
         shifts.append(np.stack([_shift(shifts[-1][k], shifts[-1]) for k in range(4)]))
-    return t, shifts
+    memo["tables"] = t, shifts
+    return memo["tables"]
 
 
 def _shift(crc, tables):

@@ -10,11 +10,15 @@ bits differ, by the pigeonhole principle, in one of two ways:
   segments at distance two or less intersect. One index of each of the first three segments makes a key.
 
 Rows that share a key are joined by sorting on it, and every link is verified on the whole fingerprint.
+
+Four bits of 64 only reach texts that are nearly equal. ``without_similar`` reaches a similarity of 0.8: fingerprints have
+128 bits, of which such texts differ in 20 on average; the keys are one index each of two segments of the first
+half, so that all with at most eight differing bits there meet, and most with more, and links are verified on all
+128 bits, which chance never brings so near.
 """
 
 from __future__ import annotations
 
-import functools
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -24,56 +28,75 @@ from pyspark.sql import types as T
 from .common import components, written
 
 MAX_BITS = 4
+#: What similar documents are: words of a shingle, and differing bits of 128 at a similarity of 0.8.
+SIMILAR_WORDS, SIMILAR_BITS = 5, 20
 #: The generator polynomial of the [23,12,7] code.
 _GOLAY = 0b101011100011
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """The 64-bit SimHash of the shingles of ``width`` words; 0 for a text without words."""
+def _shingles(text: str | None, width: int) -> list[bytes]:
     import numpy as np
-    import xxhash
 
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, 42)], dtype=np.uint64)
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: len(words) - width + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist())], dtype=np.uint64)
-    bits = np.zeros(64, np.int64)
+        return [joined] if words else []
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: len(words) - width + 1].tolist()
+    return [joined[a:b] for a, b in zip(starts, ends[width - 1 :].tolist())]
+
+
+def _majority(raw: bytes, size: int):
+    """The bits that are set in more than half of the hashes of ``size`` bytes, as unsigned integers."""
+    import numpy as np
+
+    hashes = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    bits = np.zeros(8 * size, np.int64)
     for i in range(0, len(hashes), 65536):
-        part = hashes[i : i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
-        bits += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(hashes)).view(">u8")[0])
+        bits += np.unpackbits(hashes[i : i + 65536], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * bits > len(hashes)).view(">u8")
+
+
+def fingerprint(text: str | None, width: int) -> int:
+    """The 64-bit SimHash of the shingles of ``width`` words; 0 for a text without words."""
+    import xxhash
+
+    return int(_majority(b"".join([xxhash.xxh64_digest(x, 42) for x in _shingles(text, width)]), 8)[0])
+
 
+def wide_fingerprint(text: str | None, width: int) -> tuple[int, int]:
+    """The 128-bit SimHash of the shingles; zeros for a text without words."""
+    import xxhash
+
+    a, b = _majority(b"".join([xxhash.xxh3_128_digest(x, 42) for x in _shingles(text, width)]), 16)
+    return int(a), int(b)
 
-def fingerprints(docs: DataFrame, width: int = 4, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(``id``, fp): the fingerprint as a signed long."""
+
+def fingerprints(docs: DataFrame, width: int = 4, text: str = "text", id: str = "doc_id", wide: bool = False) -> DataFrame:
+    """(``id``, fp), or with ``wide`` (``id``, fp, fp2): the fingerprint as signed longs."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            found = [wide_fingerprint(t, width) if wide else (fingerprint(t, width),) for t in b.column(1).to_pylist()]
+            fps = np.array(found, dtype=np.uint64).reshape(-1, 1 + wide).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(1 + wide))], names=["id", "fp", "fp2"][: 2 + wide])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id].dataType), T.StructField("fp", T.LongType())])
+    schema = T.StructType([T.StructField("id", docs.schema[id].dataType), *(T.StructField(c, T.LongType()) for c in ["fp", "fp2"][: 1 + wide])])
     out = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, schema)
-    return out.select(F.col("id").alias(id), "fp")
+    return out.withColumnRenamed("id", id)
 
 
-@functools.cache
-def golay_indices():
+def golay_indices(memo: dict = {}):  # noqa: B006 - a memory that travels to executors with the function
     """For each 16-bit segment the codeword indices of itself and its one-bit neighbours: a flat array, and
     where each segment's part of it begins."""
     import numpy as np
 
+    if memo:
+        return memo["table"]
     info = np.arange(4096, dtype=np.int64)
     words = info << 11
     rest = words.copy()
@@ -89,92 +112,122 @@ def golay_indices():
     near.sort(axis=1)
     first = np.ones(near.shape, bool)
     first[:, 1:] = near[:, 1:] != near[:, :-1]
-    return near[first], np.concatenate([[0], np.cumsum(first.sum(axis=1))])
+    memo["table"] = near[first], np.concatenate([[0], np.cumsum(first.sum(axis=1))])
+    return memo["table"]
 
 
-def keys_of(fps):
-    """The keys of an array of fingerprints (uint64): (row numbers, keys)."""
+def _segments(fps):
+    import numpy as np
+
+    return [((fps >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)).astype(np.int64) for k in range(4)]
+
+
+def _indexed(segments):
+    """Every choice of one index for each of the segments: (row numbers, keys of 12 bits a segment)."""
     import numpy as np
 
     flat, begin = golay_indices()
-    seg = [((fps >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)).astype(np.int64) for k in range(4)]
-    rows, keys = [], []
-    every = np.arange(len(fps))
-    for n, (a, b) in enumerate(combinations(range(4), 2)):
-        rows.append(every)
-        keys.append((n + 1) << 40 | seg[a] << 16 | seg[b])
-    row, key = every, np.zeros(len(fps), np.int64)
-    for k in range(3):
-        sizes = (begin[seg[k] + 1] - begin[seg[k]])[row]
+    row, key = np.arange(len(segments[0])), np.zeros(len(segments[0]), np.int64)
+    for seg in segments:
+        sizes = (begin[seg + 1] - begin[seg])[row]
         inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        index = flat[np.repeat(begin[seg[k]][row], sizes) + inside]
+        index = flat[np.repeat(begin[seg][row], sizes) + inside]
         row, key = np.repeat(row, sizes), np.repeat(key, sizes) << 12 | index
-    return np.concatenate([*rows, row]), np.concatenate([*keys, key])
+    return row, key
+
+
+def keys_of(fps):
+    """The keys of an array of fingerprints (uint64) that meet within four bits: (row numbers, keys)."""
+    import numpy as np
+
+    seg, every = _segments(fps), np.arange(len(fps))
+    found = [(every, (n + 1) << 40 | seg[a] << 16 | seg[b]) for n, (a, b) in enumerate(combinations(range(4), 2))]
+    return tuple(np.concatenate(x) for x in zip(*found, _indexed(seg[:3])))
+
+
+def wide_keys_of(fps):
+    """Keys of the first halves of wide fingerprints. If they differ in at most eight bits, two segments at least
+    differ in at most two, and so share a key."""
+    import numpy as np
+
+    seg, found = _segments(fps), []
+    for n, (a, b) in enumerate(combinations(range(4), 2)):
+        row, key = _indexed([seg[a], seg[b]])
+        found.append((row, n << 24 | key))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def linked(fps, bits: int):
-    """Links (node, root) that connect what is within ``bits`` of each other, one fewer than there are
-    members. Each round takes away all that is near, so a dense group costs few rounds."""
+    """Links (node, root) that connect the rows of ``fps`` that are within ``bits`` of each other, one fewer than
+    there are members. Each round takes away all that is near, so a dense group costs few rounds."""
     import numpy as np
 
-    left, out = np.sort(fps), []
+    left, out = fps[np.lexsort(fps.T[::-1])], []
     while len(left) > 1:
         root, queue, left = left[0], [left[0]], left[1:]
         while queue and len(left):
-            near = np.bitwise_count(left ^ queue.pop()) <= bits
+            near = np.bitwise_count(left ^ queue.pop()).sum(axis=1) <= bits
             if near.any():
                 found = left[near]
-                out.append(np.stack([found, np.full(len(found), root)], axis=1))
+                out.append(np.concatenate([found, np.broadcast_to(root, found.shape)], axis=1))
                 queue.extend(found)
                 left = left[~near]
     return out
 
 
-def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """Links (a, b) among the distinct values of the long column ``fp``: their components are those of all
-    pairs that differ in at most ``bits`` (4 at most) bits."""
-    if bits > MAX_BITS:
-        raise ValueError(f"the keys find at most {MAX_BITS} differing bits")
+#: Rows of a key up to which all its pairs are looked at, as many at once as there are rows.
+_FEW = 8
+
+
+def _met(fps: DataFrame, keys, bits: int) -> DataFrame:
+    """Links among the rows of ``fps`` (long columns, the first of which ``keys`` is given) that share a key and
+    differ in at most ``bits`` bits: their columns, then those of the other one with a 2 behind the name."""
+    names = fps.columns
+    width = len(names)
 
     def expand(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            every = b.column(0).to_numpy().view(np.uint64)
-            for i in range(0, len(every), 2048):
-                row, key = keys_of(every[i : i + 2048])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(every[i : i + 2048][row].view(np.int64))], names=["key", "fp"])
+            every = [c.to_numpy() for c in b.columns]
+            for i in range(0, b.num_rows, 2048):
+                row, key = keys(every[0][i : i + 2048].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[i : i + 2048][row]) for c in every)], names=["key", *names])
 
     def meet(batches):
         import numpy as np
         import pyarrow as pa
 
-        found, held, k0, f0 = [], 0, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        found = []
 
         def flush():
             pairs = np.unique(np.concatenate(found), axis=0).view(np.int64)
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs.T], names=[*(f"{c}_a" for c in names), *(f"{c}_b" for c in names)])
 
         def runs(k, f):
             edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             size = np.diff(np.append(edge, len(k)))
-            two = edge[size == 2]
-            x, y = np.minimum(f[two], f[two + 1]), np.maximum(f[two], f[two + 1])
-            close = np.bitwise_count(x ^ y) <= bits
-            if close.any():
-                found.append(np.stack([y[close], x[close]], axis=1))
-            for at, n in zip(edge[size > 2], size[size > 2]):
+            few = np.repeat(size <= _FEW, size)
+            for lag in range(1, min(_FEW, len(k))):
+                at = np.flatnonzero(few[:-lag] & (k[:-lag] == k[lag:]))
+                x, y = f[at], f[at + lag]
+                close = np.bitwise_count(x ^ y).sum(axis=1) <= bits
+                if close.any():
+                    x, y = x[close], y[close]
+                    swap = (x[:, 0] > y[:, 0])[:, None]  # the same pair alike from every key
+                    found.append(np.concatenate([np.where(swap, y, x), np.where(swap, x, y)], axis=1))
+            for at, n in zip(edge[size > _FEW], size[size > _FEW]):
                 found.extend(linked(f[at : at + n], bits))
 
-        parts = [(k0, f0)]
+        parts = []
         for b in batches:
             if not b.num_rows:
                 continue
-            k, f = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            k, f = b.column(0).to_numpy(), np.stack([c.to_numpy().view(np.uint64) for c in b.columns[1:]], axis=1)
             last = np.searchsorted(k, k[-1])  # the last run may go on in the next batch
-            if last == 0 and len(parts[-1][0]) and parts[-1][0][-1] == k[-1]:
+            if last == 0 and parts and parts[-1][0][-1] == k[-1]:
                 parts.append((k, f))
                 continue
             head = [*parts, (k[:last], f[:last])]
@@ -182,26 +235,35 @@ def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
             whole = np.concatenate([x for x, _ in head])
             if len(whole):
                 runs(whole, np.concatenate([x for _, x in head]))
-            held = sum(map(len, found))
-            if held > 500_000:
+            if sum(map(len, found)) > 500_000:
                 yield flush()
-        whole = np.concatenate([x for x, _ in parts])
-        if len(whole):
-            runs(whole, np.concatenate([x for _, x in parts]))
+        if parts:
+            runs(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
         if found:
             yield flush()
 
-    keyed = fps.select("fp").distinct().mapInArrow(expand, "key long, fp long")
-    met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    # dealt anew, so that the keys of few rows are made by many tasks
+    parallel = max(fps.sparkSession.sparkContext.defaultParallelism, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = fps.distinct().repartition(parallel, *names).mapInArrow(expand, ", ".join(f"{c} long" for c in ["key", *names]))
+    met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, ", ".join(f"{c}_{side} long" for side in "ab" for c in names))
     return met.distinct()
 
 
+def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """Links (a, b) among the distinct values of the long column ``fp``: their components are those of all
+    pairs that differ in at most ``bits`` (4 at most) bits."""
+    if bits > MAX_BITS:
+        raise ValueError(f"the keys find at most {MAX_BITS} differing bits")
+    return _met(fps.select("fp"), keys_of, bits).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, bits: int = MAX_BITS, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: ``id``, ``fingerprint`` (16 hex digits), ``component_id`` (the least id of
     all documents reachable over links of at most ``bits`` differing bits, itself included).
 
-    Null and empty texts have fingerprint zero and link like any other. Repeated ids and rows each keep
-    their row; a null id never becomes a component's id unless it has no other. An empty table gives none.
+    Null and empty texts have fingerprint zero and link like any other; texts of any length are taken whole.
+    Repeated ids and rows each keep their row; a null id never becomes a component's id unless it has no other.
+    Other columns are ignored. An empty table gives none.
     """
     fp = written(fingerprints(docs, width, text, id), "fingerprints")
     least = fp.groupBy("fp").agg(F.min(id).alias("lo"))
@@ -212,5 +274,38 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = MAX_BITS, text:
     return out.select(id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def without_similar(docs: DataFrame, width: int = SIMILAR_WORDS, bits: int = SIMILAR_BITS, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """Of every group of similar documents the one of the least id, with all its columns; documents link if their
+    wide fingerprints differ in at most ``bits`` bits, and a group is what links reach.
+
+    Rows without an id rank last. Every row is a document of its own, repeated rows and rows of equal id among
+    them; of rows of equal id the one with the least hash of its text, then any, stays. All texts without words are
+    one group. Columns may have any names. An empty table gives an empty one.
+    """
+    names = [f"k{i}" for i in range(len(docs.columns))]
+    at, key = docs.columns.index(text), f"k{docs.columns.index(id)}"
+    numbered = docs.toDF(*names).withColumn(names[at], F.col(names[at]).cast("string")).withColumn("row", F.monotonically_increasing_id())
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            fps = np.array([wide_fingerprint(t, width) for t in b.column(at).to_pylist()], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(c)) for c in fps.T)], names=[*b.schema.names, "fp", "fp2"])
+
+    # texts and fingerprints are written together, so that a row keeps its number
+    schema = T.StructType([*numbered.schema.fields, T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType())])
+    whole = written(numbered.mapInArrow(run, schema), "wide-fingerprints")
+    rank = F.struct(F.col(key).isNull(), F.col(key), F.xxhash64(names[at]), F.col("row"))
+    classes = whole.groupBy("fp", "fp2").agg(F.min(rank).alias("first"))
+    node = lambda side: F.xxhash64(f"fp{side}", f"fp2{side}")
+    comp = components(_met(classes.select("fp", "fp2"), wide_keys_of, bits).select(node("_a").alias("a"), node("_b").alias("b")))
+    rooted = classes.select(node("").alias("node"), "first").join(comp, "node", "left")
+    stays = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.row")
+    return whole.join(stays, "row", "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+
+
 def op6_simhash_golay(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of ``documents``; null and empty texts have fingerprint zero."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -1,152 +1,225 @@
-"""Repeated passages removed by hashing units of lines.
+"""Repeated lines and passages removed by hashing.
 
-A line is cut into units at places that its own words decide, so that a passage is cut alike wherever it
-stands. Units are normalised (lower case, single spaces) and hashed; each digest belongs to the earliest
-document that has it, and a run of units that belong to earlier places is removed if it has enough words.
+The units are whole lines, of any length, and the pieces of longer lines, cut at places that their own words
+decide so that a passage is cut alike wherever it stands. Units are normalised (lower case, single spaces) and
+hashed to 96 bits; each digest belongs to the earliest document that has it. Elsewhere a line goes if its digest
+belongs to an earlier place; inside a line that stays, a run of pieces goes if all belong to earlier documents
+and it has enough words to be a passage and no chance phrase.
+
+Every text is read and hashed once, into a written table of texts and units. Digests are pre-aggregated before
+they are dealt, and what is joined with the repeated ones are numbers, not texts.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import slices
 from .common import written
 
-#: A unit ends, after UNIT_WORDS words at least, behind the end of a sentence or a word whose CRC is 0 modulo
-#: CUT_MOD, or after MOST_WORDS.
-UNIT_WORDS, CUT_MOD, MOST_WORDS = 4, 8, 32
-#: Shortest run of repeated units that is removed, in words.
+#: A piece begins at each word whose hash is the least among so many words before and behind it in the line, so
+#: pieces have seven words on average and the words alone decide where they begin.
+RADIUS = 3
+#: Shortest run of repeated pieces inside a line that is removed, in words. Whole lines have no least length.
 RUN_WORDS = 20
-_WORD = re.compile(r"\S+")
-
-
-def units(text: str, memory: dict[str, bool]) -> list[list[str]]:
-    """The units of a text, each a list of words; the flag of a word seen before is remembered."""
-    out = []
-    for line in text.split("\n"):
-        own: list[str] = []
-        for w in line.split():
-            own.append(w)
-            if len(own) >= UNIT_WORDS:
-                ends = memory.get(w)
-                if ends is None:
-                    if len(memory) > 300_000:
-                        memory.clear()
-                    ends = memory[w] = w[-1] in ".!?" or zlib.crc32(w.lower().encode()) % CUT_MOD == 0
-                if ends or len(own) == MOST_WORDS:
-                    out.append(own)
-                    own = []
-        if own:
-            out.append(own)
-    return out
-
-
-def digest(words: list[str]) -> int:
+_BLANKS = [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]  # fixed values: white space in Unicode
+_UNIT = "struct<d: bigint, e: int, at: int, size: int, words: int, whole: boolean, again: boolean>"
+_SLICE_CHARS = 2_000_000
+
+
+def _folded(text: str) -> str:
+    """Lower case, character by character, where that keeps the number of characters."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _word_hashes(codes, starts, ends):
+    """A hash of every word: its characters times powers of an odd number, modulo 2**64, then mixed."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        longest = int((ends - starts).max(initial=0))
+        powers = np.full(longest + 1, 0x9E3779B97F4A7C15, np.uint64)
+        powers[0] = 1
+        powers = np.cumprod(powers, dtype=np.uint64)
+        word = np.repeat(np.arange(len(starts)), ends - starts)
+        own = np.arange(len(word)) - np.repeat(np.cumsum(ends - starts) - (ends - starts), ends - starts)
+        total = np.zeros(len(word) + 1, np.uint64)
+        np.cumsum(codes[starts[word] + own].astype(np.uint64) * powers[own], out=total[1:])
+        after = np.cumsum(ends - starts)
+        x = total[after] - total[after - (ends - starts)]
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ x >> np.uint64(27)
+
+
+def units(texts: list[str], run_words: int = RUN_WORDS) -> tuple[list[int], list[bytes], list]:
+    """The units of texts: how many there are up to each text's end, their digests (12 bytes), and of all units
+    first character, characters, words and whether it is a whole line. Units are ordered by their first
+    character, a line before its pieces; lines of at most ``run_words`` words have no pieces, as no run of them
+    could be long enough."""
+    import numpy as np
     import xxhash
 
-    value = xxhash.xxh3_64_intdigest(" ".join(words).lower().encode())
-    return value - (1 << 64) if value >> 63 else value
-
-
-def repeated_spans(text: str, found: list[list[str]], digests: list[int], elsewhere: set[int], run_words: int) -> list[tuple[int, int]]:
-    """Character spans of the runs to remove: units whose digest is in ``elsewhere`` or occurred before in the
-    text, in runs of at least ``run_words`` words. A span reaches from its first to its last word."""
-    seen: set[int] = set()
-    runs, words, at = [], 0, 0
-    begin = None
-    for own, d in zip(found, digests):
-        if d in elsewhere or d in seen:
-            begin = at if begin is None else begin
+    joined = "\n".join(texts)
+    codes = np.frombuffer(_folded(joined).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    blank = np.ones(len(codes) + 2, bool)
+    blank[1:-1] = np.isin(codes, _BLANKS)
+    starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    if not len(starts):
+        return [0] * len(texts), [], [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
+    line = np.cumsum(codes == 10)[starts]
+    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))  # of every line with words
+    count = np.diff(np.append(first, len(starts)))
+    h, least = _word_hashes(codes, starts, ends), np.ones(len(starts), bool)
+    for d in range(1, RADIUS + 1):
+        same = line[d:] == line[:-d]
+        least[d:] &= ~same | (h[d:] < h[:-d])
+        least[:-d] &= ~same | (h[:-d] <= h[d:])
+    long = np.repeat(count > run_words, count)
+    least[first] = True
+    piece = np.flatnonzero(least & long)
+    stop = np.minimum(np.append(piece[1:], len(starts)), np.repeat(first + count, count)[piece])
+    a, b = np.concatenate([first, piece]), np.concatenate([first + count, stop])
+    whole = np.arange(len(a)) < len(first)
+    order = np.lexsort((~whole, a))
+    a, b, whole = a[order], b[order], whole[order]
+    at, end = starts[a], ends[b - 1]
+    letters = np.concatenate([[0], np.cumsum(ends - starts)])
+    odd = np.concatenate([[0], np.cumsum(blank[1:-1] & (codes != 32))])
+    plain = (end - at == letters[b] - letters[a] + b - a - 1) & (odd[end] == odd[at])
+    digests = []
+    for i, j, p in zip(at.tolist(), end.tolist(), plain.tolist()):
+        u = joined[i:j] if p else " ".join(joined[i:j].split())
+        digests.append(xxhash.xxh3_128_digest(u.lower().encode("utf-8", "surrogatepass"))[:12])
+    text = np.searchsorted(begins, at, "right") - 1
+    counts = np.cumsum(np.bincount(text, minlength=len(texts))).tolist()
+    return counts, digests, [at - begins[text], end - at, b - a, whole]
+
+
+def removed_spans(found: list[tuple[int, int, int, bool, bool]], repeated: set[int], run_words: int) -> list[tuple[int, int]]:
+    """Character spans to remove. ``found``: (first character, characters, words, whole, seen before in the text)
+    of each unit; ``repeated``: the places in it of those that belong to earlier documents."""
+    out: list[tuple[int, int]] = []
+    run: list[int] = []
+    gone = 0  # end of the last line that goes whole
+
+    def close():
+        if run and sum(found[k][2] for k in run) >= run_words:
+            out.append((found[run[0]][0], found[run[-1]][0] + found[run[-1]][1]))
+        run.clear()
+
+    for k, (at, size, _, whole, again) in enumerate(found):
+        if whole:
+            close()
+            if again or k in repeated:
+                gone = at + size
+                out.append((at, gone))
+        elif at >= gone and k in repeated:
+            run.append(k)
         else:
-            if begin is not None and at - begin >= run_words:
-                runs.append((begin, at))
-            begin = None
-        seen.add(d)
-        at += len(own)
-    if begin is not None and at - begin >= run_words:
-        runs.append((begin, at))
-    if not runs:
-        return []
-    where = [m.span() for m in _WORD.finditer(text)]
-    return [(where[a][0], where[b - 1][1]) for a, b in runs]
+            close()
+    close()
+    return out
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the spans; blanks that a span leaves at both its sides become one, and a line of
     which nothing is left goes."""
-    kept, at = [], 0
+    kept, at, last = [], 0, "\n"
     for a, b in spans:
-        head = text[at:a]
-        if b < len(text) and text[b] == " " and (not head or head[-1] in " \n"):
-            b += 1
-        elif b < len(text) and text[b] == "\n" and (not head and not kept or head[-1:] == "\n"):
+        kept.append(text[at:a])
+        last = kept[-1][-1:] or last
+        if b < len(text) and (text[b] == " " and last in " \n" or text[b] == "\n" == last):
             b += 1
-        kept.append(head)
         at = b
     kept.append(text[at:])
     return "".join(kept)
 
 
-def dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
-    """``docs`` with ``text`` replaced by what is kept, and three columns added: ``n_units``, ``n_removed``
-    (characters) and ``removed`` (the removed spans, as offsets into the original text in code points).
-
-    Documents rank by ``id``, nulls last; rows of equal id count as one document between each other, so a
-    repeated row is not removed in favour of itself. A null text stays null. Columns of the three names are
-    replaced. The first occurrence of each unit always stays, so no content is lost from the whole.
-    """
-    rank = F.coalesce(F.col(id).cast("long"), F.lit((1 << 63) - 1))
-    src = docs.select(rank.alias("rank"), F.col(text).cast("string").alias("t"))
+def _with_units(docs: DataFrame, rest: list[str], text: str, id: str, run_words: int) -> DataFrame:
+    """(k0.. , t, rank, row, units): written once, with a number for every row."""
+    row = F.monotonically_increasing_id()
+    rank = F.coalesce(F.col(id).cast("long"), F.lit(1 << 62) + row)
+    src = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(rest)], rank.alias("rank"), row.alias("row"), F.col(text).cast("string").alias("t"))
 
     def hashed(batches):
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        memory: dict[str, bool] = {}
         for b in batches:
-            ranks, out = [], []
-            for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = {digest(u) for u in units(t or "", memory)}
-                ranks.extend([r] * len(own))
-                out.extend(own)
-                if len(out) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(ranks, pa.int64())], names=["digest", "rank"])
-                    ranks, out = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(ranks, pa.int64())], names=["digest", "rank"])
-
-    every = src.mapInArrow(hashed, "digest long, rank long")
-    owners = every.groupBy("digest").agg(F.min("rank").alias("owner"), F.max("rank").alias("last")).where("owner < last").drop("last")
-    later = every.join(owners, "digest").where("rank > owner").groupBy("rank").agg(F.collect_set("digest").alias("elsewhere"))
-    later = written(later, "repeated-units")
+            every = b.column(b.num_columns - 1)
+            for lo, hi in slices(pc.fill_null(pc.binary_length(every), 0).to_pylist(), _SLICE_CHARS):
+                counts, digests, own = units([t or "" for t in every.slice(lo, hi - lo).to_pylist()], run_words)
+                again, seen, end = [], set(), 0
+                whole = own[3].tolist()
+                for n in counts:  # lines that their text has before
+                    for k in range(end, n):
+                        again.append(whole[k] and digests[k] in seen)
+                        if whole[k]:
+                            seen.add(digests[k])
+                    end = n
+                    seen.clear()
+                raw = np.frombuffer(b"".join(digests), np.dtype([("d", "<i8"), ("e", "<i4")]))
+                columns = [pa.array(np.ascontiguousarray(raw["d"])), pa.array(np.ascontiguousarray(raw["e"])), *(pa.array(x.astype(np.int32)) for x in own[:3]), pa.array(own[3]), pa.array(again, pa.bool_())]
+                made = pa.ListArray.from_arrays(pa.array([0, *counts], pa.int32()), pa.StructArray.from_arrays(columns, names=["d", "e", "at", "size", "words", "whole", "again"]))
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns), made], names=[*b.schema.names, "units"])
+
+    schema = T.StructType([*src.schema.fields, T.StructField("units", T._parse_datatype_string(f"array<{_UNIT}>"))])
+    return written(src.mapInArrow(hashed, schema), "text-units")
 
+
+def dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
+    """``docs`` with ``text`` replaced by what is kept, and three columns added: ``n_units``, ``n_removed``
+    (characters) and ``removed`` (the removed spans, as offsets into the original text in code points).
+
+    Documents rank by the integer column ``id`` (below 2**62), then, each for itself, the rows without an id;
+    rows of equal id count as one document between each other, so a repeated row is not removed in favour of
+    itself. Lines that a text has before go as well. A null text stays null, an empty one empty; a text of any
+    length is treated whole. Other columns are kept, whatever their names; columns of the three names are
+    replaced. The first occurrence of each unit always stays, so no content is lost from the whole. An empty
+    table gives an empty one.
+    """
     names = ["n_units", "n_removed", "removed"]
     rest = [c for c in docs.columns if c != text and c not in names]
-    numbered = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(rest)], F.col(text).cast("string").alias("t"), rank.alias("rank"))
-    joined = numbered.join(later, "rank", "left").drop("rank")
+    staged = _with_units(docs, rest, text, id, run_words)
+    every = staged.select("row", "rank", F.posexplode("units").alias("place", "unit")).where("NOT unit.again")
+    every = every.select("row", "rank", "place", "unit.d", "unit.e")
+    owners = every.groupBy("d", "e").agg(F.min("rank").alias("owner"), F.max("rank").alias("last")).where("owner < last").drop("last")
+    later = every.join(owners, ["d", "e"]).where("rank > owner").groupBy("row").agg(F.collect_list("place").alias("places"))
+    later = written(later, "repeated-units")
+
+    slim = F.expr("transform(units, u -> struct(u.at AS at, u.size AS size, u.words AS words, u.whole AS whole, u.again AS again))")
+    touched = F.exists("units", lambda u: u["again"]) | F.col("places").isNotNull()
+    joined = staged.join(later, "row", "left").select(*[f"k{i}" for i in range(len(rest))], "t", touched.alias("touched"), slim.alias("units"), "places")
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     fields = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(rest)]
     fields += [T.StructField("t", T.StringType()), T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(span))]
 
     def rebuilt(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        memory: dict[str, bool] = {}
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
             n = b.num_columns
-            texts, counts, removed, spans = [], [], [], []
-            for t, elsewhere in zip(b.column(n - 2).to_pylist(), b.column(n - 1)):
-                found = units(t or "", memory)
-                own = repeated_spans(t or "", found, [digest(u) for u in found], set(elsewhere.as_py() or ()), run_words)
-                texts.append(without(t, own) if own else t)
-                counts.append(len(found))
+            found = b.column(n - 2)
+            counts = pc.fill_null(pc.list_value_length(found), 0)
+            texts, removed, spans = [], [], []
+            for k, (t, touched) in enumerate(zip(b.column(n - 4), b.column(n - 3).to_pylist())):
+                own: list[tuple[int, int]] = []
+                if touched:
+                    columns = (found[k].values.field(c).to_pylist() for c in ("at", "size", "words", "whole", "again"))
+                    own = removed_spans(list(zip(*columns)), set(b.column(n - 1)[k].as_py() or ()), run_words)
+                texts.append(without(t.as_py(), own) if own else t.as_py())
                 removed.append(sum(e - s for s, e in own))
                 spans.append([{"start": s, "end": e} for s, e in own])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            made = [pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: n - 2], *made], names=[f.name for f in fields])
+            made = [pa.array(texts, pa.string()), counts.cast(pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: n - 4], *made], names=[f.name for f in fields])
 
     out = joined.mapInArrow(rebuilt, T.StructType(fields))
     back = {c: F.col(f"k{i}").alias(c) for i, c in enumerate(rest)} | {text: F.col("t").alias(text)}
@@ -154,5 +227,6 @@ def dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", run_words: in
 
 
 def op5_repeated_units(spark, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` without the lines and passages that an earlier one has; every row stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup(docs).select("doc_id", "text", "n_units", "n_removed", "removed")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from coinbrook.llm import bpe, common, decontaminate, iblt, pieces, records, rules, simhash, substring, suffix_tree, toxicity, warc
+from coinbrook.llm import bpe, common, decontaminate, iblt, pieces, records, rules, simhash, suffix_tree, warc
 
 P = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -138,30 +138,6 @@ def test_damaged_payload_fails(spark, tmp_path):
         warc.read(spark, str(tmp_path / "v")).collect()
 
 
-# --- 3
-
-
-def test_toxicity_learns_misspellings():
-    rng = np.random.default_rng(1)
-    words = ["".join(rng.choice(list("aeioulmnrst"), 5)) for _ in range(300)]
-    text = lambda bad: " ".join([*rng.choice(words, 30), *bad])
-    bad = ["stupidity", "stupids", "xstupid"]
-    x = [text([bad[i % 3]]) for i in range(60)] + [text([]) for _ in range(200)]
-    model = toxicity.fit(x, [1] * 60 + [0] * 200)
-    got = list(toxicity.scores([text(["stupidest"]), text([]), "", None], model, {}))
-    assert got[0] > 0.7 and got[1] < 0.3 and got[2:] == [0.0, 0.0]
-
-
-def test_toxicity_odd(spark, odd):
-    labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (9, None), (6, 5)], "doc_id long, toxic int")
-    model = toxicity.train(odd, labels, F.lit(True))
-    got = toxicity.score(odd, model, to="p")
-    assert got.count() == len(ODD) and all(0 <= r["p"] <= 1 for r in got.collect()) and "score" in got.columns
-    assert toxicity.train(odd, labels.where("toxic = 0"), F.lit(True)).prior == 0.0
-    assert toxicity.train(odd.limit(0), labels.limit(0), F.lit(True)).prior == 0.0
-    assert toxicity.score(odd.limit(0), model).count() == 0
-
-
 # --- 4
 
 
@@ -181,53 +157,6 @@ def test_quality_columns_equal_the_rules(spark, odd):
     assert rules.fit(names, [], []).rules == [] and 0 < rules.score(odd, rules.fit(names, [[0] * len(names)] * 3, [1, 1, 1])).first()["score"] < 1
 
 
-# --- 5
-
-
-def brute_repeats(texts, run_words):
-    """What each text keeps, one document after the other."""
-    owner = {}
-    for i in sorted(texts):
-        for u in substring.units(texts[i] or "", {}):
-            owner.setdefault(substring.digest(u), i)
-    out = {}
-    for i, t in texts.items():
-        found = substring.units(t or "", {})
-        ds = [substring.digest(u) for u in found]
-        out[i] = substring.repeated_spans(t or "", found, ds, {d for d in ds if owner[d] < i}, run_words)
-    return out
-
-
-def test_repeats_against_brute_force(docs, texts):
-    got = spread(substring.dedup(docs))
-    want = brute_repeats(texts, substring.RUN_WORDS)
-    for i, spans in want.items():
-        assert [(s["start"], s["end"]) for s in got[i]["removed"]] == spans
-        assert got[i]["n_removed"] == sum(b - a for a, b in spans)
-        if not spans:
-            assert got[i]["text"] == texts[i]
-    assert any(want.values())
-
-
-def test_passage_inside_a_line_is_cut_once(spark):
-    rng = np.random.default_rng(3)
-    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
-    passage = " ".join(word() for _ in range(80))
-    rows = [(i, " ".join(word() for _ in range(50)) + " " + passage + " " + " ".join(word() for _ in range(50))) for i in range(5)]
-    got = spread(substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert got[0]["text"] == rows[0][1]
-    for i in range(1, 5):
-        kept = got[i]["text"].split()
-        assert len(kept) < 100 + 40 and kept[:40] == rows[i][1].split()[:40] and kept[-40:] == rows[i][1].split()[-40:]
-
-
-def test_repeats_odd(spark, odd):
-    got = substring.dedup(odd).collect()
-    assert len(got) == len(ODD) and sum(r["text"] is None for r in got) == 1
-    assert sum(r["text"] == "a b c d e f" for r in got) == 2  # a repeated row is not removed in favour of itself
-    assert substring.dedup(odd.limit(0)).count() == 0
-
-
 # --- 6
 
 

@@ -7,7 +7,8 @@ import pytest
 
 import corpus_pipeline
 from coinbrook.llm import decontaminate, simhash, substring
-from tests.llm.test_operators import ODD, brute_components, brute_repeats
+from tests.llm.test_operators import ODD, brute_components
+from tests.llm.test_substring import brute_repeats
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,7 +31,7 @@ def test_stages_in_turn(spark):
             assert set(after) == set(brute_components(fps, ids, 4))
         elif name == "substring_dedup":
             texts = {i: r["text"] for i, r in before.items()}
-            want = brute_repeats(texts, substring.RUN_WORDS)
+            want = brute_repeats(texts)
             assert {i: r["text"] for i, r in after.items()} == {i: substring.without(t, want[i]) if want[i] else t for i, t in texts.items()}
             assert all(r["n_chars"] == len(r["text"]) for r in after.values())
         elif name == "decontamination":
