@@ -4,6 +4,10 @@ Items are the indexed documents, passages of the training texts the queries. An
 weight in an item divided by the item's score against itself, so one threshold holds for items of any
 length. All items above it are retrieved, however many; each is then verified by the word n-grams of its
 question and of its answer that the passage and its surroundings hold.
+
+How many items have a term, how many items there are and how long they are is counted over all items, so scores
+do not depend on how items are dealt to indexes. Passages are long enough, and begin often enough, that each item
+that stands somewhere in a text is whole in one.
 """
 
 from __future__ import annotations
@@ -18,16 +22,22 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 K1, B, BLOCK = 0.9, 0.4, 16
 #: A passage retrieves an item by this share of the item's own score, and leaks it if it holds at least these
 #: shares of the n-grams of its question and of its answer.
 MIN_SCORE, MIN_QUESTION, MIN_ANSWER = 0.6, 0.5, 0.5
 QUESTION_GRAM, ANSWER_GRAM = 5, 3
-PASSAGE_WORDS = 64
+#: Words between the beginnings of passages, at least; they have as many more than the longest item.
+STRIDE = 32
 #: Items in one range of the bounds that passages must reach before they are searched, and the most such bounds
 #: in one index: with more terms and items, ranges are wider.
 RANGE, RANGE_CELLS = 8, 16_000_000
-#: Characters of test items in one index; more items make more indexes, each broadcast in turn.
+#: Floats of bounds that are made at once.
+REACH_CELLS = 4_000_000
+#: Characters of test items in one index; more items make more indexes, each built, broadcast, searched and
+#: released before the next.
 SHARD_CHARS = 16_000_000
 _EDGES = string.punctuation + "«»“”„’‘…–—¡¿"
 _ENDS = 1 << 60
@@ -58,6 +68,22 @@ def grams(words: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+@dataclass
+class Statistics:
+    """Of all items with words: how many there are, their mean and greatest number of words, and how many have
+    each term (of those asked for)."""
+
+    items: int
+    mean: float
+    longest: int
+    df: dict
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Statistics:
+        found = [x for t in texts if (x := terms(t))]
+        return cls(len(found), sum(map(len, found)) / max(1, len(found)), max(map(len, found), default=0), Counter(t for x in found for t in set(x)))
+
+
 @dataclass
 class Index:
     """``postings``: term -> (item numbers in ascending order, impacts, each block's last item number, each
@@ -67,18 +93,19 @@ class Index:
     questions: list = field(default_factory=list)
     answers: list = field(default_factory=list)
     postings: dict = field(default_factory=dict)
-    passage: int = PASSAGE_WORDS
+    stride: int = STRIDE
+    passage: int = 2 * STRIDE
     #: term -> its row in ``ranges``, which has each term's greatest impact in each range of item numbers; the
     #: last row, of words that no item has, is zero.
     rows: dict = field(default_factory=dict)
     ranges: object = None
 
     @classmethod
-    def of(cls, items: list[tuple[int, str | None]]) -> Index:
-        """Items without words can't be found and are left out."""
+    def of(cls, items: list[tuple[int, str | None]], every: Statistics | None = None) -> Index:
+        """Items without words can't be found and are left out. ``every``: of all items, if these are some."""
         import numpy as np
 
-        index = cls()
+        index, every = cls(), every or Statistics.of([t for _, t in items])
         bags = []
         for i, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
             if bag := Counter(terms(text)):
@@ -87,12 +114,10 @@ class Index:
                 index.questions.append((question, min(QUESTION_GRAM, len(question))))
                 index.answers.append((answer, min(ANSWER_GRAM, len(answer))))
                 bags.append(bag)
-        df = Counter(t for bag in bags for t in bag)
-        sizes = [sum(b.values()) for b in bags]
-        mean = sum(sizes) / max(1, len(sizes))
         lists: dict[str, list[tuple[int, float]]] = {}
-        for k, (bag, size) in enumerate(zip(bags, sizes)):
-            own = {t: math.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * size / mean)) for t, n in bag.items()}
+        for k, bag in enumerate(bags):
+            norm = K1 * (1 - B + B * sum(bag.values()) / every.mean)
+            own = {t: math.log(1 + (every.items - every.df[t] + 0.5) / (every.df[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in bag.items()}
             whole = sum(own.values())
             for t, w in own.items():
                 lists.setdefault(t, []).append((k, w / whole))
@@ -100,7 +125,8 @@ class Index:
             numbers, impacts = [k for k, _ in found], [w for _, w in found]
             at = range(0, len(found), BLOCK)
             index.postings[t] = (numbers, impacts, [numbers[min(i + BLOCK, len(found)) - 1] for i in at], [max(impacts[i : i + BLOCK]) for i in at], max(impacts))
-        index.passage = max(PASSAGE_WORDS, 2 * math.ceil(max(sizes, default=0) / 2))
+        index.stride = max(STRIDE, math.ceil(every.longest / 3))
+        index.passage = index.stride + max(STRIDE, every.longest)
         index.rows = {t: k for k, t in enumerate(lists)}
         wide = max(RANGE, math.ceil(len(bags) * (len(lists) + 1) / RANGE_CELLS))
         index.ranges = np.zeros((len(lists) + 1, max(1, math.ceil(len(bags) / wide))), np.float32)
@@ -120,14 +146,18 @@ class Index:
         before = np.full(len(rows), -1)
         same = rows[order[1:]] == rows[order[:-1]]
         before[order[1:][same]] = order[:-1][same]
-        out = []
-        for i in range(0, len(starts), 256):
-            begin = starts[i : i + 256, None]
-            at = begin + np.arange(self.passage)
-            inside = at < len(rows)
-            at = np.minimum(at, len(rows) - 1)
-            counted = (inside & (before[at] < begin)).astype(np.float32)
-            bounds = np.einsum("wpr,wp->wr", self.ranges[rows[at]], counted)
+        out, ranges = [], self.ranges.shape[1]
+        at_once = max(1, REACH_CELLS // (self.passage * ranges))
+        block = max(1, REACH_CELLS // (at_once * ranges))
+        for i in range(0, len(starts), at_once):
+            begin = starts[i : i + at_once, None]
+            bounds = np.zeros((len(begin), ranges), np.float32)
+            for j in range(0, self.passage, block):
+                at = begin + np.arange(j, min(j + block, self.passage))
+                inside = at < len(rows)
+                at = np.minimum(at, len(rows) - 1)
+                counted = (inside & (before[at] < begin)).astype(np.float32)
+                bounds += np.einsum("wpr,wp->wr", self.ranges[rows[at]], counted)
             out.append(begin[bounds.max(axis=1) >= least - 1e-4, 0])
         return np.concatenate(out)
 
@@ -202,7 +232,7 @@ def leaks(text: str | None, index: Index, rows: dict[str, int]) -> list[dict]:
     for w in new:
         rows[w] = index.row(w)
     own = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
-    step = index.passage // 2
+    step = index.stride
     best: dict[int, dict] = {}
     for a in index.within_reach(own, np.arange(0, max(1, len(words) - step), step), MIN_SCORE):
         b = min(a + index.passage, len(words))
@@ -223,34 +253,83 @@ def leaks(text: str | None, index: Index, rows: dict[str, int]) -> list[dict]:
     return [best[k] for k in sorted(best)]
 
 
+def _statistics(items: DataFrame) -> tuple[DataFrame, Statistics]:
+    """Of (id, t): a table (term, df), and the statistics without it."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        df, sizes = Counter(), []
+        for b in batches:
+            for t in b.column(1).to_pylist():
+                if found := terms(t):
+                    df.update(set(found))
+                    sizes.append(len(found))
+            if len(df) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(df)), pa.array(list(df.values()), pa.int64())], names=["term", "df"])
+                df.clear()
+        # under the empty term, which no item has: how many items, how many words, the longest
+        df_, extra = list(df.items()), [("", len(sizes)), (" ", sum(sizes)), ("  ", max(sizes, default=0))]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in df_ + extra]), pa.array([n for _, n in df_ + extra], pa.int64())], names=["term", "df"])
+
+    found = written(items.mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"), F.max("df").alias("most")), "item-terms")
+    own = {r["term"]: r for r in found.where("trim(term) = ''").collect()}  # three rows
+    n = own[""]["df"] if own else 0
+    return found.where("trim(term) <> ''").select("term", "df"), Statistics(n, own[" "]["df"] / n if n else 0.0, own["  "]["most"] if own else 0, {})
+
+
 def annotate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", to: str = "leaks") -> DataFrame:
-    """``docs`` with the array column ``to`` of leaked items: item_id, score, question_overlap, answer_overlap,
-    start_word (of the best passage). Empty for null and empty texts, and if there are no items. Items of null
-    text are ignored; equal items are found each by its own id; a text that repeats leaks each time."""
-    chars = items.agg(F.sum(F.length(item_text))).first()[0] or 0
+    """``docs`` with the array column ``to`` (replaced if there is one) of leaked items: item_id, score,
+    question_overlap, answer_overlap, start_word (of the best passage). Empty for null and empty texts, and if there
+    are no items. Texts of any length are searched whole. Items of null text are ignored and rows that repeat an
+    item count once; equal items of several ids are found each by its own; a text that repeats leaks each time.
+    Other columns are kept, whatever their names. An empty table gives an empty one."""
+    spark = docs.sparkSession
+    own = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("t")).where("t IS NOT NULL").distinct()
+    chars = own.agg(F.sum(F.length("t"))).first()[0] or 0
     shards = max(1, math.ceil(chars / SHARD_CHARS))
-    kind = "array<struct<item_id: bigint, score: double, question_overlap: double, answer_overlap: double, start_word: bigint>>"
-    found = []
+    if shards == 1:
+        index = Index.of([tuple(r) for r in own.collect()])  # SHARD_CHARS characters at most
+        return docs.withColumn(to, _finder(spark, index)(F.col(text).cast("string")))
+    own = written(own, "items")
+    df, every = _statistics(own)
+    names = [f"k{i}" for i in range(len(docs.columns))]
+    whole = written(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "decontaminated")
+    content = F.col(names[docs.columns.index(text)]).cast("string")
+    found = None
     for shard in range(shards):
-        own = items.where(F.pmod(F.xxhash64(item_id, item_text), F.lit(shards)) == shard)
-        index = Index.of([tuple(r) for r in own.select(item_id, item_text).collect()])
-        found.append(_finder(docs.sparkSession.sparkContext.broadcast(index), kind)(F.col(text).cast("string")))
-    return docs.withColumn(to, F.concat(*found) if shards > 1 else found[0])
+        some = own.where(F.pmod(F.xxhash64("id", "t"), F.lit(shards)) == shard)
+        part = [tuple(r) for r in some.collect()]
+        asked = spark.createDataFrame([(t,) for t in {x for _, t in part for x in terms(t)}], "term string")
+        index = Index.of(part, Statistics(every.items, every.mean, every.longest, dict(map(tuple, df.join(asked, "term").collect()))))
+        part = written(whole.select("row", _finder(spark, index)(content).alias("leaks")).where("size(leaks) > 0"), "leaks")
+        found = part if found is None else found.union(part)
+    together = found.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    out = whole.join(together, "row", "left")
+    kept = [F.col(n).alias(c) for n, c in zip(names, docs.columns) if c != to]
+    return out.select(*kept, F.coalesce("leaks", F.array().cast(_LEAKS)).alias(to))
+
 
+_LEAKS = "array<struct<item_id: bigint, score: double, question_overlap: double, answer_overlap: double, start_word: bigint>>"
 
-def _finder(shared, kind: str):
+
+def _finder(spark, index: Index):
     import pandas as pd
 
+    shared = spark.sparkContext.broadcast(tuple(vars(index).values()))
+
     def run(columns):
         rows: dict[str, int] = {}
+        own = Index(*shared.value)
         for column in columns:
-            yield pd.Series([leaks(t, shared.value, rows) for t in column.tolist()], dtype=object)
+            yield pd.Series([leaks(t, own, rows) for t in column.tolist()], dtype=object)
 
     run.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, kind)
+    return F.pandas_udf(run, _LEAKS)
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """One row for each item of ``benchmark`` that a row of ``documents`` leaks."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return annotate(docs, items).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")

@@ -160,22 +160,43 @@ def test_quality_columns_equal_the_rules(spark, odd):
 # --- 6
 
 
-def brute_components(fps, ids, bits):
-    parent = list(range(len(fps)))
+def brute_components(near, ids):
+    """The least id that each one reaches over the matrix of links."""
+    parent = list(range(len(ids)))
 
     def find(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for i in range(len(fps)):
-        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= bits):
+    for i in range(len(ids)):
+        for j in np.flatnonzero(near[i]):
             a, b = find(i), find(int(j))
             parent[max(a, b)] = min(a, b)
     least = {}
-    for i in range(len(fps)):
+    for i in range(len(ids)):
         least[find(i)] = min(least.get(find(i), 1 << 60), ids[i])
-    return [least[find(i)] for i in range(len(fps))]
+    return [least[find(i)] for i in range(len(ids))]
+
+
+def test_similar_documents_go(spark):
+    """Of copies with a few words changed, at similarities from 0.82 to 0.97, most go; other texts stay."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    rows = []
+    for k in range(100):
+        words = [word() for _ in range(300)]
+        rows.append((2 * k, " ".join(words)))
+        for at in rng.choice(300, 1 + k % 6, replace=False):  # each change costs five shingles of 296
+            words[at] = word()
+        rows.append((2 * k + 1, " ".join(words)))
+    df = spark.createDataFrame([*rows, (None, rows[0][1]), (0, "another text of the same id"), (0, rows[0][1])], "doc_id long, text string").withColumn("fp", F.lit(1))
+    kept = simhash.without_similar(df)
+    assert kept.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sum(i is not None and i % 2 == 0 for i, _ in got) == 101 and not any(i is None for i, _ in got)
+    assert sum(i % 2 for i, _ in got) <= 10
+    assert simhash.without_similar(df.limit(0)).count() == 0
 
 
 def test_golay_keys_meet_within_four_bits():
@@ -207,7 +228,7 @@ def test_simhash_against_brute_force(spark, docs, texts):
         want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
         assert r["fingerprint"] == f"{want:016x}"
     fps = np.array([int(r["fingerprint"], 16) for r in rows], dtype=np.uint64)
-    assert [r["component_id"] for r in rows] == brute_components(fps, ids, 4)
+    assert [r["component_id"] for r in rows] == brute_components(np.bitwise_count(fps[:, None] ^ fps) <= 4, ids)
 
 
 def test_simhash_odd(spark, odd):
@@ -366,11 +387,30 @@ def test_decontaminate_odd(spark, odd):
     got = decontaminate.annotate(odd, items, to="found").collect()
     assert len(got) == len(ODD) and sum(bool(r["found"]) for r in got) == 2
     assert all(not r["found"] for r in decontaminate.annotate(odd, items.limit(0), to="found").collect())
-    decontaminate.SHARD_CHARS, before = 4, decontaminate.SHARD_CHARS
-    try:
-        assert sum(bool(r["found"]) for r in decontaminate.annotate(odd, items, to="found").collect()) == 2
-    finally:
-        decontaminate.SHARD_CHARS = before
+
+
+def test_dealing_items_to_indexes_changes_no_score(spark, docs, monkeypatch):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    whole = lambda: {(r["doc_id"], *r["leak"]) for r in decontaminate.annotate(docs, items).select("doc_id", F.explode("leaks").alias("leak")).collect()}
+    one = whole()
+    chars = items.agg(F.sum(F.length("text"))).first()[0]
+    monkeypatch.setattr(decontaminate, "SHARD_CHARS", chars // 3)
+    several = whole()
+    assert {x[:2] for x in one} == {x[:2] for x in several}
+    assert sorted(x[2] for x in one) == pytest.approx(sorted(x[2] for x in several))
+
+
+def test_the_longest_item_is_whole_in_a_passage_wherever_it_stands():
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 7))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((8, 40, 300, 20_000))]
+    index = decontaminate.Index.of(items[:3])
+    for k in (1, 2):
+        for at in range(0, 130, 13):
+            text = " ".join([*(word() for _ in range(at)), items[k][1], *(word() for _ in range(200))])
+            assert [(x["item_id"], round(x["score"], 9)) for x in decontaminate.leaks(text, index, {})] == [(k, 1.0)]
+    long = decontaminate.Index.of(items)
+    assert [x["item_id"] for x in decontaminate.leaks(" ".join([*(word() for _ in range(50)), items[3][1]]), long, {})] == [3]
 
 
 # --- 10
