@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, written
+from .common import components, released, written
 
 MAX_BITS = 4
 #: What similar documents are: words of a shingle, and differing bits of 128 at a similarity of 0.8.
@@ -157,6 +157,32 @@ def wide_keys_of(fps):
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def wide_first(x, y, key):
+    """Whether ``key`` is the first key that the fingerprints ``x`` and ``y`` have in common (or nearly: segments
+    that differ in at most two bits are known to share one). At an earlier one they are linked already, or through
+    others that meet there, so links need naming at their first key only."""
+    import numpy as np
+
+    sx, sy = _segments(x), _segments(y)
+    near = [np.bitwise_count(a ^ b) <= 2 for a, b in zip(sx, sy)]
+    pairs, family = list(combinations(range(4), 2)), key >> 24
+    first = np.ones(len(x), bool)
+    for n, (a, b) in enumerate(pairs):
+        first &= ~((family > n) & near[a] & near[b])
+    flat, begin = golay_indices()
+    for n, ab in enumerate(pairs):
+        for k, index in zip(ab, (key >> 12 & 4095, key & 4095)):
+            at = np.flatnonzero(first & (family == n))
+            if not len(at):
+                continue
+            own = [np.minimum(begin[s[k][at], None] + np.arange(17), begin[s[k][at] + 1, None] - 1) for s in (sx, sy)]
+            mine, other = flat[own[0]], flat[own[1]]
+            common = (mine[:, :, None] == other[:, None, :]).any(axis=2)
+            least = np.where(common, mine, 4096).min(axis=1)
+            first[at] = least == index[at]
+    return first
+
+
 def linked(fps, bits: int):
     """Links (node, root) that connect the rows of ``fps`` that are within ``bits`` of each other, one fewer than
     there are members. Each round takes away all that is near, so a dense group costs few rounds."""
@@ -176,12 +202,13 @@ def linked(fps, bits: int):
 
 
 #: Rows of a key up to which all its pairs are looked at, as many at once as there are rows.
-_FEW = 8
+_FEW = 4
 
 
-def _met(fps: DataFrame, keys, bits: int) -> DataFrame:
-    """Links among the rows of ``fps`` (long columns, the first of which ``keys`` is given) that share a key and
-    differ in at most ``bits`` bits: their columns, then those of the other one with a 2 behind the name."""
+def _met(fps: DataFrame, keys, bits: int, first=None) -> DataFrame:
+    """Links that connect the rows of ``fps`` (long columns, the first of which ``keys`` is given) that share a key
+    and differ in at most ``bits`` bits: their columns, with _a and _b behind the names. ``first`` tells which links
+    are worth naming at a key."""
     names = fps.columns
     width = len(names)
 
@@ -215,11 +242,16 @@ def _met(fps: DataFrame, keys, bits: int) -> DataFrame:
                 x, y = f[at], f[at + lag]
                 close = np.bitwise_count(x ^ y).sum(axis=1) <= bits
                 if close.any():
-                    x, y = x[close], y[close]
+                    x, y, own = x[close], y[close], k[at[close]]
+                    if first is not None:
+                        x, y = (z[first(x[:, 0], y[:, 0], own)] for z in (x, y))
                     swap = (x[:, 0] > y[:, 0])[:, None]  # the same pair alike from every key
                     found.append(np.concatenate([np.where(swap, y, x), np.where(swap, x, y)], axis=1))
             for at, n in zip(edge[size > _FEW], size[size > _FEW]):
-                found.extend(linked(f[at : at + n], bits))
+                for pairs in linked(f[at : at + n], bits):
+                    if first is not None:
+                        pairs = pairs[first(pairs[:, 0], pairs[:, width], np.full(len(pairs), k[at]))]
+                    found.append(pairs)
 
         parts = []
         for b in batches:
@@ -300,7 +332,8 @@ def without_similar(docs: DataFrame, width: int = SIMILAR_WORDS, bits: int = SIM
     rank = F.struct(F.col(key).isNull(), F.col(key), F.xxhash64(names[at]), F.col("row"))
     classes = whole.groupBy("fp", "fp2").agg(F.min(rank).alias("first"))
     node = lambda side: F.xxhash64(f"fp{side}", f"fp2{side}")
-    comp = components(_met(classes.select("fp", "fp2"), wide_keys_of, bits).select(node("_a").alias("a"), node("_b").alias("b")))
+    comp = components(_met(classes.select("fp", "fp2"), wide_keys_of, bits, wide_first).select(node("_a").alias("a"), node("_b").alias("b")))
+    released(docs.sparkSession)
     rooted = classes.select(node("").alias("node"), "first").join(comp, "node", "left")
     stays = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.row")
     return whole.join(stays, "row", "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

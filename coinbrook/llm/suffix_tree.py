@@ -18,7 +18,6 @@ the tokens), and Bloom filters of at most FILTER_BITS bits; what they let throug
 
 from __future__ import annotations
 
-import gc
 import math
 from collections import Counter
 from dataclasses import dataclass
@@ -26,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, written
+from .common import held_out, released, written
 
 DEPTH = 3
 #: Least occurrences of a context and of a next symbol in it.
@@ -368,7 +367,7 @@ def learn_table(encoded: DataFrame, counts: Counts, least_context: float, least_
             among = _filter(totals)
         before = pairs
         pairs = written(_counted(encoded, depth, frequent, least_symbol, among), f"suffix-counts-{depth}")
-        _released(spark)
+        released(spark)
         each = pairs.withColumns({"symbol": F.expr(_NEXT), "own": F.expr("rest & -4294967296L")})
         if depth == 1:
             each = each.withColumn("total", seen(F.shiftright("recent", _BITS))).where(F.col("total") >= least_context)
@@ -397,7 +396,7 @@ def learn_table(encoded: DataFrame, counts: Counts, least_context: float, least_
             each = each.withColumn("up", F.coalesce("q", F.exp("b") * F.col("up"), "up")).drop("suffix", "b", "q")
         entries[depth] = written(each, f"suffix-entries-{depth}")
         rest = (F.lit(1.0) - F.sum("p")) / F.greatest(F.lit(1.0) - F.sum("up"), F.lit(1e-12))
-        _released(spark)
+        released(spark)
         states[depth] = written(entries[depth].groupBy("recent", "own").agg(F.log(rest).alias("value")), f"suffix-states-{depth}")
         made.append(states[depth].select("recent", F.col("own").alias("rest"), "value"))
         made.append(entries[depth].select("recent", F.col("own").bitwiseOR(F.col("symbol")).alias("rest"), F.log("p").alias("value")))
@@ -494,12 +493,6 @@ class Tree:
         return np.add.reduceat(self.lookup(state, symbols, root), np.cumsum(sizes) - sizes)
 
 
-def _released(spark) -> None:
-    """Shuffle files of steps that are written go when the driver collects its garbage; it does so now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _least(total: int, context_share: float, symbol_share: float) -> tuple[float, float]:
     return max(LEAST_CONTEXT, context_share * total), max(LEAST_SYMBOL, symbol_share * total)
 
@@ -545,10 +538,10 @@ def score(
     discount = unknown * total / distinct if distinct else 0.0
     counts = Counts.of(words, total, distinct, unknown, discount)
     encoded = written(_encoded(src, _numbered(words), block_chars), "encoded")
-    _released(src.sparkSession)
+    released(src.sparkSession)
     least_context, least_symbol = _least(total, context_share, symbol_share)
     table = written(learn_table(encoded, counts, least_context, least_symbol, min_gain), "suffix-tree")
-    _released(src.sparkSession)
+    released(src.sparkSession)
     frequent = counts.frequent(least_context)
     may = _filter(table)
     shared = src.sparkSession.sparkContext.broadcast(counts)

@@ -33,7 +33,7 @@ TRAIN_ROWS = 1500
 LEAST_DOCS, SHRINK, STEPS = 5, 1e-4, 150
 THRESHOLD = 0.7
 _EDGES = string.punctuation + "«»“”„’‘…–—¡¿"
-_SLICE_CHARS = 2_000_000
+_SLICE_CHARS = 500_000
 _BATCH_ROWS = 128
 
 
@@ -119,7 +119,8 @@ def scores(texts, model: Model):
 
 
 def fit(found: list[tuple], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), steps: int = STEPS, shrink: float = SHRINK, least_docs: int = LEAST_DOCS, seed: int = 7) -> Model:
-    """Trains on the bags ``found``; ``weights``: how much a document of class 0 and of class 1 counts."""
+    """Trains on the bags ``found``, which it takes out of the list; ``weights``: how much a document of class 0 and
+    of class 1 counts."""
     import numpy as np
 
     y = np.array(labels, dtype=bool)
@@ -137,9 +138,9 @@ def fit(found: list[tuple], labels: list[int], weights: tuple[float, float] = (1
     centre = mean[used] * scale
     batches = []
     for i in range(0, len(y), _BATCH_ROWS):
-        part = found[i : i + _BATCH_ROWS]
+        part, found[i : i + _BATCH_ROWS] = found[i : i + _BATCH_ROWS], [None] * len(found[i : i + _BATCH_ROWS])
         at = place[np.concatenate([b for b, _ in part])]
-        row = np.repeat(np.arange(len(part), dtype=np.int32), [len(b) for b, _ in part])
+        row = np.repeat(np.arange(len(part), dtype=np.uint8), [len(b) for b, _ in part])
         kept = at >= 0
         batches.append((slice(i, i + len(part)), len(part), at[kept], row[kept], np.concatenate([v for _, v in part])[kept] * scale[at[kept]].astype(np.float32)))
 
@@ -204,10 +205,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
     import numpy as np
 
     hashed = sample.select(F.xxhash64(id).alias("h"), "y", "t").mapInArrow(run, "h long, y int, buckets binary, values binary")
-    found = sorted(hashed.collect(), key=lambda r: (r["h"], bytes(r["buckets"]), bytes(r["values"])))
-    y = [r["y"] for r in found]
+    found = sorted(map(tuple, hashed.collect()), key=lambda r: (r[0], r[2], r[3]))
+    y = [r[1] for r in found]
     weights = tuple(counts.get(k, 0) / max(1, y.count(k)) for k in (0, 1))
-    return fit([(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["values"], np.float32)) for r in found], y, weights)
+    own = [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in found]
+    del found
+    return fit(own, y, weights)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
