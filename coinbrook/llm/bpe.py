@@ -120,8 +120,10 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", to: str = "text
         for column in columns:
             yield pd.Series([None if b is None else b"".join(map(table.__getitem__, np.frombuffer(b, "<u4").tolist())).decode("utf-8", "replace") for b in column], dtype=object)
 
-    run.__annotations__ = {}
-    back = F.pandas_udf(run, T.StringType(), F.PandasUDFType.SCALAR_ITER)
+    import pandas as pd
+
+    run.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    back = F.pandas_udf(run, T.StringType())
     return encoded.withColumn(to, back(F.col(ids)))
 
 

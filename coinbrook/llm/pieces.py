@@ -15,6 +15,8 @@ from array import array
 #: Chunks remembered by one worker; the memory is emptied beyond it.
 CACHE_CHUNKS = 200_000
 
+#: Texts on which an encoder must agree with its model before it takes texts apart.
+_PROBES = ["A line of words, and 12 numbers!\nNext line; it's «quoted» and-hyphenated.", "été Ärger straße naïve", "x", "two words", "tab\tand  blanks", "end.\n", "MiXed CASE 3.14 foo_bar", "日本 🙂 word"]
 _TOUCHING = re.compile(r"\s\s")
 _BEHIND = ".,;:!?*&%$#"
 #: Chunks that lower-casing and composing leave at as many bytes: Latin letters, with no special token's mark.
@@ -43,6 +45,8 @@ class ChunkEncoder:
         self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.line_end = self._whole(["\n"])[0]
+        self.apart = True
+        self.apart = self.encode(_PROBES) == self._whole(_PROBES)  # another model may not allow it
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -93,6 +97,8 @@ class ChunkEncoder:
         cache.update((x, cache[c] + self.tails[t]) for x, (c, t) in split.items())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.apart:
+            return self._whole([t or "" for t in texts])
         parts: list[list[list[str]] | None] = []
         new: set[str] = set()
         heads: set[str] = set()
@@ -134,6 +140,7 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
+        import pyarrow as pa
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
@@ -144,6 +151,9 @@ class WordEncoder:
         for token, i in vocab.items():
             self.closes[i] = token.endswith("</w>")
         self._clear()
+        self.apart = True
+        ids, sizes = self.encode(pa.array(_PROBES))
+        self.apart = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [self._whole(t).tolist() for t in _PROBES]
 
     def _clear(self) -> None:
         self.rows: dict[str, int] = {}
@@ -187,6 +197,9 @@ class WordEncoder:
         import numpy as np
         import pyarrow.compute as pc
 
+        if not self.apart:  # another model may not allow texts to be taken apart
+            found = [self._whole(t or "") for t in texts.to_pylist()]
+            return np.concatenate([*found, np.zeros(0, "<u4")]), np.array([len(x) for x in found], np.int64)
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
         coded = pc.list_flatten(lists).dictionary_encode()

@@ -1,8 +1,8 @@
 """Token ids as length-delimited binary records with a separate offset index.
 
 A shard is a run of frames: length (uint64), masked CRC-32C of those eight bytes, the record, masked CRC-32C
-of the record; all little-endian. A record is a flag (uint32: bit 0 says that the id is null), the id
-(int64), then the token ids, in the width that the vocabulary needs (2 or 4 bytes). The index is a Parquet
+of the record; all little-endian. A record is a flag (uint32: bit 0 says that the id is null, bit 1 that token ids
+are four bytes wide and not two), the id (int64), then the token ids, as wide as the vocabulary needs. The index is a Parquet
 table (shard, ordinal, id, offset, length, n_tokens), so a reader can visit records in any order.
 """
 
@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices, tokenizer_path
-from .common import fresh_path
+from .common import fresh_path, released, written
 from .pieces import WordEncoder
 
 #: Text characters that one shard holds about.
 SHARD_CHARS = 16_000_000
 #: Characters encoded and framed at once.
-SLICE_CHARS = 400_000
+SLICE_CHARS = 200_000
 _HEAD = 12
 
 
@@ -122,8 +122,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "
 
     ``path`` is in a folder that all executors share. A shard is written under a name of its own and renamed
     when whole, so a task that runs again replaces it by the same bytes. Null and empty texts hold only the
-    end id; null ids come first and are flagged; rows with equal ids stay, ordered by text. An empty table
-    gives an empty index and no shard.
+    end id; null ids come first and are flagged; rows with equal ids stay, ordered by a hash of the text, over as
+    many shards as they fill. Texts of any length are encoded whole; other columns are ignored. An empty table gives
+    an empty index and no shard.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
@@ -131,7 +132,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "
     shards = max(1, math.ceil(chars / shard_chars))
     files, base = _opened(path)
     files.create_dir(f"{base}/data", recursive=True)
-    spread = src.repartitionByRange(shards, "id").sortWithinPartitions("id", "t")
+    order = ["id", "h", "row"]
+    src = src.select("id", "t", F.xxhash64("t").alias("h"), F.monotonically_increasing_id().alias("row"))
+    spread = src.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("id", "t")
 
     def run(batches):
         import os
@@ -154,7 +157,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "
                 last[np.cumsum(sizes) - 1] = True
                 ended[~last] = flat
                 tokens = np.split(ended, np.cumsum(sizes)[:-1])
-                framed = frames([(i is None).to_bytes(4, "little") + (i or 0).to_bytes(8, "little", signed=True) + x.tobytes() for i, x in zip(ids[lo:hi], tokens)])
+                framed = frames([((i is None) | (width == "<u4") << 1).to_bytes(4, "little") + (i or 0).to_bytes(8, "little", signed=True) + x.tobytes() for i, x in zip(ids[lo:hi], tokens)])
                 if out is None:
                     files, base = _opened(path)
                     own = f"{base}/data/.{shard}.{TaskContext.get().taskAttemptId()}.{os.getpid()}"
@@ -176,7 +179,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "
     return spark.read.parquet(f"{path}/index")
 
 
-def read(spark, path: str, wide: bool = False) -> DataFrame:
+def _ids(record: bytes):
+    import numpy as np
+
+    return np.frombuffer(record, "<u4" if record[0] & 2 else "<u2", offset=_HEAD)
+
+
+def read(spark, path: str) -> DataFrame:
     """The records of the shards under ``path``, each frame checked: (shard, ordinal, id, n_tokens,
     start_in_shard, ids_crc32 of the ids as unsigned 32-bit integers, ids)."""
 
@@ -184,12 +193,11 @@ def read(spark, path: str, wide: bool = False) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        width = "<u4" if wide else "<u2"
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1)):
                 start = ordinal = 0
                 for _, records in unframed(data.as_buffer().to_pybytes()):
-                    ids = [np.frombuffer(r, width, offset=_HEAD).astype("<u4").tobytes() for r in records]
+                    ids = [_ids(r).astype("<u4").tobytes() for r in records]
                     n = np.array([len(x) // 4 for x in ids], np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -210,7 +218,7 @@ def read(spark, path: str, wide: bool = False) -> DataFrame:
     return named.mapInArrow(run, "shard string, ordinal long, id long, n_tokens long, start_in_shard long, ids_crc32 long, ids binary")
 
 
-def read_at(index: DataFrame, path: str, wide: bool = False) -> DataFrame:
+def read_at(index: DataFrame, path: str) -> DataFrame:
     """Adds ``ids`` (array) to rows of the index, in whatever order they come, by reading each record at its
     own offset: for shuffled reads."""
 
@@ -230,18 +238,25 @@ def read_at(index: DataFrame, path: str, wide: bool = False) -> DataFrame:
                 f = opened[shard]
                 f.seek(offset)
                 ((_, records),) = unframed(f.read(length))
-                got.append(np.frombuffer(records[0], "<u4" if wide else "<u2", offset=_HEAD).astype(np.int64))
+                got.append(_ids(records[0]).astype(np.int64))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.list_(pa.int64()))], names=[*b.schema.names, "ids"])
 
     return index.mapInArrow(run, index.schema.simpleString()[7:-1].replace(":", " ") + ", ids array<bigint>")
 
 
 def op10_record_files(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    """Writes ``documents`` as records and reads the files back."""
+    """Writes ``documents`` as records and reads the files back; files that do not hold what the index says are an
+    error."""
     path = fresh_path(spark, "records")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     index = write(docs, path, tokenizer or tokenizer_path("word_bpe_49k.json"), end_id=1)
-    totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    records = read(spark, path).drop("ids")
+    released(spark)
+    records = written(read(spark, path).drop("ids"), "records-read")
+    totals = records.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("n"))
+    said = index.groupBy("shard").agg(F.count("*").alias("said_rows"), F.sum("n_tokens").alias("said"))
+    wrong = totals.join(said, "shard", "full").where("NOT (rows <=> said_rows AND n <=> said)").limit(1).collect()
+    if wrong:
+        raise ValueError(f"shard {wrong[0]['shard']} does not hold what the index says")
+    number = F.regexp_extract("shard", "[0-9]+", 0).cast("long")
+    before = totals.select("shard", (F.sum("n").over(Window.orderBy(number)) - F.col("n")).alias("before"))  # one row per shard
     return records.join(before, "shard").select(F.col("id").alias("doc_id"), (F.col("before") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32")

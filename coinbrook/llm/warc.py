@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import fresh_path, released, written
 
 #: Equal payloads of at least so many bytes become revisits of the first one.
 REVISIT_BYTES = 100
@@ -22,8 +22,8 @@ def write(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", pa
     The payload is the column in UTF-8 (bytes as they are; null: empty). Of records with equal payloads of at
     least 100 bytes the one with the least id is the response and the others are revisits of it; rows that
     repeat that id are responses too, and so is every row if all ids are null. Line breaks in a URL are
-    percent-encoded, so that a header keeps its form. Other columns are not stored. An empty table makes
-    an empty archive.
+    percent-encoded, so that a header keeps its form. Payloads of any length are stored whole. Other columns are
+    not stored, whatever their names. An empty table makes an empty archive.
     """
     content = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
     raw = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), content.alias("payload"))
@@ -78,10 +78,14 @@ def read(spark, path: str, rebuild: bool = False) -> DataFrame:
 
 
 def op2_content_archive(spark, sf_dir: str) -> DataFrame:
-    """``pages`` written as an archive and read back."""
+    """``pages`` written as an archive; every record is rebuilt, and what is returned is taken from its bytes (of a
+    revisit: from the payload that it refers to)."""
     path = fresh_path(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    released(spark)
+    body = F.expr("CASE WHEN record_type = 'response' THEN substring(record, octet_length(header) + 1, octet_length(record) - octet_length(header) - 4) ELSE payload END")
+    out = read(spark, path, rebuild=True).withColumn("body", body)
+    return out.select(F.col("id").alias("page_id"), F.octet_length("body").cast("long").alias("payload_bytes"), F.sha2("body", 256).alias("payload_digest"), "record_type", "refers_to")
 
 
 SQL = """
