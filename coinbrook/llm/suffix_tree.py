@@ -29,7 +29,7 @@ from .common import held_out, released, written
 
 DEPTH = 3
 #: Least occurrences of a context and of a next symbol in it.
-LEAST_CONTEXT, LEAST_SYMBOL = 20, 2
+LEAST_CONTEXT, LEAST_SYMBOL = 50, 4
 #: Least gain in nats, over all its occurrences, by which a state's distribution must differ from its parent's.
 MIN_GAIN = 20.0
 #: What each explicit next symbol of a state leaves to the parent, in occurrences.
@@ -334,21 +334,21 @@ def learn_table(encoded: DataFrame, counts: Counts, least_context: float, least_
     hold get on top of the parent's probability (ln); for each of its next symbols the ln probability."""
     spark = encoded.sparkSession
     frequent = counts.frequent(least_context)
-    shared = spark.sparkContext.broadcast(counts)
+    shared = spark.sparkContext.broadcast(tuple(vars(counts).values()))
 
     @F.pandas_udf("double")
     def root(symbol):
         import numpy as np
         import pandas as pd
 
-        return pd.Series(np.exp(shared.value.roots(symbol.to_numpy())))
+        return pd.Series(np.exp(Counts(*shared.value).roots(symbol.to_numpy())))
 
     @F.pandas_udf("double")
     def learned(symbol):
         import numpy as np
         import pandas as pd
 
-        v = shared.value
+        v = Counts(*shared.value)
         return pd.Series(v.learned[np.maximum(np.searchsorted(v.first, symbol.to_numpy(), "right") - 1, 0)])
 
     texts = encoded.where("learn").count()
@@ -544,7 +544,7 @@ def score(
     released(src.sparkSession)
     frequent = counts.frequent(least_context)
     may = _filter(table)
-    shared = src.sparkSession.sparkContext.broadcast(counts)
+    shared = src.sparkSession.sparkContext.broadcast(tuple(vars(counts).values()))
 
     def asked(batches):
         import numpy as np
@@ -582,14 +582,15 @@ def score(
         import numpy as np
         import pyarrow as pa
 
+        own = Counts(*shared.value)
         tree = Tree.of(*(values.column(c).to_numpy() for c in ("recent", "rest", "value")))
         n, n_known, b, s = [], [], [], []
         for sizes, symbols in _encoded_groups(texts.column("symbols")):
             begin = np.cumsum(sizes) - sizes
             n.append(sizes)
             n_known.append(np.add.reduceat((symbols > OTHER).astype(np.int64), begin))
-            b.append(np.add.reduceat(shared.value.bases(symbols), begin))
-            s.append(tree.scores(sizes, symbols, shared.value.roots(symbols), frequent) / math.log(10))
+            b.append(np.add.reduceat(own.bases(symbols), begin))
+            s.append(tree.scores(sizes, symbols, own.roots(symbols), frequent) / math.log(10))
         together = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
         cols = [together(n, pa.int64()), together(n_known, pa.int64()), pa.array([total] * texts.num_rows, pa.int64()), together(b, pa.float64()), together(s, pa.float64())]
         return pa.table([texts.column("id"), *cols], names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
