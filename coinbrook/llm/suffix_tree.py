@@ -9,7 +9,7 @@ suffix of its history that is a state, so a text's score is a proper probability
 
 At scale: states and their next symbols are kept by absolute counts, so the tree grows with the corpus; it is a
 table and is never gathered. Known words are numbered by falling count. Texts are dealt into blocks of about
-sixteen million characters; each block gets one row for each of its distinct words and is written as numbers.
+eight million characters; each block gets one row for each of its distinct words and is written as numbers.
 Contexts are counted depth by depth: how often one occurs is the count of the shorter one with its latest symbol
 next, so only contexts frequent enough are counted. Each block then gets the rows of the tree that its own
 contexts ask for. What is broadcast: one row for each distinct count of a word (at most the square root of twice
@@ -34,14 +34,14 @@ LEAST_CONTEXT, LEAST_SYMBOL = 50, 4
 MIN_GAIN = 20.0
 #: What each explicit next symbol of a state leaves to the parent, in occurrences.
 DISCOUNT = 0.5
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 FILTER_BITS = 1 << 28
 #: A context is (recent, oldest): its latest two symbols, the latest above, and the third or 0.
 _BITS = 32
 #: Numbers of symbols: 0 stands for all unknown words, 1 for the start.
 OTHER, START = 0, 1
-_TASK_WORDS = 400_000
-_GROUP_TOKENS = 300_000
+_TASK_WORDS = 200_000
+_GROUP_TOKENS = 150_000
 _SLICE_WORDS = 8192
 
 
@@ -313,10 +313,10 @@ def _counted(encoded: DataFrame, depth: int, frequent: int, least_symbol: float,
                     at, recent, oldest = at[may], recent[may], oldest[may]
                 held.append(_distinct(recent, oldest << _BITS | symbols[at], np.ones(len(at), np.int64)))
                 size += len(held[-1][0])
-                if size > 3_000_000:
+                if size > 1_200_000:
                     held = [_distinct(*map(np.concatenate, zip(*held)))]
                     size = len(held[0][0])
-                    if size > 1_000_000:
+                    if size > 500_000:
                         yield from parts(*held[0])
                         held, size = [], 0
         if held:
@@ -570,7 +570,7 @@ def score(
                         entry = (symbols[at] > OTHER) & _may_hold(may.value, recent, rest)
                         recent, rest = np.concatenate([recent, recent[entry]]), np.concatenate([oldest << _BITS, rest[entry]])
                         held.setdefault(block, []).append(_distinct(recent, rest, np.ones(len(rest), np.int64)))
-                if sum(len(x[0]) for x in held.get(block, [])) > 2_000_000:
+                if sum(len(x[0]) for x in held.get(block, [])) > 1_000_000:
                     yield from parts(block)
         for block in list(held):
             yield from parts(block)
