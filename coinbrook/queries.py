@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import binding as b
+from . import text_queries
 from .functions import classify
 from .operators import changes, dedup, lists, networth, rules, spending
 from .schemas import ASSET_CLASSES
@@ -278,3 +279,6 @@ _BODIES = {
 }
 
 SQL = {name: f"WITH {b.SQL.strip()}{body if body.startswith(',') else ' ' + body}" for name, body in _BODIES.items()}
+
+QUERIES |= text_queries.QUERIES
+SQL |= text_queries.SQL
