@@ -184,18 +184,19 @@ def wide_first(x, y, key):
 
 
 def linked(fps, bits: int):
-    """Links (node, root) that connect the rows of ``fps`` that are within ``bits`` of each other, one fewer than
-    there are members. Each round takes away all that is near, so a dense group costs few rounds."""
+    """Links that connect the rows of ``fps`` that are within ``bits`` of each other, one fewer than there are
+    members, each between two such rows. Each round takes away all that is near, so a dense group costs few rounds."""
     import numpy as np
 
     left, out = fps[np.lexsort(fps.T[::-1])], []
     while len(left) > 1:
-        root, queue, left = left[0], [left[0]], left[1:]
+        queue, left = [left[0]], left[1:]
         while queue and len(left):
-            near = np.bitwise_count(left ^ queue.pop()).sum(axis=1) <= bits
+            own = queue.pop()
+            near = np.bitwise_count(left ^ own).sum(axis=1) <= bits
             if near.any():
                 found = left[near]
-                out.append(np.concatenate([found, np.broadcast_to(root, found.shape)], axis=1))
+                out.append(np.concatenate([found, np.broadcast_to(own, found.shape)], axis=1))
                 queue.extend(found)
                 left = left[~near]
     return out

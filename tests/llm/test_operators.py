@@ -179,6 +179,24 @@ def brute_components(near, ids):
     return [least[find(i)] for i in range(len(ids))]
 
 
+def test_links_named_at_first_keys_connect_as_much(spark):
+    """Chains of fingerprints, each a few bits from the one before, fall into the same components."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for _ in range(30):
+        fp = [int(rng.integers(1 << 62)), int(rng.integers(1 << 62))]
+        for _ in range(30):
+            rows.append(tuple(fp))
+            for _ in range(int(rng.integers(1, 12))):
+                fp[int(rng.integers(2))] ^= 1 << int(rng.integers(62))
+    df = spark.createDataFrame(rows, "fp long, fp2 long")
+    got = []
+    for first in (None, simhash.wide_first):
+        edges = simhash._met(df, simhash.wide_keys_of, 20, first).select(F.xxhash64("fp_a", "fp2_a").alias("a"), F.xxhash64("fp_b", "fp2_b").alias("b"))
+        got.append({tuple(r) for r in common.components(edges).collect()})
+    assert got[0] == got[1] and len(got[0]) > 800
+
+
 def test_similar_documents_go(spark):
     """Of copies with a few words changed, at similarities from 0.82 to 0.97, most go; other texts stay."""
     rng = np.random.default_rng(8)
