@@ -9,7 +9,7 @@ suffix of its history that is a state, so a text's score is a proper probability
 
 At scale: states and their next symbols are kept by absolute counts, so the tree grows with the corpus; it is a
 table and is never gathered. Known words are numbered by falling count. Texts are dealt into blocks of about
-eight million characters; each block gets one row for each of its distinct words and is written as numbers.
+sixteen million characters; each block gets one row for each of its distinct words and is written as numbers.
 Contexts are counted depth by depth: how often one occurs is the count of the shorter one with its latest symbol
 next, so only contexts frequent enough are counted. Each block then gets the rows of the tree that its own
 contexts ask for. What is broadcast: one row for each distinct count of a word (at most the square root of twice
@@ -29,12 +29,12 @@ from .common import held_out, released, written
 
 DEPTH = 3
 #: Least occurrences of a context and of a next symbol in it.
-LEAST_CONTEXT, LEAST_SYMBOL = 50, 4
+LEAST_CONTEXT, LEAST_SYMBOL = 20, 2
 #: Least gain in nats, over all its occurrences, by which a state's distribution must differ from its parent's.
 MIN_GAIN = 20.0
 #: What each explicit next symbol of a state leaves to the parent, in occurrences.
 DISCOUNT = 0.5
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 16_000_000
 FILTER_BITS = 1 << 28
 #: A context is (recent, oldest): its latest two symbols, the latest above, and the third or 0.
 _BITS = 32
@@ -313,10 +313,10 @@ def _counted(encoded: DataFrame, depth: int, frequent: int, least_symbol: float,
                     at, recent, oldest = at[may], recent[may], oldest[may]
                 held.append(_distinct(recent, oldest << _BITS | symbols[at], np.ones(len(at), np.int64)))
                 size += len(held[-1][0])
-                if size > 1_200_000:
+                if size > 2_000_000:
                     held = [_distinct(*map(np.concatenate, zip(*held)))]
                     size = len(held[0][0])
-                    if size > 500_000:
+                    if size > 1_000_000:
                         yield from parts(*held[0])
                         held, size = [], 0
         if held:
