@@ -1,14 +1,18 @@
 """Document fingerprints as invertible Bloom lookup sketches of hashed paragraphs, in Spark SQL only.
 
-A paragraph is a line, or a piece of one: lines are cut into pieces of two words, and neighbouring pieces of
-a line are joined pairwise, their digests hashed together, once for each doubling of the text's length, so
-that a text has a few dozen paragraphs. Digests at one level give those at the next without the text.
-
-A sketch has three tables of 2**k cells; a digest adds a count, itself and a check hash (both by xor) to one
-cell of each. Two sketches subtract cell by cell, and what both texts hold cancels. Peeling then recovers the
-differing digests: a cell of count 1 or -1 whose check fits its digest holds just that one, which is taken out
-of its other cells. The three tables take turns, so a digest is taken out once. Where cells are left over,
-the pair is tried again with four times the cells and other hashes, until all are empty.
+A paragraph is a line, or a piece of one: a line is also cut behind every word whose hash is a multiple of
+CUT_WORDS, so pieces have that many words on average, at any length of text and line, and one changed word
+changes a piece or two. A line without blanks is one piece.
+
+A sketch has three tables of 2**bits cells; a digest adds a count, itself and a check hash (both by xor) to one
+cell of each, by its hash modulo 2**bits. So a sketch folds to any smaller size without the text. A fingerprint is
+the sketch of a text at the size that its own number of digests asks for.
+
+Two fingerprints are folded to the smaller one's size and subtracted cell by cell; what both texts hold cancels.
+Peeling then recovers the differing digests: a cell of count 1 or -1 whose check fits its digest holds just that
+one, which is taken out of its other cells. The three tables take turns, so a digest is taken out once. Where cells
+are left over the pair is tried again with sketches of twice the size of the larger fingerprint, then four times
+that at each further attempt, until all are empty.
 """
 
 from __future__ import annotations
@@ -20,74 +24,98 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-PIECE_WORDS, LEVEL_CHARS = 2, 240
+#: Mean words of a piece of a line.
+CUT_WORDS = 16
 #: Turns of peeling (each of one table) before a pair counts as failed, and attempts before giving up.
 TURNS, ATTEMPTS = 15, 12
 _KEY = ["did", "h"]
 
 
-def level(chars: Column) -> Column:
-    """How often pieces are joined pairwise in a text of so many characters."""
-    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(chars, F.lit(1)) / F.lit(float(LEVEL_CHARS)))).cast("int"))
+def paragraphs(text: Column) -> Column:
+    """The distinct paragraph digests of a text."""
+    words = F.transform(F.split(text, "\n"), lambda line: F.split(line, " "))  # bound here, split once for each line
+    ends = F.transform(words, lambda w: F.struct(w.alias("w"), F.filter(
+        F.sequence(F.lit(1), F.size(w)), lambda i: (i == F.size(w)) | (F.pmod(F.xxhash64(F.element_at(w, i)), F.lit(CUT_WORDS)) == 0)
+    ).alias("e")))
 
+    def piece(line: Column, end: Column, k: Column) -> Column:
+        begin = F.when(k == 0, F.lit(0)).otherwise(line["e"][k - 1])
+        return F.xxhash64(F.slice(line["w"], begin + 1, end - begin))
 
-def _pairs(items: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / n).cast("int")), lambda i: F.xxhash64(F.slice(items, i * n + 1, F.lit(n))))
+    return F.array_distinct(F.flatten(F.transform(ends, lambda line: F.transform(line["e"], lambda end, k: piece(line, end, k)))))
 
 
-def joined(lines: Column, times: Column) -> Column:
-    """Digests by line, joined pairwise so many times."""
-    steps = F.when(times > 0, F.sequence(F.lit(1), F.greatest(times, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, lines, lambda acc, _: F.transform(acc, lambda line: _pairs(line, 2)))
+def _cell(digest: str, table: int) -> str:
+    """The cell of a digest in one of the tables, in SQL."""
+    return f"(pmod(xxhash64({digest}, {table}), shiftleft(1L, bits)) + {table} * shiftleft(1L, bits))"
 
 
-def paragraphs(text: Column) -> Column:
-    """The paragraph digests of a text at its own level, by line."""
-    words = F.transform(F.split(text, "\n"), lambda line: F.split(line, " "))  # bound here, split once for each line
-    base = F.transform(words, lambda line: _pairs(line, PIECE_WORDS))
-    return joined(base, level(F.length(text)))
+def _bits(count: str) -> str:
+    """Bits of a table for so many digests: three tables have 1.8 to 3.6 cells for each."""
+    return f"cast(greatest(2, ceil(log2(greatest({count}, 1) * 0.6))) as int)"
+
 
+def _cells(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Sketches of the digests in ``rows`` (key, bits, sign, d): their cells that are not empty."""
+    spread = rows.select(*key, "bits", F.col("sign").alias("n"), "d", F.expr("xxhash64(d, -1L)").alias("check"), F.expr(f"explode(array({', '.join(_cell('d', t) for t in range(3))}))").alias("cell"))
+    return _merged(spread, [*key, "bits", "cell"])
 
-def units(lines: Column) -> Column:
-    return F.array_distinct(F.flatten(lines))
 
+def _merged(cells: DataFrame, by: list[str]) -> DataFrame:
+    summed = cells.groupBy(*by).agg(F.sum("n").alias("n"), F.bit_xor("d").alias("d"), F.bit_xor("check").alias("check"))
+    return summed.where("n <> 0 OR d <> 0 OR check <> 0")
 
-def _cell(digest: str, table: int, bits: str = "bits", seed: str = "seed") -> Column:
-    return F.expr(f"pmod(xxhash64({digest}, {seed} * 8 + {table}), shiftleft(1L, {bits})) + {table} * shiftleft(1L, {bits})")
 
+def _sized(found: DataFrame) -> DataFrame:
+    return found.withColumns({f"n_{c}": F.size(c) for c in ("own", "edited", "next")})
 
-def _bits(count: str, attempt: int = 0) -> str:
-    """Bits of a table for so many digests: three tables have 1.8 to 3.6 cells for each."""
-    return f"cast(greatest(2, ceil(log2(greatest({count}, 1) * 0.6))) + {2 * attempt} as int)"
 
+def sketches(found: DataFrame, sides: list[str], keep: list[str]) -> DataFrame:
+    """(did, h, *keep, side, total, bits, cell, n, d, check): the sketches of the digests in the columns named, each
+    at its own size. ``total`` is the number of its digests."""
+    each = ", ".join(f"struct({k} AS side, {column} AS a)" for k, column in enumerate(sides))
+    sets = found.select(*_KEY, *keep, F.expr(f"inline(array({each}))"))
+    rows = sets.select(*_KEY, *keep, "side", F.size("a").alias("total"), F.expr(_bits("size(a)")).alias("bits"), F.lit(1).cast("long").alias("sign"), F.explode("a").alias("d"))
+    return _cells(rows, [*_KEY, *keep, "side", "total"])
 
-def _cells(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Sketches of the digests in ``rows`` (key, bits, seed, sign, d): their cells that are not empty."""
-    spread = rows.select(*key, "bits", "seed", "sign", "d", F.expr("xxhash64(d, -1L)").alias("check"), F.explode(F.array(*[_cell("d", t) for t in range(3)])).alias("cell"))
-    return _nonzero(spread.groupBy(*key, "bits", "seed", "cell").agg(F.sum("sign").alias("n"), F.bit_xor("d").alias("d"), F.bit_xor("check").alias("check")))
 
+def subtracted(found: DataFrame) -> DataFrame:
+    """(did, h, kind, bits, cell, n, d, check): the fingerprint of each text less that of its edited version (kind 0)
+    and less that of the next document (kind 1), both folded to the smaller one's size."""
+    sketched = sketches(_sized(found), ["own", "edited", "next"], ["n_own", "n_edited", "n_next"])
+    # a fingerprint says its own size; the other's is carried along
+    pairs = sketched.select(*_KEY, F.col("bits").alias("b"), F.col("cell").alias("c"), "d", "check", F.expr(
+        "inline(CASE side WHEN 0 THEN array(struct(0 AS kind, n AS n, n_edited AS other), struct(1 AS kind, n AS n, n_next AS other))"
+        " ELSE array(struct(side - 1 AS kind, -n AS n, n_own AS other)) END)"
+    ))
+    pairs = pairs.withColumn("bits", F.least("b", F.expr(_bits("other"))))
+    folded = pairs.withColumn("cell", F.expr("pmod(c, shiftleft(1L, bits)) + (c div shiftleft(1L, b)) * shiftleft(1L, bits)"))
+    return _merged(folded, [*_KEY, "kind", "bits", "cell"])
 
-def _nonzero(cells: DataFrame) -> DataFrame:
-    return cells.where("n <> 0 OR d <> 0 OR check <> 0")
+
+def _resketched(found: DataFrame, open_pairs: DataFrame, attempt: int) -> DataFrame:
+    """The same for the pairs that failed, of sketches made anew at a larger size."""
+    larger = f"{_bits('greatest(size(a), size(b))')} + {2 * attempt - 1}"
+    sets = found.select(*_KEY, F.expr("inline(array(struct(0 AS kind, own AS a, edited AS b), struct(1 AS kind, own AS a, next AS b)))"))
+    sets = sets.join(open_pairs.select(*_KEY, "kind"), [*_KEY, "kind"], "left_semi")
+    signed = "inline(concat(transform(a, x -> struct(1L AS sign, x AS d)), transform(b, x -> struct(-1L AS sign, x AS d))))"
+    return _cells(sets.select(*_KEY, "kind", F.expr(larger).alias("bits"), F.expr(signed)), [*_KEY, "kind"])
 
 
 def peel(cells: DataFrame, key: list[str], turns: int = TURNS) -> DataFrame:
-    """Recovers what the subtracted sketches hold: one row per key that had any cell, with the number of
-    digests only in the first and only in the second text, and whether all cells came out empty."""
-    state = cells.select(*key, "bits", "seed", "cell", "n", "d", "check", F.lit(0).alias("plus"), F.lit(0).alias("minus"))
+    """Recovers what subtracted sketches hold. One row per key that had any cell: the digests of the first text alone
+    (``plus``) and of the second alone (``minus``), and whether any cell is left over (``failed``)."""
+    state = cells.select(*key, "bits", "cell", F.lit(0).cast("long").alias("found"), "n", "d", "check")
     for turn in range(turns):
         table = turn % 3
-        pure = f"(abs(n) = 1 AND check = xxhash64(d, -1L) AND cell div shiftleft(1L, bits) = {table})"
-        others = [t for t in range(3) if t != table]
-        out = ", ".join(f"struct(pmod(xxhash64(d, seed * 8 + {t}), shiftleft(1L, bits)) + {t} * shiftleft(1L, bits) AS cell, -n AS n, d AS d, check AS check, 0 AS plus, 0 AS minus)" for t in others)
-        # a recovered digest leaves its cell, which keeps only the tally, and is taken out of its other two
-        tally = "struct(-1L AS cell, 0L AS n, 0L AS d, 0L AS check, plus + if(n = 1, 1, 0) AS plus, minus + if(n = -1, 1, 0) AS minus)"
-        same = "array(struct(cell AS cell, n AS n, d AS d, check AS check, plus AS plus, minus AS minus))"
-        moved = state.select(*key, "bits", "seed", F.expr(f"inline(if({pure}, array({tally}, {out}), {same}))"))
-        state = moved.groupBy(*key, "bits", "seed", "cell").agg(
-            F.sum("n").alias("n"), F.bit_xor("d").alias("d"), F.bit_xor("check").alias("check"), F.sum("plus").cast("int").alias("plus"), F.sum("minus").cast("int").alias("minus")
-        ).where("cell = -1 OR n <> 0 OR d <> 0 OR check <> 0")
-    return state.groupBy(*key).agg(F.sum("plus").alias("plus"), F.sum("minus").alias("minus"), F.max(F.col("cell") >= 0).alias("failed"))
+        pure = f"(cell >= 0 AND abs(n) = 1 AND check = xxhash64(d, -1L) AND cell div shiftleft(1L, bits) = {table})"
+        others = ", ".join(f"struct({_cell('d', t)} AS cell, 0L AS found, -n AS n, d AS d, check AS check)" for t in range(3) if t != table)
+        # a recovered digest leaves its cell, stays as a row of its own and is taken out of its other two cells
+        out = f"struct(-1L AS cell, d AS found, n AS n, d AS d, check AS check), {others}"
+        same = "array(struct(cell AS cell, found AS found, n AS n, d AS d, check AS check))"
+        state = _merged(state.select(*key, "bits", F.expr(f"inline(if({pure}, array({out}), {same}))")), [*key, "bits", "cell", "found"])
+    only = lambda n: F.collect_list(F.when((F.col("cell") == -1) & (F.col("n") == n), F.col("d")))
+    return state.groupBy(*key).agg(only(1).alias("plus"), only(-1).alias("minus"), F.max(F.col("cell") >= 0).alias("failed"))
 
 
 def _ordered(docs: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame]:
@@ -114,69 +142,48 @@ def _ordered(docs: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame]
 
 
 def versions(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """By key: ``copies`` (rows of the document), ``n_chars``, ``edited_sha256``, and the paragraph digests by
-    line and the length of the text (``own``), of its edited version (``edited``) and of the next document
-    (``next``). The whole texts move once, a third of them a second time."""
+    """By key: ``copies`` (rows of the document), ``n_chars``, ``edited_sha256``, and the paragraph digests of the
+    text (``own``), of its edited version (``edited``) and of the next document (``next``). The whole texts move
+    once, a third of them a second time."""
     whole, order = _ordered(docs, text, id)
     asked = order.select(F.col("pdid").alias("did"), F.col("ph").alias("h"), F.col("did").alias("rdid"), F.col("h").alias("rh"), "copies", "cut")
     sent = whole.join(asked, _KEY).select(
-        F.col("rdid").alias("did"), F.col("rh").alias("h"), "copies", "cut", F.expr("left(text, cut)").alias("head"), paragraphs(F.col("text")).alias("next"), F.length("text").alias("next_chars")
+        F.col("rdid").alias("did"), F.col("rh").alias("h"), "copies", "cut", F.expr("left(text, cut)").alias("head"), paragraphs(F.col("text")).alias("next")
     )
     both = whole.join(sent, _KEY).withColumn("n_chars", F.length("text"))
     both = both.withColumn("edit", F.concat(F.expr("left(text, n_chars - cut)"), "head"))
     return both.select(
         *_KEY, "copies", "n_chars", F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"),
-        paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edit")).alias("edited"), "next", F.length("edit").alias("edited_chars"), "next_chars",
+        paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edit")).alias("edited"), "next",
     )
 
 
-def _sides(found: DataFrame) -> DataFrame:
-    """(did, h, kind, total, sign, d): the digests of both sides of each pair, at the coarser one's level;
-    ``total`` counts both sides. Kind 0: text and edited text, 1: text and next document."""
-    levels = found.withColumns({"l0": level(F.col("n_chars")), "l1": level(F.col("edited_chars")), "l2": level(F.col("next_chars"))})
-    first, second = F.greatest("l0", "l1"), F.greatest("l0", "l2")
-    sets = levels.withColumns({
-        "a0": units(joined(F.col("own"), first - F.col("l0"))), "b0": units(joined(F.col("edited"), first - F.col("l1"))),
-        "a1": units(joined(F.col("own"), second - F.col("l0"))), "b1": units(joined(F.col("next"), second - F.col("l2"))),
-    })
-    pairs = sets.select(*_KEY, F.expr("inline(array(struct(0 AS kind, a0 AS a, b0 AS b), struct(1 AS kind, a1 AS a, b1 AS b)))"))
-    return pairs.select(*_KEY, "kind", F.expr("size(a) + size(b)").alias("total"), F.expr("inline(concat(transform(a, x -> struct(1L AS sign, x AS d)), transform(b, x -> struct(-1L AS sign, x AS d))))"))
-
-
-def likeness(found: DataFrame) -> DataFrame:
-    """(did, h, kind, likeness): the Jaccard index of the two paragraph sets, from the number of digests that
-    peeling the subtracted sketches recovers. Pairs that fail are retried with larger sketches."""
-    key, done, open_pairs = [*_KEY, "kind", "total"], [], None
-    for attempt in range(ATTEMPTS):
-        rows = found if open_pairs is None else found.join(open_pairs.select(*_KEY).distinct(), _KEY, "left_semi")
-        rows = _sides(rows.repartition(*_KEY))
-        if open_pairs is not None:
-            rows = rows.join(open_pairs.select(*_KEY, "kind"), [*_KEY, "kind"], "left_semi")
-        rows = rows.select(*key, "sign", "d", F.expr(_bits("total", attempt)).alias("bits"), F.lit(attempt).cast("long").alias("seed"))
-        result = written(peel(_cells(rows, key), key), "peeled")
-        done.append(result.where("NOT failed"))
-        open_pairs = result.where("failed")
-        if open_pairs.isEmpty():
-            break
-    else:
-        raise RuntimeError("sketches could not be peeled")
-    recovered = reduce(DataFrame.union, done)
-    apart = F.col("plus") + F.col("minus")
-    return recovered.select(*_KEY, "kind", ((F.col("total") - apart) / (F.col("total") + apart)).alias("likeness"))
+def differences(found: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(did, h, kind, plus, minus): the digests that peeling recovers, those of the text alone and those of the other
+    alone, for each pair that differs; and how many pairs each attempt left over, none at the last."""
+    key, done, left = [*_KEY, "kind"], [], []
+    found = found.repartition(*_KEY)
+    cells = subtracted(found)
+    for attempt in range(1, ATTEMPTS + 1):
+        result = written(peel(cells, key), "peeled")
+        done.append(result.where("NOT failed").drop("failed"))
+        open_pairs = result.where("failed").select(*key)
+        left.append(open_pairs.count())
+        if not left[-1]:
+            return reduce(DataFrame.union, done), left
+        cells = _resketched(found, open_pairs, attempt)
+    raise RuntimeError("sketches could not be peeled")
 
 
 def serialised(found: DataFrame) -> DataFrame:
-    """(did, h, fingerprint, edited_fingerprint): each text's own sketch, at its own level and size, as the
-    number of its digests, the bits of a table, and its cells (number, count, digests, checks) in Base64."""
-    both = found.select(*_KEY, F.expr("inline(array(struct(0 AS kind, own AS lines), struct(1 AS kind, edited AS lines)))"))
-    sets = both.select(*_KEY, "kind", units(F.col("lines")).alias("a"))
-    rows = sets.select(*_KEY, "kind", F.size("a").alias("total"), F.expr(_bits("size(a)")).alias("bits"), F.lit(0).cast("long").alias("seed"), F.lit(1).cast("long").alias("sign"), F.explode("a").alias("d"))
-    cells = _cells(rows, [*_KEY, "kind", "total"])
-    packed = F.concat(F.lpad(F.hex("cell"), 6, "0"), F.lpad(F.hex("n"), 4, "0"), F.lpad(F.hex("d"), 16, "0"), F.right(F.lpad(F.hex("check"), 16, "0"), F.lit(8)))
-    made = cells.groupBy(*_KEY, "kind", "total", "bits").agg(F.array_sort(F.collect_list(packed)).alias("cells"))
+    """(did, h, fingerprint, edited_fingerprint): each text's own sketch as the number of its digests, the bits of a
+    table, and its cells (number, count, digests, checks: 4, 4, 8 and 8 bytes) in Base64."""
+    cells = sketches(found, ["own", "edited"], [])
+    packed = F.concat(F.lpad(F.hex("cell"), 8, "0"), F.lpad(F.hex("n"), 8, "0"), F.lpad(F.hex("d"), 16, "0"), F.lpad(F.hex("check"), 16, "0"))
+    made = cells.groupBy(*_KEY, "side", "total", "bits").agg(F.array_sort(F.collect_list(packed)).alias("cells"))
     text = F.concat_ws(".", "total", "bits", F.regexp_replace(F.base64(F.unhex(F.array_join("cells", ""))), "\\s", ""))
-    made = made.select(*_KEY, "kind", text.alias("f"))
-    return made.groupBy(*_KEY).agg(F.max(F.when(F.col("kind") == 0, F.col("f"))).alias("fingerprint"), F.max(F.when(F.col("kind") == 1, F.col("f"))).alias("edited_fingerprint"))
+    made = made.select(*_KEY, "side", text.alias("f"))
+    return made.groupBy(*_KEY).agg(F.max(F.when(F.col("side") == 0, F.col("f"))).alias("fingerprint"), F.max(F.when(F.col("side") == 1, F.col("f"))).alias("edited_fingerprint"))
 
 
 def compare(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -184,20 +191,26 @@ def compare(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
     ``edited_fingerprint``, ``near_edited``, ``near_next``.
 
     The edited text is the text with its last third replaced by as much of the start of the next document in
-    descending order of the id (the one of the greatest id after the last). A null text counts as empty, and
-    its one paragraph is empty. Null ids come last; rows of equal id follow each other by a hash of their
-    texts; wholly equal rows are one document with as many rows. Other columns are ignored. An empty table
-    gives none.
+    descending order of the id (the one of the greatest id after the last). ``near_*`` is the Jaccard index of the
+    paragraphs of two texts, from their fingerprints: how many digests each holds and how many peeling recovers
+    from their difference. A null text counts as empty, and its one paragraph is empty. Null ids come last; rows
+    of equal id follow each other by a hash of their texts; wholly equal rows are one document with as many rows.
+    Very long texts have as many paragraphs as their words ask for. Other columns are ignored. An empty table gives
+    none.
     """
     found = written(versions(docs, text, id), "paragraphs")
-    near = likeness(found)
-    near = near.groupBy(*_KEY).agg(F.max(F.when(F.col("kind") == 0, F.col("likeness"))).alias("e"), F.max(F.when(F.col("kind") == 1, F.col("likeness"))).alias("x"))
-    out = found.select(*_KEY, "copies", "n_chars", "edited_sha256").join(serialised(found.repartition(*_KEY)), _KEY).join(near, _KEY, "left")
-    own = F.when(F.col("did") != -(1 << 63), F.col("did")).alias(id)
-    one = F.lit(1.0)  # a pair without any differing cell
+    apart = differences(found)[0].select(*_KEY, "kind", (F.size("plus") + F.size("minus")).alias("apart"))
+    apart = apart.groupBy(*_KEY).agg(F.max(F.when(F.col("kind") == 0, F.col("apart"))).alias("e"), F.max(F.when(F.col("kind") == 1, F.col("apart"))).alias("x"))
+    out = _sized(found).join(serialised(found.repartition(*_KEY)), _KEY).join(apart, _KEY, "left")
+
+    def likeness(other: str, differing: str) -> Column:
+        """The Jaccard index of two sets of digests, from their sizes and the number recovered by peeling."""
+        both, apart = F.col("n_own") + F.col(other), F.coalesce(differing, F.lit(0))
+        return (both - apart) / (both + apart)
+
     return out.select(
-        own, F.col("n_chars").cast("long"), "edited_sha256", "fingerprint", "edited_fingerprint",
-        F.coalesce("e", one).alias("near_edited"), F.coalesce("x", one).alias("near_next"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"),
+        F.when(F.col("did") != -(1 << 63), F.col("did")).alias(id), F.col("n_chars").cast("long"), "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness("n_edited", "e").alias("near_edited"), likeness("n_next", "x").alias("near_next"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"),
     ).drop("copy")
 
 

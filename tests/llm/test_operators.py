@@ -1,13 +1,17 @@
 """The operators against brute force, round trips and held-out rows, and the odd inputs that each must stand."""
 
+import base64
 import hashlib
 import math
 import os
+import struct
 import zlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from coinbrook.llm import bpe, common, decontaminate, iblt, pieces, records, rules, simhash, suffix_tree, warc
@@ -260,35 +264,100 @@ def test_simhash_odd(spark, odd):
 # --- 7
 
 
+def xxh(items):
+    h = 42
+    for x in items:
+        h = xxhash.xxh64_intdigest(x.encode(), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_paragraphs(text):
+    """The digests of a text's paragraphs, cut word by word."""
+    out = set()
+    for line in text.split("\n"):
+        piece = []
+        for w in line.split(" "):
+            piece.append(w)
+            if xxh([w]) % iblt.CUT_WORDS == 0:
+                out.add(xxh(piece))
+                piece = []
+        if piece:
+            out.add(xxh(piece))
+    return out
+
+
+def decoded(fingerprint):
+    """The digests that a fingerprint holds, peeled in plain Python; cells are found from where a digest lies."""
+    total, bits, body = fingerprint.split(".")
+    raw, cells = base64.b64decode(body), {}
+    for at in range(0, len(raw), 24):
+        cell, n, d, check = struct.unpack(">IIqQ", raw[at : at + 24])
+        cells[cell] = [n, d, check]
+    assert len({c >> int(bits) for c in cells}) == 3
+    assert all(sum(v[0] for c, v in cells.items() if c >> int(bits) == t) == int(total) for t in range(3))
+    return int(total), int(bits), cells
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
 def test_sketches(spark, docs, texts):
+    """Likeness of fingerprints is the Jaccard index of paragraphs found without Spark."""
     got = spread(iblt.op7_paragraph_sketches(spark, SF))
     order = sorted(texts, reverse=True)
-    nearer = 0
+    sets = {i: brute_paragraphs(texts[i]) for i in order}
     for k, i in enumerate(order):
-        t, nxt = texts[i], texts[order[(k + 1) % len(order)]]
+        t, other = texts[i], order[(k + 1) % len(order)]
         cut = len(t) // 3
-        edited = t[: len(t) - cut] + nxt[:cut]
+        edited = t[: len(t) - cut] + texts[other][:cut]
         assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= got[i]["near_next"] <= 1 and 0 <= got[i]["near_edited"] <= 1
-        nearer += got[i]["near_edited"] > got[i]["near_next"]
-    assert nearer / len(order) > 0.9
+        changed = brute_paragraphs(edited)
+        assert got[i]["near_edited"] == pytest.approx(jaccard(sets[i], changed))
+        assert got[i]["near_next"] == pytest.approx(jaccard(sets[i], sets[other]))
+        for fingerprint, held in ((got[i]["fingerprint"], sets[i]), (got[i]["edited_fingerprint"], changed)):
+            total, bits, cells = decoded(fingerprint)
+            assert total == len(held)
+            for t3 in range(3):  # every digest lies in one cell of each table
+                whole = 0
+                for c, v in cells.items():
+                    whole ^= v[1] if c >> bits == t3 else 0
+                assert whole == reduce(lambda x, y: x ^ y, held, 0)
     by_text = {}
     for i in order:
         assert by_text.setdefault(texts[i], got[i]["fingerprint"]) == got[i]["fingerprint"]
 
 
+def test_fingerprints_subtract_and_are_retried_larger(spark, docs, texts):
+    found = common.written(iblt.versions(docs), "paragraphs")
+    rows, left = iblt.differences(found)
+    assert left[0] > 0 and left[-1] == 0 and len(left) > 1  # some differences do not fit the smaller fingerprint
+    sides = {(r["did"], r["h"]): (set(r["own"]), set(r["edited"]), set(r["next"])) for r in found.collect()}
+    got = {(r["did"], r["h"], r["kind"]): (sorted(r["plus"]), sorted(r["minus"])) for r in rows.collect()}
+    for (did, h), (own, edited, after) in sides.items():
+        for kind, other in ((0, edited), (1, after)):
+            assert got.get((did, h, kind), ([], [])) == (sorted(own - other), sorted(other - own))
+
+
 def test_peeling_recovers_the_difference(spark):
     rng = np.random.default_rng(5)
     pick = lambda n: [int(x) for x in rng.integers(-(1 << 62), 1 << 62, n)]
     pairs = {k: (pick(a), pick(b), pick(c)) for k, (a, b, c) in {1: (30, 5, 7), 2: (0, 20, 0), 3: (100, 0, 0), 4: (0, 1, 1), 5: (10, 60, 60)}.items()}
-    rows = [(k, len(s) * 2 + len(a) + len(b), 1, d) for k, (s, a, b) in pairs.items() for d in s + a] + [(k, len(s) * 2 + len(a) + len(b), -1, d) for k, (s, a, b) in pairs.items() for d in s + b]
-    df = spark.createDataFrame(rows, "k int, total int, sign long, d long").withColumns({"bits": F.expr(iblt._bits("total", 1)), "seed": F.lit(0).cast("long")})
-    got = {r["k"]: (r["plus"], r["minus"], r["failed"]) for r in iblt.peel(iblt._cells(df, ["k"]), ["k"]).collect()}
-    assert got == {k: (len(a), len(b), False) for k, (s, a, b) in pairs.items() if a or b}
+    rows = [(k, 1, d) for k, (s, a, b) in pairs.items() for d in s + a] + [(k, -1, d) for k, (s, a, b) in pairs.items() for d in s + b]
+    df = spark.createDataFrame(rows, "k int, sign long, d long").withColumn("bits", F.lit(9))
+    got = {r["k"]: (sorted(r["plus"]), sorted(r["minus"]), r["failed"]) for r in iblt.peel(iblt._cells(df, ["k"]), ["k"]).collect()}
+    assert got == {k: (sorted(a), sorted(b), False) for k, (s, a, b) in pairs.items() if a or b}
     small = df.withColumn("bits", F.lit(2))
     assert {r["k"] for r in iblt.peel(iblt._cells(small, ["k"]), ["k"]).where("failed").collect()} >= {5}
 
 
+def test_an_early_word_changes_one_paragraph_of_a_long_line(spark):
+    text = " ".join(f"w{k * 7919 % 5003}" for k in range(20_000))
+    row = spark.createDataFrame([(text, "new " + text)], "a string, b string").select(iblt.paragraphs(F.col("a")).alias("a"), iblt.paragraphs(F.col("b")).alias("b")).first()
+    a, b = set(row["a"]), set(row["b"])
+    assert len(a) > 100 and len(a ^ b) <= 3
+
+
 def test_sketches_odd(spark, odd):
     got = iblt.compare(odd).collect()
     assert len(got) == len(ODD) and sum(r["doc_id"] is None for r in got) == 1
@@ -298,13 +367,6 @@ def test_sketches_odd(spark, odd):
     assert one["near_next"] == 1.0  # its next document is itself
 
 
-def test_level_digests_agree(spark):
-    text = " ".join(f"w{i}" for i in range(64))
-    row = spark.range(1).select(iblt.paragraphs(F.lit(text)).alias("a"), iblt.paragraphs(F.lit(text + " x" * 200)).alias("b"), iblt.level(F.lit(len(text))).alias("la"), iblt.level(F.lit(len(text) + 400)).alias("lb"))
-    row = row.select(iblt.units(iblt.joined(F.col("a"), F.col("lb") - F.col("la"))).alias("a"), iblt.units(F.col("b")).alias("b"), "la", "lb").first()
-    assert row["lb"] > row["la"] and len(set(row["a"]) & set(row["b"])) >= len(row["a"]) - 1
-
-
 # --- 8
 
 
