@@ -132,11 +132,27 @@ OUTSIDE_TYPES = {"PAYMENT": "TRANSFER", "REFUND": "INCOME", "FEE_INTEREST": "EXP
 
 def validated(kind: Column, confidence: Column) -> tuple[Column, Column, Column]:
     """(type, confidence, needs_review) of an outside classifier's answer: types mapped or, if unknown,
-    UNCATEGORIZED; confidence held to 0 to 1; below 0.6, or uncategorized, it needs a review."""
-    upper = F.upper(F.coalesce(kind, F.lit("")))
-    mapped = F.when(upper.isin("EXPENSE", "INCOME", "TRANSFER", "UNCATEGORIZED"), upper)
+    UNCATEGORIZED, if missing EXPENSE; confidence held to 0 to 1, 0.8 if missing; below 0.6, or uncategorized, it
+    needs a review."""
+    mapped = F.when(kind.isNull(), "EXPENSE").when(kind.isin("EXPENSE", "INCOME", "TRANSFER", "UNCATEGORIZED"), kind)
     for name, to in OUTSIDE_TYPES.items():
-        mapped = mapped.when(upper == name, to)
+        mapped = mapped.when(kind == name, to)
     mapped = mapped.otherwise("UNCATEGORIZED")
-    held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(confidence, F.lit(0.5))))
+    held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(confidence, F.lit(0.8))))
     return mapped, held, (held < 0.6) | (mapped == "UNCATEGORIZED")
+
+
+# What an answer may set.
+OUTSIDE_FIELDS = ["category", "subcategory", "tags"]
+
+
+def validated_answers(answers: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """An outside classifier's answers (transaction_type, confidence, and of OUTSIDE_FIELDS what there is) as they may
+    be stored: types and confidence as in ``validated``, flags by the type, uncategorized ones in a category of their
+    own; other columns than those and ``keep`` are dropped."""
+    kind, confidence, review = validated(F.col("transaction_type"), F.col("confidence").cast("double"))
+    fields = {c: F.col(c) for c in OUTSIDE_FIELDS if c in answers.columns}
+    if "category" in fields:
+        fields["category"] = F.when(kind == "UNCATEGORIZED", "Uncategorized").otherwise(F.col("category"))
+    new = {"transaction_type": kind, **fields, "is_spend": kind == "EXPENSE", "is_income": kind == "INCOME", "confidence": confidence, "needs_review": review, "classification_method": F.lit("LLM")}
+    return answers.select(*keep, *[v.alias(c) for c, v in new.items()])

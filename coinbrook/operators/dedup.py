@@ -44,17 +44,30 @@ def first_in_batch(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def near_duplicates(tx: DataFrame, id: str = "id", days: int = 3, cents: str = "0.01") -> DataFrame:
-    """Pairs (id_1 < id_2) of equal description, amounts at most a cent and dates at most three days apart.
+    """One row per row of ``tx`` that has near ones, with their number (``links``) and its class: rows are near that
+    have equal descriptions, amounts at most a cent apart and dates at most some days. Rows of equal description,
+    date and amount are one class, named by its least id (``class_id``).
 
-    The band join is made an equality join: each row is dealt to its bucket of days and, on one side, to the
-    two buckets beside it, so a common description does not meet itself over all dates.
+    Only classes are compared, so n equal rows cost one row, not n squared pairs. The band join is an equality join:
+    each class is dealt to its bucket of days and, on one side, to the two buckets beside it, so a common description
+    does not meet itself over all dates. Amounts are decimals of a cent, so a class meets few others.
     """
+    keys = ["description", "date", "amount"]
     rows = tx.select(F.col(id).alias("id"), "date", "amount", plain_description(F.col("description_raw")).alias("description"))
+    classes = rows.groupBy(*keys).agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
+    step = F.lit(cents).cast("decimal(15,2)")
     bucket = F.floor(F.unix_date("date") / (days + 1)).cast("long")
-    cell = F.floor(F.col("amount") / F.lit(cents).cast("decimal(15,2)")).cast("long")
-    left = rows.select("description", *[F.col(c).alias(f"{c}_1") for c in ("id", "date", "amount")], bucket.alias("b"), cell.alias("c"))
+    cell = F.floor(F.col("amount") / step).cast("long")
     near = lambda c: F.explode(F.array(*[c + d for d in (-1, 0, 1)]))
-    right = rows.select("description", *[F.col(c).alias(f"{c}_2") for c in ("id", "date", "amount")], bucket.alias("b0"), near(cell).alias("c")).withColumn("b", near(F.col("b0"))).drop("b0")
-    joined = left.join(right, ["description", "b", "c"]).where("id_1 < id_2")
-    close = (F.abs(F.col("amount_1") - F.col("amount_2")) <= F.lit(cents).cast("decimal(15,2)")) & (F.abs(F.datediff("date_1", "date_2")) <= days)
-    return joined.where(close).select("id_1", "id_2", "description")
+    left = classes.select(*keys, "class_id", "n", bucket.alias("b"), cell.alias("c"))
+    right = classes.select("description", F.col("date").alias("date_2"), F.col("amount").alias("amount_2"), F.col("n").alias("n_2"), bucket.alias("b0"), near(cell).alias("c")).withColumn("b", near(F.col("b0"))).drop("b0")
+    joined = left.join(right, ["description", "b", "c"])
+    close = (F.abs(F.col("amount") - F.col("amount_2")) <= step) & (F.abs(F.datediff("date", "date_2")) <= days)
+    linked = joined.where(close).groupBy(*keys, "class_id").agg((F.sum("n_2") - 1).alias("links")).where("links > 0")
+    return rows.join(linked, keys).select("id", "class_id", "links", "description")
+
+
+def near_classes(tx: DataFrame, id: str = "id", days: int = 3) -> DataFrame:
+    """The classes of near rows and how many rows each has: what a review shows."""
+    near = near_duplicates(tx, id, days)
+    return near.groupBy("class_id", "description", "links").agg(F.count("*").alias("rows"))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..schemas import BANK_TYPES, BROKERAGE_TYPES
 
 
-def filtered(tx: DataFrame, user=None, account=None, kind=None, category=None, is_spend=None, needs_review=None, rule=None, search: str | None = None, start=None, end=None) -> DataFrame:
+def filtered(tx: DataFrame, user=None, account=None, kind=None, category=None, is_spend=None, needs_review=None, rule=None, search: str | None = None, start=None, end=None, other_than=None) -> DataFrame:
     """Rows that meet all conditions given. ``search`` is looked for in description or merchant without regard
-    to case, its wildcards alive; a row without merchant can still match by its description."""
+    to case, its wildcards alive; a row without merchant can still match by its description. ``other_than``
+    leaves out the row of that id."""
     equal = {"user_id": user, "account_id": account, "transaction_type": kind, "category": category, "is_spend": is_spend, "needs_review": needs_review, "matched_rule_id": rule}
     for c, v in equal.items():
         if v is not None:
@@ -21,7 +22,7 @@ def filtered(tx: DataFrame, user=None, account=None, kind=None, category=None, i
         tx = tx.where(F.col("date") >= F.lit(start))
     if end is not None:
         tx = tx.where(F.col("date") <= F.lit(end))
-    return tx
+    return tx if other_than is None else tx.where(F.col("id") != other_than)
 
 
 def page(rows: DataFrame, order: list, page: int = 1, size: int = 50) -> DataFrame:
@@ -49,17 +50,18 @@ def type_change_allowed(old: Column, new: Column) -> Column:
     return family(old) == family(new)
 
 
-def account_counts(accounts: DataFrame, tx: DataFrame, snapshots: DataFrame, positions: DataFrame) -> DataFrame:
-    """Accounts with their numbers of transactions, snapshots and positions in the latest snapshots."""
+def account_counts(accounts: DataFrame, tx: DataFrame, snapshots: DataFrame, positions: DataFrame, imports: DataFrame) -> DataFrame:
+    """Accounts with their numbers of transactions, imports, snapshots and positions in the latest snapshots."""
     from .networth import latest
 
     t = tx.groupBy("account_id").agg(F.count("*").alias("transactions"))
+    i = imports.groupBy("account_id").agg(F.count("*").alias("imports"))
     s = snapshots.groupBy("account_id").agg(F.count("*").alias("snapshots"))
     p = latest(snapshots).select("account_id", "snapshot_id").join(positions, "snapshot_id").groupBy("account_id").agg(F.count("*").alias("positions"))
     out = accounts.select("account_id", "user_id")
-    for part in (t, s, p):
+    for part in (t, i, s, p):
         out = out.join(part, "account_id", "left")
-    return out.fillna(0, ["transactions", "snapshots", "positions"])
+    return out.fillna(0, ["transactions", "imports", "snapshots", "positions"])
 
 
 def families(accounts: DataFrame) -> DataFrame:
@@ -73,13 +75,15 @@ def visible_imports(imports: DataFrame, accounts: DataFrame, user) -> DataFrame:
 
 
 def match_accounts(statements: DataFrame, accounts: DataFrame, institution: str = "institution", last4: str = "last4") -> DataFrame:
-    """The account of each statement (user_id, account_hash, institution, last4): by hash among active ones,
-    else by institution and last digits where the account's hash is missing or the same. Of several the
-    least id."""
-    by_hash = accounts.where("is_active AND account_hash IS NOT NULL").groupBy("user_id", "account_hash").agg(F.min("account_id").alias("a1"))
+    """The account of each statement (statement_id, user_id, account_hash, institution, last4): by hash, else by
+    institution and last digits where the account's hash is missing or the same, or the statement has none. Where
+    both tables have an account_type it has to agree too. Only active accounts count; of several the least id."""
+    accounts = accounts.where("is_active")
+    typed = ["account_type"] if "account_type" in accounts.columns and "account_type" in statements.columns else []
+    by_hash = accounts.where("account_hash IS NOT NULL").groupBy("user_id", "account_hash").agg(F.min("account_id").alias("a1"))
     one = statements.join(by_hash, ["user_id", "account_hash"], "left")
-    loose = accounts.select("user_id", institution, last4, F.col("account_hash").alias("h2"), F.col("account_id").alias("a2"))
-    two = statements.join(loose, ["user_id", institution, last4]).where(F.col("h2").isNull() | (F.col("h2") == F.col("account_hash")))
+    loose = accounts.select("user_id", institution, last4, *typed, F.col("account_hash").alias("h2"), F.col("account_id").alias("a2"))
+    two = statements.join(loose, ["user_id", institution, last4, *typed]).where(F.col("account_hash").isNull() | F.col("h2").isNull() | (F.col("h2") == F.col("account_hash")))
     two = two.groupBy("statement_id").agg(F.min("a2").alias("a2"))
     return one.join(two, "statement_id", "left").select("statement_id", F.coalesce("a1", "a2").alias("account_id"))
 

@@ -1,7 +1,7 @@
 """User rules compiled into column expressions.
 
-The first matching rule wins, by priority (lower first), then newest, then id. Up to MANY rules become one
-ordered cascade; more are joined and ranked.
+The first matching rule wins, by priority (lower first), then newest, then id. A user's rules become one ordered
+cascade; large sets of literal ones are joined (``matched_by_join``).
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ import json
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
 
-MANY = 200
+#: Into how many groups the texts of a user are dealt where they are joined with many rules.
+DEALT = 16
 
 
 def ordered(rules: Iterable[dict]) -> list[dict]:
@@ -127,8 +128,14 @@ def match_counts(tx: DataFrame, rules: list[dict]) -> DataFrame:
 
 
 def matched_by_join(tx: DataFrame, id: str, patterns: DataFrame) -> DataFrame:
-    """For large sets of literal rules (user_id, rule_id, pattern, priority): the first match of each row, by a
-    join on the user."""
-    joined = tx.join(patterns, "user_id").where(F.contains(F.lower(_text("merchant")), F.lower("pattern")) | F.contains(F.lower(_text("description_raw")), F.lower("pattern")))
-    rank = F.row_number().over(Window.partitionBy(id).orderBy("priority", "rule_id"))
-    return joined.withColumn("__rank", rank).where("__rank = 1").drop("__rank", "pattern")
+    """For large sets of literal rules (user_id, rule_id, pattern, priority): the first match of each row, rows
+    without one left out. Each distinct pair of merchant and description of a user is compared once with the user's
+    patterns, and a heavy user's pairs are dealt to DEALT groups, each of which gets the patterns."""
+    dealt = F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))
+    key = ["user_id", "__merchant", "__description"]
+    rows = tx.withColumns({"__merchant": F.lower(_text("merchant")), "__description": F.lower(_text("description_raw"))})
+    texts = rows.select(*key).distinct().withColumn("__deal", F.pmod(F.hash(*key), F.lit(DEALT)))
+    found = texts.join(patterns.select("user_id", "rule_id", "priority", F.lower("pattern").alias("pattern"), dealt.alias("__deal")), ["user_id", "__deal"])
+    found = found.where(F.contains("__merchant", "pattern") | F.contains("__description", "pattern"))
+    first = found.groupBy(*key).agg(F.min(F.struct("priority", "rule_id")).alias("__first"))
+    return rows.join(first, key).select(*tx.columns, F.col("__first.rule_id").alias("rule_id"), F.col("__first.priority").alias("priority"))

@@ -75,13 +75,15 @@ def period_categories(tx: DataFrame, start: dt.date, end: dt.date, user=None, ac
 
 
 def yearly_summary(tx: DataFrame, year: int, user=None, account=None) -> DataFrame:
-    """Twelve rows for each user, months without rows at zero, and the year's totals on each."""
+    """Twelve rows for each user, months without rows at zero, and the year's totals on each: one aggregate with a
+    sum for each month."""
     rows = scoped(tx, user, account, dt.date(year, 1, 1), dt.date(year, 12, 31))
-    by = rows.groupBy("user_id", F.month("date").alias("month")).agg(*_flows())
-    spine = by.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
-    full = spine.join(by, ["user_id", "month"], "left").fillna(0.0)
-    exact = rows.groupBy("user_id").agg(*_flows(suffix="_year"))
-    return full.join(exact, "user_id").withColumn("avg_monthly_spend", F.col("total_spend_year") / 12)
+    months = [c for m in range(1, 13) for c in _flows(F.month("date") == m, f"_{m}")]
+    wide = rows.groupBy("user_id").agg(*_flows(suffix="_year"), *months)
+    names = ("total_spend", "total_income", "net")
+    each = [F.struct(F.lit(m).alias("month"), *[F.col(f"{n}_{m}").alias(n) for n in names]) for m in range(1, 13)]
+    long = wide.select("user_id", *[f"{n}_year" for n in names], F.inline(F.array(*each)))
+    return long.withColumn("avg_monthly_spend", F.col("total_spend_year") / 12)
 
 
 def category_breakdown(tx: DataFrame, start: dt.date, end: dt.date, user=None, account=None) -> DataFrame:
@@ -115,9 +117,17 @@ def _change(of: Column, than: Column) -> tuple[Column, Column]:
     return of - than, share(of - than, than)
 
 
+def _years(*years: int) -> Column:
+    """Rows of the years, as ranges of dates that scans can use."""
+    out = F.lit(False)
+    for y in years:
+        out = out | F.col("date").between(F.lit(dt.date(y, 1, 1)), F.lit(dt.date(y, 12, 31)))
+    return out
+
+
 def yoy_year(tx: DataFrame, year: int, than: int, user=None) -> DataFrame:
     """Totals of two years and how spending changed."""
-    rows = tx.where(F.year("date").isin(year, than))
+    rows = tx.where(_years(year, than))
     both = scoped(rows, user).groupBy("user_id").agg(*_flows(F.year("date") == year, "_1"), *_flows(F.year("date") == than, "_2"))
     change, pct = _change(F.col("total_spend_1"), F.col("total_spend_2"))
     return both.withColumns({"spend_change": change, "spend_change_pct": pct})
@@ -125,10 +135,11 @@ def yoy_year(tx: DataFrame, year: int, than: int, user=None) -> DataFrame:
 
 def yoy_year_months(tx: DataFrame, year: int, than: int, user=None) -> DataFrame:
     """Spending of the twelve months of two years side by side."""
-    rows = scoped(tx.where(F.year("date").isin(year, than)), user)
-    by = rows.groupBy("user_id", F.month("date").alias("month")).agg(double(_total("is_spend", F.year("date") == year)).alias("spend_1"), double(_total("is_spend", F.year("date") == than)).alias("spend_2"))
-    spine = by.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
-    full = spine.join(by, ["user_id", "month"], "left").fillna(0.0)
+    rows = scoped(tx.where(_years(year, than)), user)
+    spend = lambda y, m: double(_total("is_spend", (F.year("date") == y) & (F.month("date") == m)))
+    wide = rows.groupBy("user_id").agg(*[spend(y, m).alias(f"s{i}_{m}") for m in range(1, 13) for i, y in ((1, year), (2, than))])
+    each = [F.struct(F.lit(m).alias("month"), F.col(f"s1_{m}").alias("spend_1"), F.col(f"s2_{m}").alias("spend_2")) for m in range(1, 13)]
+    full = wide.select("user_id", F.inline(F.array(*each)))
     change, pct = _change(F.col("spend_1"), F.col("spend_2"))
     return full.withColumns({"change": change, "change_pct": pct, "month_name": F.date_format(F.make_date(F.lit(year), "month", F.lit(1)), "MMMM")})
 
@@ -136,7 +147,7 @@ def yoy_year_months(tx: DataFrame, year: int, than: int, user=None) -> DataFrame
 def yoy_month_categories(tx: DataFrame, year: int, than: int, month: int, user=None) -> DataFrame:
     """Spending by category in the same month of two years: what one of them lacks counts 0. Ranked by how
     much changed, then by name."""
-    rows = scoped(tx, user).where((F.month("date") == month) & F.year("date").isin(year, than) & F.col("is_spend") & F.col("category").isNotNull())
+    rows = scoped(tx, user).where((F.month("date") == month) & _years(year, than) & F.col("is_spend") & F.col("category").isNotNull())
     by = rows.groupBy("user_id", "category").agg(*[double(F.sum(F.when(F.year("date") == y, effective()))).alias(f"amount_{i}") for i, y in ((1, year), (2, than))])
     change, pct = _change(F.col("amount_1"), F.col("amount_2"))
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc(F.abs("change")), "category"))

@@ -9,19 +9,20 @@ from ..operators import spending
 
 
 def export_rows(tx: DataFrame) -> DataFrame:
-    """Transactions as an export shows them: text only, booleans as Yes and No, nulls empty, tags joined."""
+    """Transactions as an export shows them, in its thirteen columns: text only, booleans as Yes and No, nulls empty,
+    tags joined. Columns that ``tx`` lacks are empty."""
     yes = lambda c: F.when(F.col(c), "Yes").otherwise("No")
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in tx.columns else F.lit("")
+    amount = F.when(F.coalesce(F.col("amount"), F.lit(0)) == 0, "0").otherwise(F.col("amount").cast("string"))
     out = {
-        "Date": F.date_format("date", "yyyy-MM-dd"), "Description": text("description_raw"), "Merchant": text("merchant"), "Amount": F.col("amount").cast("string"), "Currency": text("currency"),
-        "Type": text("transaction_type"), "Category": text("category"), "Is Spend": yes("is_spend"), "Is Income": yes("is_income"), "Needs Review": yes("needs_review"),
+        "Date": F.coalesce(F.date_format("date", "yyyy-MM-dd"), F.lit("")), "Description": text("description_raw"), "Merchant": text("merchant"), "Amount": amount,
+        "Type": text("transaction_type"), "Category": text("category"), "Subcategory": text("subcategory"), "Is Spend": yes("is_spend"), "Is Income": yes("is_income"),
+        "Classification Method": text("classification_method"), "Account ID": text("account_id"),
+        "Tags": F.coalesce(F.array_join("tags", ","), F.lit("")) if "tags" in tx.columns else F.lit(""), "Notes": text("user_note"),
     }
-    if "tags" in tx.columns:
-        out["Tags"] = F.coalesce(F.array_join("tags", ","), F.lit(""))
     return tx.select(*[c.alias(n) for n, c in out.items()])
 
 
-
 def summary_lines(tx: DataFrame, start, end, user) -> DataFrame:
     """The summary block of a report: (line, label, value)."""
     s = spending.range_summary(tx, start, end, user)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import binding as b
-from . import text_queries
+from . import statement_queries, text_queries, upkeep_queries
 from .functions import classify
 from .operators import changes, dedup, lists, networth, rules, spending
 from .schemas import ASSET_CLASSES
@@ -40,11 +40,10 @@ def _tx(s, d):
 def merchants(spark, sf_dir) -> DataFrame:
     """A learned merchant for every third brand of each user."""
     nations = b.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("user_id"))
-    brands = b.table(spark, sf_dir, "part").select(F.col("p_brand").alias("merchant_normalized")).distinct()
+    brands = b.table(spark, sf_dir, "part").select(F.col("p_brand").alias("merchant_normalized")).distinct().withColumn("user_id", F.explode(F.sequence(F.lit(0), F.lit(24))))
     number = F.regexp_extract("merchant_normalized", "[0-9]+", 0).cast("int")
     category = F.when(number % 2 == 0, "Transfers").otherwise("Hobbies")
-    # 25 nations by the brands of one letter: both sides are fixed lists
-    return nations.crossJoin(F.broadcast(brands.where(number % 3 == 0))).select("user_id", "merchant_normalized", category.alias("category"), F.lit(0.8).alias("confidence"), (number * 100).alias("times_applied"))
+    return brands.where(number % 3 == 0).join(nations, "user_id", "left_semi").select("user_id", "merchant_normalized", category.alias("category"), F.lit(0.8).alias("confidence"), (number * 100).alias("times_applied"))
 
 
 _MERCHANTS = """
@@ -113,11 +112,12 @@ QUERIES = {
     "insights": lambda s, d: spending.insights(_tx(s, d), START, END),
     "distinct_categories": lambda s, d: spending.distinct_categories(_tx(s, d)),
     "merchant_count": lambda s, d: spending.merchant_count(_tx(s, d), "Brand#7"),
-    "account_counts": lambda s, d: lists.account_counts(b.accounts(s, d), _tx(s, d), b.snapshots(s, d), b.positions(s, d)),
+    "account_counts": lambda s, d: lists.account_counts(b.accounts(s, d), _tx(s, d), b.snapshots(s, d), b.positions(s, d), _keyed(s, d).select("account_id", "file_hash").distinct()),
     "account_families": lambda s, d: lists.families(b.accounts(s, d)),
     "account_search_words": lambda s, d: b.accounts(s, d).where(lists.has_words(F.concat("name", F.lit(" "), "institution"), "bank 3 0012")).select("account_id", "name"),
     "import_visibility": lambda s, d: lists.visible_imports(b.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")).alias("account_id"), (F.col("o_orderkey") % 25).alias("user_id")), b.accounts(s, d), 4).select("id"),
-    "list_transactions_page": lambda s, d: lists.page(b.snapshots(s, d).select("snapshot_id", "statement_date", F.col("total_value").cast("double").alias("total_value")), [F.desc("statement_date"), "snapshot_id"], 3, 50),
+    "list_transactions_page": lambda s, d: lists.page(_tx(s, d).select("date", "account_id", "description_raw", F.col("amount").cast("double").alias("amount")), [F.desc("date"), "account_id", "description_raw", "amount"], 3, 50),
+    "list_snapshots_page": lambda s, d: lists.page(b.snapshots(s, d).select("snapshot_id", "statement_date", F.col("total_value").cast("double").alias("total_value")), [F.desc("statement_date"), "snapshot_id"], 3, 50),
     "search_description": lambda s, d: lists.filtered(_tx(s, d), search="r_ng%brand#1").groupBy("user_id", "description_raw").agg(F.count("*").alias("n")),
     "list_filtered": lambda s, d: lists.filtered(_tx(s, d), user=3, kind="EXPENSE", is_spend=True, needs_review=False, start=START, end=END).groupBy("account_id", "category").agg(F.count("*").alias("n")),
     "net_worth_current": lambda s, d: networth.current(b.snapshots(s, d)),
@@ -144,7 +144,7 @@ QUERIES = {
     "keyword_category": lambda s, d: _descriptions(s, d).select("id", classify.keyword_category(F.upper("description_raw")).alias("category")),
     "default_classifier": lambda s, d: _descriptions(s, d).select("id", *[c.alias(n) for c, n in zip(classify.default_class(F.col("description_raw"), F.col("amount")), ("transaction_type", "category"))]),
     "fallback_classifier": lambda s, d: _descriptions(s, d).select("id", *[c.alias(n) for c, n in zip(classify.default_class(F.col("description_raw"), F.col("amount"), after_failure=True), ("transaction_type", "category"))]),
-    "llm_validator": lambda s, d: b.table(s, d, "events").select("event_id", *[c.alias(n) for c, n in zip(classify.validated(F.when(F.col("event_type") == "click", "payment").when(F.col("event_type") == "view", "Refund").when(F.col("event_type") == "error", None).otherwise(F.lit("expense")), (F.col("value") / 20)), ("transaction_type", "confidence", "needs_review"))]),
+    "llm_validator": lambda s, d: b.table(s, d, "events").select("event_id", *[c.alias(n) for c, n in zip(classify.validated(F.when(F.col("event_type") == "click", "PAYMENT").when(F.col("event_type") == "view", "REFUND").when(F.col("event_type") == "error", "income").when(F.col("event_type") == "signup", None).otherwise(F.lit("EXPENSE")), (F.col("value") / 20)), ("transaction_type", "confidence", "needs_review"))]),
     "import_keys": lambda s, d: _keyed(s, d).select("id", "hash_dedup_key"),
     "dedup_in_batch": lambda s, d: dedup.first_in_batch(_keyed(s, d), "hash_dedup_key", ["id"]).select("id"),
     "dedup_new_rows": lambda s, d: dedup.new_rows(_keyed(s, d), _keyed(s, d).where("id % 2 = 0")).select("id"),
@@ -154,9 +154,23 @@ QUERIES = {
     "plain_descriptions": lambda s, d: _descriptions(s, d).select("id", dedup.plain_description(F.col("description_raw")).alias("plain")),
     "keep_last_balance": lambda s, d: changes.keep_last(b.table(s, d, "orders").select(F.col("o_custkey").alias("account_id"), F.col("o_orderdate").cast("date").alias("day"), "o_orderkey", "o_totalprice"), ["account_id", "day"], "o_orderkey"),
     "event_windows": lambda s, d: _windows(s, d),
+    "import_commit": lambda s, d: _commit(s, d),
 }
 
 
+def _commit(s, d):
+    """Descriptions as parsed rows of two currencies, of which the ledger has every odd one already."""
+    from .plans import imports
+
+    parsed = _descriptions(s, d).select(
+        "id", "description_raw", "amount", (F.col("id") % 25).cast("int").alias("user_id"), (F.col("id") % 50).alias("account_id"), F.lit("f").alias("file_hash"), F.col("id").alias("row_index"),
+        F.date_add(F.lit(dt.date(1998, 1, 1)), (F.col("id") % 28).cast("int")).alias("date"), F.concat(F.lit("Brand#"), (F.col("id") % 7).cast("string")).alias("merchant"), F.when(F.col("id") % 3 == 0, "EUR").otherwise("USD").alias("currency"),
+    )
+    ledger = parsed.where("id % 2 = 1").select(dedup.import_key("account_id", "file_hash", "row_index").alias("hash_dedup_key"))
+    out = imports.commit(parsed.union(parsed.where("id % 4 = 0")), ledger, [], merchants(s, d), b.fx_rates(s, d))
+    return out.select("id", "transaction_type", "category", "classification_method", "confidence", "is_spend", "is_income", F.col("amount_usd").cast("double").alias("amount_usd"))
+
+
 def _windows(s, d):
     from .streaming.inbox import windowed_totals
 
@@ -231,13 +245,15 @@ _BODIES = {
     "insights": f"SELECT user_id, {(END - START).days + 1} AS days, total_spend / {(END - START).days + 1} AS daily_average, {_pct('net', 'total_income')} AS savings_rate FROM (SELECT user_id, {_FLOWS} FROM tx WHERE date BETWEEN {_S} AND {_E} GROUP BY user_id)",
     "distinct_categories": "SELECT DISTINCT user_id, category FROM tx WHERE category IS NOT NULL",
     "merchant_count": "SELECT user_id, COUNT(*) AS count FROM tx WHERE merchant = 'Brand#7' GROUP BY user_id",
-    "account_counts": f"""SELECT a.account_id, a.user_id, COALESCE(t.n, 0) AS transactions, COALESCE(s.n, 0) AS snapshots, COALESCE(p.n, 0) AS positions FROM accounts a
-      LEFT JOIN (SELECT account_id, COUNT(*) AS n FROM tx GROUP BY 1) t ON a.account_id = t.account_id LEFT JOIN (SELECT account_id, COUNT(*) AS n FROM snaps GROUP BY 1) s ON a.account_id = s.account_id
+    "account_counts": f"""SELECT a.account_id, a.user_id, COALESCE(t.n, 0) AS transactions, COALESCE(i.n, 0) AS imports, COALESCE(s.n, 0) AS snapshots, COALESCE(p.n, 0) AS positions FROM accounts a
+      LEFT JOIN (SELECT account_id, COUNT(*) AS n FROM tx GROUP BY 1) t ON a.account_id = t.account_id
+      LEFT JOIN (SELECT o_custkey % 50 AS account_id, COUNT(DISTINCT o_orderstatus) AS n FROM orders GROUP BY 1) i ON a.account_id = i.account_id LEFT JOIN (SELECT account_id, COUNT(*) AS n FROM snaps GROUP BY 1) s ON a.account_id = s.account_id
       LEFT JOIN (SELECT account_id, COUNT(*) AS n FROM (SELECT *, rank() OVER (PARTITION BY account_id ORDER BY statement_date DESC) AS rk FROM snaps) l JOIN pos ON l.snapshot_id = pos.snapshot_id WHERE rk = 1 GROUP BY 1) p ON a.account_id = p.account_id""",
     "account_families": "SELECT user_id, CASE WHEN account_type IN ('CHECKING', 'SAVINGS', 'CREDIT_CARD') THEN 'bank' WHEN account_type IN ('BROKERAGE', 'RETIREMENT_401K') THEN 'brokerage' ELSE 'other' END AS family, account_type, COUNT(*) AS accounts, COUNT(*) FILTER (is_active) AS active FROM accounts GROUP BY ALL",
     "account_search_words": "SELECT account_id, name FROM accounts WHERE contains(lower(name || ' ' || institution), 'bank') AND contains(lower(name || ' ' || institution), '3') AND contains(lower(name || ' ' || institution), '0012')",
     "import_visibility": "SELECT i.id FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS account_id, o_orderkey % 25 AS user_id FROM orders) i LEFT JOIN accounts a ON i.account_id = a.account_id WHERE a.user_id = 4 OR i.user_id = 4",
-    "list_transactions_page": "SELECT snapshot_id, statement_date, CAST(total_value AS DOUBLE) AS total_value, (SELECT COUNT(*) FROM snaps) AS total, (SELECT COUNT(*) FROM snaps) > 150 AS has_more FROM snaps ORDER BY statement_date DESC, snapshot_id LIMIT 50 OFFSET 100",
+    "list_transactions_page": "SELECT date, account_id, description_raw, CAST(amount AS DOUBLE) AS amount, (SELECT COUNT(*) FROM tx) AS total, (SELECT COUNT(*) FROM tx) > 150 AS has_more FROM tx ORDER BY date DESC, account_id, description_raw, amount LIMIT 50 OFFSET 100",
+    "list_snapshots_page": "SELECT snapshot_id, statement_date, CAST(total_value AS DOUBLE) AS total_value, (SELECT COUNT(*) FROM snaps) AS total, (SELECT COUNT(*) FROM snaps) > 150 AS has_more FROM snaps ORDER BY statement_date DESC, snapshot_id LIMIT 50 OFFSET 100",
     "search_description": "SELECT user_id, description_raw, COUNT(*) AS n FROM tx WHERE description_raw ILIKE '%r_ng%brand#1%' OR merchant ILIKE '%r_ng%brand#1%' GROUP BY ALL",
     "list_filtered": f"SELECT account_id, category, COUNT(*) AS n FROM tx WHERE user_id = 3 AND transaction_type = 'EXPENSE' AND is_spend AND NOT needs_review AND date BETWEEN {_S} AND {_E} GROUP BY ALL",
     "net_worth_current": f", {_LATEST} SELECT user_id, CAST(SUM(total_value) AS DOUBLE) AS net_worth, COUNT(DISTINCT account_id) AS accounts FROM latest GROUP BY user_id",
@@ -265,13 +281,19 @@ _BODIES = {
     "keyword_category": f", {_DESCRIPTIONS} SELECT id, {_cascade()} AS category FROM (SELECT *, upper(description_raw) AS d FROM descr)",
     "default_classifier": f", {_DESCRIPTIONS} {_default(False)}",
     "fallback_classifier": f", {_DESCRIPTIONS} {_default(True)}",
-    "llm_validator": """SELECT event_id, k AS transaction_type, c AS confidence, c < 0.6 OR k = 'UNCATEGORIZED' AS needs_review FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 'TRANSFER' WHEN 'view' THEN 'INCOME' WHEN 'error' THEN 'UNCATEGORIZED' ELSE 'EXPENSE' END AS k, greatest(CAST(0.0 AS DOUBLE), least(CAST(1.0 AS DOUBLE), COALESCE(value / 20, 0.5))) AS c FROM events)""",
+    "llm_validator": """SELECT event_id, k AS transaction_type, c AS confidence, c < 0.6 OR k = 'UNCATEGORIZED' AS needs_review FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 'TRANSFER' WHEN 'view' THEN 'INCOME' WHEN 'error' THEN 'UNCATEGORIZED' ELSE 'EXPENSE' END AS k, greatest(CAST(0.0 AS DOUBLE), least(CAST(1.0 AS DOUBLE), COALESCE(value / 20, 0.8))) AS c FROM events)""",
+    "import_commit": f""", {_DESCRIPTIONS}, {_MERCHANTS}, base AS ({_default(False)}),
+      fresh AS (SELECT d.*, base.transaction_type AS k0, base.category AS c0, mc.category AS mcat, DATE '1998-01-01' + CAST(d.id % 28 AS INT) AS day FROM descr d JOIN base USING (id) LEFT JOIN mc ON mc.user_id = d.id % 25 AND mc.merchant_normalized = 'Brand#' || CAST(d.id % 7 AS VARCHAR) WHERE d.id % 2 = 0),
+      typed AS (SELECT *, CASE WHEN mcat = 'Transfers' THEN 'TRANSFER' WHEN mcat IS NULL THEN k0 WHEN amount < 0 THEN 'INCOME' ELSE 'EXPENSE' END AS k FROM fresh)
+      SELECT id, k AS transaction_type, COALESCE(mcat, c0) AS category, CASE WHEN mcat IS NULL THEN 'DEFAULT' ELSE 'LEARNED' END AS classification_method, CASE WHEN mcat IS NULL THEN 0.7 ELSE 0.8 END AS confidence, k = 'EXPENSE' AS is_spend, k = 'INCOME' AS is_income,
+        CAST(CASE WHEN id % 3 > 0 THEN amount ELSE round(amount * rate, 2) END AS DOUBLE) AS amount_usd FROM typed LEFT JOIN fx ON from_currency = 'EUR' AND rate_date = day""",
     "import_keys": f", {_IMPORTS} SELECT id, hash_dedup_key FROM keyed",
     "dedup_in_batch": f", {_IMPORTS} SELECT MIN(id) AS id FROM keyed GROUP BY hash_dedup_key",
     "dedup_new_rows": f", {_IMPORTS} SELECT id FROM keyed WHERE hash_dedup_key NOT IN (SELECT hash_dedup_key FROM keyed WHERE id % 2 = 0)",
     "existing_hashes": f", {_IMPORTS} SELECT DISTINCT hash_dedup_key FROM keyed WHERE hash_dedup_key IN (SELECT hash_dedup_key FROM keyed WHERE id % 2 = 0)",
     "near_duplicates": """, ev AS (SELECT event_id AS id, CAST(ts AS DATE) AS date, CAST(value AS DECIMAL(15,2)) AS amount, lower(event_type) || ' ' || CAST(user_id % 20 AS VARCHAR) AS description FROM events)
-      SELECT x.id AS id_1, y.id AS id_2, x.description FROM ev x JOIN ev y ON x.description = y.description AND x.id < y.id AND abs(x.amount - y.amount) <= 0.01 AND abs(date_diff('day', x.date, y.date)) <= 3""",
+      SELECT x.id, x.class_id, COUNT(*) AS links, x.description FROM (SELECT *, min(id) OVER (PARTITION BY description, date, amount) AS class_id FROM ev) x
+      JOIN ev y ON x.description = y.description AND x.id <> y.id AND abs(x.amount - y.amount) <= 0.01 AND abs(date_diff('day', x.date, y.date)) <= 3 GROUP BY ALL""",
     "account_hash": "SELECT c_custkey AS id, sha256('AB' || CAST(c_custkey AS VARCHAR) || 'X') AS hash FROM customer",
     "plain_descriptions": f", {_DESCRIPTIONS} SELECT id, trim(regexp_replace(lower(description_raw), '[*#\\s]+', ' ', 'g')) AS plain FROM descr",
     "keep_last_balance": "SELECT o_custkey AS account_id, CAST(o_orderdate AS DATE) AS day, MAX(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY ALL",
@@ -280,5 +302,5 @@ _BODIES = {
 
 SQL = {name: f"WITH {b.SQL.strip()}{body if body.startswith(',') else ' ' + body}" for name, body in _BODIES.items()}
 
-QUERIES |= text_queries.QUERIES
-SQL |= text_queries.SQL
+QUERIES |= text_queries.QUERIES | statement_queries.QUERIES | upkeep_queries.QUERIES
+SQL |= text_queries.SQL | statement_queries.SQL | upkeep_queries.SQL

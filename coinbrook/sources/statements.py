@@ -207,30 +207,83 @@ def parse(statements: DataFrame, name: str, as_of_year: int, as_of_month: int) -
 
 # Forms of lines of unknown banks, in the order in which they are tried: pattern, date format.
 GENERIC = [
-    (rf"^(\d{{2}}/\d{{2}}/\d{{4}})\s+(.+?)\s+\$?(-?{_MONEY})$", "MM/dd/yyyy"),
-    (rf"^(\d{{2}}/\d{{2}}/\d{{2}})\s+(.+?)\s+\$?(-?{_MONEY})$", "MM/dd/yy"),
-    (rf"^(\d{{2}}/\d{{2}})\s+(.+?)\s+\$?(-?{_MONEY})$", "MM/dd"),
-    (rf"^([A-Z][a-z]{{2}}\s+\d{{1,2}})\s+(.+?)\s+\$?(-?{_MONEY})$", "MMM d"),
-    (rf"^(\d{{4}}-\d{{2}}-\d{{2}})\s+(.+?)\s+\$?(-?{_MONEY})$", "yyyy-MM-dd"),
-    (rf"^(\d{{2}}-\d{{2}}-\d{{4}})\s+(.+?)\s+\$?(-?{_MONEY})$", "MM-dd-yyyy"),
+    (rf"^(\d{{2}}/\d{{2}}/\d{{4}})\s+(.+?)\s+\$?(-?{_MONEY})\s*((?i)CR)?$", "MM/dd/yyyy"),
+    (rf"^(\d{{2}}/\d{{2}}/\d{{2}})\s+(.+?)\s+\$?(-?{_MONEY})\s*((?i)CR)?$", "MM/dd/yy"),
+    (rf"^(\d{{2}}/\d{{2}})\s+(.+?)\s+\$?(-?{_MONEY})\s*((?i)CR)?$", "MM/dd"),
+    (rf"^([A-Z][a-z]{{2}}\s+\d{{1,2}})\s+(.+?)\s+\$?(-?{_MONEY})()$", "MMM d"),
+    (rf"^(\d{{4}}-\d{{2}}-\d{{2}})\s+(.+?)\s+\$?(-?{_MONEY})()$", "yyyy-MM-dd"),
+    (rf"^(\d{{2}}-\d{{2}}-\d{{4}})\s+(.+?)\s+\$?(-?{_MONEY})()$", "MM-dd-yyyy"),
 ]
+# Words of lines that are no transaction, and of payments.
+GENERIC_SKIP = [
+    "STATEMENT", "ACCOUNT", "PAGE", "BALANCE", "TOTAL", "OPENING", "CLOSING", "PREVIOUS", "NEW BALANCE", "PAYMENT DUE", "MINIMUM", "CREDIT LIMIT", "AVAILABLE",
+    "APR", "INTEREST RATE", "CUSTOMER SERVICE", "QUESTIONS", "ADDRESS", "PHONE", "MEMBER SINCE", "REWARDS",
+]
+GENERIC_PAYMENT = ["PAYMENT", "AUTOPAY", "THANK YOU", "ACH PAYMENT"]
 
 
 def parse_generic(statements: DataFrame, as_of_year: int) -> DataFrame:
-    """Transactions of statements of any bank, where lines are a date, a description and an amount."""
+    """Transactions of statements of any bank, where lines are a date, a description and an amount. An amount below
+    zero or marked CR is a credit and negative."""
     year = statements.select("source_file", statement_year(F.col("text"), F.lit(as_of_year)).alias("__year"))
-    rows = lines(statements).join(year, "source_file")
-    dates, texts, values = [], [], []
+    rows = lines(statements).where(~F.upper("line").rlike("|".join(GENERIC_SKIP))).join(year, "source_file")
+    dates, texts, values, marks = [], [], [], []
     for pattern, form in GENERIC:
         part = lambda i, p=pattern: F.nullif(F.regexp_extract("line", p, i), F.lit(""))
         whole, full = (part(1), form) if "y" in form else (F.concat(part(1), F.lit(" "), F.col("__year").cast("string")), f"{form} yyyy")
         dates.append(F.try_to_timestamp(F.regexp_replace(whole, r"\s+", " "), F.lit(full)).cast("date"))
         texts.append(part(2))
         values.append(F.replace(part(3), F.lit(","), F.lit("")).try_cast("decimal(15,2)"))
-    out = rows.select("source_file", "place", F.coalesce(*dates).alias("date"), F.trim(F.coalesce(*texts)).alias("description_raw"), F.coalesce(*values).alias("amount"))
+        marks.append(part(4))
+    amount = F.when(F.coalesce(*marks).isNotNull(), -F.abs(F.coalesce(*values))).otherwise(F.coalesce(*values))
+    out = rows.select("source_file", "place", F.coalesce(*dates).alias("date"), F.trim(F.coalesce(*texts)).alias("description_raw"), amount.alias("amount"))
     out = out.where("date IS NOT NULL AND amount IS NOT NULL AND length(description_raw) >= 3")
     index = F.row_number().over(Window.partitionBy("source_file").orderBy("place")) - 1
-    return out.select("source_file", index.alias("row_index"), "date", "description_raw", "amount", (F.col("amount") < 0).alias("is_credit"))
+    return out.select("source_file", index.alias("row_index"), "date", "description_raw", "amount", (F.col("amount") < 0).alias("is_credit"), F.upper("description_raw").rlike("|".join(GENERIC_PAYMENT)).alias("is_payment"))
+
+
+# Institutions in the order in which they are tried, each with its marks in upper case.
+INSTITUTIONS = {
+    "Chase": ["CHASE.COM", "JPMORGAN CHASE", "CHASE CREDIT CARDS", "CHASE MOBILE"],
+    "Bank of America": ["BANKOFAMERICA.COM", "BANK OF AMERICA"],
+    "Wells Fargo": ["WELLSFARGO.COM", "WELLS FARGO"],
+    "Citi": ["CITI.COM", "CITIBANK", "CITI CREDIT CARDS"],
+    "US Bank": ["USBANK.COM", "U.S. BANK", "US BANK"],
+    "Capital One": ["CAPITALONE.COM", "CAPITAL ONE"],
+    "American Express": ["AMERICANEXPRESS.COM", "AMERICAN EXPRESS", "AMEX"],
+    "Discover": ["DISCOVER.COM", "DISCOVER CARD", "DISCOVER BANK"],
+    "PNC": ["PNC.COM", "PNC BANK"],
+    "TD Bank": ["TD.COM", "TD BANK"],
+    "Ally Bank": ["ALLY.COM", "ALLY BANK"],
+    "Navy Federal": ["NAVYFEDERAL.ORG", "NAVY FEDERAL"],
+    "USAA": ["USAA.COM", "USAA BANK"],
+    "Fidelity": ["FIDELITY.COM", "FIDELITY INVESTMENTS", "FIDELITY REWARDS"],
+    "Charles Schwab": ["SCHWAB.COM", "CHARLES SCHWAB"],
+    "Synchrony": ["SYNCHRONY.COM", "SYNCHRONY BANK"],
+    "Barclays": ["BARCLAYS.COM", "BARCLAY", "BARCLAYCARD"],
+}
+
+
+def institution(text: Column) -> Column:
+    """The institution whose mark the text has, or null."""
+    upper = F.upper(text)
+    out = F.coalesce(*[F.when(upper.rlike("|".join(rf"\Q{m}\E" for m in marks)), name) for name, marks in INSTITUTIONS.items()])
+    return out
+
+
+def _balance(name: str) -> str:
+    return rf"(?i){name}\s+\d*(\d{{4}})\s+\$?({_MONEY})\s+\$?({_MONEY})"
+
+
+def chase_balances(statements: DataFrame) -> DataFrame:
+    """Accounts of consolidated statements with last digits, beginning and ending balance, and the end date."""
+    money = lambda p, i: F.replace(_first(F.col("text"), p, i), F.lit(","), F.lit("")).cast("decimal(15,2)")
+    kinds = {"checking": _balance(r"Chase\s+Total\s+Checking"), "savings": _balance(r"Chase\s+Savings")}
+    each = [F.struct(F.lit(k).alias("account"), _first(F.col("text"), p, 1).alias("last4"), money(p, 2).alias("beginning"), money(p, 3).alias("ending")) for k, p in kinds.items()]
+    end = _first(F.col("text"), r"(?i)\w+\s+\d{1,2},\s*\d{4}\s*through\s*(\w+\s+\d{1,2},\s*\d{4})")
+    day = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(end, r",\s*", ", "), r"\s+", " "), F.lit("MMMM d, yyyy")).cast("date")
+    found = statements.select("source_file", day.alias("statement_date"), F.inline(F.array(*each)))
+    return found.where("last4 IS NOT NULL")
 
 
 def ally_balances(statements: DataFrame) -> DataFrame:
