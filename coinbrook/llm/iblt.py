@@ -28,6 +28,9 @@ from .common import written
 CUT_WORDS = 16
 #: Turns of peeling (each of one table) before a pair counts as failed, and attempts before giving up.
 TURNS, ATTEMPTS = 15, 12
+#: Digests of texts in a task, whose cells are many times their own size, and the most tasks that are made of them;
+#: beyond those tasks grow, and spill.
+TASK_DIGESTS, MOST_TASKS = 40_000, 20_000
 _KEY = ["did", "h"]
 
 
@@ -159,11 +162,17 @@ def versions(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFra
     )
 
 
+def _dealt(found: DataFrame) -> DataFrame:
+    """The rows by key in tasks that hold about TASK_DIGESTS digests."""
+    total = found.agg(F.sum(F.size("own"))).first()[0] or 0
+    return found.repartition(min(MOST_TASKS, 1 + total // TASK_DIGESTS), *_KEY)
+
+
 def differences(found: DataFrame) -> tuple[DataFrame, list[int]]:
     """(did, h, kind, plus, minus): the digests that peeling recovers, those of the text alone and those of the other
     alone, for each pair that differs; and how many pairs each attempt left over, none at the last."""
     key, done, left = [*_KEY, "kind"], [], []
-    found = found.repartition(*_KEY)
+    found = _dealt(found)
     cells = subtracted(found)
     for attempt in range(1, ATTEMPTS + 1):
         result = written(peel(cells, key), "peeled")
@@ -202,7 +211,7 @@ def compare(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
     found = written(versions(docs, text, id), "paragraphs")
     apart = differences(found)[0].select(*_KEY, "kind", (F.size("plus") + F.size("minus")).alias("apart"))
     apart = apart.groupBy(*_KEY).agg(F.max(F.when(F.col("kind") == 0, F.col("apart"))).alias("e"), F.max(F.when(F.col("kind") == 1, F.col("apart"))).alias("x"))
-    out = _sized(found).join(serialised(found.repartition(*_KEY)), _KEY).join(apart, _KEY, "left")
+    out = _sized(found).join(serialised(_dealt(found)), _KEY).join(apart, _KEY, "left")
 
     def likeness(other: str, differing: str) -> Column:
         """The Jaccard index of two sets of digests, from their sizes and the number recovered by peeling."""
