@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 
 #: Mean words of a piece of a line.
 CUT_WORDS = 16
@@ -176,6 +176,7 @@ def differences(found: DataFrame) -> tuple[DataFrame, list[int]]:
     cells = subtracted(found)
     for attempt in range(1, ATTEMPTS + 1):
         result = written(peel(cells, key), "peeled")
+        released(found.sparkSession)
         done.append(result.where("NOT failed").drop("failed"))
         open_pairs = result.where("failed").select(*key)
         left.append(open_pairs.count())
@@ -209,6 +210,7 @@ def compare(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
     none.
     """
     found = written(versions(docs, text, id), "paragraphs")
+    released(docs.sparkSession)
     apart = differences(found)[0].select(*_KEY, "kind", (F.size("plus") + F.size("minus")).alias("apart"))
     apart = apart.groupBy(*_KEY).agg(F.max(F.when(F.col("kind") == 0, F.col("apart"))).alias("e"), F.max(F.when(F.col("kind") == 1, F.col("apart"))).alias("x"))
     out = _sized(found).join(serialised(_dealt(found)), _KEY).join(apart, _KEY, "left")
