@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import binding as b
-from . import statement_queries, text_queries, upkeep_queries
+from . import brokerage_queries, statement_queries, text_queries, upkeep_queries
 from .functions import classify
 from .operators import changes, dedup, lists, networth, rules, spending
 from .schemas import ASSET_CLASSES
@@ -302,5 +302,5 @@ _BODIES = {
 
 SQL = {name: f"WITH {b.SQL.strip()}{body if body.startswith(',') else ' ' + body}" for name, body in _BODIES.items()}
 
-QUERIES |= text_queries.QUERIES | statement_queries.QUERIES | upkeep_queries.QUERIES
-SQL |= text_queries.SQL | statement_queries.SQL | upkeep_queries.SQL
+QUERIES |= text_queries.QUERIES | statement_queries.QUERIES | upkeep_queries.QUERIES | brokerage_queries.QUERIES
+SQL |= text_queries.SQL | statement_queries.SQL | upkeep_queries.SQL | brokerage_queries.SQL

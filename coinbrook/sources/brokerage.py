@@ -1,4 +1,4 @@
-"""Holdings from the text of brokerage statements."""
+"""Holdings from single lines of brokerage statements, whatever stands around them; ``holdings`` reads whole statements."""
 
 from __future__ import annotations
 
@@ -8,12 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import parse_european, parse_money
+from .holdings import account_type, provider  # noqa: F401 - the same for both
 from .statements import lines
 
-# Marks of a provider in the text, in the order in which they are tried.
-PROVIDERS = [("fidelity", "fidelity"), ("schwab", "schwab"), ("ibkr", "interactive brokers"), ("vanguard", "vanguard"), ("equatex", "equatex"), ("wealthfront", "wealthfront")]
-# Marks of an account's type, in the order in which they are tried.
-ACCOUNT_TYPES = [("RETIREMENT_401K", r"(?i)401\s*\(?k\)?"), ("IRA_ROTH", r"(?i)roth\s+ira"), ("IRA_TRADITIONAL", r"(?i)traditional\s+ira|\bira\b"), ("RETIREMENT_401K", r"(?i)retirement plan"), ("STOCK_PLAN", r"(?i)stock plan|equatex")]
 # Words in a security's name that decide its class, in the order in which they are tried.
 CLASSES = [
     ("CASH", r"(?i)money market|bank sweep|cash|treasury only"),
@@ -58,14 +55,6 @@ def _ordered(text: Column, choices, otherwise: str) -> Column:
     return out.otherwise(otherwise)
 
 
-def provider(text: Column) -> Column:
-    return _ordered(F.lower(text), PROVIDERS, "unknown")
-
-
-def account_type(text: Column) -> Column:
-    return _ordered(text, ACCOUNT_TYPES, "BROKERAGE")
-
-
 def asset_class(name: Column) -> Column:
     return _ordered(name, CLASSES, "UNKNOWN")
 
