@@ -11,10 +11,11 @@ bits differ, by the pigeonhole principle, in one of two ways:
 
 Rows that share a key are joined by sorting on it, and every link is verified on the whole fingerprint.
 
-Four bits of 64 only reach texts that are nearly equal. ``without_similar`` reaches a similarity of 0.8: fingerprints have
-128 bits, of which such texts differ in 20 on average; the keys are one index each of two segments of the first
-half, so that all with at most eight differing bits there meet, and most with more, and links are verified on all
-128 bits, which chance never brings so near.
+Four bits of 64 only reach texts that are nearly equal. ``without_similar`` reaches a similarity of 0.8, at which one bit
+in 6.6 differs: fingerprints have 320 bits, in twelve segments of the code's own 23 bits, and a key is one index each of
+the two segments of a pair, of segments and all their neighbours at one bit. Six pairs meet with 93 of 100 such
+texts and nearly all that are more similar; two texts in 4000 meet by chance, and 128 other bits tell most of these
+apart. What is linked is compared by its shingles, and only a text that is similar to one that stays goes.
 """
 
 from __future__ import annotations
@@ -28,8 +29,11 @@ from pyspark.sql import types as T
 from .common import components, released, written
 
 MAX_BITS = 4
-#: What similar documents are: words of a shingle, and differing bits of 128 at a similarity of 0.8.
-SIMILAR_WORDS, SIMILAR_BITS = 5, 20
+#: What similar documents are: words of a shingle, and the share of two texts' shingles that both have; texts are compared
+#: if their first 128 bits differ in at most so many (19 on average at that similarity).
+SIMILAR_WORDS, SIMILAR, SIMILAR_BITS = 5, 0.8, 34
+#: 64-bit words of a wide fingerprint, bits of its segments, and pairs of segments.
+WIDE, SEGMENT, PAIRS = 5, 23, 6
 #: The generator polynomial of the [23,12,7] code.
 _GOLAY = 0b101011100011
 
@@ -65,38 +69,49 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(_majority(b"".join([xxhash.xxh64_digest(x, 42) for x in _shingles(text, width)]), 8)[0])
 
 
-def wide_fingerprint(text: str | None, width: int) -> tuple[int, int]:
-    """The 128-bit SimHash of the shingles; zeros for a text without words."""
+def _mixed(h):
+    import numpy as np
+
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def wide_fingerprint(text: str | None, width: int) -> tuple[int, ...]:
+    """The SimHash of the shingles in WIDE words; zeros for a text without words. The first two words are the bits of a
+    128-bit hash, the others of what it mixes into."""
+    import numpy as np
     import xxhash
 
-    a, b = _majority(b"".join([xxhash.xxh3_128_digest(x, 42) for x in _shingles(text, width)]), 16)
-    return int(a), int(b)
+    raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, 42) for x in _shingles(text, width)]), ">u8").astype(np.uint64).reshape(-1, 2)
+    if not len(raw):
+        return (0,) * WIDE
+    more = [_mixed(raw[:, k % 2] + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) for k in range(WIDE - 2)]
+    every = np.concatenate([raw, np.stack(more, axis=1)], axis=1).astype(">u8")
+    return tuple(int(x) for x in _majority(every.tobytes(), 8 * WIDE))
 
 
-def fingerprints(docs: DataFrame, width: int = 4, text: str = "text", id: str = "doc_id", wide: bool = False) -> DataFrame:
-    """(``id``, fp), or with ``wide`` (``id``, fp, fp2): the fingerprint as signed longs."""
+def fingerprints(docs: DataFrame, width: int = 4, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """(``id``, fp): the fingerprint as a signed long."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            found = [wide_fingerprint(t, width) if wide else (fingerprint(t, width),) for t in b.column(1).to_pylist()]
-            fps = np.array(found, dtype=np.uint64).reshape(-1, 1 + wide).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(1 + wide))], names=["id", "fp", "fp2"][: 2 + wide])
+            fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id].dataType), *(T.StructField(c, T.LongType()) for c in ["fp", "fp2"][: 1 + wide])])
-    out = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, schema)
+    out = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id].dataType), T.StructField("fp", T.LongType())]))
     return out.withColumnRenamed("id", id)
 
 
-def golay_indices(memo: dict = {}):  # noqa: B006 - a memory that travels to executors with the function
-    """For each 16-bit segment the codeword indices of itself and its one-bit neighbours: a flat array, and
-    where each segment's part of it begins."""
+def codeword_indices(memo: dict = {}):  # noqa: B006 - a memory that travels to executors with the function
+    """For each word of 23 bits the index of the nearest codeword."""
     import numpy as np
 
     if memo:
-        return memo["table"]
+        return memo["index"]
     info = np.arange(4096, dtype=np.int64)
     words = info << 11
     rest = words.copy()
@@ -107,12 +122,29 @@ def golay_indices(memo: dict = {}):  # noqa: B006 - a memory that travels to exe
     for weight in range(4):  # the balls of radius three fill the space exactly once
         for where in combinations(range(23), weight):
             index[words ^ sum(1 << b for b in where)] = info
-    segment = np.arange(1 << 16, dtype=np.int64)
-    near = np.stack([index[segment]] + [index[segment ^ (1 << b)] for b in range(16)], axis=1).astype(np.int64)
+    memo["index"] = index
+    return index
+
+
+def _neighbours(segment, bits: int):
+    """The different codeword indices of each segment and its one-bit neighbours: a flat array, and where each segment's
+    part of it begins."""
+    import numpy as np
+
+    flips = np.concatenate([[0], 1 << np.arange(bits)])
+    near = codeword_indices()[segment[:, None] ^ flips].astype(np.int64)
     near.sort(axis=1)
     first = np.ones(near.shape, bool)
     first[:, 1:] = near[:, 1:] != near[:, :-1]
-    memo["table"] = near[first], np.concatenate([[0], np.cumsum(first.sum(axis=1))])
+    return near[first], np.concatenate([[0], np.cumsum(first.sum(axis=1))])
+
+
+def golay_indices(memo: dict = {}):  # noqa: B006 - as above
+    """``_neighbours`` of every segment of 16 bits."""
+    import numpy as np
+
+    if not memo:
+        memo["table"] = _neighbours(np.arange(1 << 16, dtype=np.int64), 16)
     return memo["table"]
 
 
@@ -136,50 +168,63 @@ def _indexed(segments):
     return row, key
 
 
-def keys_of(fps):
-    """The keys of an array of fingerprints (uint64) that meet within four bits: (row numbers, keys)."""
+def keys_of(words):
+    """The keys of fingerprints (rows of one uint64) that meet within four bits: (row numbers, keys)."""
     import numpy as np
 
+    fps = words[:, 0]
     seg, every = _segments(fps), np.arange(len(fps))
     found = [(every, (n + 1) << 40 | seg[a] << 16 | seg[b]) for n, (a, b) in enumerate(combinations(range(4), 2))]
     return tuple(np.concatenate(x) for x in zip(*found, _indexed(seg[:3])))
 
 
-def wide_keys_of(fps):
-    """Keys of the first halves of wide fingerprints. If they differ in at most eight bits, two segments at least
-    differ in at most two, and so share a key."""
+def _wide_segments(words, count: int):
+    """The first ``count`` segments of wide fingerprints given by their words."""
     import numpy as np
 
-    seg, found = _segments(fps), []
-    for n, (a, b) in enumerate(combinations(range(4), 2)):
-        row, key = _indexed([seg[a], seg[b]])
-        found.append((row, n << 24 | key))
+    bits = np.unpackbits(np.ascontiguousarray(words.astype(">u8")).view(np.uint8).reshape(len(words), -1), axis=1)[:, : count * SEGMENT]
+    return bits.reshape(len(words), count, SEGMENT).astype(np.int64) @ (1 << np.arange(SEGMENT - 1, -1, -1))
+
+
+def wide_keys_of(words):
+    """The keys of wide fingerprints (rows of WIDE words): (row numbers, keys), one for each choice of an index of both
+    segments of a pair."""
+    import numpy as np
+
+    seg, found = _wide_segments(words, 2 * PAIRS), []
+    for n in range(PAIRS):
+        row, key = np.arange(len(seg)), np.full(len(seg), n, np.int64)
+        for k in (2 * n, 2 * n + 1):
+            flat, begin = _neighbours(seg[:, k], SEGMENT)
+            sizes = np.diff(begin)[row]
+            inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            index = flat[np.repeat(begin[row], sizes) + inside]
+            row, key = np.repeat(row, sizes), np.repeat(key, sizes) << 12 | index
+        found.append((row, key))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def wide_first(x, y, key):
-    """Whether ``key`` is the first key that the fingerprints ``x`` and ``y`` have in common (or nearly: segments
-    that differ in at most two bits are known to share one). At an earlier one they are linked already, or through
-    others that meet there, so links need naming at their first key only."""
+    """Whether ``key`` is worth naming a link of ``x`` and ``y`` at, both given by their first two words: not if they
+    share an earlier key of the pairs of segments that these words hold. There they are linked already, or through
+    others that meet there."""
     import numpy as np
 
-    sx, sy = _segments(x), _segments(y)
-    near = [np.bitwise_count(a ^ b) <= 2 for a, b in zip(sx, sy)]
-    pairs, family = list(combinations(range(4), 2)), key >> 24
+    shown = 2 * 64 // (2 * SEGMENT)
+    sx, sy, family = _wide_segments(x, 2 * shown), _wide_segments(y, 2 * shown), key >> 24
     first = np.ones(len(x), bool)
-    for n, (a, b) in enumerate(pairs):
-        first &= ~((family > n) & near[a] & near[b])
-    flat, begin = golay_indices()
-    for n, ab in enumerate(pairs):
-        for k, index in zip(ab, (key >> 12 & 4095, key & 4095)):
-            at = np.flatnonzero(first & (family == n))
-            if not len(at):
-                continue
-            own = [np.minimum(begin[s[k][at], None] + np.arange(17), begin[s[k][at] + 1, None] - 1) for s in (sx, sy)]
-            mine, other = flat[own[0]], flat[own[1]]
+    for n in range(shown):
+        at = np.flatnonzero(first & (family >= n))
+        if not len(at):
+            break
+        least = np.zeros(len(at), np.int64)
+        shares = np.ones(len(at), bool)
+        for k in (2 * n, 2 * n + 1):
+            mine, other = ([flat[np.minimum(begin[:-1, None] + np.arange(SEGMENT + 1), begin[1:, None] - 1)] for flat, begin in [_neighbours(s[at, k], SEGMENT)]][0] for s in (sx, sy))
             common = (mine[:, :, None] == other[:, None, :]).any(axis=2)
-            least = np.where(common, mine, 4096).min(axis=1)
-            first[at] = least == index[at]
+            shares &= common.any(axis=1)
+            least = least << 12 | np.where(common, mine, 4095).min(axis=1)
+        first[at] = np.where(family[at] == n, (key[at] & 0xFFFFFF) == least, ~shares)
     return first
 
 
@@ -206,12 +251,12 @@ def linked(fps, bits: int):
 _FEW = 4
 
 
-def _met(fps: DataFrame, keys, bits: int, first=None) -> DataFrame:
-    """Links that connect the rows of ``fps`` (long columns, the first of which ``keys`` is given) that share a key
-    and differ in at most ``bits`` bits: their columns, with _a and _b behind the names. ``first`` tells which links
-    are worth naming at a key."""
-    names = fps.columns
-    width = len(names)
+def _met(fps: DataFrame, keys, bits: int, first=None, carried: int = 1) -> DataFrame:
+    """Links that connect the rows of ``fps`` (long columns, of which ``keys`` is given rows of words) that share a key
+    and differ in at most ``bits`` bits of the first ``carried`` columns: these columns, with _a and _b behind the
+    names. ``first`` tells which links are worth naming at a key."""
+    names = fps.columns[:carried]
+    width = carried
 
     def expand(batches):
         import numpy as np
@@ -220,8 +265,8 @@ def _met(fps: DataFrame, keys, bits: int, first=None) -> DataFrame:
         for b in batches:
             every = [c.to_numpy() for c in b.columns]
             for i in range(0, b.num_rows, 2048):
-                row, key = keys(every[0][i : i + 2048].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[i : i + 2048][row]) for c in every)], names=["key", *names])
+                row, key = keys(np.stack([c[i : i + 2048].view(np.uint64) for c in every], axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[i : i + 2048][row]) for c in every[:width])], names=["key", *names])
 
     def meet(batches):
         import numpy as np
@@ -245,13 +290,14 @@ def _met(fps: DataFrame, keys, bits: int, first=None) -> DataFrame:
                 if close.any():
                     x, y, own = x[close], y[close], k[at[close]]
                     if first is not None:
-                        x, y = (z[first(x[:, 0], y[:, 0], own)] for z in (x, y))
+                        keep = first(x, y, own)
+                        x, y = x[keep], y[keep]
                     swap = (x[:, 0] > y[:, 0])[:, None]  # the same pair alike from every key
                     found.append(np.concatenate([np.where(swap, y, x), np.where(swap, x, y)], axis=1))
             for at, n in zip(edge[size > _FEW], size[size > _FEW]):
                 for pairs in linked(f[at : at + n], bits):
                     if first is not None:
-                        pairs = pairs[first(pairs[:, 0], pairs[:, width], np.full(len(pairs), k[at]))]
+                        pairs = pairs[first(pairs[:, :width], pairs[:, width:], np.full(len(pairs), k[at]))]
                     found.append(pairs)
 
         parts = []
@@ -277,7 +323,7 @@ def _met(fps: DataFrame, keys, bits: int, first=None) -> DataFrame:
 
     # dealt anew, so that the keys of few rows are made by many tasks
     parallel = max(fps.sparkSession.sparkContext.defaultParallelism, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keyed = fps.distinct().repartition(parallel, *names).mapInArrow(expand, ", ".join(f"{c} long" for c in ["key", *names]))
+    keyed = fps.distinct().repartition(parallel, *fps.columns).mapInArrow(expand, ", ".join(f"{c} long" for c in ["key", *names]))
     met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, ", ".join(f"{c}_{side} long" for side in "ab" for c in names))
     return met.distinct()
 
@@ -307,37 +353,108 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = MAX_BITS, text:
     return out.select(id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def without_similar(docs: DataFrame, width: int = SIMILAR_WORDS, bits: int = SIMILAR_BITS, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """Of every group of similar documents the one of the least id, with all its columns; documents link if their
-    wide fingerprints differ in at most ``bits`` bits, and a group is what links reach.
+def shingle_set(text: str | None, width: int = SIMILAR_WORDS):
+    """The different shingles of a text as sorted hashes of 64 bits."""
+    import numpy as np
+    import xxhash
+
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, 7) for x in _shingles(text, width)], np.uint64))
+
+
+def similarity(a, b) -> float:
+    """The share of the shingles of two sets that both have; of two empty ones 1."""
+    import numpy as np
+
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = np.searchsorted(a, b)
+    common = int((a[np.minimum(both, len(a) - 1)] == b).sum())
+    return common / (len(a) + len(b) - common)
+
+
+#: Texts of a group that are compared with its first one in one task.
+COMPARED_ROWS = 5_000
+
+
+def _compared(left: DataFrame, width: int) -> DataFrame:
+    """Of rows (root, first, row, t) all but the first of each root, with how similar they are to that: (row,
+    similarity). A large group is dealt to several tasks, each of which gets the first text."""
+    groups = left.groupBy("root").agg(F.min("first").alias("lead"), F.ceil(F.count("*") / COMPARED_ROWS).cast("int").alias("deals"))
+    dealt = left.join(groups.select("root", "deals", F.col("lead.row").alias("leader")), "root")
+    deal = F.when(F.col("row") == F.col("leader"), F.sequence(F.lit(0), F.col("deals") - 1)).otherwise(F.array(F.pmod(F.hash("row"), F.col("deals"))))
+    each = dealt.select("root", F.explode(deal).alias("deal"), (F.col("row") != F.col("leader")).alias("other"), "row", "t")
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None
+        for b in batches:
+            rows, found = [], []
+            for other, row, t in zip(*(c.to_pylist() for c in b.columns)):
+                own = shingle_set(t, width)
+                if other:
+                    rows.append(row)
+                    found.append(similarity(own, held))
+                else:
+                    held = own
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, pa.float64())], names=["row", "similarity"])
+
+    ordered = each.repartition("root", "deal").sortWithinPartitions("root", "deal", "other")
+    return ordered.select("other", "row", "t").mapInArrow(run, "row long, similarity double")
+
+
+def without_similar(docs: DataFrame, width: int = SIMILAR_WORDS, least: float = SIMILAR, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not similar to an earlier row that stays: rows rank by id,
+    and a row goes if it shares at least ``least`` of both texts' shingles of ``width`` words with one that stays and
+    keys bring the two together (see above; equal sequences of words always meet).
 
     Rows without an id rank last. Every row is a document of its own, repeated rows and rows of equal id among
-    them; of rows of equal id the one with the least hash of its text, then any, stays. All texts without words are
-    one group. Columns may have any names. An empty table gives an empty one.
+    them; of rows of equal id the one with the least hash of its text, then any, ranks first. All texts without words
+    are equal; one stays. Texts of any length are taken whole. Columns may have any names. An empty table gives an
+    empty one.
     """
+    spark = docs.sparkSession
     names = [f"k{i}" for i in range(len(docs.columns))]
+    words = [f"w{i}" for i in range(WIDE)]
     at, key = docs.columns.index(text), f"k{docs.columns.index(id)}"
     numbered = docs.toDF(*names).withColumn(names[at], F.col(names[at]).cast("string")).withColumn("row", F.monotonically_increasing_id())
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
         for b in batches:
-            fps = np.array([wide_fingerprint(t, width) for t in b.column(at).to_pylist()], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(c)) for c in fps.T)], names=[*b.schema.names, "fp", "fp2"])
+            texts = b.column(at).to_pylist()
+            found = np.array([(*wide_fingerprint(t, width), *divmod(xxhash.xxh3_128_intdigest(b" ".join((t or "").encode().lower().split())), 1 << 64)) for t in texts], dtype=np.uint64).reshape(-1, WIDE + 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=[*b.schema.names, *words, "d0", "d1"])
 
     # texts and fingerprints are written together, so that a row keeps its number
-    schema = T.StructType([*numbered.schema.fields, T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType())])
+    schema = T.StructType([*numbered.schema.fields, *(T.StructField(c, T.LongType()) for c in [*words, "d0", "d1"])])
     whole = written(numbered.mapInArrow(run, schema), "wide-fingerprints")
-    rank = F.struct(F.col(key).isNull(), F.col(key), F.xxhash64(names[at]), F.col("row"))
-    classes = whole.groupBy("fp", "fp2").agg(F.min(rank).alias("first"))
-    node = lambda side: F.xxhash64(f"fp{side}", f"fp2{side}")
-    comp = components(_met(classes.select("fp", "fp2"), wide_keys_of, bits, wide_first).select(node("_a").alias("a"), node("_b").alias("b")))
-    released(docs.sparkSession)
-    rooted = classes.select(node("").alias("node"), "first").join(comp, "node", "left")
-    stays = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.row")
-    return whole.join(stays, "row", "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    rank = F.struct(F.col(key).isNull().alias("no_id"), F.col(key).alias("id"), F.xxhash64(names[at]).alias("h"), F.col("row"))
+    # of equal texts the first: the others go, since they are like whatever it is like
+    classes = written(whole.groupBy("d0", "d1").agg(F.min(rank).alias("first"), *[F.first(c).alias(c) for c in words]), "different-texts")
+    node = lambda side: F.xxhash64(f"w0{side}", f"w1{side}")
+    met = _met(classes.select(*words), wide_keys_of, SIMILAR_BITS, wide_first, carried=2)
+    comp = components(met.select(node("_a").alias("a"), node("_b").alias("b")))
+    released(spark)
+    rooted = classes.select("first", node("").alias("node")).join(comp, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    members = rooted.join(several, "root").select("root", "first", F.col("first.row").alias("row"))
+    # only these texts are looked at again; in each round the first of a group stays, and what is like it goes
+    left = written(members.join(whole.select("row", F.col(names[at]).alias("t")), "row"), "linked-texts")
+    gone = None
+    while True:
+        judged = written(_compared(left, width), "similarities")
+        out = judged.where(F.col("similarity") >= least).select("row")
+        gone = out if gone is None else gone.union(out)
+        rest = judged.where(F.col("similarity") < least)
+        if rest.isEmpty():
+            break
+        left = written(left.join(rest.select("row"), "row", "left_semi"), "linked-texts")
+    kept = classes.select("first.row").join(gone, "row", "left_anti")
+    return whole.join(kept, "row", "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def op6_simhash_golay(spark, sf_dir: str) -> DataFrame:

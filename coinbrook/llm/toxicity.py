@@ -2,13 +2,14 @@
 
 A word is the average of the vectors of its character n-grams (hashed into a table), a text the average of its
 words, with a few neutral words added so that a word or two decide nothing; a two-way softmax over that vector
-gives the score. As the whole bag is averaged, length alone moves no score. Vectors and softmax are trained
-jointly in numpy by proximal steps: an n-gram's vector is weighed by how rare the n-gram is and shrinks to zero
-unless it helps, so most of the table stays empty and chance n-grams of the sample have no say. Misspelled words
-that were never seen score through the n-grams they share with seen ones.
+gives the score. As the whole bag is averaged, length alone moves no score. Vectors and softmax begin at random and are
+trained jointly in numpy by proximal steps: an n-gram's vector is weighed by how rare the n-gram is and shrinks to zero
+unless it helps, so most of the table empties and chance n-grams of the sample have no say. Misspelled words
+that were never seen score through the n-grams they share with seen ones. To score, each n-gram's vector times the
+difference of the softmax's rows is one number.
 
 Texts become bags of n-grams on executors; the driver only sees the bags of the bounded labelled sample: at most
-``2 * TRAIN_ROWS`` rows of at most BUCKETS entries of eight bytes, however long a text is.
+``2 * TRAIN_ROWS`` rows and TRAIN_ENTRIES entries of eight bytes, however long a text is.
 """
 
 from __future__ import annotations
@@ -22,15 +23,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import held_out
+from .common import held_out, written
 
 BUCKETS, DIM, NGRAMS = 1 << 17, 8, range(3, 7)
 #: Neutral words added to each text.
 NEUTRAL = 10
 #: At most so many labelled documents of each class are learned from, those whose hashed id is least.
 TRAIN_ROWS = 1500
+#: And at most so many entries (an n-gram of a document) in all: then those of the least hashed ids of both classes.
+TRAIN_ENTRIES = 16_000_000
 #: Only n-grams of so many labelled documents get a vector; what shrinks vectors; steps of training.
 LEAST_DOCS, SHRINK, STEPS = 5, 1e-4, 150
+#: Spread of the vectors at the start; pull and decay of the softmax.
+START, PULL, DECAY = 0.1, 0.1, 1e-3
 THRESHOLD = 0.7
 _EDGES = string.punctuation + "«»“”„’‘…–—¡¿"
 _SLICE_CHARS = 500_000
@@ -45,6 +50,9 @@ class Model:
     weight: object
     bias: float
     prior: float | None = None
+    #: What was trained: a vector for each n-gram that has one, and the softmax's row of each class.
+    vectors: object = None
+    softmax: object = None
 
 
 def grams(words):
@@ -118,7 +126,7 @@ def scores(texts, model: Model):
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(found: list[tuple], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), steps: int = STEPS, shrink: float = SHRINK, least_docs: int = LEAST_DOCS, seed: int = 7) -> Model:
+def fit(found: list[tuple], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), steps: int = STEPS, shrink: float = SHRINK, least_docs: int = LEAST_DOCS, seed: int = 7, dim: int = DIM) -> Model:
     """Trains on the bags ``found``, which it takes out of the list; ``weights``: how much a document of class 0 and
     of class 1 counts."""
     import numpy as np
@@ -147,6 +155,19 @@ def fit(found: list[tuple], labels: list[int], weights: tuple[float, float] = (1
     def averaged(u):
         return np.concatenate([np.bincount(row, value * u[at], n) for _, n, at, row, value in batches]) - centre @ u
 
+    def embedded(v, live, held):
+        """The average vector of each text; ``held`` keeps each batch's entries of the n-grams that ``live`` marks."""
+        out, small = np.zeros((len(y), v.shape[1])), v.astype(np.float32)
+        for k, (rows, n, at, row, value) in enumerate(batches):
+            if k not in held:
+                kept = np.flatnonzero(live[at])
+                edge = np.flatnonzero(np.concatenate([[True], row[kept][1:] != row[kept][:-1]])) if len(kept) else kept
+                held[k] = at[kept], value[kept, None], edge, row[kept][edge].astype(np.int64) + rows.start
+            which, weight, edge, text = held[k]
+            if len(which):
+                out[text] = np.add.reduceat(small[which] * weight, edge, axis=0)
+        return out - centre @ v
+
     def gathered(dz):
         total = np.zeros(len(used))
         for rows, _, at, row, value in batches:
@@ -157,34 +178,37 @@ def fit(found: list[tuple], labels: list[int], weights: tuple[float, float] = (1
     across = rng.normal(size=len(used))
     for _ in range(8):  # the greatest curvature, which bounds the steps
         across = gathered(share * averaged(across / max(1e-12, np.linalg.norm(across))))
-    step = 1 / max(1e-9, 0.3 * np.linalg.norm(across))
-    softmax = rng.normal(0, 1, (2, DIM))
+    curve = max(1e-9, 0.25 * np.linalg.norm(across))
+    vectors = rng.normal(0, START, (len(used), dim))
+    softmax = rng.normal(0, 1 / np.sqrt(2 * dim), (2, dim))
     bias = np.log([max(share[~y].sum(), 1e-9), max(share[y].sum(), 1e-9)])
-    vectors = np.zeros((len(used), DIM))
-    ahead, pace = vectors, 1.0
-    for _ in range(steps):
-        softmax /= np.linalg.norm(softmax[1] - softmax[0])  # lengths are the vectors' own
-        z = averaged(ahead @ (softmax[1] - softmax[0])) + bias[1] - bias[0]
-        dz = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * share
-        toward = gathered(dz)
-        new = ahead - step * np.outer(toward, softmax[1] - softmax[0])
+    ahead, pace, live, held = vectors, 1.0, np.ones(len(used), bool), {}
+    for k in range(steps):
+        now = (ahead != 0).any(axis=1)
+        if (now & ~live).any() or k % 10 == 0:  # most n-grams soon have no vector
+            live, held = now, {}
+        texts = embedded(ahead, live, held)
+        z = texts @ softmax.T + bias
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        wrong = (p / p.sum(axis=1, keepdims=True) - np.stack([~y, y], axis=1)) * share[:, None]
+        apart = softmax[1] - softmax[0]
+        step = 1 / (curve * max(apart @ apart, 0.1))
+        new = ahead - step * gathered(wrong[:, 1])[:, None] * apart  # both classes' errors, which are each other's opposite
         new *= np.maximum(0, 1 - step * shrink / np.maximum(np.linalg.norm(new, axis=1), 1e-12))[:, None]
-        pull = ahead.T @ toward
-        softmax -= 0.1 * np.stack([-pull, pull])
-        bias -= np.array([-dz.sum(), dz.sum()])
+        softmax = softmax - (wrong.T @ texts + DECAY * softmax) / (0.5 * max((share @ (texts * texts)).sum(), 1e-9) + DECAY) * PULL
+        bias = bias - wrong.sum(axis=0)
         after = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         ahead, vectors, pace = new + (pace - 1) / after * (new - vectors), new, after
-    softmax /= np.linalg.norm(softmax[1] - softmax[0])
     own = vectors @ (softmax[1] - softmax[0])
     weight = np.zeros(BUCKETS, np.float32)
     weight[used] = own * scale
-    return Model(weight, float(bias[1] - bias[0] - centre @ own))
+    return Model(weight, float(bias[1] - bias[0] - centre @ own), vectors=vectors, softmax=softmax)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", id: str = "doc_id", label: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
     """Learns from the rows of ``docs`` whose ids ``learn`` (a condition on ``id``) admits and which ``labels``
     marks 0 or 1; where more than ``rows`` of a class are marked, from those of the least hashed ids, one row for
-    each id. An id marked both ways counts as 1. Each class counts as much as it makes up of all that is marked.
+    each id (and, beyond TRAIN_ENTRIES, from those among them of the least hashed ids). An id marked both ways counts as 1. Each class counts as much as it makes up of all that is marked.
     Null texts count as empty; without rows of both classes every text scores the share of class 1."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull() & learn).groupBy(id).agg(F.max(label).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -204,8 +228,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
 
     import numpy as np
 
-    hashed = sample.select(F.xxhash64(id).alias("h"), "y", "t").mapInArrow(run, "h long, y int, buckets binary, values binary")
-    found = sorted(map(tuple, hashed.collect()), key=lambda r: (r[0], r[2], r[3]))
+    hashed = written(sample.select(F.xxhash64(id).alias("h"), "y", "t").mapInArrow(run, "h long, y int, buckets binary, values binary"), "bags")
+    size, last = 0, None
+    for h, n in sorted(map(tuple, hashed.select("h", F.octet_length("values") / 4).collect())):  # 2 * rows numbers
+        size += n
+        last = h if size <= TRAIN_ENTRIES or last is None else last
+    found = sorted(map(tuple, (hashed if last is None else hashed.where(F.col("h") <= last)).collect()), key=lambda r: (r[0], r[2], r[3]))
     y = [r[1] for r in found]
     weights = tuple(counts.get(k, 0) / max(1, y.count(k)) for k in (0, 1))
     own = [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in found]
@@ -218,7 +246,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
 
     A null, empty or blank text scores as a text of neutral words. A text of any length is one bag, never cut.
     Rows are independent of each other, so repeated rows score alike; an empty table gives an empty one."""
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))  # one float per bucket: 512 KB
+    shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias, model.prior))  # one float per bucket: 512 KB
 
     def run(columns):
         import pyarrow as pa

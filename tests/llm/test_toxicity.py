@@ -65,6 +65,36 @@ def test_learns_misspellings_and_length_alone_does_nothing(spark):
     assert got[0] > 0.7 and (got[1:] < 0.3).all()
 
 
+def test_vectors_and_softmax_are_trained_together():
+    """Vectors of several dimensions, both rows of the softmax moved from where they began, and scores that depend on
+    how many dimensions there are."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("aeioulmnrst"), 5)) for _ in range(200)]
+    x = [" ".join([*rng.choice(words, 30), *(["grobian"] * (i % 3 == 0))]) for i in range(300)]
+    y = [int(i % 3 == 0) for i in range(300)]
+    made = {d: toxicity.fit(list(toxicity.bags(pa.array(x))), y, dim=d) for d in (1, toxicity.DIM)}
+    rank = np.linalg.matrix_rank(made[toxicity.DIM].vectors, rtol=1e-5)
+    assert rank == toxicity.DIM
+    start = toxicity.fit(list(toxicity.bags(pa.array(x))), y, steps=0).softmax
+    assert (np.abs(made[toxicity.DIM].softmax - start).max(axis=1) > 0.01).all()
+    a, b = (toxicity.scores(pa.array(x), made[d]) for d in (1, toxicity.DIM))
+    assert np.abs(a - b).max() > 1e-3 and ((b > 0.5) == np.array(y, bool)).all()
+    own = made[toxicity.DIM]
+    weights = own.vectors @ (own.softmax[1] - own.softmax[0])
+    assert (own.weight != 0).sum() == (weights.astype(np.float32) != 0).sum()
+
+
+def test_bags_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} other{i} " * 20) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda found, y, weights: seen.append((sum(len(b) for b, _ in found), len(y))))
+    for most in (10**6, 500, 1):
+        monkeypatch.setattr(toxicity, "TRAIN_ENTRIES", most)
+        toxicity.train(docs, labels, F.lit(True))
+    assert seen[0][1] == 40 and 2 < seen[1][1] < 40 and seen[1][0] <= 500 and seen[2][1] == 1
+
+
 def test_odd_rows(spark):
     """Nulls, blanks, long texts, repeated ids and rows, columns with clashing names, empty tables."""
     odd = [(1, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, ""), (None, "Null id here."), (4, "x " * 200_000), (5, " \n\t "), (6, "-- ... !"), (6, "héllo 日本 🙂")]
