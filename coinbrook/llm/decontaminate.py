@@ -6,8 +6,9 @@ length. All items above it are retrieved, however many; each is then verified by
 question and of its answer that the passage and its surroundings hold.
 
 How many items have a term, how many items there are and how long they are is counted over all items, so scores
-do not depend on how items are dealt to indexes. Passages are long enough, and begin often enough, that each item
-that stands somewhere in a text is whole in one.
+do not depend on how items are dealt to indexes. Items of like length share an index and its passages: these are long
+enough, and begin often enough, that each item that stands somewhere in a text is whole in one, and no longer for items
+of other lengths.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ K1, B, BLOCK = 0.9, 0.4, 16
 #: shares of the n-grams of its question and of its answer.
 MIN_SCORE, MIN_QUESTION, MIN_ANSWER = 0.6, 0.5, 0.5
 QUESTION_GRAM, ANSWER_GRAM = 5, 3
-#: Words between the beginnings of passages, at least; they have as many more than the longest item.
+#: Words between the beginnings of passages, at least; they have as many more than the longest item may have.
 STRIDE = 32
+#: Words of the shortest items' class at most; every further class has items of up to twice as many.
+CLASS_WORDS = 64
 #: Items in one range of the bounds that passages must reach before they are searched, and the most such bounds
 #: in one index: with more terms and items, ranges are wider.
 RANGE, RANGE_CELLS = 8, 16_000_000
@@ -63,6 +66,10 @@ def parts(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+def class_of(words: int) -> int:
+    return max(0, (max(1, words) - 1).bit_length() - (CLASS_WORDS - 1).bit_length())
+
+
 def grams(words: list[str], n: int) -> set[tuple[str, ...]]:
     n = min(n, len(words))
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
@@ -70,18 +77,17 @@ def grams(words: list[str], n: int) -> set[tuple[str, ...]]:
 
 @dataclass
 class Statistics:
-    """Of all items with words: how many there are, their mean and greatest number of words, and how many have
-    each term (of those asked for)."""
+    """Of all items with words: how many there are, their mean number of words, and how many have each term (of those
+    asked for)."""
 
     items: int
     mean: float
-    longest: int
     df: dict
 
     @classmethod
     def of(cls, texts: list[str | None]) -> Statistics:
         found = [x for t in texts if (x := terms(t))]
-        return cls(len(found), sum(map(len, found)) / max(1, len(found)), max(map(len, found), default=0), Counter(t for x in found for t in set(x)))
+        return cls(len(found), sum(map(len, found)) / max(1, len(found)), Counter(t for x in found for t in set(x)))
 
 
 @dataclass
@@ -102,7 +108,8 @@ class Index:
 
     @classmethod
     def of(cls, items: list[tuple[int, str | None]], every: Statistics | None = None) -> Index:
-        """Items without words can't be found and are left out. ``every``: of all items, if these are some."""
+        """Items without words can't be found and are left out. ``every``: of all items, if these are some. Passages suit
+        the longest of these items."""
         import numpy as np
 
         index, every = cls(), every or Statistics.of([t for _, t in items])
@@ -125,8 +132,9 @@ class Index:
             numbers, impacts = [k for k, _ in found], [w for _, w in found]
             at = range(0, len(found), BLOCK)
             index.postings[t] = (numbers, impacts, [numbers[min(i + BLOCK, len(found)) - 1] for i in at], [max(impacts[i : i + BLOCK]) for i in at], max(impacts))
-        index.stride = max(STRIDE, math.ceil(every.longest / 3))
-        index.passage = index.stride + max(STRIDE, every.longest)
+        longest = CLASS_WORDS << class_of(max((sum(b.values()) for b in bags), default=0))
+        index.stride = max(STRIDE, math.ceil(longest / 3))
+        index.passage = index.stride + longest
         index.rows = {t: k for k, t in enumerate(lists)}
         wide = max(RANGE, math.ceil(len(bags) * (len(lists) + 1) / RANGE_CELLS))
         index.ranges = np.zeros((len(lists) + 1, max(1, math.ceil(len(bags) / wide))), np.float32)
@@ -134,6 +142,15 @@ class Index:
             np.maximum.at(index.ranges[k], [i // wide for i, _ in found], [w for _, w in found])
         return index
 
+    @classmethod
+    def by_length(cls, items: list[tuple[int, str | None]], every: Statistics | None = None) -> list[Index]:
+        """An index for each class of lengths that there are items of."""
+        every, classes = every or Statistics.of([t for _, t in items]), {}
+        for item in items:
+            if n := len(terms(item[1])):
+                classes.setdefault(class_of(n), []).append(item)
+        return [cls.of(classes[k], every) for k in sorted(classes)]
+
     def row(self, word: str) -> int:
         return self.rows.get(term(word), len(self.rows))
 
@@ -268,14 +285,14 @@ def _statistics(items: DataFrame) -> tuple[DataFrame, Statistics]:
             if len(df) > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(df)), pa.array(list(df.values()), pa.int64())], names=["term", "df"])
                 df.clear()
-        # under the empty term, which no item has: how many items, how many words, the longest
-        df_, extra = list(df.items()), [("", len(sizes)), (" ", sum(sizes)), ("  ", max(sizes, default=0))]
+        # under terms that no item has: how many items, how many words
+        df_, extra = list(df.items()), [("", len(sizes)), (" ", sum(sizes))]
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in df_ + extra]), pa.array([n for _, n in df_ + extra], pa.int64())], names=["term", "df"])
 
-    found = written(items.mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"), F.max("df").alias("most")), "item-terms")
-    own = {r["term"]: r for r in found.where("trim(term) = ''").collect()}  # three rows
+    found = written(items.mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")), "item-terms")
+    own = {r["term"]: r for r in found.where("trim(term) = ''").collect()}  # two rows
     n = own[""]["df"] if own else 0
-    return found.where("trim(term) <> ''").select("term", "df"), Statistics(n, own[" "]["df"] / n if n else 0.0, own["  "]["most"] if own else 0, {})
+    return found.where("trim(term) <> ''").select("term", "df"), Statistics(n, own[" "]["df"] / n if n else 0.0, {})
 
 
 def annotate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", to: str = "leaks") -> DataFrame:
@@ -289,8 +306,8 @@ def annotate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
     chars = own.agg(F.sum(F.length("t"))).first()[0] or 0
     shards = max(1, math.ceil(chars / SHARD_CHARS))
     if shards == 1:
-        index = Index.of([tuple(r) for r in own.collect()])  # SHARD_CHARS characters at most
-        return docs.withColumn(to, _finder(spark, index)(F.col(text).cast("string")))
+        found = Index.by_length([tuple(r) for r in own.collect()])  # SHARD_CHARS characters at most
+        return docs.withColumn(to, _finder(spark, found)(F.col(text).cast("string")))
     own = written(own, "items")
     df, every = _statistics(own)
     names = [f"k{i}" for i in range(len(docs.columns))]
@@ -301,8 +318,8 @@ def annotate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
         some = own.where(F.pmod(F.xxhash64("id", "t"), F.lit(shards)) == shard)
         part = [tuple(r) for r in some.collect()]
         asked = spark.createDataFrame([(t,) for t in {x for _, t in part for x in terms(t)}], "term string")
-        index = Index.of(part, Statistics(every.items, every.mean, every.longest, dict(map(tuple, df.join(asked, "term").collect()))))
-        part = written(whole.select("row", _finder(spark, index)(content).alias("leaks")).where("size(leaks) > 0"), "leaks")
+        some = Index.by_length(part, Statistics(every.items, every.mean, dict(map(tuple, df.join(asked, "term").collect()))))
+        part = written(whole.select("row", _finder(spark, some)(content).alias("leaks")).where("size(leaks) > 0"), "leaks")
         found = part if found is None else found.union(part)
     together = found.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
     out = whole.join(together, "row", "left")
@@ -313,16 +330,15 @@ def annotate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
 _LEAKS = "array<struct<item_id: bigint, score: double, question_overlap: double, answer_overlap: double, start_word: bigint>>"
 
 
-def _finder(spark, index: Index):
+def _finder(spark, indexes: list[Index]):
     import pandas as pd
 
-    shared = spark.sparkContext.broadcast(tuple(vars(index).values()))
+    shared = spark.sparkContext.broadcast([tuple(vars(index).values()) for index in indexes])
 
     def run(columns):
-        rows: dict[str, int] = {}
-        own = Index(*shared.value)
+        own = [(Index(*x), {}) for x in shared.value]
         for column in columns:
-            yield pd.Series([leaks(t, own, rows) for t in column.tolist()], dtype=object)
+            yield pd.Series([sorted((x for index, rows in own for x in leaks(t, index, rows)), key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["score"])) for t in column.tolist()], dtype=object)
 
     run.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, _LEAKS)

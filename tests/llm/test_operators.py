@@ -528,6 +528,22 @@ def test_the_longest_item_is_whole_in_a_passage_wherever_it_stands():
     assert [x["item_id"] for x in decontaminate.leaks(" ".join([*(word() for _ in range(50)), items[3][1]]), long, {})] == [3]
 
 
+def test_a_long_item_changes_no_other_items_leaks(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 7))
+    question, answer = [word() for _ in range(30)], [word() for _ in range(6)]
+    items = [(1, f"{' '.join(question)}? {' '.join(answer)}"), (2, " ".join(word() for _ in range(100))), (3, " ".join(word() for _ in range(45)))]
+    apart = " ".join([*question, *(word() for _ in range(6000)), *answer])
+    near = " ".join([*(word() for _ in range(500)), items[1][1], *(word() for _ in range(70)), items[0][1], *(word() for _ in range(400))])
+    docs = spark.createDataFrame([(1, apart), (2, near), (3, items[2][1])], "doc_id long, text string")
+    found = lambda given: sorted((r["doc_id"], x["item_id"], x["start_word"]) for r in decontaminate.annotate(docs, spark.createDataFrame(given, "item_id long, text string")).collect() for x in r["leaks"] if x["item_id"] < 9)
+    want = found(items)
+    assert [x[:2] for x in want] == [(2, 1), (2, 2), (3, 3)]
+    for n in (63, 64, 65, 128, 20_000):
+        assert found([*items, (9, " ".join(word() for _ in range(n)))]) == want
+    assert [decontaminate.class_of(n) for n in (0, 1, 64, 65, 128, 129, 20_000)] == [0, 0, 0, 1, 1, 2, 9]
+
+
 # --- 10
 
 
