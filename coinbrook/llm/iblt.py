@@ -227,4 +227,6 @@ def compare(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
 
 
 def op7_paragraph_sketches(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` against its edited text and the next row's. Null texts are empty; rows that repeat an id
+    each get their row; null ids come last; an empty table gives an empty one."""
     return compare(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -136,31 +136,40 @@ def fit(names: list[str], x, y, lasso: float = 2e-3, steps: int = 400, seed: int
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", id: str = "doc_id", label: str = "quality", rows: int = TRAIN_ROWS) -> Rules:
     """Learns from rows of ``docs`` whose ids ``learn`` admits and which ``labels`` marks 0 or 1, at most
-    ``rows`` of them: those of the least hashed ids. Only their statistics reach the driver."""
+    ``rows`` of them: those of the least hashed ids, one row for each id, of several that of the least hashed text. An id
+    marked both ways counts as 1; null texts count as empty. Only their statistics reach the driver. Without rows of both
+    classes there are no rules and every text scores alike."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull() & learn).groupBy(id).agg(F.max(label).alias("y"))
     picked = F.broadcast(known.orderBy(F.xxhash64(id), id).limit(rows))
+    own = docs.select(id, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(picked, id)
+    own = own.groupBy(id).agg(F.first("y").alias("y"), F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"].alias("t"))
     stats = statistics(F.col("t"))
-    sample = docs.select(id, F.col(text).alias("t")).join(picked, id).select(F.xxhash64(id).alias("o"), id, "y", *[c.alias(n) for n, c in stats.items()])
-    found = sorted(sample.collect(), key=tuple)
+    sample = own.select(F.xxhash64(id).alias("o"), id, "y", *[c.alias(n) for n, c in stats.items()])
+    found = sorted(sample.collect(), key=tuple)  # ``rows`` rows of numbers at most
     return fit(list(stats), [[r[n] for n in stats] for r in found], [r["y"] for r in found])
 
 
 def score(docs: DataFrame, rules: Rules, text: str = "text", to: str = "score") -> DataFrame:
-    """``docs`` with the column ``to`` (0 to 1) added. A null text scores like an empty one; rows are
-    independent, so repeated rows score alike; other columns stay as they are."""
-    stats = statistics(F.col(text))
-    held = docs.withColumns({f"__{to}_{n}": c for n, c in stats.items()})  # computed once, then read by all rules
+    """``docs`` with the column ``to`` (0 to 1) added, or replaced if there is one; other columns stay as they are, whatever
+    their names. A null text scores like an empty one, a text of any length by all of it; rows are independent, so
+    repeated rows score alike; an empty table gives an empty one."""
+    stats, mark = statistics(F.col(text)), f"__{to}_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark = f"_{mark}"
+    held = docs.withColumns({f"{mark}{n}": c for n, c in stats.items()})  # computed once, then read by all rules
     total = F.lit(rules.bias)
     for weight, conditions in rules.rules:
         holds = F.lit(True)
         for name, side, cut in conditions:
-            c = F.col(f"__{to}_{name}")
+            c = F.col(f"{mark}{name}")
             holds = holds & ((c <= F.lit(cut)) if side == "<=" else (c > F.lit(cut)))
         total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
-    return held.withColumn(to, F.lit(1.0) / (F.lit(1.0) + F.exp(-total))).drop(*[f"__{to}_{n}" for n in stats])
+    return held.withColumn(to, F.lit(1.0) / (F.lit(1.0) + F.exp(-total))).drop(*[f"{mark}{n}" for n in stats])
 
 
 def op4_rule_ensemble(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` scored by rules learned from the labels that are not held out. Null and empty texts score
+    alike, repeated rows each get their row, rows of a null id are never held out, an empty table gives an empty one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     out = score(docs, train(docs, labels, ~held_out(5, 0)))

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -361,46 +361,91 @@ def shingle_set(text: str | None, width: int = SIMILAR_WORDS):
     return np.unique(np.array([xxhash.xxh64_intdigest(x, 7) for x in _shingles(text, width)], np.uint64))
 
 
-def similarity(a, b) -> float:
-    """The share of the shingles of two sets that both have; of two empty ones 1."""
-    import numpy as np
+class Leaders:
+    """Texts that stay, by their shingles, and whether another one is like any of them."""
+
+    def __init__(self, least: float):
+        import numpy as np
 
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = np.searchsorted(a, b)
-    common = int((a[np.minimum(both, len(a) - 1)] == b).sum())
-    return common / (len(a) + len(b) - common)
+        self._least, self._sizes, self._new = least, [], []
+        self._hashes, self._owners = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
+    def add(self, shingles) -> None:
+        self._new.append((len(self._sizes), shingles))
+        self._sizes.append(len(shingles))
+        if len(self._new) > 32 + len(self._sizes) // 8:  # sorted together now and then
+            self._merge()
 
-#: Texts of a group that are compared with its first one in one task.
-COMPARED_ROWS = 5_000
+    def _merge(self) -> None:
+        import numpy as np
+
+        hashes = np.concatenate([self._hashes, *(x for _, x in self._new)])
+        owners = np.concatenate([self._owners, *(np.full(len(x), k) for k, x in self._new)])
+        order = np.argsort(hashes, kind="stable")
+        self._hashes, self._owners, self._new = hashes[order], owners[order], []
 
+    def like(self, shingles) -> bool:
+        """Whether one of them has at least ``least`` of both texts' shingles in common with these; no shingles are like
+        no shingles."""
+        import numpy as np
 
-def _compared(left: DataFrame, width: int) -> DataFrame:
-    """Of rows (root, first, row, t) all but the first of each root, with how similar they are to that: (row,
-    similarity). A large group is dealt to several tasks, each of which gets the first text."""
-    groups = left.groupBy("root").agg(F.min("first").alias("lead"), F.ceil(F.count("*") / COMPARED_ROWS).cast("int").alias("deals"))
-    dealt = left.join(groups.select("root", "deals", F.col("lead.row").alias("leader")), "root")
-    deal = F.when(F.col("row") == F.col("leader"), F.sequence(F.lit(0), F.col("deals") - 1)).otherwise(F.array(F.pmod(F.hash("row"), F.col("deals"))))
-    each = dealt.select("root", F.explode(deal).alias("deal"), (F.col("row") != F.col("leader")).alias("other"), "row", "t")
+        n = len(shingles)
+        enough = lambda common, size: common >= self._least * (n + size - common)
+        for _, x in self._new:
+            if min(n, len(x)) >= self._least * max(n, len(x)):
+                at = np.minimum(np.searchsorted(x, shingles), max(0, len(x) - 1))
+                if enough(int((x[at] == shingles).sum()) if n and len(x) else 0, len(x)):
+                    return True
+        if len(self._sizes) == len(self._new):
+            return False
+        sizes = np.array(self._sizes)
+        lo, hi = (np.searchsorted(self._hashes, shingles, side) for side in ("left", "right"))
+        met = np.concatenate([[0], np.cumsum(hi - lo)])
+        at = np.arange(met[-1]) - np.repeat(met[:-1] - lo, hi - lo)
+        common = np.bincount(self._owners[at], minlength=len(sizes))
+        own = np.ones(len(sizes), bool)
+        own[[k for k, _ in self._new]] = False
+        return bool((own & enough(common, sizes)).any())
+
+
+#: Texts of a group that are settled one after the other in a round, at most, and their characters at most (but one
+#: text in any case); and others that one task compares with those that stay.
+HEAD_ROWS, HEAD_CHARS, COMPARED_ROWS = 1_024, 16_000_000, 5_000
+
+
+def _settled(left: DataFrame, width: int, least: float) -> DataFrame:
+    """Of rows (root, first, row, t): (row, state), 0 for one that stays, 1 for one that goes, 2 for one that is not
+    settled yet. In each group the first texts are settled in order, each stays if it is like none that stays, and all
+    others are compared with those; a large group is dealt to several tasks, each of which gets the first texts."""
+    order = Window.partitionBy("root").orderBy("first")
+    heads = left.select("root", "first", "row", F.length("t").alias("chars")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= HEAD_ROWS)
+    upto = F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    heads = heads.withColumn("upto", upto).where((F.col("upto") <= HEAD_CHARS) | (F.col("place") == 1)).select("row", "place")
+    sizes = left.groupBy("root").agg(F.ceil(F.count("*") / COMPARED_ROWS).cast("int").alias("deals"))
+    placed = left.join(heads, "row", "left").join(sizes, "root")
+    deal = F.when(F.col("place").isNotNull(), F.sequence(F.lit(0), F.col("deals") - 1)).otherwise(F.array(F.pmod(F.hash("row"), F.col("deals"))))
+    each = placed.select("root", F.explode(deal).alias("deal"), "place", "row", "t")
 
     def run(batches):
         import pyarrow as pa
 
-        held = None
+        group, leaders = None, None
         for b in batches:
-            rows, found = [], []
-            for other, row, t in zip(*(c.to_pylist() for c in b.columns)):
+            rows, states = [], []
+            for root, deal, place, row, t in zip(*(c.to_pylist() for c in b.columns)):
+                if (root, deal) != group:
+                    group, leaders = (root, deal), Leaders(least)
                 own = shingle_set(t, width)
-                if other:
+                like = leaders.like(own)
+                if place is not None and not like:
+                    leaders.add(own)
+                if place is None or deal == 0:
                     rows.append(row)
-                    found.append(similarity(own, held))
-                else:
-                    held = own
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, pa.float64())], names=["row", "similarity"])
+                    states.append(1 if like else 0 if place is not None else 2)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(states, pa.int32())], names=["row", "state"])
 
-    ordered = each.repartition("root", "deal").sortWithinPartitions("root", "deal", "other")
-    return ordered.select("other", "row", "t").mapInArrow(run, "row long, similarity double")
+    ordered = each.repartition("root", "deal").sortWithinPartitions("root", "deal", F.asc_nulls_last("place"))
+    return ordered.select("root", "deal", "place", "row", "t").mapInArrow(run, "row long, state int")
 
 
 def without_similar(docs: DataFrame, width: int = SIMILAR_WORDS, least: float = SIMILAR, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -442,17 +487,16 @@ def without_similar(docs: DataFrame, width: int = SIMILAR_WORDS, least: float =
     rooted = classes.select("first", node("").alias("node")).join(comp, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
     members = rooted.join(several, "root").select("root", "first", F.col("first.row").alias("row"))
-    # only these texts are looked at again; in each round the first of a group stays, and what is like it goes
+    # only these texts are looked at again, in rounds that settle the first ones of every group
     left = written(members.join(whole.select("row", F.col(names[at]).alias("t")), "row"), "linked-texts")
     gone = None
     while True:
-        judged = written(_compared(left, width), "similarities")
-        out = judged.where(F.col("similarity") >= least).select("row")
+        states = written(_settled(left, width, least), "settled")
+        out = states.where("state = 1").select("row")
         gone = out if gone is None else gone.union(out)
-        rest = judged.where(F.col("similarity") < least)
-        if rest.isEmpty():
+        if states.where("state = 2").isEmpty():
             break
-        left = written(left.join(rest.select("row"), "row", "left_semi"), "linked-texts")
+        left = written(left.join(states.where("state = 2").select("row"), "row", "left_semi"), "linked-texts")
     kept = classes.select("first.row").join(gone, "row", "left_anti")
     return whole.join(kept, "row", "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 

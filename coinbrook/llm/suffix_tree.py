@@ -190,7 +190,7 @@ class Counts:
 def _dealt(src: DataFrame, block_chars: int) -> DataFrame:
     chars = src.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
-    return src.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    return src.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(blocks)).cast("int")).repartitionById(blocks, F.col("block"))  # a task for each block
 
 
 def _encoded(src: DataFrame, numbered: DataFrame, block_chars: int) -> DataFrame:
@@ -601,6 +601,9 @@ def score(
 
 
 def op1_suffix_tree(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` scored by a tree of those that are not held out. Null and empty texts are an end alone,
+    texts of any length are scored whole, rows of a null id are learned from, repeated rows each get their row, an empty
+    table gives an empty one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = score(docs, ~held_out(5, 1))
     return out.select("doc_id", held_out(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -161,7 +161,9 @@ def fit(found: list[tuple], labels: list[int], weights: tuple[float, float] = (1
         for k, (rows, n, at, row, value) in enumerate(batches):
             if k not in held:
                 kept = np.flatnonzero(live[at])
-                edge = np.flatnonzero(np.concatenate([[True], row[kept][1:] != row[kept][:-1]])) if len(kept) else kept
+                if len(kept) == len(at):
+                    kept = slice(None)  # no copies
+                edge = np.flatnonzero(np.concatenate([[True], row[kept][1:] != row[kept][:-1]])) if len(row[kept]) else np.zeros(0, np.int64)
                 held[k] = at[kept], value[kept, None], edge, row[kept][edge].astype(np.int64) + rows.start
             which, weight, edge, text = held[k]
             if len(which):
@@ -233,7 +235,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
     for h, n in sorted(map(tuple, hashed.select("h", F.octet_length("values") / 4).collect())):  # 2 * rows numbers
         size += n
         last = h if size <= TRAIN_ENTRIES or last is None else last
-    found = sorted(map(tuple, (hashed if last is None else hashed.where(F.col("h") <= last)).collect()), key=lambda r: (r[0], r[2], r[3]))
+    # one partition after the other, so that the driver's JVM never holds them all
+    found = sorted(map(tuple, (hashed if last is None else hashed.where(F.col("h") <= last)).toLocalIterator()), key=lambda r: (r[0], r[2], r[3]))
     y = [r[1] for r in found]
     weights = tuple(counts.get(k, 0) / max(1, y.count(k)) for k in (0, 1))
     own = [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in found]

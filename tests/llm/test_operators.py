@@ -242,8 +242,12 @@ def test_planted_copies_go(spark, how, least, most):
     assert len(planted) > 80 and len(planted & got) <= 0.1 * len(planted)
 
 
-def test_only_what_is_like_a_kept_text_goes(spark):
-    """A chain, each like the one before: what is not like the first stays. Odd rows keep their own kind."""
+@pytest.mark.parametrize("head,chars,compared", [(1024, 16_000_000, 5000), (1, 10**6, 2), (3, 10**6, 4), (100, 2500, 3)])
+def test_only_what_is_like_a_kept_text_goes(spark, monkeypatch, head, chars, compared):
+    """A chain, each like the one before: what is not like the first stays, whatever the rounds and tasks of a group.
+    Odd rows keep their own kind."""
+    for name, n in (("HEAD_ROWS", head), ("HEAD_CHARS", chars), ("COMPARED_ROWS", compared)):
+        monkeypatch.setattr(simhash, name, n)
     words = [f"w{i}" for i in range(400)]
     rows = [(k, " ".join(words[14 * k : 14 * k + 200])) for k in range(12)]  # neighbours share 182 of 210 shingles
     df = spark.createDataFrame([*rows, (None, rows[0][1]), (0, "another text of the same id"), (0, rows[0][1]), (20, None), (21, " "), (22, "")], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("fp", "w0", "row", "root", "t", "k0")})
