@@ -53,12 +53,20 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates of the first twenty days of each month; the others are missing."""
-    days = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("rate_date")).where(F.dayofmonth("rate_date") <= 20).distinct()
+    """Rates of the first twenty days of each month; the others are missing. They are made from a sequence of days, so
+    the line items are not read a second time for them."""
+    every = F.sequence(F.lit("1990-01-01").cast("date"), F.lit("2034-12-31").cast("date"))
+    days = spark.range(1).select(F.explode(every).alias("rate_date")).where(F.dayofmonth("rate_date") <= 20)
     step = (F.month("rate_date").cast("decimal(18,8)") / 100).cast("decimal(18,8)")
     return days.select("rate_date", F.inline(F.array(*[F.struct(F.lit(c).alias("from_currency"), (F.lit(r).cast("decimal(18,8)") + step).cast("decimal(18,8)").alias("rate")) for c, r in (("EUR", "1.05"), ("GBP", "1.25"))])))
 
 
+def shipped_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of the rates whose day has a shipment."""
+    days = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("rate_date"))
+    return fx_rates(spark, sf_dir).join(days, "rate_date", "left_semi")
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.fx import convert
 

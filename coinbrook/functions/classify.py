@@ -63,12 +63,42 @@ def keyword_table(rows: DataFrame) -> list[tuple[str, list[str]]]:
     return [(category, words) for (_, category), words in blocks.items()]
 
 
+def _escaped(text: str) -> str:
+    return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", text)
+
+
+def _tree(words: list[str]) -> str:
+    """An expression that matches the longest of the words that begins here; words that begin alike share it."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    branches = "|".join(_escaped(head) + (_tree(rest) if any(rest) else "") for head, rest in sorted(heads.items()))
+    return f"(?:{branches}){'?' if '' in words else ''}"
+
+
 def keyword_category(text: Column, keywords: list[tuple[str, list[str]]] | None = None, default: str = "Other Expenses") -> Column:
-    """The category of the first block that has a keyword in the text (upper case)."""
-    out = None
-    for category, words in keywords or KEYWORDS:
-        out = F.when(has_any(text, words), category) if out is None else out.when(has_any(text, words), category)
-    return out.otherwise(default)
+    """The category of the first block that has a keyword in the text (upper case).
+
+    One scan finds the longest keyword that begins at each place, overlapping ones too; a keyword that another begins
+    with is found with it, so each stands for the least block among itself and those. The least of all that are found
+    decides."""
+    blocks = keywords or KEYWORDS
+    if any(w == "" for _, words in blocks for w in words):  # it is in every text, so later blocks never decide
+        at = next(i for i, (_, words) in enumerate(blocks) if "" in words)
+        return keyword_category(text, blocks[:at], blocks[at][0]) if at else F.when(text.isNotNull(), blocks[0][0]).otherwise(default)
+    least: dict[str, int] = {}
+    for i, (_, words) in enumerate(blocks):
+        for w in words:
+            least.setdefault(w, i)
+    if not least:
+        return F.lit(default)
+    stands = {w: min(least[w[:n]] for n in range(1, len(w) + 1) if w[:n] in least) for w in least}
+    numbers = F.create_map(*[F.lit(x) for pair in sorted(stands.items()) for x in pair])
+    found = F.regexp_extract_all(text, F.lit(f"(?=({_tree(sorted(stands))}))"), 1)
+    first = F.array_min(F.transform(F.array_distinct(found), lambda w: F.element_at(numbers, w)))
+    names = F.array(*[F.lit(category) for category, _ in blocks])
+    return F.coalesce(F.get(names, first), F.lit(default))
 
 
 def default_class(description: Column, amount: Column, keywords=None, after_failure: bool = False) -> tuple[Column, Column]:

@@ -1,7 +1,7 @@
 """User rules compiled into column expressions.
 
 The first matching rule wins, by priority (lower first), then newest, then id. A user's rules become one ordered
-cascade; large sets of literal ones are joined (``matched_by_join``).
+cascade; large sets of literal ones are looked up by their rarest parts (``matched_by_join``, ``counted_by_join``).
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
-#: Into how many groups the texts of a user are dealt where they are joined with many rules.
-DEALT = 16
+#: Characters of the parts by which literal patterns are looked up where there are many.
+GRAM = 3
 
 
 def ordered(rules: Iterable[dict]) -> list[dict]:
@@ -127,15 +127,60 @@ def match_counts(tx: DataFrame, rules: list[dict]) -> DataFrame:
     return counts.select(F.inline(pairs))
 
 
+def _grams(text: Column, size: Column) -> Column:
+    """The different parts of ``size`` characters of a text; the empty one alone for a size of 0."""
+    last = F.length(text) - size + 1
+    parts = F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, size))
+    return F.when(size == 0, F.array(F.lit(""))).when(last >= 1, F.array_distinct(parts)).otherwise(F.array().cast("array<string>"))
+
+
+def pattern_matches(texts: DataFrame, patterns: DataFrame, text: list[str], key: str) -> DataFrame:
+    """For large sets of literal rules (user_id, rule_id, pattern): each of the distinct ``texts`` (user_id, the columns
+    ``text`` in lower case, and a hash ``key`` of these) with the rule_id of each of its user's patterns that one of
+    the columns contains. Texts of equal hashes are compared each for itself.
+
+    Every pattern is looked up by one of its parts of GRAM characters (all of it, if it is shorter), the one that fewest
+    texts of the user have; only texts that have it are searched for the pattern. Both sides are dealt by user and part,
+    and a pattern of frequent parts only is one that matches many texts.
+    """
+    wanted = patterns.select("user_id", "rule_id", F.lower("pattern").alias("pattern")).where("pattern IS NOT NULL")
+    wanted = wanted.withColumn("size", F.least(F.length("pattern"), F.lit(GRAM)))
+    sizes = F.array(*[F.lit(n) for n in sorted(r["size"] for r in wanted.select("size").distinct().collect())])  # GRAM + 1 numbers at most
+    gram = F.flatten(F.transform(sizes, lambda n: F.flatten(F.array(*[_grams(F.col(c), n) for c in text]))))
+    index = texts.select("user_id", key, F.explode(F.array_distinct(gram)).alias("gram"))
+    keyed = wanted.withColumn("gram", F.explode(_grams(F.col("pattern"), F.col("size"))))
+    often = index.join(keyed.select("user_id", "gram").distinct(), ["user_id", "gram"]).groupBy("user_id", "gram").agg(F.count("*").alias("texts"))
+    rarest = keyed.join(often, ["user_id", "gram"]).groupBy("user_id", "rule_id", "pattern").agg(F.min(F.struct("texts", "gram"))["gram"].alias("gram"), F.count("*").alias("found"), F.first("size").alias("size"))
+    # a pattern with a part that no text has matches nothing
+    rarest = rarest.where(F.col("found") == F.size(_grams(F.col("pattern"), F.col("size")))).select("user_id", "rule_id", "pattern", "gram")
+    candidates = index.join(rarest, ["user_id", "gram"]).select("user_id", key, "rule_id", "pattern").distinct()
+    held = None
+    for c in text:
+        held = F.contains(c, "pattern") if held is None else held | F.contains(c, "pattern")
+    return candidates.join(texts, ["user_id", key]).where(held).select(*texts.columns, "rule_id")
+
+
+def _distinct_texts(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with their texts, the distinct texts and how many rows have each); a text is told by a hash, of which equal
+    ones only cost a comparison more."""
+    rows = tx.withColumns({"__merchant": F.lower(_text("merchant")), "__description": F.lower(_text("description_raw"))})
+    texts = rows.groupBy("user_id", "__merchant", "__description").agg(F.count("*").alias("__rows"))
+    return rows, texts.withColumn("__hash", F.xxhash64("__merchant", "__description"))
+
+
 def matched_by_join(tx: DataFrame, id: str, patterns: DataFrame) -> DataFrame:
     """For large sets of literal rules (user_id, rule_id, pattern, priority): the first match of each row, rows
-    without one left out. Each distinct pair of merchant and description of a user is compared once with the user's
-    patterns, and a heavy user's pairs are dealt to DEALT groups, each of which gets the patterns."""
-    dealt = F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))
+    without one left out. Each distinct pair of merchant and description of a user is looked up once."""
     key = ["user_id", "__merchant", "__description"]
-    rows = tx.withColumns({"__merchant": F.lower(_text("merchant")), "__description": F.lower(_text("description_raw"))})
-    texts = rows.select(*key).distinct().withColumn("__deal", F.pmod(F.hash(*key), F.lit(DEALT)))
-    found = texts.join(patterns.select("user_id", "rule_id", "priority", F.lower("pattern").alias("pattern"), dealt.alias("__deal")), ["user_id", "__deal"])
-    found = found.where(F.contains("__merchant", "pattern") | F.contains("__description", "pattern"))
-    first = found.groupBy(*key).agg(F.min(F.struct("priority", "rule_id")).alias("__first"))
+    rows, texts = _distinct_texts(tx)
+    found = pattern_matches(texts, patterns, key[1:], "__hash")
+    first = found.join(patterns.select("user_id", "rule_id", "priority"), ["user_id", "rule_id"]).groupBy(*key).agg(F.min(F.struct("priority", "rule_id")).alias("__first"))
     return rows.join(first, key).select(*tx.columns, F.col("__first.rule_id").alias("rule_id"), F.col("__first.priority").alias("priority"))
+
+
+def counted_by_join(tx: DataFrame, patterns: DataFrame) -> DataFrame:
+    """For large sets of literal rules (user_id, rule_id, pattern): (user_id, rule_id, match_count), how many of its
+    user's rows each matches by itself, none included."""
+    _, texts = _distinct_texts(tx)
+    found = pattern_matches(texts, patterns, ["__merchant", "__description"], "__hash").groupBy("user_id", "rule_id").agg(F.sum("__rows").alias("n"))
+    return patterns.select("user_id", "rule_id").join(found, ["user_id", "rule_id"], "left").select("user_id", "rule_id", F.coalesce("n", F.lit(0)).alias("match_count"))

@@ -74,16 +74,26 @@ def period_categories(tx: DataFrame, start: dt.date, end: dt.date, user=None, ac
     return by.select("user_id", "category", double(F.col("s")).alias("amount"), "count", share(double(F.col("s")), F.col("whole")).alias("percentage"))
 
 
+def _by_month(rows: DataFrame, *keys: Column, sums: dict[str, Column]) -> DataFrame:
+    """(user_id, by): for each user a map from the keys, of which there are few, to sums. Rows are summed once, by user
+    and keys; what is put together is what that leaves."""
+    by = rows.groupBy("user_id", *keys).agg(*[c.alias(k) for k, c in sums.items()])
+    names = [c for c in by.columns if c != "user_id" and c not in sums]
+    key = F.struct(*names) if len(names) > 1 else F.col(names[0])
+    entry = F.struct(key.alias("key"), F.struct(*sums).alias("value"))
+    totals = [F.sum(k).alias(f"{k}_all") for k in sums]
+    return by.groupBy("user_id").agg(F.map_from_entries(F.collect_list(entry)).alias("by"), *totals)
+
+
 def yearly_summary(tx: DataFrame, year: int, user=None, account=None) -> DataFrame:
-    """Twelve rows for each user, months without rows at zero, and the year's totals on each: one aggregate with a
-    sum for each month."""
+    """Twelve rows for each user, months without rows at zero, and the year's totals on each."""
     rows = scoped(tx, user, account, dt.date(year, 1, 1), dt.date(year, 12, 31))
-    months = [c for m in range(1, 13) for c in _flows(F.month("date") == m, f"_{m}")]
-    wide = rows.groupBy("user_id").agg(*_flows(suffix="_year"), *months)
-    names = ("total_spend", "total_income", "net")
-    each = [F.struct(F.lit(m).alias("month"), *[F.col(f"{n}_{m}").alias(n) for n in names]) for m in range(1, 13)]
-    long = wide.select("user_id", *[f"{n}_year" for n in names], F.inline(F.array(*each)))
-    return long.withColumn("avg_monthly_spend", F.col("total_spend_year") / 12)
+    whole = _by_month(rows, F.month("date").alias("month"), sums={"spend": _total("is_spend"), "income": _total("is_income")})
+    flows = lambda spend, income, suffix="": [spend.alias(f"total_spend{suffix}"), income.alias(f"total_income{suffix}"), (income - spend).alias(f"net{suffix}")]
+    each = whole.select("user_id", "by", "spend_all", "income_all", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
+    own = F.element_at("by", F.col("month"))
+    out = each.select("user_id", *flows(double(F.col("spend_all")), F.abs(double(F.col("income_all"))), "_year"), "month", *flows(double(own["spend"]), F.abs(double(own["income"]))))
+    return out.withColumn("avg_monthly_spend", F.col("total_spend_year") / 12)
 
 
 def category_breakdown(tx: DataFrame, start: dt.date, end: dt.date, user=None, account=None) -> DataFrame:
@@ -136,10 +146,10 @@ def yoy_year(tx: DataFrame, year: int, than: int, user=None) -> DataFrame:
 def yoy_year_months(tx: DataFrame, year: int, than: int, user=None) -> DataFrame:
     """Spending of the twelve months of two years side by side."""
     rows = scoped(tx.where(_years(year, than)), user)
-    spend = lambda y, m: double(_total("is_spend", (F.year("date") == y) & (F.month("date") == m)))
-    wide = rows.groupBy("user_id").agg(*[spend(y, m).alias(f"s{i}_{m}") for m in range(1, 13) for i, y in ((1, year), (2, than))])
-    each = [F.struct(F.lit(m).alias("month"), F.col(f"s1_{m}").alias("spend_1"), F.col(f"s2_{m}").alias("spend_2")) for m in range(1, 13)]
-    full = wide.select("user_id", F.inline(F.array(*each)))
+    whole = _by_month(rows, F.date_trunc("month", "date").cast("date").alias("first"), sums={"spend": _total("is_spend")})
+    each = whole.select("user_id", "by", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
+    spend = lambda y: double(F.element_at("by", F.make_date(F.lit(y), "month", F.lit(1)))["spend"])
+    full = each.select("user_id", "month", spend(year).alias("spend_1"), spend(than).alias("spend_2"))
     change, pct = _change(F.col("spend_1"), F.col("spend_2"))
     return full.withColumns({"change": change, "change_pct": pct, "month_name": F.date_format(F.make_date(F.lit(year), "month", F.lit(1)), "MMMM")})
 

@@ -33,8 +33,9 @@ def merchant_list(merchants: DataFrame, user=None, search: str | None = None, so
     return _only(merchants, {"user_id": user, "source": source, "category": category}, search, "merchant_normalized")
 
 
-def merchant_order() -> list[Column]:
-    return [F.desc("times_applied"), F.asc("merchant_normalized")]
+def merchant_order(updated: str | None = None) -> list[Column]:
+    """Most used first, then last ``updated`` (a column, where the table has one), then by name."""
+    return [F.desc("times_applied"), *([F.desc(updated)] if updated else []), F.asc("merchant_normalized")]
 
 
 def matching(tx: DataFrame, rules: list[dict], rule_id) -> DataFrame:
@@ -159,10 +160,10 @@ def balance_type(name: Column) -> Column:
 
 
 def balance_accounts(balances: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Balances (institution, account, last4, ...) with the account of equal institution, type and last digits, of
-    several the least id; null where one has to be made."""
+    """Balances (user_id, institution, account, last4, ...) with the user's own account of equal institution, type and
+    last digits, of several the least id; null where one has to be made."""
     typed = balances.withColumn("account_type", balance_type(F.col("account")))
-    keys = ["institution", "account_type", "last4"]
+    keys = ["user_id", "institution", "account_type", "last4"]
     return typed.join(accounts.groupBy(*keys).agg(F.min("account_id").alias("account_id")), keys, "left").select(*balances.columns, "account_type", "account_id")
 
 

@@ -154,6 +154,10 @@ QUERIES = {
     "plain_descriptions": lambda s, d: _descriptions(s, d).select("id", dedup.plain_description(F.col("description_raw")).alias("plain")),
     "keep_last_balance": lambda s, d: changes.keep_last(b.table(s, d, "orders").select(F.col("o_custkey").alias("account_id"), F.col("o_orderdate").cast("date").alias("day"), "o_orderkey", "o_totalprice"), ["account_id", "day"], "o_orderkey"),
     "event_windows": lambda s, d: _windows(s, d),
+    "event_stream": lambda s, d: _streamed(s, d),
+    "rule_join_first": lambda s, d: _first_matches(s, d),
+    "rule_join_counts": lambda s, d: rules.counted_by_join(_tx(s, d), _patterns(s, d)),
+    "keyword_many": lambda s, d: _keyword_many(s, d),
     "import_commit": lambda s, d: _commit(s, d),
 }
 
@@ -167,7 +171,7 @@ def _commit(s, d):
         F.date_add(F.lit(dt.date(1998, 1, 1)), (F.col("id") % 28).cast("int")).alias("date"), F.concat(F.lit("Brand#"), (F.col("id") % 7).cast("string")).alias("merchant"), F.when(F.col("id") % 3 == 0, "EUR").otherwise("USD").alias("currency"),
     )
     ledger = parsed.where("id % 2 = 1").select(dedup.import_key("account_id", "file_hash", "row_index").alias("hash_dedup_key"))
-    out = imports.commit(parsed.union(parsed.where("id % 4 = 0")), ledger, [], merchants(s, d), b.fx_rates(s, d))
+    out = imports.commit(parsed.union(parsed.where("id % 4 = 0")), ledger, [], merchants(s, d), b.shipped_rates(s, d))
     return out.select("id", "transaction_type", "category", "classification_method", "confidence", "is_spend", "is_income", F.col("amount_usd").cast("double").alias("amount_usd"))
 
 
@@ -178,6 +182,49 @@ def _windows(s, d):
     return windowed_totals(e).select(F.col("start").cast("date").alias("day"), "event_type", F.col("total").cast("double").alias("total"), "events")
 
 
+def _streamed(s, d):
+    """The events as files of an inbox, read by a stream in several batches; the last state of each window."""
+    from . import shared
+    from .streaming import inbox
+
+    e = b.table(s, d, "events").select(F.to_timestamp(F.col("ts").cast("string")).alias("ts"), "event_type", F.col("value").cast("decimal(15,2)").alias("value"))
+    base = shared.folder(s, "events")
+    e.repartition(5, "ts").write.parquet(f"{base}/inbox")
+    inbox.totals(s, f"{base}/inbox", e.schema, f"{base}/totals", f"{base}/state", late="36500 days", files=2)
+    found = inbox.latest_totals(s, f"{base}/totals")
+    return found.select(F.col("start").cast("date").alias("day"), "event_type", F.col("total").cast("double").alias("total"), "events")
+
+
+def _patterns(s, d) -> DataFrame:
+    """A rule of each customer for the user of its nation: some part of a part's name or brand, in capitals; every
+    hundredth is empty."""
+    c, p = b.table(s, d, "customer"), b.table(s, d, "part").select("p_partkey", "p_name", "p_brand")
+    joined = c.join(p, F.col("p_partkey") == F.col("c_custkey"))
+    name = F.substr("p_name", (F.col("c_custkey") % 4 + 1).cast("int"), (F.col("c_custkey") % 9 + 1).cast("int"))
+    pattern = F.when(F.col("c_custkey") % 100 == 0, "").when(F.col("c_custkey") % 3 == 0, F.upper("p_brand")).when(F.col("c_custkey") % 7 == 0, "no such words").otherwise(F.upper(name))
+    return joined.select(F.col("c_nationkey").alias("user_id"), F.col("c_custkey").alias("rule_id"), pattern.alias("pattern"), (F.col("c_custkey") * 7 % 50).alias("priority"))
+
+
+def _first_matches(s, d) -> DataFrame:
+    rows = _tx(s, d).select("user_id", "account_id", F.when(F.col("account_id") % 2 == 0, F.col("merchant")).alias("merchant"), "description_raw")
+    return rules.matched_by_join(rows, "account_id", _patterns(s, d)).groupBy("user_id", "rule_id").agg(F.count("*").alias("matches"))
+
+
+def _keyword_rows(s, d) -> DataFrame:
+    """(position, category, keyword): words, names and brands of parts; many stand in others."""
+    p = b.table(s, d, "part")
+    words = F.concat(F.split(F.upper("p_name"), " "), F.array(F.upper("p_name"), F.upper("p_brand"), F.substring(F.upper("p_name"), 2, 5)))
+    each = p.select("p_partkey", F.explode(words).alias("keyword")).groupBy("keyword").agg(F.min("p_partkey").alias("k"))
+    return each.where("k % 4 > 0").select((F.col("k") * 13 % 97).alias("position"), F.concat(F.lit("C"), (F.col("k") * 13 % 97 % 11).cast("string")).alias("category"), "keyword")
+
+
+def _keyword_many(s, d) -> DataFrame:
+    text = F.concat(F.upper("p_name"), F.lit(" "), F.upper("p_brand"), F.lit(" "), F.upper("p_type"))
+    return b.table(s, d, "part").select("p_partkey", classify.keyword_category(text, classify.keyword_table(_keyword_rows(s, d))).alias("category"))
+
+
+_PATTERNS = """patterns AS (SELECT c_nationkey AS user_id, c_custkey AS rule_id, CASE WHEN c_custkey % 100 = 0 THEN '' WHEN c_custkey % 3 = 0 THEN upper(p_brand) WHEN c_custkey % 7 = 0 THEN 'no such words'
+  ELSE upper(substr(p_name, CAST(c_custkey % 4 + 1 AS INT), CAST(c_custkey % 9 + 1 AS INT))) END AS pattern, c_custkey * 7 % 50 AS priority FROM customer JOIN part ON p_partkey = c_custkey)"""
 _S, _E = f"DATE '{START}'", f"DATE '{END}'"
 _FLOW = """COALESCE(CAST(SUM(CASE WHEN is_spend {0} THEN eff END) AS DOUBLE), 0.0) AS total_spend{1},
   abs(COALESCE(CAST(SUM(CASE WHEN is_income {0} THEN eff END) AS DOUBLE), 0.0)) AS total_income{1},
@@ -297,6 +344,16 @@ _BODIES = {
     "account_hash": "SELECT c_custkey AS id, sha256('AB' || CAST(c_custkey AS VARCHAR) || 'X') AS hash FROM customer",
     "plain_descriptions": f", {_DESCRIPTIONS} SELECT id, trim(regexp_replace(lower(description_raw), '[*#\\s]+', ' ', 'g')) AS plain FROM descr",
     "keep_last_balance": "SELECT o_custkey AS account_id, CAST(o_orderdate AS DATE) AS day, MAX(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY ALL",
+    "event_stream": "SELECT CAST(ts AS DATE) AS day, event_type, CAST(SUM(CAST(value AS DECIMAL(15,2))) AS DOUBLE) AS total, COUNT(*) AS events FROM events GROUP BY ALL",
+    "rule_join_first": f""", {_PATTERNS}, texts AS (SELECT DISTINCT user_id, CASE WHEN account_id % 2 = 0 THEN lower(merchant) ELSE '' END AS m, lower(description_raw) AS t FROM tx),
+      first AS (SELECT user_id, m, t, min((priority, rule_id))[2] AS rule_id FROM texts JOIN patterns USING (user_id) WHERE contains(m, lower(pattern)) OR contains(t, lower(pattern)) GROUP BY ALL)
+      SELECT tx.user_id, rule_id, COUNT(*) AS matches FROM tx JOIN first ON tx.user_id = first.user_id AND lower(description_raw) = t AND CASE WHEN account_id % 2 = 0 THEN lower(merchant) ELSE '' END = m GROUP BY ALL""",
+    "rule_join_counts": f""", {_PATTERNS}, texts AS (SELECT user_id, lower(merchant) AS m, lower(description_raw) AS t, COUNT(*) AS n FROM tx GROUP BY ALL),
+      found AS (SELECT user_id, rule_id, SUM(n) AS n FROM patterns JOIN texts USING (user_id) WHERE contains(m, lower(pattern)) OR contains(t, lower(pattern)) GROUP BY ALL)
+      SELECT user_id, rule_id, CAST(COALESCE(n, 0) AS BIGINT) AS match_count FROM patterns LEFT JOIN found USING (user_id, rule_id)""",
+    "keyword_many": """, words AS (SELECT p_partkey, unnest(list_concat(string_split(upper(p_name), ' '), [upper(p_name), upper(p_brand), substr(upper(p_name), 2, 5)])) AS keyword FROM part),
+      kw AS (SELECT keyword, min(p_partkey) AS k FROM words GROUP BY keyword HAVING min(p_partkey) % 4 > 0), p AS (SELECT p_partkey, upper(p_name) || ' ' || upper(p_brand) || ' ' || upper(p_type) AS text FROM part)
+      SELECT p_partkey, COALESCE('C' || min(k * 13 % 97) % 11, 'Other Expenses') AS category FROM p LEFT JOIN kw ON contains(text, keyword) GROUP BY p_partkey""",
     "event_windows": "SELECT CAST(ts AS DATE) AS day, event_type, CAST(SUM(CAST(value AS DECIMAL(15,2))) AS DOUBLE) AS total, COUNT(*) AS events FROM events GROUP BY ALL",
 }
 

@@ -71,14 +71,16 @@ def read(spark: SparkSession, path: str, names: list[str] = ORDER) -> dict[str,
 
 def restore(current: dict[str, DataFrame], backup: dict[str, DataFrame], on_conflict: str = "skip") -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables after, report): rows whose id is there already are skipped, or with 'error' counted as errors;
-    children without parent are errors; links to what is missing become null. The report has (entity, status,
+    of backup rows that share an id the one that comes first as JSON counts; children without parent are errors; links to what is missing become null. The report has (entity, status,
     rows)."""
     if on_conflict not in ("skip", "error"):
         raise ValueError("on_conflict is skip or error")
     after, report = {}, None
     clash = "skipped" if on_conflict == "skip" else "errors"
     for name in [n for n in ORDER if n in backup]:
-        rows = backup[name].dropDuplicates(["id"])
+        given = backup[name]
+        whole = F.struct(*given.columns)
+        rows = given.groupBy("id").agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
         known = current[name].select("id").withColumn("__known", F.lit(True))
         rows = rows.join(known, "id", "left")
         orphan = F.lit(False)

@@ -32,7 +32,8 @@ _MONEY = r"[\d,]+\.\d{2}"
 @dataclass
 class Form:
     """How a bank prints a transaction. Groups of ``pattern`` by number; ``section``: (start, end) patterns of
-    lines; ``stitch``: how many lines may continue a description, unless they match ``stop``."""
+    lines; ``stitch``: how many lines may continue a description, unless they match ``stop``. ``payment`` and
+    ``transfer``: words of payments to cards and of transfers, with ``debits_only`` in what leaves the account alone."""
 
     pattern: str
     description: int
@@ -50,20 +51,30 @@ class Form:
     absolute: bool = False
     skip: str = ""
     payment: str = r"(?i)AUTOPAY|PAYMENT"
+    transfer: str = ""
+    debits_only: bool = False
 
 
 # The lines of each bank.
 FORMS = {
-    "amex": Form(rf"^(\d{{2}})/(\d{{2}})/(\d{{2}})\*?\s+(.+?)\s+(-?)\$?({_MONEY})⧫?$", 4, 6, year=3, minus=5, payment=r"(?i)AUTOPAY|PAYMENT.*THANK YOU"),
-    "chase": Form(rf"^(\d{{2}})/(\d{{2}})\s+(.+?)\s+(-?)({_MONEY})$", 3, 5, minus=4, skip=r"Year-to-Date|Total fees|Order Number"),
-    "wells_fargo": Form(rf"^\d{{2}}/\d{{2}}\s+(\d{{2}})/(\d{{2}})\s+(.+?)\s+\$?({_MONEY})(-?)$", 3, 4, minus=5),
+    "amex": Form(rf"^(\d{{2}})/(\d{{2}})/(\d{{2}})\*?\s+(.+?)\s+(-?)\$?({_MONEY})⧫?$", 4, 6, year=3, minus=5, payment=r"(?i)AUTOPAY|^(?=.*PAYMENT).*THANK YOU"),
+    "chase": Form(rf"^(\d{{2}})/(\d{{2}})\s+(.+?)\s+(-?)({_MONEY})$", 3, 5, minus=4,
+        skip=r"Date of|Transaction|Merchant Name|\$ Amount|ACCOUNT ACTIVITY|ACCOUNT SUMMARY|Order Number|Year-to-Date|Total fees|Total interest|INTEREST CHARGES|Annual Percentage|Balance Type|Balance Subject|Days in Billing|Page|Statement Date|www\.chase\.com|chase\.com|Customer Service|20\d\d Totals|AACCCCOOUUNNTT|IINNTTEERREESSTT|YYeeaarr",
+    ),
+    "wells_fargo": Form(rf"^\d{{2}}/\d{{2}}\s+(\d{{2}})/(\d{{2}})\s+(.+?)\s+\$?({_MONEY})(-?)$", 3, 4, minus=5,
+        section=("Transaction Summary", r"(?!)"), skip=r"Interest Charge|BiltProtect Summary|NOTICE: SEE REVERSE|PAGE|Trans Date.*Post Date|^Continued",
+    ),
     "capital_one": Form(rf"^[A-Z][a-z]{{2}}\s+\d{{1,2}}\s+([A-Z][a-z]{{2}})\s+(\d{{1,2}})\s+(.+?)\s+(-?)\s*\$({_MONEY})$", 3, 5, minus=4),
     "boa": Form(rf"^(\d{{2}})/(\d{{2}})\s+\d{{2}}/\d{{2}}\s+(.+?)\s+(-?)({_MONEY})$", 3, 5, minus=4, absolute=True),
     "ally_bank": Form(
         rf"^(\d{{2}})/(\d{{2}})/(\d{{4}})\s+(.+?)\s+\$?({_MONEY})\s+-?\$?({_MONEY})\s+\$?{_MONEY}$", 4, 5, year=3, debit=6,
-        section=(r"^Activity$|Date Description", r"Ending Balance|Interest Paid YTD|Interest Withheld YTD|Important Information|Sincerely,"), stitch=3, stop=r"^\d{2}/\d{2}/\d{4}|Ending Balance|Activity|Account", payment=r"(?i)EPAYMENT|CREDIT CARD|CRCARDPMT",
+        section=(r"^Activity$|Date Description", r"Ending Balance|Interest Paid YTD|Interest Withheld YTD|Important Information|Sincerely,"), stitch=3, stop=r"^\d{2}/\d{2}/\d{4}|Ending Balance|Activity|Account", payment=r"(?i)CREDIT CARD|CREDIT CRD|EPAYMENT|AUTOPAY|AUTO PAY|WF CREDIT|CHASE CREDIT|AMEX|CAPITAL ONE|CITI CARD|DISCOVER|BARCLAYS",
+        transfer=r"(?i)EXT TRNSFR|EXTERNAL TRANSFER|BANK TRANSFER|WIRE TRANSFER|JPMORGAN CHASE|FIDELITY|SCHWAB|VANGUARD|MONEYLINE|FID BKG SVC", debits_only=True,
+    ),
+    "chase_bank": Form(rf"^(\d{{2}})/(\d{{2}})\s+(.+?)\s+(-?)({_MONEY})\s+-?{_MONEY}$", 3, 5, minus=4, section=(r"TRANSACTION DETAIL", r"\*start\*|\*end\*"), rolls=False, skip=r"Beginning Balance|Ending Balance", negative="deposit",
+        payment=r"(?i)CREDIT CARD|CREDIT CRD|CRCARDPMT|AUTOPAY|WF CREDIT|CHASE CREDIT|AMEX|AMERICAN EXPRESS|CAPITAL ONE|CITI CARD|DISCOVER|BARCLAYS|BANK OF AMERICA|SYNCHRONY",
+        transfer=r"(?i)EXT TRNSFR|EXTERNAL TRANSFER|BANK TRANSFER|WIRE TRANSFER|ZELLE|VENMO|PAYPAL", debits_only=True,
     ),
-    "chase_bank": Form(rf"^(\d{{2}})/(\d{{2}})\s+(.+?)\s+(-?)({_MONEY})\s+-?{_MONEY}$", 3, 5, minus=4, section=(r"TRANSACTION DETAIL", r"\*start\*|\*end\*"), rolls=False, skip=r"Beginning Balance|Ending Balance", negative="deposit"),
     "fidelity": Form(rf"^(\d{{2}})/(\d{{2}})\s+\d{{2}}/\d{{2}}\s+\w+\s+(.*?)\s+\$?({_MONEY})(CR)?", 3, 4, minus=5, rolls=False, stitch=1, stop=r"^\d{2}/\d{2}"),
 }
 
@@ -155,23 +166,26 @@ def _later_amounts(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({f"__l{k}": F.lead("line", k).over(own) for k in range(1, 6)})
     rows = rows.withColumn("__credits", F.last(section, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     amount = rf"-?\s*\$?({_MONEY})\s*⧫?\s*$"
-    described, joined, going = F.col("line"), F.lit(None).cast("string"), F.lit(True)
-    for k in range(1, 6):
-        nxt = F.col(f"__l{k}")
-        going = going & nxt.isNotNull() & ~nxt.rlike(r"^\d{2}/\d{2}/\d{2}|New Charges|Fees|Total|Summary")
+
+    def read(acc: Column, nxt: Column) -> Column:
+        going = acc["going"] & nxt.isNotNull() & ~nxt.rlike(r"^\d{2}/\d{2}/\d{2}|New Charges|Fees|Total|Summary")
+        ends = F.coalesce(nxt.rlike(amount), F.lit(False))
         minus = F.when(nxt.rlike(rf"-\s*\$?{_MONEY}"), "-$").otherwise("$")
         rest = F.nullif(F.trim(F.regexp_replace(nxt, amount, "")), F.lit(""))
-        whole = F.concat_ws(" ", described, rest, F.concat(minus, F.regexp_extract(nxt, amount, 1)))
-        joined = F.when(going & nxt.rlike(amount), whole).otherwise(joined)
-        going = going & ~nxt.rlike(amount)
-        described = F.when(going & (nxt != ""), F.concat(described, F.lit(" "), nxt)).otherwise(described)
+        whole = F.concat_ws(" ", acc["said"], rest, F.concat(minus, F.regexp_extract(nxt, amount, 1)))
+        said = F.when(going & ~ends & (nxt != ""), F.concat(acc["said"], F.lit(" "), nxt)).otherwise(acc["said"])
+        return F.struct(said.alias("said"), F.when(going & ends, whole).otherwise(acc["whole"]).alias("whole"), F.coalesce(going & ~ends, F.lit(False)).alias("going"))
+
+    start = F.struct(F.col("line").alias("said"), F.lit(None).cast("string").alias("whole"), F.lit(True).alias("going"))
+    joined = F.aggregate(F.array(*[f"__l{k}" for k in range(1, 6)]), start, read)["whole"]
     opened = F.col("line").rlike(r"^\d{2}/\d{2}/\d{2}\*?\s+.+") & ~F.col("line").rlike(FORMS["amex"].pattern) & (F.col("__credits") == 1)
     return rows.where(~F.col("line").rlike(AMEX_SKIP)).select("source_file", "place", F.when(opened & joined.isNotNull(), joined).otherwise(F.col("line")).alias("line"))
 
 
-def parse(statements: DataFrame, name: str, as_of_year: int, as_of_month: int) -> DataFrame:
+def parse(statements: DataFrame, name: str, as_of_year: int, as_of_month: int, transfers: bool = False) -> DataFrame:
     """Transactions of one bank's statements: row_index, date, description_raw, amount (charges positive, credits
-    negative), is_credit, is_payment. Lines that are no transaction, and days that don't exist, are left out."""
+    negative), is_credit, is_payment; with ``transfers`` also transfer_category, what kind of payment it is, where the
+    bank tells. Lines that are no transaction, and days that don't exist, are left out."""
     form = FORMS[name]
     dated = statements.withColumns({"__year": statement_year(F.col("text"), F.lit(as_of_year)), "__month": statement_month(F.col("text"), F.lit(as_of_month))})
     rows = _inside(lines(statements), form)
@@ -200,9 +214,13 @@ def parse(statements: DataFrame, name: str, as_of_year: int, as_of_month: int) -
     rows = rows.join(dated.select("source_file", "__year", "__month"), "source_file")
     year = F.col("__year") if not form.year else F.when(F.length(group(form.year)) == 2, group(form.year).cast("int") + 2000).otherwise(group(form.year).cast("int"))
     date = statement_date(month_number(group(form.month)), group(form.day).cast("int"), year, F.col("__month"), form.rolls and not form.year)
-    out = rows.select("source_file", "place", date.alias("date"), "description_raw", amount.alias("amount"), credit.alias("is_credit"), F.col("description_raw").rlike(form.payment).alias("is_payment"))
+    leaves = ~credit if form.debits_only else F.lit(True)
+    card = F.col("description_raw").rlike(form.payment) & leaves
+    moved = F.col("description_raw").rlike(form.transfer) & leaves if form.transfer else F.lit(False)
+    kind = F.when(card, "Credit Card Payments").when(moved, "Transfers") if form.transfer else F.lit(None).cast("string")
+    out = rows.select("source_file", "place", date.alias("date"), "description_raw", amount.alias("amount"), credit.alias("is_credit"), (card | moved).alias("is_payment"), kind.alias("transfer_category"))
     index = F.row_number().over(Window.partitionBy("source_file").orderBy("place")) - 1
-    return out.where("date IS NOT NULL AND amount IS NOT NULL").select("source_file", index.alias("row_index"), "date", "description_raw", "amount", "is_credit", "is_payment")
+    return out.where("date IS NOT NULL AND amount IS NOT NULL").select("source_file", index.alias("row_index"), "date", "description_raw", "amount", "is_credit", "is_payment", *["transfer_category"] * transfers)
 
 
 # Forms of lines of unknown banks, in the order in which they are tried: pattern, date format.
@@ -210,7 +228,7 @@ GENERIC = [
     (rf"^(\d{{2}}/\d{{2}}/\d{{4}})\s+(.+?)\s+\$?(-?{_MONEY})\s*((?i)CR)?$", "MM/dd/yyyy"),
     (rf"^(\d{{2}}/\d{{2}}/\d{{2}})\s+(.+?)\s+\$?(-?{_MONEY})\s*((?i)CR)?$", "MM/dd/yy"),
     (rf"^(\d{{2}}/\d{{2}})\s+(.+?)\s+\$?(-?{_MONEY})\s*((?i)CR)?$", "MM/dd"),
-    (rf"^([A-Z][a-z]{{2}}\s+\d{{1,2}})\s+(.+?)\s+\$?(-?{_MONEY})()$", "MMM d"),
+    (rf"^((?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\s+\d{{1,2}})\s+(.+?)\s+\$?(-?{_MONEY})()$", "MMM d"),
     (rf"^(\d{{4}}-\d{{2}}-\d{{2}})\s+(.+?)\s+\$?(-?{_MONEY})()$", "yyyy-MM-dd"),
     (rf"^(\d{{2}}-\d{{2}}-\d{{4}})\s+(.+?)\s+\$?(-?{_MONEY})()$", "MM-dd-yyyy"),
 ]
@@ -231,7 +249,7 @@ def parse_generic(statements: DataFrame, as_of_year: int) -> DataFrame:
     for pattern, form in GENERIC:
         part = lambda i, p=pattern: F.nullif(F.regexp_extract("line", p, i), F.lit(""))
         whole, full = (part(1), form) if "y" in form else (F.concat(part(1), F.lit(" "), F.col("__year").cast("string")), f"{form} yyyy")
-        dates.append(F.try_to_timestamp(F.regexp_replace(whole, r"\s+", " "), F.lit(full)).cast("date"))
+        dates.append(F.try_to_timestamp(F.regexp_replace(F.initcap(whole) if "MMM" in form else whole, r"\s+", " "), F.lit(full)).cast("date"))
         texts.append(part(2))
         values.append(F.replace(part(3), F.lit(","), F.lit("")).try_cast("decimal(15,2)"))
         marks.append(part(4))

@@ -36,8 +36,8 @@ def _day(form: str) -> Column:
 #: The head of each bank's statements, its foot, and its lines.
 _LINES = {
     "amex": ("American Express", "", lambda: F.concat(_day("MM/dd/yy"), _if("*"), F.lit(" "), "text", F.lit(" "), _if("-"), F.lit("$"), "value")),
-    "chase": ("chase.com\nClosing Date: 02/15/1998", "Year-to-Date totals", lambda: F.concat(_day("MM/dd"), F.lit(" "), "text", F.lit(" "), _if("-"), "value")),
-    "wells_fargo": ("Wells Fargo\nClosing Date: 02/15/1998", "Total", lambda: F.concat(F.lit("01/01 "), _day("MM/dd"), F.lit(" "), "text", F.lit(" $"), "value", _if("-"))),
+    "chase": ("chase.com\nClosing Date: 02/15/1998", "01/02 Total fees in 1998 9.00\n01/03 2025 Totals Year-to-Date 8.00", lambda: F.concat(_day("MM/dd"), F.lit(" "), "text", F.lit(" "), _if("-"), "value")),
+    "wells_fargo": ("Wells Fargo\nClosing Date: 02/15/1998\n01/01 01/02 BEFORE $1.00\nTransaction Summary\nTrans Date Post Date", "01/01 01/02 Interest Charge on cash $1.00\nTotal", lambda: F.concat(F.lit("01/01 "), _day("MM/dd"), F.lit(" "), "text", F.lit(" $"), "value", _if("-"))),
     "capital_one": ("Capital One\nJan 16, 1998 - Feb 15, 1998", "", lambda: F.concat(F.lit("Jan 2 "), _day("MMM d"), F.lit(" "), "text", F.lit(" "), _if("- "), F.lit("$"), "value")),
     "boa": ("Bank of America\nClosing Date: 02/15/1998", "", lambda: F.concat(_day("MM/dd"), F.lit(" 01/01 "), "text", F.lit(" "), _if("-"), "value")),
     "ally_bank": ("Ally Bank\n01/01/1998 Before 1.00 -0.00 1.00\nDate Description Credits Debits Balance", "Ending Balance $0.00",
@@ -97,8 +97,56 @@ def statement_ally_balances(spark, sf_dir) -> DataFrame:
     return statements.ally_balances(b.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("source_file"), F.concat_ws("\n", F.lit("Ally Bank"), *each).alias("text")))
 
 
-QUERIES = {f"statement_{name}": _parsed(name) for name in _LINES} | {
-    f.__name__: f for f in (statement_generic, statement_banks, statement_institutions, statement_chase_balances, statement_ally_balances)
+#: Descriptions by order: payments to cards, transfers, and words that look alike.
+_MOVES = ["WF CREDIT CRD", "Ext Trnsfr to me", "AutoPay of rent", "coffee", "Zelle or Moneyline", "Amex and wire transfer"]
+_MOVED = {name: ["Credit Card Payments", "Transfers", "Credit Card Payments", None, "Transfers", "Credit Card Payments"] for name in ("ally_bank", "chase_bank")}
+
+
+def _transfers(name: str):
+    """What leaves an account for a card or another account; equal words in what comes in mean nothing."""
+    head, foot, _ = _LINES[name]
+
+    def query(spark, sf_dir) -> DataFrame:
+        move = F.element_at(F.array(*[F.lit(m) for m in _MOVES]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+        if name == "ally_bank":
+            line = F.concat(_day("MM/dd/yyyy"), F.lit(" "), "text", F.when(F.col("credit"), F.concat(F.lit(" $"), "value", F.lit(" -$0.00"))).otherwise(F.concat(F.lit(" $0.00 -$"), "value")), F.lit(" $9.99\n"), move, F.lit("\ncontinued"))
+        else:
+            line = F.concat(_day("MM/dd"), F.lit(" "), move, F.lit(" "), "text", F.when(F.col("credit"), " ").otherwise(" -"), "value", F.lit(" 9.99"))
+        made = _orders(spark, sf_dir).withColumn("text", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")))
+        by = made.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("l"))
+        texts = by.select(F.col("o_custkey").cast("string").alias("source_file"), F.concat_ws("\n", F.lit(head), F.array_join("l.line", "\n"), F.lit(foot)).alias("text"))
+        return statements.parse(texts, name, 1998, 2, transfers=True).select("source_file", "row_index", "description_raw", "is_credit", "is_payment", "transfer_category")
+
+    return query
+
+
+_THANKS = ["THANK YOU - MOBILE PAYMENT", "PAYMENT RECEIVED, THANK YOU", "PAYMENT OF A BILL", "thank you", "AutoPay"]
+
+
+def statement_amex_payments(spark, sf_dir) -> DataFrame:
+    """Payments with their words in either order; both are needed."""
+    words = F.element_at(F.array(*[F.lit(w) for w in _THANKS]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    line = F.concat(_day("MM/dd/yy"), F.lit(" "), words, F.lit(" "), F.col("o_orderkey").cast("string"), F.lit(" -$"), "value")
+    return statements.parse(_made(spark, sf_dir, line, "American Express"), "amex", 1998, 2).select("source_file", "row_index", "description_raw", "is_payment")
+
+
+def statement_amex_later(spark, sf_dir) -> DataFrame:
+    """Credits whose amount stands one to three lines below the date."""
+    rest = F.element_at(F.array(F.lit(""), F.lit("of last month\n"), F.lit("of last\nmonth\n")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    line = F.concat(_day("MM/dd/yy"), F.lit("* CREDIT "), F.col("o_orderkey").cast("string"), F.lit("\n"), rest, F.lit("-$"), "value")
+    found = statements.parse(_made(spark, sf_dir, line, "American Express\nPayments and Credits"), "amex", 1998, 2)
+    return found.select("source_file", "row_index", "date", "description_raw", "amount", "is_credit")
+
+
+def statement_generic_months(spark, sf_dir) -> DataFrame:
+    """Names of months in any case; APR is also a rate, so lines of April are left out."""
+    month = F.element_at(F.array(F.upper(_day("MMM")), F.lower(_day("MMM")), _day("MMM")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    line = F.concat(month, F.lit("  "), _day("d"), F.lit(" "), "text", F.lit(" $"), "value")
+    return statements.parse_generic(_made(spark, sf_dir, line, "In 1998"), 1998).select("source_file", "row_index", "date", "amount", "description_raw")
+
+
+QUERIES = {f"statement_{name}": _parsed(name) for name in _LINES} | {f"statement_{name}_transfers": _transfers(name) for name in _MOVED} | {
+    f.__name__: f for f in (statement_amex_payments, statement_amex_later, statement_generic_months, statement_generic, statement_banks, statement_institutions, statement_chase_balances, statement_ally_balances)
 }
 
 _BASE = """WITH o AS (SELECT *, CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(15,2)) AS value, o_orderkey % 3 = 0 AS credit,
@@ -121,14 +169,37 @@ _BANK_NAMES = list(_LINES)
 _ABS = "CAST(abs(CAST(c_acctbal AS DECIMAL(15,2))) + {} AS DECIMAL(15,2))".format
 _FOUR = "lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')"
 
+
+
+def _sql_by(values: list, key: str) -> str:
+    return f"list_extract([{', '.join('NULL' if v is None else repr(v) for v in values)}], CAST({key} % {len(values)} + 1 AS INT))"
+
+
+def _sql_text(text: str, *args: str, more: str = "") -> str:
+    return _sql(*args).replace("text AS description_raw", f"{text} AS description_raw{more}")
+
+
+def _sql_transfers(name: str) -> str:
+    move, kind = _sql_by(_MOVES, "o_orderkey"), _sql_by(_MOVED[name], "o_orderkey")
+    text = f"'Order ' || o_orderkey || ' ' || {move} || ' continued'" if name == "ally_bank" else f"{move} || ' Order ' || o_orderkey"
+    return f"SELECT source_file, row_index, description_raw, is_credit, kind IS NOT NULL AND NOT is_credit AS is_payment, CASE WHEN NOT is_credit THEN kind END AS transfer_category FROM ({_sql_text(text, 'day', more=f', {kind} AS kind')})"
+
+
+_LATER = f"'CREDIT ' || o_orderkey || {_sql_by(['', ' of last month', ' of last month'], 'o_orderkey')}"
+
 SQL = {
+    "statement_ally_bank_transfers": _sql_transfers("ally_bank"),
+    "statement_chase_bank_transfers": _sql_transfers("chase_bank"),
+    "statement_amex_payments": f"SELECT source_file, row_index, description_raw, o_paid AS is_payment FROM ({_sql_text(_sql_by(_THANKS, 'o_orderkey') + " || ' ' || o_orderkey", 'day', more=', o_orderkey % 5 IN (0, 1, 4) AS o_paid')})",
+    "statement_amex_later": f"SELECT source_file, row_index, date, description_raw, amount, is_credit FROM ({_sql_text(_LATER, _SHORT, 'CAST(-value AS DECIMAL(15,2))', 'true')})",
+    "statement_generic_months": f"SELECT source_file, CAST(row_number() OVER (PARTITION BY source_file ORDER BY row_index) - 1 AS INT) AS row_index, date, amount, description_raw FROM ({_sql(_FIXED, 'value')} WHERE month(day) <> 4)",
     "statement_amex": _sql(_SHORT),
     "statement_chase": _sql(_ROLLED),
     "statement_wells_fargo": _sql(_ROLLED),
     "statement_capital_one": _sql(_ROLLED),
     "statement_boa": _sql(_ROLLED, "value"),
-    "statement_ally_bank": _sql("day", payment="false"),
-    "statement_chase_bank": _sql(_FIXED),
+    "statement_ally_bank": _sql("day", payment=f"{_PAID} AND NOT credit"),
+    "statement_chase_bank": _sql(_FIXED, payment=f"{_PAID} AND NOT credit"),
     "statement_fidelity": _sql(_FIXED),
     "statement_generic": f"SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY source_file ORDER BY row_index) - 1 AS INT) AS row_index) FROM ({_sql('day', 'CASE WHEN o_orderkey % 4 > 0 THEN -value ELSE value END', 'o_orderkey % 4 > 0').replace('AS is_payment FROM o', 'AS is_payment FROM o WHERE o_orderkey % 4 <> 3')})",
     "statement_banks": f"SELECT CAST(o_custkey AS VARCHAR) AS source_file, name AS made, name AS bank FROM (SELECT DISTINCT o_custkey FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)), (SELECT unnest([{', '.join(repr(n) for n in _BANK_NAMES)}]) AS name)",

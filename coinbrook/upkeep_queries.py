@@ -124,7 +124,9 @@ def import_life_cycle(s, d) -> DataFrame:
 
 def _balances(s, d) -> DataFrame:
     name = F.element_at(F.array(F.lit("Spending"), F.lit("savings"), F.lit("Vault")), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    return b.table(s, d, "orders").select(F.col("o_orderkey").alias("balance_id"), F.concat(F.lit("Bank "), (F.col("o_custkey") % 7).cast("string")).alias("institution"), name.alias("account"), F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0").alias("last4"))
+    owned = b.table(s, d, "orders").join(b.table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    user = F.when(F.col("o_orderkey") % 4 == 0, (F.col("c_nationkey") + 1) % 25).otherwise(F.col("c_nationkey"))  # some of another user
+    return owned.select(F.col("o_orderkey").alias("balance_id"), user.alias("user_id"), F.concat(F.lit("Bank "), (F.col("o_custkey") % 7).cast("string")).alias("institution"), name.alias("account"), F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0").alias("last4"))
 
 
 def balance_accounts(s, d) -> DataFrame:
@@ -204,6 +206,12 @@ def csv_export(s, d) -> DataFrame:
     return reports.export_rows(rows)
 
 
+def rule_matching_none(s, d) -> DataFrame:
+    """For each account how many rows it has and how many a rule matches that there is not."""
+    none = upkeep.matching(_tx(s, d), [_RULE], "r7").select("account_id", F.lit(1).alias("hit"))
+    return _tx(s, d).select("account_id", F.lit(0).alias("hit")).unionByName(none).groupBy("account_id").agg(F.count("*").alias("n"), F.sum("hit").alias("matched"))
+
+
 QUERIES = {
     "rule_list": lambda s, d: upkeep.rule_list(_rules(s, d), kind="COMPOSITE", active=True, search="w_dg").select("id", "user_id", "priority"),
     "rule_list_page": lambda s, d: lists.page(upkeep.rule_list(_rules(s, d), user=3), upkeep.rule_order(), 1, 5).select("id", "priority", "total", "has_more"),
@@ -211,11 +219,11 @@ QUERIES = {
     "merchant_list_page": lambda s, d: lists.page(upkeep.merchant_list(_merchants(s, d), user=4), upkeep.merchant_order(), 1, 5).select("merchant_normalized", "times_applied", "total"),
     "rule_toggle": lambda s, d: upkeep.toggled(_rules(s, d), _rules(s, d).where("priority < 10").select("id")).select("id", "is_active"),
     "rule_matching_rows": lambda s, d: upkeep.matching(lists.filtered(_tx(s, d), is_spend=True), [_RULE], "r9").groupBy("account_id").agg(F.count("*").alias("n")),
-    "rule_matching_none": lambda s, d: upkeep.matching(_tx(s, d), [_RULE], "r7").groupBy("account_id").agg(F.count("*").alias("n")),
+    "rule_matching_none": rule_matching_none,
     "filter_other_than": lambda s, d: lists.filtered(_owned(s, d), user=2, other_than=8).where("merchant = 'Clerk 8'").select("id"),
     "family_counts": lambda s, d: upkeep.family_counts(b.snapshots(s, d)),
     "chart_scale": lambda s, d: upkeep.chart_scale(networth.history(b.snapshots(s, d)), "net_worth"),
-    "category_table": lambda s, d: categories.table(s).groupBy("transaction_type").agg(F.count("*").alias("n"), F.sum("category_id").alias("ids")),
+    "category_table": lambda s, d: b.table(s, d, "part").select((F.col("p_partkey") % 73 + 1).alias("category_id")).join(categories.table(s), "category_id").groupBy("transaction_type").agg(F.count("*").alias("n"), F.countDistinct("category").alias("categories")),
     "category_types": lambda s, d: b.table(s, d, "part").select("p_partkey", categories.type_of(F.element_at(F.array(*[F.lit(c) for c in ("Rent", "Interest", "Savings", "Uncategorized", "No such")]), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("transaction_type")),
     "report_summary": lambda s, d: reports.summary_lines(_tx(s, d), START, END, 3),
     "report_categories": lambda s, d: reports.category_lines(_tx(s, d), START, END, 3, 15),
@@ -240,14 +248,14 @@ _LEDGER = {
     "merchant_list_page": f", {_MC} SELECT merchant_normalized, times_applied, (SELECT COUNT(*) FROM mcs WHERE user_id = 4) AS total FROM mcs WHERE user_id = 4 ORDER BY times_applied DESC, merchant_normalized LIMIT 5",
     "rule_toggle": f", {_RULES} SELECT id, CASE WHEN priority < 10 THEN NOT is_active ELSE is_active END AS is_active FROM rules",
     "rule_matching_rows": f"SELECT account_id, COUNT(*) AS n FROM tx WHERE is_spend AND {_HIT} GROUP BY ALL",
-    "rule_matching_none": "SELECT account_id, COUNT(*) AS n FROM tx WHERE false GROUP BY ALL",
+    "rule_matching_none": "SELECT account_id, COUNT(*) AS n, 0 AS matched FROM tx GROUP BY account_id",
     "filter_other_than": f", {_OWNED} SELECT id FROM owned WHERE user_id = 2 AND merchant = 'Clerk 8' AND id <> 8",
     "family_counts": f"SELECT {_CASH} AS is_cash, COUNT(DISTINCT account_id) AS accounts, COUNT(*) AS statements FROM snaps GROUP BY ALL",
     "chart_scale": """, daily AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account_id, statement_date ORDER BY snapshot_id DESC) AS rn FROM snaps) WHERE rn = 1),
       days AS (SELECT DISTINCT user_id, statement_date AS day FROM daily), hist AS (SELECT d.user_id, d.day, CAST(SUM(x.total_value) AS DOUBLE) AS v FROM days d JOIN (
         SELECT *, lead(statement_date) OVER (PARTITION BY account_id ORDER BY statement_date) AS until FROM daily) x ON d.user_id = x.user_id AND x.statement_date <= d.day AND (x.until IS NULL OR d.day < x.until) GROUP BY ALL)
       SELECT user_id, greatest(MAX(abs(v)), 1.0) AS largest, MIN(v) AS least, MAX(v) AS most, bool_or(v < 0) AS has_negative FROM hist GROUP BY user_id""",
-    "category_table": "SELECT * FROM (VALUES ('EXPENSE', 42, 919), ('INCOME', 13, 696), ('TRANSFER', 17, 1030), ('UNCATEGORIZED', 1, 56)) v(transaction_type, n, ids)",
+    "category_table": """SELECT CASE WHEN id <= 41 OR id = 58 THEN 'EXPENSE' WHEN id <= 50 OR id IN (68, 69, 72, 73) THEN 'INCOME' WHEN id = 56 THEN 'UNCATEGORIZED' ELSE 'TRANSFER' END AS transaction_type, COUNT(*) AS n, COUNT(DISTINCT id) AS categories FROM (SELECT p_partkey % 73 + 1 AS id FROM part) GROUP BY 1""",
     "category_types": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'EXPENSE' WHEN 1 THEN 'INCOME' WHEN 2 THEN 'TRANSFER' WHEN 3 THEN 'UNCATEGORIZED' END AS transaction_type FROM part",
     "report_summary": f"""SELECT unnest([1, 2, 3]) AS line, unnest(['Total Spend', 'Total Income', 'Net']) AS label, unnest([printf('$%.2f', s), printf('$%.2f', i), printf('$%.2f', i - s)]) AS value FROM (
       SELECT CAST(SUM(CASE WHEN is_spend THEN eff END) AS DOUBLE) AS s, abs(CAST(SUM(CASE WHEN is_income THEN eff END) AS DOUBLE)) AS i FROM tx WHERE {_RANGE} HAVING COUNT(*) > 0)""",
@@ -268,7 +276,7 @@ _LEDGER = {
     "import_life_cycle": f"""SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'FAILED' ELSE 'PENDING' END AS status, CASE WHEN o_orderkey % 3 = 1 THEN 'no date; row ' || o_orderkey END AS error_message,
       CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 ELSE 0 END AS INT) AS transactions_imported, CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 5 ELSE 0 END AS INT) AS transactions_duplicate, CASE WHEN o_orderkey % 3 = 0 THEN {_DAY} END AS completed_at FROM orders""",
     "balance_accounts": """SELECT o_orderkey AS balance_id, k AS account_type, MIN(account_id) AS account_id FROM (SELECT *, list_extract(['CHECKING', 'SAVINGS', 'OTHER'], CAST(o_orderkey % 3 + 1 AS INT)) AS k FROM orders) o
-      LEFT JOIN accounts a ON a.account_type = k AND a.institution = 'Bank ' || o_custkey % 7 AND a.last4 = lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') GROUP BY 1, 2""",
+      JOIN customer ON c_custkey = o_custkey LEFT JOIN accounts a ON a.user_id = CASE WHEN o_orderkey % 4 = 0 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END AND a.account_type = k AND a.institution = 'Bank ' || o_custkey % 7 AND a.last4 = lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') GROUP BY 1, 2""",
     "balance_snapshots": """, o AS (SELECT *, date_trunc('month', o_orderdate)::DATE AS day FROM orders), new AS (SELECT o_custkey, day, MAX(o_orderkey) AS k, arg_max(o_totalprice, o_orderkey) AS v FROM o WHERE o_orderkey % 10 = 5 GROUP BY ALL)
       SELECT o_custkey AS account_id, day AS statement_date, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS total_value, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS source_file_hash FROM o WHERE o_orderkey % 2 = 0 AND (o_custkey, day) NOT IN (SELECT (o_custkey, day) FROM new)
       UNION ALL SELECT o_custkey, day, CAST(CAST(v AS DECIMAL(18,2)) AS DOUBLE), lpad(CAST(k AS VARCHAR), 12, '0') FROM new""",
