@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,9 +58,9 @@ def test_default_keywords_as_a_cascade(spark):
 def test_stream_counts_a_repeated_batch_once(spark, tmp_path):
     schema = "ts timestamp, event_type string, value decimal(15,2)"
     day = dt.datetime(2025, 1, 1, 12)
-    put = lambda name, rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    put("a", [(day, "x", 1), (day, "y", 2), (day + dt.timedelta(days=1), "x", 3)])
-    put("b", [(day, "x", 4)])
+    put = lambda rows: spark.createDataFrame([(t, k, Decimal(v)) for t, k, v in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put([(day, "x", 1), (day, "y", 2), (day + dt.timedelta(days=1), "x", 3)])
+    put([(day, "x", 4)])
     run = lambda: inbox.totals(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, str(tmp_path / "out"), str(tmp_path / "cp"))
     read = lambda: sorted((str(r["start"])[:10], r["event_type"], float(r["total"]), r["events"]) for r in inbox.latest_totals(spark, str(tmp_path / "out")).collect())
     run()
@@ -71,7 +72,7 @@ def test_stream_counts_a_repeated_batch_once(spark, tmp_path):
             os.remove(tmp_path / "cp" / "commits" / n)
     run()
     assert read() == want
-    put("c", [(day + dt.timedelta(days=1), "x", 10), (day - dt.timedelta(days=300), "x", 99)])  # the last is too late
+    put([(day + dt.timedelta(days=1), "x", 10), (day - dt.timedelta(days=300), "x", 99)])  # the last is too late
     run()
     assert read() == [*want[:2], ("2025-01-02", "x", 13.0, 2)]
 
