@@ -223,6 +223,40 @@ def parse(statements: DataFrame, name: str, as_of_year: int, as_of_month: int, t
     return out.where("date IS NOT NULL AND amount IS NOT NULL").select("source_file", index.alias("row_index"), "date", "description_raw", "amount", "is_credit", "is_payment", *["transfer_category"] * transfers)
 
 
+def card_tables(rows: DataFrame, as_of_year: int) -> DataFrame:
+    """Transactions of a card's tables, given as rows (source_file, table_no, row_no, header and cells, arrays of text): the
+    credits first, then the debits, as ``parse`` returns them.
+
+    A table takes part if its header names a date, a description or transaction, and an amount, the first column of each;
+    it is one of credits if one of its first three amounts is marked CR. Credits are negative whatever their own mark.
+    Rows without one of the three, or whose date or amount can't be read, are left out; a date without a year is of
+    ``as_of_year``."""
+    low = F.transform("header", lambda h: F.lower(h))
+
+    def cell(*words: str) -> Column:
+        hit = F.transform(low, lambda h: F.coalesce(h.rlike("|".join(words)), F.lit(False)))
+        at = F.array_position(hit, F.lit(True))
+        return F.when(at > 0, F.nullif(F.trim(F.get("cells", at.cast("int") - 1)), F.lit("")))
+
+    named = [F.exists(low, (lambda w: lambda h: h.rlike(w))(w)) for w in ("date", "description|transaction", "amount")]
+    own = rows.where(named[0] & named[1] & named[2]).select("source_file", "table_no", "row_no", cell("date").alias("d"), cell("description", "transaction").alias("description_raw"), cell("amount").alias("a"))
+    table = Window.partitionBy("source_file", "table_no")
+    upto = F.count("a").over(table.orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    own = own.withColumn("voted", (upto <= 3) & F.lower("a").contains("cr"))
+    own = own.withColumn("is_credit", F.coalesce(F.bool_or("voted").over(table), F.lit(False)))
+    dated = [F.try_to_timestamp("d", F.lit(f)).cast("date") for f in ("M/d/yyyy", "yyyy-MM-dd")]
+    short = F.try_to_timestamp(F.concat_ws("/", "d", F.lit(str(as_of_year))), F.lit("M/d/yyyy")).cast("date")
+    value = F.abs(F.regexp_replace("a", r"CR|[$,\s]", "").try_cast("decimal(15,2)"))
+    upper = F.upper("description_raw")
+    found = own.select(
+        "source_file", "table_no", "row_no", F.coalesce(*dated, short).alias("date"), "description_raw", F.when(F.col("is_credit"), -value).otherwise(value).alias("amount"), "is_credit",
+        (F.contains(upper, F.lit("PAYMENT")) & F.contains(upper, F.lit("THANK YOU"))).alias("is_payment"),
+    ).where("date IS NOT NULL AND amount IS NOT NULL AND description_raw IS NOT NULL")
+    credits, debits = found.where("is_credit").withColumn("part", F.lit(0)), found.where("NOT is_credit").withColumn("part", F.lit(1))
+    index = F.row_number().over(Window.partitionBy("source_file").orderBy("part", "table_no", "row_no")) - 1
+    return credits.unionByName(debits).select("source_file", index.alias("row_index"), "date", "description_raw", "amount", "is_credit", "is_payment")
+
+
 # Forms of lines of unknown banks, in the order in which they are tried: pattern, date format.
 GENERIC = [
     (rf"^(\d{{2}}/\d{{2}}/\d{{4}})\s+(.+?)\s+\$?(-?{_MONEY})\s*((?i)CR)?$", "MM/dd/yyyy"),

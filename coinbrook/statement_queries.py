@@ -3,11 +3,12 @@ Their SQL never takes the text apart: it says what each line was made from."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import binding as b
-from .sources import statements
+from . import shared
+from .sources import folder, statements
 
 
 def _orders(spark, sf_dir) -> DataFrame:
@@ -138,6 +139,42 @@ def statement_amex_later(spark, sf_dir) -> DataFrame:
     return found.select("source_file", "row_index", "date", "description_raw", "amount", "is_credit")
 
 
+def statement_card_tables(spark, sf_dir) -> DataFrame:
+    """Two tables for each customer, of credits and debits; of the credits only some bear their mark. A third table is none
+    of transactions, and some rows lack a cell or have a total."""
+    o = _orders(spark, sf_dir)
+    number = F.row_number().over(Window.partitionBy("o_custkey", "credit").orderBy("o_orderkey"))
+    o = o.withColumn("row_no", number)
+    odd = F.col("o_custkey") % 2 == 1
+    words = F.element_at(F.array(*[F.lit(w) for w in _THANKS]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    mark = F.when(F.col("credit") & ((F.col("row_no") == 3) | (F.col("o_orderkey") % 2 == 0) | (F.col("row_no") == 1)), "CR").otherwise("")
+    day = F.when(odd, _day("MM/dd/yyyy")).otherwise(_day("MM/dd"))
+    header = F.when(odd, F.array(*[F.lit(x) for x in ("Post Date", "Ref #", "Transaction Description", "Amount")])).otherwise(F.array(*[F.lit(x) for x in ("AMOUNT ($)", "Trans Date", "Description", "Ref #")]))
+    value, text = F.concat(F.lit("$"), "value", mark), F.concat(words, F.lit(" "), F.col("o_orderkey").cast("string"))
+    cells = F.when(odd, F.array(day, F.lit("R1"), text, value)).otherwise(F.array(value, day, text, F.lit("R1")))
+    lacking = F.when(F.col("o_orderkey") % 11 == 0, F.transform(cells, lambda c: F.when(c != day, c))).otherwise(cells)
+    rows = o.select(F.col("o_custkey").cast("string").alias("source_file"), F.when(F.col("credit"), 2).otherwise(1).alias("table_no"), "row_no", header.alias("header"), lacking.alias("cells"))
+    other = o.select(F.col("o_custkey").cast("string").alias("source_file"), F.lit(3).alias("table_no"), "row_no", F.array(F.lit("Date"), F.lit("Amount")).alias("header"), F.array(day, value).alias("cells"))
+    return statements.card_tables(rows.unionByName(other), 1998)
+
+
+def statement_folder(spark, sf_dir) -> DataFrame:
+    """A file for each nation, of one of two banks or none, and a copy of every fourth; those of every fifth nation were
+    imported before."""
+    o = _orders(spark, sf_dir).join(b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation")), "o_custkey")
+    forms = F.array(_LINES["chase"][2](), _LINES["capital_one"][2](), F.concat(_day("yyyy-MM-dd"), F.lit(" "), "text", F.lit(" "), _if("-"), "value"))
+    line = F.element_at(forms, (F.col("nation") % 3 + 1).cast("int"))
+    by = o.groupBy("nation").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("l"))
+    head = F.element_at(F.array(F.lit(_LINES["chase"][0]), F.lit(_LINES["capital_one"][0]), F.lit("of 1998")), (F.col("nation") % 3 + 1).cast("int"))
+    texts = by.select("nation", F.concat_ws("\n", head, F.array_join("l.line", "\n")).alias("value"))
+    path = shared.folder(spark, "inbox")
+    copies = F.explode(F.when(F.col("nation") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
+    texts.select("value", "nation", copies).repartition("nation").write.partitionBy("nation", "copy").text(path)
+    known = texts.where("nation % 5 = 0").select(F.sha2(F.concat("value", F.lit("\n")), 256).alias("source_file_hash"))
+    found = folder.parse(folder.read(spark, path, known, "*.txt"), 1998, 2)
+    return found.select(F.regexp_extract("source_file", "nation=(\\d+)", 1).cast("int").alias("nation"), "bank", "row_index", "date", "description_raw", "amount", "is_credit")
+
+
 def statement_generic_months(spark, sf_dir) -> DataFrame:
     """Names of months in any case; APR is also a rate, so lines of April are left out."""
     month = F.element_at(F.array(F.upper(_day("MMM")), F.lower(_day("MMM")), _day("MMM")), (F.col("o_orderkey") % 3 + 1).cast("int"))
@@ -146,7 +183,7 @@ def statement_generic_months(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {f"statement_{name}": _parsed(name) for name in _LINES} | {f"statement_{name}_transfers": _transfers(name) for name in _MOVED} | {
-    f.__name__: f for f in (statement_amex_payments, statement_amex_later, statement_generic_months, statement_generic, statement_banks, statement_institutions, statement_chase_balances, statement_ally_balances)
+    f.__name__: f for f in (statement_folder, statement_card_tables, statement_amex_payments, statement_amex_later, statement_generic_months, statement_generic, statement_banks, statement_institutions, statement_chase_balances, statement_ally_balances)
 }
 
 _BASE = """WITH o AS (SELECT *, CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(15,2)) AS value, o_orderkey % 3 = 0 AS credit,
@@ -191,6 +228,11 @@ SQL = {
     "statement_ally_bank_transfers": _sql_transfers("ally_bank"),
     "statement_chase_bank_transfers": _sql_transfers("chase_bank"),
     "statement_amex_payments": f"SELECT source_file, row_index, description_raw, o_paid AS is_payment FROM ({_sql_text(_sql_by(_THANKS, 'o_orderkey') + " || ' ' || o_orderkey", 'day', more=', o_orderkey % 5 IN (0, 1, 4) AS o_paid')})",
+    "statement_folder": f"""SELECT nation, list_extract(['chase', 'capital_one', 'unknown'], CAST(nation % 3 + 1 AS INT)) AS bank, CAST(row_number() OVER (PARTITION BY nation ORDER BY key) - 1 AS INT) AS row_index,
+        CASE WHEN nation % 3 = 2 THEN full_day ELSE date END AS date, description_raw, amount, is_credit
+      FROM ({_sql(_ROLLED).replace('text AS description_raw', 'text AS description_raw, o_orderkey AS key, o_custkey AS customer, day AS full_day')}) JOIN (SELECT c_custkey, c_nationkey AS nation FROM customer) ON c_custkey = customer WHERE nation % 5 > 0""",
+    "statement_card_tables": f"""SELECT source_file, CAST(row_number() OVER (PARTITION BY source_file ORDER BY is_credit DESC, row_index) - 1 AS INT) AS row_index, date, description_raw, amount, is_credit, is_payment
+      FROM ({_sql_text(_sql_by(_THANKS, 'o_orderkey') + " || ' ' || o_orderkey", 'CASE WHEN o_custkey % 2 = 1 THEN day ELSE make_date(1998, month(day), day(day)) END', _SIGNED, 'credit', 'o_orderkey % 5 < 2')} WHERE o_orderkey % 11 > 0)""",
     "statement_amex_later": f"SELECT source_file, row_index, date, description_raw, amount, is_credit FROM ({_sql_text(_LATER, _SHORT, 'CAST(-value AS DECIMAL(15,2))', 'true')})",
     "statement_generic_months": f"SELECT source_file, CAST(row_number() OVER (PARTITION BY source_file ORDER BY row_index) - 1 AS INT) AS row_index, date, amount, description_raw FROM ({_sql(_FIXED, 'value')} WHERE month(day) <> 4)",
     "statement_amex": _sql(_SHORT),
