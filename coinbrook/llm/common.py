@@ -41,7 +41,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     on any executor's disk."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # texts take two thirds of what they take by the default
     return spark.read.schema(df.schema).parquet(path)
 
 
