@@ -32,7 +32,7 @@ _MONEY = r"[\d,]+\.\d{2}"
 @dataclass
 class Form:
     """How a bank prints a transaction. Groups of ``pattern`` by number; ``section``: (start, end) patterns of
-    lines; ``stitch``: how many lines may continue a description, unless they match ``stop``. ``payment`` and
+    lines, and with ``without_header`` texts that don't have the start are read whole; ``stitch``: how many lines may continue a description, unless they match ``stop``. ``payment`` and
     ``transfer``: words of payments to cards and of transfers, with ``debits_only`` in what leaves the account alone."""
 
     pattern: str
@@ -44,6 +44,7 @@ class Form:
     minus: int = 0
     debit: int = 0
     section: tuple[str, str] | None = None
+    without_header: bool = False
     stitch: int = 0
     stop: str = ""
     rolls: bool = True
@@ -62,7 +63,7 @@ FORMS = {
         skip=r"Date of|Transaction|Merchant Name|\$ Amount|ACCOUNT ACTIVITY|ACCOUNT SUMMARY|Order Number|Year-to-Date|Total fees|Total interest|INTEREST CHARGES|Annual Percentage|Balance Type|Balance Subject|Days in Billing|Page|Statement Date|www\.chase\.com|chase\.com|Customer Service|20\d\d Totals|AACCCCOOUUNNTT|IINNTTEERREESSTT|YYeeaarr",
     ),
     "wells_fargo": Form(rf"^\d{{2}}/\d{{2}}\s+(\d{{2}})/(\d{{2}})\s+(.+?)\s+\$?({_MONEY})(-?)$", 3, 4, minus=5,
-        section=("Transaction Summary", r"(?!)"), skip=r"Interest Charge|BiltProtect Summary|NOTICE: SEE REVERSE|PAGE|Trans Date.*Post Date|^Continued",
+        section=("Transaction Summary", r"(?!)"), without_header=True, skip=r"Interest Charge|BiltProtect Summary|NOTICE: SEE REVERSE|PAGE|Trans Date.*Post Date|^Continued",
     ),
     "capital_one": Form(rf"^[A-Z][a-z]{{2}}\s+\d{{1,2}}\s+([A-Z][a-z]{{2}})\s+(\d{{1,2}})\s+(.+?)\s+(-?)\s*\$({_MONEY})$", 3, 5, minus=4),
     "boa": Form(rf"^(\d{{2}})/(\d{{2}})\s+\d{{2}}/\d{{2}}\s+(.+?)\s+(-?)({_MONEY})$", 3, 5, minus=4, absolute=True),
@@ -144,7 +145,9 @@ def _inside(rows: DataFrame, form: Form) -> DataFrame:
     start, end = form.section
     mark = F.when(F.col("line").rlike(start), 1).when(F.col("line").rlike(end), 0)
     before = Window.partitionBy("source_file").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("__in", F.last(mark, ignorenulls=True).over(before)).where("__in = 1").drop("__in")
+    rows = rows.withColumns({"__in": F.last(mark, ignorenulls=True).over(before), "__any": F.max(mark).over(Window.partitionBy("source_file"))})
+    inside = F.col("__in") == 1
+    return rows.where(inside | F.col("__any").isNull() if form.without_header else inside).drop("__in", "__any")
 
 
 # Lines of Amex that are no transaction.
