@@ -18,7 +18,8 @@ PARSERS["unknown"] = lambda s, y, m: statements.parse_generic(s, y)
 
 def read(spark: SparkSession, path: str, known: DataFrame | None = None, pattern: str = "*") -> DataFrame:
     """(source_file, source_file_hash, text) of the files below ``path`` whose content is not among the hashes of ``known``
-    (source_file_hash). Of files of equal content the one of the least path counts. Text is UTF-8."""
+    (source_file_hash). Of files of equal content the one of the least path counts; empty files are left out. Text
+    is UTF-8."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     hashed = files.select(F.col("path").alias("source_file"), F.sha2("content", 256).alias("source_file_hash"))
     if known is not None:
