@@ -413,18 +413,18 @@ class Leaders:
 HEAD_ROWS, HEAD_CHARS, COMPARED_ROWS = 1_024, 16_000_000, 5_000
 
 
-def _settled(left: DataFrame, width: int, least: float) -> DataFrame:
-    """Of rows (root, first, row, t): (row, state), 0 for one that stays, 1 for one that goes, 2 for one that is not
+def _settled(left: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Of rows (root, first, row, chars) with their ``texts`` (row, t): (row, state), 0 for one that stays, 1 for one that goes, 2 for one that is not
     settled yet. In each group the first texts are settled in order, each stays if it is like none that stays, and all
     others are compared with those; a large group is dealt to several tasks, each of which gets the first texts."""
     order = Window.partitionBy("root").orderBy("first")
-    heads = left.select("root", "first", "row", F.length("t").alias("chars")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= HEAD_ROWS)
+    heads = left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= HEAD_ROWS)
     upto = F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     heads = heads.withColumn("upto", upto).where((F.col("upto") <= HEAD_CHARS) | (F.col("place") == 1)).select("row", "place")
     sizes = left.groupBy("root").agg(F.ceil(F.count("*") / COMPARED_ROWS).cast("int").alias("deals"))
     placed = left.join(heads, "row", "left").join(sizes, "root")
     deal = F.when(F.col("place").isNotNull(), F.sequence(F.lit(0), F.col("deals") - 1)).otherwise(F.array(F.pmod(F.hash("row"), F.col("deals"))))
-    each = placed.select("root", F.explode(deal).alias("deal"), "place", "row", "t")
+    each = placed.select("root", deal.alias("deal"), "place", "row").join(texts, "row").select("root", F.explode("deal").alias("deal"), "place", "row", "t")
 
     def run(batches):
         import pyarrow as pa
@@ -477,7 +477,8 @@ def without_similar(docs: DataFrame, width: int = SIMILAR_WORDS, least: float =
     # texts and fingerprints are written together, so that a row keeps its number
     schema = T.StructType([*numbered.schema.fields, *(T.StructField(c, T.LongType()) for c in [*words, "d0", "d1"])])
     whole = written(numbered.mapInArrow(run, schema), "wide-fingerprints")
-    rank = F.struct(F.col(key).isNull().alias("no_id"), F.col(key).alias("id"), F.xxhash64(names[at]).alias("h"), F.col("row"))
+    chars = F.coalesce(F.length(names[at]), F.lit(0)).alias("chars")
+    rank = F.struct(F.col(key).isNull().alias("no_id"), F.col(key).alias("id"), F.xxhash64(names[at]).alias("h"), F.col("row"), chars)
     # of equal texts the first: the others go, since they are like whatever it is like
     classes = written(whole.groupBy("d0", "d1").agg(F.min(rank).alias("first"), *[F.first(c).alias(c) for c in words]), "different-texts")
     node = lambda side: F.xxhash64(f"w0{side}", f"w1{side}")
@@ -486,17 +487,17 @@ def without_similar(docs: DataFrame, width: int = SIMILAR_WORDS, least: float =
     released(spark)
     rooted = classes.select("first", node("").alias("node")).join(comp, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    members = rooted.join(several, "root").select("root", "first", F.col("first.row").alias("row"))
+    members = rooted.join(several, "root").select("root", "first", F.col("first.row").alias("row"), F.col("first.chars").alias("chars"))
     # only these texts are looked at again, in rounds that settle the first ones of every group
-    left = written(members.join(whole.select("row", F.col(names[at]).alias("t")), "row"), "linked-texts")
+    left, texts = written(members, "linked"), whole.select("row", F.col(names[at]).alias("t"))
     gone = None
     while True:
-        states = written(_settled(left, width, least), "settled")
+        states = written(_settled(left, texts, width, least), "settled")
         out = states.where("state = 1").select("row")
         gone = out if gone is None else gone.union(out)
         if states.where("state = 2").isEmpty():
             break
-        left = written(left.join(states.where("state = 2").select("row"), "row", "left_semi"), "linked-texts")
+        left = written(left.join(states.where("state = 2").select("row"), "row", "left_semi"), "linked")
     kept = classes.select("first.row").join(gone, "row", "left_anti")
     return whole.join(kept, "row", "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
