@@ -28,7 +28,7 @@ def _holdings(spark, sf_dir) -> DataFrame:
     orders = b.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"))
     own = lines.select(
         "l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").cast("decimal(18,2)").alias("value"), F.col("l_quantity").cast("decimal(18,0)").alias("quantity"), "l_suppkey",
-        F.translate(F.lpad((F.col("l_partkey") % 1000).cast("string"), 3, "0"), "0123456789", "ABCDEFGHIJ").alias("symbol"), (F.col("l_partkey") % 900 + F.lit(1.25)).cast("decimal(18,2)").alias("price"),
+        F.translate(F.lpad((F.col("l_partkey") % 1000).cast("string"), 3, "0"), "0123456789", "KLMNOPQRST").alias("symbol"), (F.col("l_partkey") % 900 + F.lit(1.25)).cast("decimal(18,2)").alias("price"),
     )
     return own.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
@@ -185,7 +185,7 @@ QUERIES = {f"brokerage_{of}_accounts": _accounts(of) for of in MADE} | {f"broker
 _M = "CAST({} AS DECIMAL(18,2))".format
 _BASE = """WITH h AS (
   SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day, l_linenumber, l_partkey, l_suppkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS value, CAST(l_quantity AS DECIMAL(18,0)) AS quantity,
-    CAST(l_partkey % 900 + 1.25 AS DECIMAL(18,2)) AS price, translate(lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0'), '0123456789', 'ABCDEFGHIJ') AS symbol
+    CAST(l_partkey % 900 + 1.25 AS DECIMAL(18,2)) AS price, translate(lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0'), '0123456789', 'KLMNOPQRST') AS symbol
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 o AS (SELECT o_orderkey, o_custkey, day, CAST(sum(value) AS DECIMAL(18,2)) AS value, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS account, count(*) OVER (PARTITION BY o_custkey) = 1 AS single FROM h GROUP BY o_orderkey, o_custkey, day)
 """
