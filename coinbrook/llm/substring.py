@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import written
+from .common import released, written
 
 #: A piece begins at each word whose hash is the least among so many words before and behind it in the line, so
 #: pieces have seven words on average and the words alone decide where they begin.
@@ -192,6 +192,7 @@ def dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", run_words: in
     owners = every.groupBy("d", "e").agg(F.min("rank").alias("owner"), F.max("rank").alias("last")).where("owner < last").drop("last")
     later = every.join(owners, ["d", "e"]).where("rank > owner").groupBy("row").agg(F.collect_list("place").alias("places"))
     later = written(later, "repeated-units")
+    released(docs.sparkSession)  # the digests' shuffles, before the texts are dealt
 
     slim = F.expr("transform(units, u -> struct(u.at AS at, u.size AS size, u.words AS words, u.whole AS whole, u.again AS again))")
     touched = F.exists("units", lambda u: u["again"]) | F.col("places").isNotNull()
