@@ -109,6 +109,7 @@ def _spaced(c: Column) -> Column:
 def _equatex(spark, sf_dir) -> DataFrame:
     """One plan with its dollars beside the shares, one locked for every second participant, one without locked shares."""
     o = b.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").cast("decimal(18,2)").alias("value"))
+    o = o.repartition("o_orderkey")  # a file has few row groups, and a row makes a long text
     shares = (F.col("o_orderkey") % 1000).cast("string")
     own = _text("Own SAP ", _spaced(F.col("value") * 3), " USD\nShares Total\n", shares, ".5 ", _spaced(F.col("value")), " USD\nAvailable ", shares, ".5 10 133.70 EUR\nLocked 7 10.00 EUR\n")
     move = _text("Move SAP ", _spaced(F.col("value")), " USD\nLocked 25 ", _spaced(F.col("value")), " USD\n", F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(_text("93.8634 22 960.29 USD\nAvailable 93.8634 20 000.00 EUR\n")))

@@ -25,11 +25,15 @@ PROVIDERS = {
     "equatex": ["equatex", "employee stock plan", "participant plan holdings"],
     "wealthfront": ["wealthfront", "monthly statement for", "261 hamilton ave"],
 }
+#: What ``\\s`` means in a pattern.
+_BLANKS = " \t\n\x0b\f\r"
 # Money, as the providers print it, and the currencies that one of them lists.
 _N, _X = r"([\d,]+\.?\d*)", r"([\d,.-]+)"
 _FOREIGN = "EUR|HKD|GBP|JPY|CHF|CAD|AUD"
 _ORDER = ["EUR", "AUD", "CAD", "HKD", "GBP", "USD"]
 MONEY, PRICE, QUANTITY, RATE = "decimal(18,2)", "decimal(18,4)", "decimal(18,6)", "decimal(18,8)"
+#: Stands between the groups of a match. Statements do not print this control character; it is taken out of their texts.
+_CUT = "\x01"
 #: Share of the reported total that the sum may differ by.
 TOLERANCE, TOLERANCE_FOREIGN = 0.01, 0.02
 
@@ -38,6 +42,8 @@ POSITION = {
     "market_value": MONEY, "cost_basis": MONEY, "currency": "string", "market_value_usd": MONEY, "fx_rate_used": RATE, "is_vested": "boolean",
 }
 
+_STRUCT = f"struct<{','.join(f'{name}:{kind}' for name, kind in POSITION.items())}>"
+
 
 def _any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
@@ -52,30 +58,44 @@ def _cases(cases: list[tuple[Column, str]], otherwise: Column | str | None = Non
 
 def provider(text: Column) -> Column:
     """The provider whose mark the text has, the first in order; null if none."""
-    low = F.lower(text)
-    return _cases([(_any(low, marks), name) for name, marks in PROVIDERS.items()])
+    return _let(F.lower(text), lambda low: _cases([(_any(low, marks), name) for name, marks in PROVIDERS.items()]))
 
 
 def account_type(text: Column, of: Column | str = "") -> Column:
     """What kind of account the text is about; ``of``: its provider. Some have words that others need, so order counts."""
-    low, of = F.lower(text), F.lit(of) if isinstance(of, str) else of
-    word = lambda w: low.rlike(rf"\b{w}\b")
-    return _cases([
-        (_any(low, ["401(k)", "401k"]), "RETIREMENT_401K"),
-        (_any(low, ["roth ira", "roth individual"]), "IRA_ROTH"),
-        (_any(low, ["traditional ira", "rollover ira"]) | word("ira") & ~F.contains(low, F.lit("roth")), "IRA_TRADITIONAL"),
-        (_any(low, ["retirement plan"]), "RETIREMENT_401K"),
-        ((of == "equatex") | _any(low, ["stock plan"]) | word("rsu") | word("espp"), "STOCK_PLAN"),
-    ], "BROKERAGE")
+    of = F.lit(of) if isinstance(of, str) else of
+
+    def told(low: Column) -> Column:
+        word = lambda w: F.contains(low, F.lit(w)) & low.rlike(rf"\b{w}\b")
+        return _cases([
+            (_any(low, ["401(k)", "401k"]), "RETIREMENT_401K"),
+            (_any(low, ["roth ira", "roth individual"]), "IRA_ROTH"),
+            (_any(low, ["traditional ira", "rollover ira"]) | word("ira") & ~F.contains(low, F.lit("roth")), "IRA_TRADITIONAL"),
+            (_any(low, ["retirement plan"]), "RETIREMENT_401K"),
+            ((of == "equatex") | _any(low, ["stock plan"]) | word("rsu") | word("espp"), "STOCK_PLAN"),
+        ], "BROKERAGE")
+
+    return _let(F.lower(text), told)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """The groups of a pattern that spans the text, by one match; an array of one string where it does not match."""
+    return F.split(F.regexp_replace(text, pattern, _CUT.join(f"${i}" for i in range(1, n + 1))), _CUT)
 
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    # not nullif, which Spark writes out as two matches
+    return _let(F.regexp_extract(text, pattern, group), lambda m: F.when(m != "", m))
 
 
 def _number(text: Column, kind: str = MONEY) -> Column:
-    bare = F.regexp_replace(text, r"[,\s$]", "")
-    return F.regexp_replace(bare, r"^\((.*)\)$", "-$1").try_cast(kind)
+    bare = F.translate(text, ",$" + _BLANKS, "")
+    return F.when(F.startswith(bare, F.lit("(")), F.regexp_replace(bare, r"^\((.*)\)$", "-$1")).otherwise(bare).try_cast(kind)
 
 
 def _amount(text: Column, *patterns: str, group: int = 1) -> Column:
@@ -93,7 +113,7 @@ def _day_of(year: Column, month: Column, day: Column, form: str = "MMMM d yyyy")
 
 
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def _lines(text: Column) -> Column:
@@ -118,7 +138,11 @@ def _masked(number: Column, otherwise: str = "Unknown") -> Column:
 
 
 def security_type(of: str, name: Column, symbol: Column | None = None, category: Column | None = None) -> Column:
-    has = lambda *words: _any(F.lower(name), list(words))
+    return _let(F.lower(name), lambda low: _type(of, low, symbol, category))
+
+
+def _type(of: str, low: Column, symbol: Column | None, category: Column | None) -> Column:
+    has = lambda *words: _any(low, list(words))
     if of == "fidelity":
         return _cases([
             (has("money market", "cash"), "MONEY_MARKET"), (has("etf", "exchange traded"), "ETF"), (has("fund") & has("index", "etf"), "ETF"), (has("fund"), "MUTUAL_FUND"),
@@ -135,7 +159,7 @@ def security_type(of: str, name: Column, symbol: Column | None = None, category:
     if of == "wealthfront":
         known = F.coalesce(symbol, F.lit(""))
         return _cases([
-            (category == "MONEY_MARKET", "MONEY_MARKET"), (category == "CASH", "CASH"), (known.isin("TIMXX", "SWVXX", "SPAXX", "FDRXX") | has("money market"), "MONEY_MARKET"), (F.lower(name) == "cash", "CASH"),
+            (category == "MONEY_MARKET", "MONEY_MARKET"), (category == "CASH", "CASH"), (known.isin("TIMXX", "SWVXX", "SPAXX", "FDRXX") | has("money market"), "MONEY_MARKET"), (low == "cash", "CASH"),
             (has("etf", "exchange traded", "index", "fund"), "ETF"), (known.isin("VTI", "VEA", "VWO", "VIG", "VTIP", "SCHF", "IEMG", "MUB", "LQD", "BNDX", "VNQ", "GLD", "XLE", "VOO"), "ETF"),
         ], "STOCK")
     raise ValueError(f"no words for the securities of {of}")
@@ -143,7 +167,11 @@ def security_type(of: str, name: Column, symbol: Column | None = None, category:
 
 def asset_class(of: str, kind: Column, name: Column) -> Column:
     """The class of a security of type ``kind``."""
-    has = lambda *words: _any(F.lower(name), list(words))
+    return _let(F.lower(name), lambda low: _class(of, kind, low))
+
+
+def _class(of: str, kind: Column, low: Column) -> Column:
+    has = lambda *words: _any(low, list(words))
     cash, owned = (kind.isin("CASH", "MONEY_MARKET"), "CASH"), (kind.isin("STOCK", "ETF", "MUTUAL_FUND"), "EQUITY")
     if of == "fidelity":
         return _cases([cash, ((kind == "BOND") | has("bond", "treasury"), "FIXED_INCOME"), (has("gold", "silver", "commodity"), "ALTERNATIVE"), owned], "UNKNOWN")
@@ -158,15 +186,16 @@ def asset_class(of: str, kind: Column, name: Column) -> Column:
     raise ValueError(f"no words for the securities of {of}")
 
 
-# --- cutting statements into accounts: (source_file, account, block, whole, number, reported)
+# --- cutting statements into accounts: (source_file, account, block, number, reported, several), and what only the whole says
 
-# Fixed value: a row of the table of accounts: page, name, number, beginning and ending value.
+# The period of a statement; a row of the table of accounts: page, name, number, beginning and ending value.
+_SPAN = r"(\w+\s+\d{1,2},\s+\d{4})\s*[-–]\s*(\w+\s+\d{1,2},\s+\d{4})"
 _ACCOUNT_ROW = rf"(?i)(\d+)\s+(FIDELITY[A-Z\s]+(?:IRA|BROKERAGE|ACCOUNT)[^0-9]+)(\d{{3}}-\d{{6}})\s+\$?{_N}\s+\$?{_N}"
 
 
 def _one_account(statements: DataFrame) -> DataFrame:
     whole = F.replace(F.col("text"), F.lit("\f"), F.lit("\n"))
-    return statements.select("source_file", F.lit(0).alias("account"), whole.alias("block"), whole.alias("whole"), F.lit(None).cast("string").alias("number"), F.lit(None).cast(MONEY).alias("reported"), F.lit(False).alias("several"))
+    return statements.select("source_file", F.lit(0).alias("account"), whole.alias("block"), F.lit(None).cast("string").alias("number"), F.lit(None).cast(MONEY).alias("reported"), F.lit(False).alias("several"))
 
 
 def _by_pages(statements: DataFrame) -> DataFrame:
@@ -185,8 +214,12 @@ def _by_pages(statements: DataFrame) -> DataFrame:
         return F.struct(i.alias("account"), F.array_join(pages, "\n").alias("block"), row["number"].alias("number"), row["reported"].alias("reported"))
 
     alone = F.array(F.struct(F.lit(0).alias("account"), F.array_join("pages", "\n").alias("block"), F.lit(None).cast("string").alias("number"), F.lit(None).cast(MONEY).alias("reported")))
-    cut = own.select("source_file", F.array_join("pages", "\n").alias("whole"), several.alias("several"), F.when(several, F.transform("rows", block)).otherwise(alone).alias("blocks"))
-    return cut.select("source_file", "whole", "several", F.inline("blocks"))
+    whole = F.array_join("pages", "\n")
+    as_of = F.when(~whole.rlike(_SPAN), _day(_found(whole, r"(?i)as\s+of\s+(\d{1,2}/\d{1,2}/\d{4})"), "M/d/yyyy"))
+    # an account's row gets the dates of the whole, not its text
+    dates = [F.coalesce(_day(_found(whole, _SPAN, 2), "MMMM d, yyyy"), as_of).alias("end"), _day(_found(whole, _SPAN, 1), "MMMM d, yyyy").alias("start")]
+    cut = own.select("source_file", *dates, several.alias("several"), F.when(several, F.transform("rows", block)).otherwise(alone).alias("blocks"))
+    return cut.select("source_file", "end", "start", "several", F.inline_outer("blocks")).where("account IS NOT NULL")
 
 
 def _by_headers(statements: DataFrame) -> DataFrame:
@@ -196,10 +229,10 @@ def _by_headers(statements: DataFrame) -> DataFrame:
     numbers = F.array_distinct(F.regexp_extract_all("whole", F.lit(r"Account\s+(U\d{7,})"), 1))
     several = F.contains(F.col("whole"), F.lit("Account Summary")) & (F.size(numbers) > 1)
     blocks = F.filter(F.split("whole", r"(?=Account Information\s*\n)"), lambda b: b.startswith("Account Information"))
-    cut = own.select("source_file", "whole", several.alias("several"), F.when(several, blocks).otherwise(F.array("whole")).alias("blocks"))
-    cut = cut.select("source_file", "whole", "several", F.posexplode("blocks").alias("account", "block"))
+    cut = own.select("source_file", several.alias("several"), F.when(several, blocks).otherwise(F.array("whole")).alias("blocks"))
+    cut = cut.select("source_file", "several", F.posexplode_outer("blocks").alias("account", "block")).where("account IS NOT NULL")
     mark = F.when(F.col("several"), F.coalesce(_found(F.col("block"), r"Account\s+(U\d{7,})"), F.concat(F.lit("Unknown_"), "account"))).otherwise(_found(F.col("block"), r"Account\s+([A-Z]\d{7,})"))
-    return cut.select("source_file", "account", "block", "whole", mark.alias("number"), F.lit(None).cast(MONEY).alias("reported"), "several")
+    return cut.select("source_file", "account", "block", mark.alias("number"), F.lit(None).cast(MONEY).alias("reported"), "several")
 
 
 # --- each provider: what an account's block says
@@ -207,8 +240,6 @@ def _by_headers(statements: DataFrame) -> DataFrame:
 
 def _fidelity(t: DataFrame) -> dict[str, Column]:
     text = F.col("block")
-    span = r"(\w+\s+\d{1,2},\s+\d{4})\s*[-–]\s*(\w+\s+\d{1,2},\s+\d{4})"
-    as_of = F.when(~F.col("whole").rlike(span), _day(_found(F.col("whole"), r"(?i)as\s+of\s+(\d{1,2}/\d{1,2}/\d{4})"), "M/d/yyyy"))
     money2 = r"\$?([\d,]+\.?\d{0,2})"
     held = rf"^([A-Z][A-Z0-9\s&'\-]+(?:\s*\([A-Z]{{1,5}}\))?)\s+{money2}\s+([\d,]+\.?\d{{0,4}})\s+\$?([\d,]+\.?\d{{0,4}})\s+{money2}\s+{money2}\s+-?{money2}"
     core = rf"^(FIDELITY[A-Z\s]+|FDIC[A-Z\s]+)\s+{money2}\s+{money2}"
@@ -216,23 +247,29 @@ def _fidelity(t: DataFrame) -> dict[str, Column]:
 
     def line(x: Column, i: Column) -> Column:
         below = F.coalesce(_found(F.get("lines", i + 1), mark), _found(F.get("lines", i + 2), mark))
-        raw = _stripped(F.regexp_extract(x, held, 1))
-        name = _stripped(F.regexp_replace(raw, r"\s*\([A-Z]{1,5}\)\s*", ""))
-        symbol = F.coalesce(_found(raw, mark), below)
-        kind = security_type("fidelity", name)
-        number = lambda k, to=MONEY: _number(F.regexp_extract(x, held, k), to)
-        security = _position(symbol=symbol, security_name=name, security_type=kind, asset_class=asset_class("fidelity", kind, name), quantity=number(3, QUANTITY), price=number(4, PRICE), market_value=number(5), cost_basis=number(6))
-        worth = _number(F.regexp_extract(x, core, 3))
-        cash = _position(symbol=below, security_name=_stripped(F.regexp_extract(x, core, 1)), security_type="MONEY_MARKET", asset_class="CASH", quantity=worth, price=F.lit("1.00"), market_value=worth)
-        skipped = _any(F.lower(x), ["total", "subtotal", "description", "beginning", "continued", "page ", "account"])
-        return F.when(~skipped & x.rlike(held), security).when(~skipped & x.rlike(core) & ~F.col("several"), cash)
+
+        def security(g: Column) -> Column:
+            number = lambda k, to=MONEY: _number(F.get(g, F.lit(k - 1)), to)
+            known = lambda raw, name, kind: _position(
+                symbol=F.coalesce(_found(raw, mark), below), security_name=name, security_type=kind, asset_class=asset_class("fidelity", kind, name),
+                quantity=number(3, QUANTITY), price=number(4, PRICE), market_value=number(5), cost_basis=number(6),
+            )
+            bare = lambda raw: _stripped(F.regexp_replace(raw, r"\s*\([A-Z]{1,5}\)\s*", ""))
+            return _let(_stripped(F.get(g, F.lit(0))), lambda raw: _let(bare(raw), lambda name: _let(security_type("fidelity", name), lambda kind: known(raw, name, kind))))
+
+        def cash(g: Column) -> Column:
+            held_in = lambda worth: _position(symbol=below, security_name=_stripped(F.get(g, F.lit(0))), security_type="MONEY_MARKET", asset_class="CASH", quantity=worth, price=F.lit("1.00"), market_value=worth)
+            return F.when(F.size(g) > 1, _let(_number(F.get(g, F.lit(2))), held_in))
+
+        skipped = _let(F.lower(x), lambda low: _any(low, ["total", "subtotal", "description", "beginning", "continued", "page ", "account"]))
+        return F.when(~skipped, _let(_groups(x, held + r"[\s\S]*", 7), lambda g: F.when(F.size(g) > 1, security(g)).when(~F.col("several"), _let(_groups(x, core + r"[\s\S]*", 3), cash))))
 
     pair = lambda name: rf"(?i){name}[^$]*\$[\d,]+\.?\d*[^$]*\${_N}"
     value = _amount(text, *[rf"(?i){p}[:\s]*\$?{_N}" for p in (r"Your\s+Account\s+Value", r"Ending\s+Account\s+Value", r"Account\s+Value")])
     return {
         "number": F.coalesce("number", _found(text, r"(?i)Account\s*(?:Number|#)[:\s]*([A-Z]?\d{2,3}-\d{6})")),
-        "statement_date": F.coalesce(_day(_found(text, span, 2), "MMMM d, yyyy"), _day(_found(F.col("whole"), span, 2), "MMMM d, yyyy"), as_of),
-        "statement_start_date": F.coalesce(_day(_found(text, span, 1), "MMMM d, yyyy"), _day(_found(F.col("whole"), span, 1), "MMMM d, yyyy")),
+        "statement_date": F.coalesce(_day(_found(text, _SPAN, 2), "MMMM d, yyyy"), "end"),
+        "statement_start_date": F.coalesce(_day(_found(text, _SPAN, 1), "MMMM d, yyyy"), "start"),
         # the table of accounts has each account's own value; the section may print that of all
         "total_value": F.coalesce(F.when(F.col("reported") != 0, F.col("reported")), value),
         "total_cash": _amount(text, pair(r"Total\s+Core\s+Account")),
@@ -245,29 +282,29 @@ def _schwab(t: DataFrame) -> dict[str, Column]:
     text = F.col("block")
     months = "January|February|March|April|May|June|July|August|September|October|November|December"
     span = rf"(?i)({months})\s*(\d{{1,2}})-(\d{{1,2}}),?\s*(\d{{4}})"
-    part = lambda k: _found(text, span, k)
+    part = lambda k: F.get("period", F.lit(k - 1))
     as_of = r"(?i)as\s*of\s*(\d{1,2}/\d{1,2})(?:/(\d{4}))?"
     year = F.coalesce(_found(text, as_of, 2), _found(text, r"(?i)(?:Period|Statement).*?(20\d{2})"), _found(text, r"(20\d{2})"))
     held = rf"([A-Z]{{1,5}})\s+([A-Z][A-Z\s]+(?:INC|CORP|LLC|LTD|CO)?)\s+{_N}\s+{_N}\s+{_N}"
 
-    def match(m: Column) -> Column:
-        name = _stripped(F.regexp_extract(m, held, 2))
-        kind = security_type("schwab", name)
-        number = lambda k, to=MONEY: _number(F.regexp_extract(m, held, k), to)
-        return _position(symbol=F.regexp_extract(m, held, 1), security_name=name, security_type=kind, asset_class=asset_class("schwab", kind, name), quantity=number(3, QUANTITY), price=number(4, PRICE), market_value=number(5))
+    def match(g: Column) -> Column:
+        number = lambda k, to=MONEY: _number(F.get(g, F.lit(k - 1)), to)
+        known = lambda name, kind: _position(symbol=F.get(g, F.lit(0)), security_name=name, security_type=kind, asset_class=asset_class("schwab", kind, name), quantity=number(3, QUANTITY), price=number(4, PRICE), market_value=number(5))
+        return _let(_stripped(F.get(g, F.lit(1))), lambda name: _let(security_type("schwab", name), lambda kind: known(name, kind)))
 
-    swept = F.coalesce(_number(_found(text, rf"(?i)Total\s+Cash\s+and\s+Cash\s+Investments[^$]*\$[\d,]+\.?\d*[^$]*\${_N}")), F.lit(0))
-    swept = F.when(swept > 0, swept).otherwise(_number(_found(text, rf"(?i)Ending\s+Balance[^$]*\${_N}")))
-    sweep = _position(security_name="CHARLES SCHWAB BANK SWEEP", security_type="CASH", asset_class="CASH", quantity=swept, price=F.lit("1.00"), market_value=swept)
-    nonzero = lambda a, b: F.when(a != 0, a).otherwise(b)
+    total_swept = F.coalesce(_number(_found(text, rf"(?i)Total\s+Cash\s+and\s+Cash\s+Investments[^$]*\$[\d,]+\.?\d*[^$]*\${_N}")), F.lit(0))
+    swept = _let(total_swept, lambda w: F.when(w > 0, w).otherwise(_number(_found(text, rf"(?i)Ending\s+Balance[^$]*\${_N}"))))
+    sweep = _let(swept, lambda w: _position(security_name="CHARLES SCHWAB BANK SWEEP", security_type="CASH", asset_class="CASH", quantity=w, price=F.lit("1.00"), market_value=w))
+    nonzero = lambda a, b: _let(a, lambda x: F.when(x != 0, x).otherwise(b))
     return {
+        "early": {"period": _groups(_found(text, span, 0), span, 4)},
         "number": _found(text, r"(?i)Account\s*Number[:\s]*(\d{4}-\d{4})"),
         "statement_date": F.coalesce(_day_of(part(4), part(1), part(3)), _day(F.concat_ws("/", _found(text, as_of), year), "M/d/yyyy")),
         "statement_start_date": _day_of(part(4), part(1), part(2)),
         "total_value": _amount(text, rf"(?i)Ending\s+Account\s+Value[^$]*\${_N}", rf"(?i)Account\s+Value[:\s]*\${_N}", rf"(?i)Total[:\s]*\${_N}\s+100%"),
         "total_cash": nonzero(_amount(text, rf"(?i)Cash\s+and\s+Cash\s+Investments[:\s]*{_N}"), _amount(text, rf"(?i)Total\s+Cash\s+and\s+Cash\s+Investments[^$]*\${_N}[^$]*\${_N}", group=2)),
         "total_securities": nonzero(_amount(text, rf"(?i)(?:Equities|Total\s+Equities)[:\s]*{_N}"), _amount(text, rf"(?i)Total\s+Equities[^$]*\${_N}")),
-        "positions": _valued(F.concat(F.transform(F.regexp_extract_all(text, F.lit(held), 0), match), F.array(sweep))),
+        "positions": _valued(F.concat(F.transform(F.regexp_extract_all(text, F.lit(held), 0), lambda m: _let(_groups(m, held, 5), match)), F.array(sweep))),
     }
 
 
@@ -285,9 +322,10 @@ def _vanguard(t: DataFrame) -> dict[str, Column]:
         goes_on = (F.length(below) > 0) & (F.length(below) < 30) & ~F.contains(below, F.lit("$")) & ~below.rlike(r"^\d")
         name = F.concat(_stripped(F.substring_index(x, "$", 1)), F.when(goes_on, F.concat(F.lit(" "), below)).otherwise(""))
         name = _stripped(F.regexp_replace(name, "[®™]", ""))
-        kind = security_type("vanguard", name)
-        fund = _any(F.lower(x), ["vanguard", "target", "retire", "trust", "fund", "index"]) & F.contains(x, F.lit("$")) & (F.size(amounts) >= 2) & (F.length(name) >= 3)
-        return F.when(fund, _position(security_name=name, security_type=kind, asset_class=asset_class("vanguard", kind, name), market_value=_number(F.element_at(amounts, -1))))
+        known = lambda worth, name, kind: _position(security_name=name, security_type=kind, asset_class=asset_class("vanguard", kind, name), market_value=_number(worth))
+        named = lambda worth: _let(name, lambda n: F.when(F.length(n) >= 3, _let(security_type("vanguard", n), lambda kind: known(worth, n, kind))))
+        fund = F.contains(x, F.lit("$")) & _let(F.lower(x), lambda low: _any(low, ["vanguard", "target", "retire", "trust", "fund", "index"]))
+        return F.when(fund, _let(amounts, lambda found: F.when(F.size(found) >= 2, named(F.element_at(found, -1)))))
 
     return {
         "number": F.coalesce(_found(text, r"(?i)401\(K\)\s*PLAN[–\-]+\s*(\d{6})"), _found(text, r"(?i)Account(?:\s+Number)?[:\s]+(\d{6,})")),
@@ -315,34 +353,33 @@ def _wealthfront(t: DataFrame) -> dict[str, Column]:
     part = lambda k: _found(text, month, k)
     day = lambda k: _day(F.concat_ws(", ", _found(text, span, k), _found(text, span, 3)), "MMMM d, yyyy")
     section = F.coalesce(_found(text, r"(?is)(Holdings\s+as\s+of.*)"), text)
-    section = F.coalesce(_found(section, r"(?s)^(.*?Total\s+Holdings\s+\$[\d,]+\.?\d*)"), _found(section, r"(?is)^(.*?)Deposits/Credits\s+to\s+Wealthfront"), _found(section, r"(?is)^(.*?)TRADES\s+Trade\s+Date"), section)
+    section = _let(section, lambda s: F.coalesce(_found(s, r"(?s)^(.*?Total\s+Holdings\s+\$[\d,]+\.?\d*)"), _found(s, r"(?is)^(.*?)Deposits/Credits\s+to\s+Wealthfront"), _found(s, r"(?is)^(.*?)TRADES\s+Trade\s+Date"), s))
     forms = [rf"^(.+?)\s+({mark})\s+{_N}\s+\$?{_N}\s+\$?{_N}$" for mark in (r"[A-Z][A-Z0-9.]{0,5}", r"[A-Z0-9]{9}")]
-    group = lambda x, k: F.coalesce(*[_found(x, p, k) for p in forms])
+    groups = lambda x: _let(_groups(x, forms[0], 5), lambda g: F.when(F.size(g) > 1, g).otherwise(_groups(x, forms[1], 5)))
+
+    def line(category: Column, g: Column) -> Column:
+        name, mark = _stripped(F.get(g, F.lit(0))), F.get(g, F.lit(1))
+        long = F.length(mark) == 9
+        number = lambda k, to=MONEY: _number(F.get(g, F.lit(k - 1)), to)
+        known = lambda name, kind: _position(
+            symbol=F.when(~long, mark), cusip=F.when(long, mark), security_name=name, security_type=kind, asset_class=asset_class("wealthfront", kind, name),
+            quantity=number(3, QUANTITY), price=number(4, PRICE), market_value=number(5),
+        )
+        return _let(name, lambda n: _let(security_type("wealthfront", n, F.when(~long, mark), category), lambda kind: known(n, kind)))
 
     def block(b: Column) -> Column:
         head = F.upper(_stripped(F.substring_index(b, "\n", 1)))
-        titled = b.rlike(_WEALTH_HEADER.replace("(?im)^", "(?im)\\A"))
-        category = F.when(~titled, "ETF").when(head.startswith("MONEY MARKET"), "MONEY_MARKET").when(head.isin("OTHER", "CASH"), head).otherwise("ETF")
-
-        def line(x: Column) -> Column:
-            name, mark = _stripped(group(x, 1)), group(x, 2)
-            long = F.length(mark) == 9
-            kind = security_type("wealthfront", name, F.when(~long, mark), category)
-            return F.when(~x.rlike(_WEALTH_SKIP), _position(
-                symbol=F.when(~long, mark), cusip=F.when(long, mark), security_name=name, security_type=kind, asset_class=asset_class("wealthfront", kind, name),
-                quantity=_number(group(x, 3), QUANTITY), price=_number(group(x, 4), PRICE), market_value=_number(group(x, 5)),
-            ))
-
-        lines = _lines(b)
-        return F.transform(F.when(titled, F.slice(lines, 2, F.size(lines))).otherwise(lines), line)
+        category = lambda titled: _let(head, lambda h: F.when(~titled, "ETF").when(h.startswith("MONEY MARKET"), "MONEY_MARKET").when(h.isin("OTHER", "CASH"), h).otherwise("ETF"))
+        lines = lambda titled: _let(_lines(b), lambda all: F.when(titled, F.slice(all, 2, F.size(all))).otherwise(all))
+        read = lambda x, c: _let(groups(x), lambda g: F.when(F.size(g) > 1, F.when(~x.rlike(_WEALTH_SKIP), line(c, g))))
+        return _let(b.rlike(_WEALTH_HEADER.replace("(?im)^", "(?im)\\A")), lambda titled: _let(category(titled), lambda c: F.transform(lines(titled), lambda x: read(x, c))))
 
     # values and quantities beyond these are misread lines
     credible = F.filter(F.flatten(F.transform(F.split(section, _WEALTH_HEADER), block)), lambda p: (p["market_value"] <= 10_000_000) & (p["quantity"] <= 1_000_000))
     first = F.filter(F.regexp_extract_all(F.substring(text, 1, 1500), F.lit(r"\b([0-9][A-Z0-9]{7}|[A-Z][0-9A-Z]{7})\b"), 1), lambda m: m.rlike("[A-Z]") & m.rlike("[0-9]"))
     numbers = [r"Wealthfront:\s*([A-Z0-9]{8})\b", r"(?i)ACCOUNT\s+NUMBERS?\s*[\n\r]+(?:Wealthfront:\s*)?([A-Z0-9]{8})", r"JTWROS\d?\s*(?:Apt\s+\d+)?\s*\n?\s*([A-Z0-9]{8})\b"]
-    low = F.lower(text)
     return {
-        "account_type": _cases([(_any(low, ["roth ira", "roth individual"]), "IRA_ROTH"), (_any(low, ["traditional ira", "rollover ira"]), "IRA_TRADITIONAL")], "BROKERAGE"),
+        "account_type": _let(F.lower(text), lambda low: _cases([(_any(low, ["roth ira", "roth individual"]), "IRA_ROTH"), (_any(low, ["traditional ira", "rollover ira"]), "IRA_TRADITIONAL")], "BROKERAGE")),
         "number": F.coalesce(*[_found(text, p) for p in numbers], F.get(first, 0)),
         "statement_date": F.coalesce(_day_of(part(4), part(1), part(3)), day(2)),
         "statement_start_date": F.coalesce(_day_of(part(4), part(1), part(2)), day(1)),
@@ -366,21 +403,25 @@ def _equatex(t: DataFrame) -> dict[str, Column]:
 
     def plan(name: str, kind: str) -> Column:
         """The vested shares of a plan, from the first of its sections that gives details."""
-        header = rf"(?s)\Q{name}\E\s+{usd}(?=(.{{0,600}}))"
-        found = F.arrays_zip(F.regexp_extract_all(text, F.lit(header), 1).alias("worth"), F.regexp_extract_all(text, F.lit(header), 2).alias("body"))
+        header = rf"(?s)\Q{name}\E(?=(\s+{usd}.{{0,600}}))\s+{usd}"
+        found = F.transform(F.regexp_extract_all(text, F.lit(header), 1), lambda m: _let(_groups(m, rf"(?s)^\s+{usd}(.*)$", 2), lambda g: F.struct(F.get(g, F.lit(0)).alias("worth"), F.get(g, F.lit(1)).alias("body"))))
         near = lambda s: F.substring(s["body"], 1, 200)
         detailed = F.filter(found, lambda s: F.contains(near(s), F.lit("Shares Total")) | near(s).rlike(r"Locked\s+\d+\s+[\d\s]+\.\d{2}\s*USD"))
 
-        def read(s: Column) -> Column:
-            body = s["body"]
-            shares = _number(_found(body, free), QUANTITY)
-            before = F.regexp_extract(body, rf"(?s)^(.*?){free}", 1)
+        def vested(s: Column, before: Column, shares: Column) -> Column:
             same = F.filter(F.regexp_extract_all(before, F.lit(rf"[\d\.]+\s+{usd}"), 0), lambda m: F.abs(_number(F.regexp_extract(m, r"^([\d\.]+)", 1), QUANTITY) - shares) < 0.001)
             worth = _number(_found(F.get(same, 0), rf"^[\d\.]+\s+{usd}"))
-            worth = F.coalesce(worth, F.when(body.rlike(r"Locked\s+0\s+0\.00\s*EUR"), _number(s["worth"])))
-            held = _position(symbol="SAP", security_name=f"{name} - Shares", security_type=kind, asset_class="EQUITY", quantity=shares, price=price, market_value=worth, is_vested=F.lit(True))
-            locked = ~body.rlike(free) & body.rlike(r"Locked\s+\d+\s+[\d\s]+\.\d{2}\s*USD")
-            return F.struct((locked | (shares > 0) & (worth > 0)).alias("settles"), F.when((shares > 0) & (worth > 0), held).alias("held"))
+            worth = F.coalesce(worth, F.when(s["body"].rlike(r"Locked\s+0\s+0\.00\s*EUR"), _number(s["worth"])))
+            held = lambda w: _position(symbol="SAP", security_name=f"{name} - Shares", security_type=kind, asset_class="EQUITY", quantity=shares, price=F.col("price"), market_value=w, is_vested=F.lit(True))
+            return F.when(shares > 0, _let(worth, lambda w: F.when(w > 0, F.struct(F.lit(True).alias("settles"), held(w).alias("held")))))
+
+        def read(s: Column) -> Column:
+            """Whether a section settles the plan, and with what; locked shares alone settle it with nothing."""
+            locked = s["body"].rlike(r"Locked\s+\d+\s+[\d\s]+\.\d{2}\s*USD")
+            nothing = F.struct(locked.alias("settles"), F.lit(None).cast(_STRUCT).alias("held"))
+            # the first place that the match's text has is that of the match
+            owned = lambda m: _let(_number(F.regexp_extract(m, free, 1), QUANTITY), lambda shares: vested(s, F.call_function("substring_index", s["body"], m, F.lit(1)), shares))
+            return _let(_found(s["body"], free, 0), lambda m: F.when(m.isNotNull(), owned(m)).otherwise(nothing))
 
         return F.get(F.filter(F.transform(detailed, read), lambda s: s["settles"]), 0)["held"]
 
@@ -392,18 +433,21 @@ def _equatex(t: DataFrame) -> dict[str, Column]:
         "total_value": value,
         "total_cash": F.lit(0).cast(MONEY),
         "total_securities": value,
-        "positions": _valued(F.array(*[plan(*p) for p in PLANS])),
+        "price": price,
+        "positions": lambda: _valued(F.array(*[plan(*p) for p in PLANS])),
     }
 
 
 def _last_of_key(entries: Column) -> Column:
     """A map of (key, value) entries; of equal keys the last counts."""
-    kept = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(kept)
+    kept = lambda all: F.filter(all, lambda e, i: ~F.exists(F.slice(all, i + 2, F.size(all)), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(_let(entries, kept))
 
 
-def _entries(text: Column, pattern: str, group: int, kind: str) -> Column:
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.struct(F.regexp_extract(m, pattern, 1).alias("key"), _number(F.regexp_extract(m, pattern, group), kind).alias("value")))
+def _entries(text: Column, pattern: str, groups: int, kind: str) -> Column:
+    """(key, value) by the first and the last group of a pattern."""
+    entry = lambda g: F.struct(F.get(g, F.lit(0)).alias("key"), _number(F.get(g, F.lit(groups - 1)), kind).alias("value"))
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: _let(_groups(m, pattern, groups), entry))
     return F.filter(found, lambda e: e["value"].isNotNull())
 
 
@@ -412,11 +456,11 @@ def _ibkr(t: DataFrame) -> dict[str, Column]:
     span = r"(\w+\s+\d{1,2},\s+\d{4})\s*-\s*(\w+\s+\d{1,2},\s+\d{4})"
     fourth = lambda name: _amount(text, rf"{name}\s+{_X}\s+{_X}\s+{_X}\s+{_X}", group=4)
     forex = F.regexp_extract(text, r"(?is)Forex Balances.*?Description\s+Quantity\s+Cost Price.*?Forex\s*USD(.*?)(?:Total|Trades|\n\n)", 1)
-    closing = _entries(forex, rf"({_FOREIGN})\s+{_X}\s+([\d.]+)\s+{_X}\s+([\d.]+)", 5, RATE)
-    marked = F.filter(_entries(text, rf"({_FOREIGN})\s+[\d,.-]+\s+[\d,.-]+\s+[\d.]+\s+([\d.]+)", 2, RATE), lambda e: (e["value"] >= 0.01) & (e["value"] <= 1000))
+    closing = _entries(forex, rf"(?=[EHGJCA])({_FOREIGN})\s+{_X}\s+([\d.]+)\s+{_X}\s+([\d.]+)", 5, RATE)
+    marked = F.filter(_entries(text, rf"(?=[EHGJCA])({_FOREIGN})\s+[\d,.-]+\s+[\d,.-]+\s+[\d.]+\s+([\d.]+)", 2, RATE), lambda e: (e["value"] >= 0.01) & (e["value"] <= 1000))
     dollar = F.array(F.struct(F.lit("USD").alias("key"), F.lit(1).cast(RATE).alias("value")))
-    rates = _last_of_key(F.concat(F.when(F.size(closing) > 0, closing).otherwise(marked), dollar))
-    cash = _last_of_key(_entries(text, rf"({_FOREIGN}|USD)\s+{_X}\s+[\d.]+\s+", 2, MONEY))
+    rates = _last_of_key(F.concat(_let(closing, lambda own: F.when(F.size(own) > 0, own).otherwise(marked)), dollar))
+    cash = _last_of_key(_entries(text, rf"(?=[EHGJCAU])({_FOREIGN}|USD)\s+{_X}\s+[\d.]+\s+", 2, MONEY))
     named = F.transform(
         F.regexp_extract_all(text, F.lit(r"[A-Z0-9]{2,10}\s+[A-Z][A-Za-z\s&.'()-]+?\s+\d{6,}"), 0),
         lambda m: F.struct(F.regexp_extract(m, r"^([A-Z0-9]{2,10})\s", 1).alias("key"), _stripped(F.regexp_extract(m, r"^[A-Z0-9]{2,10}\s+(.*?)\s+\d{6,}$", 1)).alias("value")),
@@ -426,17 +470,23 @@ def _ibkr(t: DataFrame) -> dict[str, Column]:
     opened = F.regexp_extract(text, r"(?s)Open Positions.*?Symbol.*?Stocks\s*(.*?)(?:Total Stocks in USD|Forex Balances|Financial Instrument|\z)", 1)
 
     def rows(part: Column, currency: str) -> Column:
-        def match(m: Column) -> Column:
-            number = lambda k, to=MONEY: _number(F.regexp_extract(m, held, k), to)
-            symbol, rate = F.regexp_extract(m, held, 1), F.coalesce(F.element_at("fx_rates", F.lit(currency)), F.lit(1).cast(RATE))
-            return _position(
+        rate = F.coalesce(F.element_at("fx_rates", F.lit(currency)), F.lit(1).cast(RATE))
+
+        def match(g: Column) -> Column:
+            number = lambda k, to=MONEY: _number(F.get(g, F.lit(k - 1)), to)
+            symbol = F.get(g, F.lit(0))
+            return _let(number(6), lambda worth: _position(
                 symbol=symbol, security_name=F.coalesce(F.element_at("names", symbol), symbol), security_type="STOCK", asset_class="EQUITY", quantity=number(2, QUANTITY), price=number(5, PRICE),
-                market_value=number(6), cost_basis=number(4), currency=currency, market_value_usd=F.round(number(6) * rate, 2), fx_rate_used=rate,
-            )
+                market_value=worth, cost_basis=number(4), currency=currency, market_value_usd=F.round(worth * rate, 2), fx_rate_used=rate,
+            ))
+
+        return F.transform(F.regexp_extract_all(part, F.lit(held), 0), lambda m: _let(_groups(m, held, 6), match))
 
-        return F.transform(F.regexp_extract_all(part, F.lit(held), 0), match)
+    def block(c: str) -> Column:
+        body = F.regexp_extract(F.col("opened"), rf"(?s)(?:^|\n){c}\n(.*?)(?:\nTotal\b|\n(?:{'|'.join(_ORDER)})\n|\z)", 1)
+        return F.when(F.contains("opened", F.lit(f"{c}\n")), body).otherwise("")
 
-    by_currency = F.concat(*[rows(F.regexp_extract(F.col("opened"), rf"(?s)(?:^|\n){c}\n(.*?)(?:\nTotal\b|\n(?:{'|'.join(_ORDER)})\n|\z)", 1), c) for c in _ORDER])
+    by_currency = F.concat(*[rows(block(c), c) for c in _ORDER])
     dollars = rows(F.regexp_extract(text, r"(?s)Stocks\s*USD\s*(.*?)(?:Total|EUR|HKD|AUD|CAD|\z)", 1), "USD")
     anywhere = F.filter(rows(text, "USD"), lambda p: ~p["symbol"].isin("EUR", "HKD", "USD", "GBP", "JPY") & (p["quantity"] > 0))
     return {
@@ -450,7 +500,7 @@ def _ibkr(t: DataFrame) -> dict[str, Column]:
         "cash_by_currency": cash,
         "names": names,
         "opened": opened,
-        "positions": lambda: F.when(F.size(by_currency) > 0, by_currency).when(F.size(dollars) > 0, dollars).otherwise(anywhere),
+        "positions": lambda: _let(by_currency, lambda all: F.when(F.size(all) > 0, all).otherwise(_let(dollars, lambda d: F.when(F.size(d) > 0, d).otherwise(anywhere)))),
     }
 
 
@@ -471,8 +521,9 @@ def accounts(statements: DataFrame, of: str) -> DataFrame:
     by a sum of 0 only. A null text makes an account of nothing.
     """
     split, read = _FORMS[of]
-    cut = split(statements.select("source_file", F.coalesce("text", F.lit("")).alias("text")))
+    cut = split(statements.select("source_file", F.replace(F.coalesce("text", F.lit("")), F.lit(_CUT), F.lit("")).alias("text")))
     said = read(cut)
+    cut = cut.withColumns(said.pop("early", {}))
     kept = [F.col(c) for c in ("source_file", "account", "block", "several")]
     late = said.pop("positions")
     blank = {"fx_rates": F.lit(None).cast(f"map<string,{RATE}>"), "cash_by_currency": F.lit(None).cast(f"map<string,{MONEY}>"), "base_currency": F.lit("USD"), "account_type": account_type(F.col("block"), of), "number": F.col("number")}
@@ -497,16 +548,18 @@ def accounts(statements: DataFrame, of: str) -> DataFrame:
 
 def positions(found: DataFrame) -> DataFrame:
     """The positions of ``accounts``, with the account's columns and row_index from 0."""
-    return found.select("source_file", "account", "account_identifier", "statement_date", F.posexplode("positions").alias("row_index", "p")).select("source_file", "account", "account_identifier", "statement_date", "row_index", "p.*")
+    # an outer generator: before an inner one Spark works the whole array out once more, to see whether it is empty
+    each = found.select("source_file", "account", "account_identifier", "statement_date", F.posexplode_outer("positions").alias("row_index", "p")).where("row_index IS NOT NULL")
+    return each.select("source_file", "account", "account_identifier", "statement_date", "row_index", "p.*")
 
 
 def cash_balances(found: DataFrame) -> DataFrame:
     """Cash by currency, in the currency and in dollars at the statement's own rates (1 where it has none)."""
-    each = found.select("source_file", "account", "account_identifier", "statement_date", "fx_rates", F.explode("cash_by_currency").alias("currency", "amount"))
+    each = found.select("source_file", "account", "account_identifier", "statement_date", "fx_rates", F.explode_outer("cash_by_currency").alias("currency", "amount")).where("currency IS NOT NULL")
     rate = F.coalesce(F.element_at("fx_rates", F.col("currency")), F.lit(1).cast(RATE))
     return each.select("source_file", "account", "account_identifier", "statement_date", "currency", "amount", F.round(F.col("amount") * rate, 2).cast(MONEY).alias("amount_usd"))
 
 
 def rates(found: DataFrame) -> DataFrame:
     """The rates to dollars that statements hold."""
-    return found.select("source_file", "account", "statement_date", F.explode("fx_rates").alias("currency", "rate"))
+    return found.select("source_file", "account", "statement_date", F.explode_outer("fx_rates").alias("currency", "rate")).where("currency IS NOT NULL")

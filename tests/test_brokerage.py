@@ -140,3 +140,17 @@ def test_providers_in_order(spark):
     rows = [("FMR LLC and Schwab.com",), ("schwab & co",), ("IBKR vanguard",), ("participant plan holdings",), ("Monthly Statement for May",), ("none",)]
     got = spark.createDataFrame(rows, "t string").select(holdings.provider(F.col("t"))).collect()
     assert [r[0] for r in got] == ["fidelity", "schwab", "ibkr", "equatex", "wealthfront", None]
+
+
+@pytest.mark.parametrize("of,pattern", [("fidelity", r"[A-Z][A-Z0-9\s&'\-]+"), ("schwab", r"([A-Z]{1,5})\s+([A-Z][A-Z\s]+"), ("vanguard", r"\$?([\d,]+\.?\d{0,2}),"), ("wealthfront", r"[A-Z][A-Z0-9.]{0,5}"), ("equatex", r"Available\s+([\d\.]+)\s+"), ("ibkr", r"(\d[\d,]*)\s+1\s+")])
+def test_holdings_are_matched_once(spark, of, pattern):
+    """No line is matched for each of its fields, and no array of holdings is made once more to see whether it is empty."""
+    df = holdings.positions(holdings.accounts(spark.createDataFrame([("f", "t")], "source_file string, text string"), of))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    most = {"equatex": 12, "ibkr": 16}.get(of, 2)  # for each plan; for each currency and form without currencies
+    assert pattern in plan and plan.count(pattern) <= most
+
+
+def test_control_characters_split_no_line(spark):
+    (a,) = read(spark, "schwab", "Account Number: 6404-9694\nME\x01TA META PLATFORMS INC 325.0000 660.09000 214,529.25")
+    assert names(a) == [("META", "META PLATFORMS INC", "STOCK", "EQUITY", D("214529.25"))]
