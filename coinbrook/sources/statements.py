@@ -27,6 +27,7 @@ FORMATS = [
 ]
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 _MONEY = r"[\d,]+\.\d{2}"
+_TRANSACTION = rf"(?im)^[ \t]*(?:\d{{1,2}}[/-]\d{{1,2}}|\d{{4}}-\d{{2}}-\d{{2}}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\s+\d{{1,2}})\b.*{_MONEY}\s*(?:CR|-|⧫)?[ \t\r]*$"
 
 
 @dataclass
@@ -111,12 +112,15 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def statement_year(text: Column, default: Column) -> Column:
-    """The year on the first page, by the forms that banks use, else any year of this century, else ``default``."""
+    """The year on the first page, by the forms that banks use, else any year of this century at its beginning, else
+    ``default``. Numbers in lines of transactions, which begin with a date and end with an amount, are no years."""
     names = "|".join(MONTHS)
     four = [r"Closing Date:?\s*\d{2}/\d{2}/(\d{4})", r"[A-Z][a-z]{2}\s+\d{1,2},\s+\d{4}\s*-\s*[A-Z][a-z]{2}\s+\d{1,2},\s+(\d{4})", rf"through\s*(?:{names})\s+\d{{1,2}},\s*(\d{{4}})", rf"(?:{names})\s+(\d{{4}})"]
     found = [_first(text, p).cast("int") for p in four]
     short = F.when(_first(text, r"Closing Date\s*\d{2}/\d{2}/(\d{2})\b").isNotNull(), _first(text, r"Closing Date\s*\d{2}/\d{2}/(\d{2})\b").cast("int") + 2000)
-    return F.coalesce(*found, short, _first(F.substring(text, 1, 500), r"\b(20\d{2})\b").cast("int"), default)
+    # the line in which the beginning ends is taken whole, so that its amount is seen
+    beginning = F.regexp_replace(F.regexp_extract(text, r"(?s)^.{0,500}[^\n]*", 0), _TRANSACTION, "")
+    return F.coalesce(*found, short, _first(F.substring(beginning, 1, 500), r"\b(20\d{2})\b").cast("int"), default)
 
 
 def month_number(name: Column) -> Column:

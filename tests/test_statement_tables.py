@@ -51,3 +51,10 @@ def test_sections_and_headers(spark):
     ally = "Ally Bank\nDate Description Credits Debits Balance\n01/02/2025 ACH $5.00 -$0.00 $9.00\nAUTOPAY of VENMO\n01/03/2025 ACH $0.00 -$5.00 $9.00\nTo Vanguard"
     (a, b) = statements.parse(spark.createDataFrame([("f", ally)], "source_file string, text string"), "ally_bank", 2025, 1, transfers=True).orderBy("row_index").collect()
     assert (a["is_payment"], a["transfer_category"], b["is_payment"], b["transfer_category"]) == (False, None, True, "Transfers")
+
+
+@pytest.mark.parametrize("head,year", [("In 1998", 1998), ("Summary of 2021", 2021), ("Jan 15, 2022 is the due date", 2022)])
+def test_numbers_of_transactions_are_no_years(spark, head, year):
+    lines = [f"MAY  {i + 1} Order {2040 + i} URGENT $1,{i + 100}.50" for i in range(20)]
+    (first, *_) = statements.parse_generic(spark.createDataFrame([("f", "\n".join([head, *lines]))], "source_file string, text string"), 1998).orderBy("row_index").collect()
+    assert (first["date"].year, first["description_raw"]) == (year, "Order 2040 URGENT")
