@@ -7,6 +7,7 @@ the next lines is looked up by ``lead``. Every window is over one file, so files
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,6 +28,8 @@ FORMATS = [
 ]
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 _MONEY = r"[\d,]+\.\d{2}"
+#: Stands between the groups of a match. Statements do not print this control character; it is taken out of their texts.
+_CUT = "\x01"
 _TRANSACTION = rf"(?im)^[ \t]*(?:\d{{1,2}}[/-]\d{{1,2}}|\d{{4}}-\d{{2}}-\d{{2}}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\s+\d{{1,2}})\b.*{_MONEY}\s*(?:CR|-|⧫)?[ \t\r]*$"
 
 
@@ -108,7 +111,8 @@ def bank(text: Column) -> Column:
 
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    # not nullif, which Spark writes out as two matches
+    return F.get(F.transform(F.array(F.regexp_extract(text, pattern, group)), lambda m: F.when(m != "", m)), F.lit(0))
 
 
 def statement_year(text: Column, default: Column) -> Column:
@@ -125,10 +129,8 @@ def statement_year(text: Column, default: Column) -> Column:
 
 def month_number(name: Column) -> Column:
     """1 to 12 of a month's name or its first three letters, or of a number."""
-    out = F.coalesce(name.try_cast("int"))
-    for i, m in enumerate(MONTHS, 1):
-        out = F.when(F.lower(F.substring(name, 1, 3)) == m[:3].lower(), i).otherwise(out)
-    return out
+    named = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m[:3].lower(), i)])
+    return F.coalesce(name.try_cast("int"), named[F.lower(F.substring(name, 1, 3))])
 
 
 def statement_month(text: Column, default: Column) -> Column:
@@ -138,8 +140,9 @@ def statement_month(text: Column, default: Column) -> Column:
     return F.coalesce(closing, span, *named, default)
 
 
-def lines(statements: DataFrame) -> DataFrame:
-    return statements.select("source_file", F.posexplode(F.split("text", "\r?\n")).alias("place", "line")).withColumn("line", F.trim("line"))
+def lines(statements: DataFrame, *more: str) -> DataFrame:
+    """The lines of texts, with the columns ``more`` of their statements."""
+    return statements.select("source_file", *more, F.posexplode(F.split("text", "\r?\n")).alias("place", "line")).withColumn("line", F.trim("line"))
 
 
 def _inside(rows: DataFrame, form: Form) -> DataFrame:
@@ -186,7 +189,7 @@ def _later_amounts(rows: DataFrame) -> DataFrame:
     start = F.struct(F.col("line").alias("said"), F.lit(None).cast("string").alias("whole"), F.lit(True).alias("going"))
     joined = F.aggregate(F.array(*[f"__l{k}" for k in range(1, 6)]), start, read)["whole"]
     opened = F.col("line").rlike(r"^\d{2}/\d{2}/\d{2}\*?\s+.+") & ~F.col("line").rlike(FORMS["amex"].pattern) & (F.col("__credits") == 1)
-    return rows.where(~F.col("line").rlike(AMEX_SKIP)).select("source_file", "place", F.when(opened & joined.isNotNull(), joined).otherwise(F.col("line")).alias("line"))
+    return rows.where(~F.col("line").rlike(AMEX_SKIP)).select("source_file", "__year", "__month", "place", F.when(opened, F.coalesce(joined, "line")).otherwise(F.col("line")).alias("line"))
 
 
 def parse(statements: DataFrame, name: str, as_of_year: int, as_of_month: int, transfers: bool = False) -> DataFrame:
@@ -195,10 +198,13 @@ def parse(statements: DataFrame, name: str, as_of_year: int, as_of_month: int, t
     bank tells. Lines that are no transaction, and days that don't exist, are left out."""
     form = FORMS[name]
     dated = statements.withColumns({"__year": statement_year(F.col("text"), F.lit(as_of_year)), "__month": statement_month(F.col("text"), F.lit(as_of_month))})
-    rows = _inside(lines(statements), form)
+    rows = _inside(lines(dated.withColumn("text", F.replace("text", F.lit(_CUT), F.lit(""))), "__year", "__month"), form)
     if name == "amex":
         rows = _later_amounts(rows)
-    group = lambda i: F.regexp_extract("line", form.pattern, i)
+    # one match gives all groups of a line; a line that does not match has one part
+    whole = F.regexp_replace("line", form.pattern + r"[\s\S]*", _CUT.join(f"${i}" for i in range(1, re.compile(form.pattern).groups + 1)))
+    rows = rows.withColumn("__g", F.split(whole, _CUT))
+    group = lambda i: F.get("__g", F.lit(i - 1))
     own = Window.partitionBy("source_file").orderBy("place")
     described = F.trim(group(form.description))
     if form.stitch:
@@ -207,7 +213,7 @@ def parse(statements: DataFrame, name: str, as_of_year: int, as_of_month: int, t
             nxt = F.lead("line", k).over(own)
             going = going & nxt.isNotNull() & ~nxt.rlike(form.stop)
             described = F.when(going & (nxt != ""), F.concat(described, F.lit(" "), nxt)).otherwise(described)
-    rows = rows.withColumn("description_raw", described).where(F.col("line").rlike(form.pattern))
+    rows = rows.withColumn("description_raw", described).where(F.size("__g") > 1)
     if form.skip:
         rows = rows.where(~F.col("line").rlike(form.skip))
     money = lambda i: F.replace(group(i), F.lit(","), F.lit("")).try_cast("decimal(15,2)")
@@ -218,7 +224,6 @@ def parse(statements: DataFrame, name: str, as_of_year: int, as_of_month: int, t
         minus = group(form.minus) != ""
         credit = ~minus if form.negative == "deposit" else minus
         amount = money(form.amount) if form.absolute else F.when(credit, -money(form.amount)).otherwise(money(form.amount))
-    rows = rows.join(dated.select("source_file", "__year", "__month"), "source_file")
     year = F.col("__year") if not form.year else F.when(F.length(group(form.year)) == 2, group(form.year).cast("int") + 2000).otherwise(group(form.year).cast("int"))
     date = statement_date(month_number(group(form.month)), group(form.day).cast("int"), year, F.col("__month"), form.rolls and not form.year)
     leaves = ~credit if form.debits_only else F.lit(True)

@@ -58,3 +58,10 @@ def test_numbers_of_transactions_are_no_years(spark, head, year):
     lines = [f"MAY  {i + 1} Order {2040 + i} URGENT $1,{i + 100}.50" for i in range(20)]
     (first, *_) = statements.parse_generic(spark.createDataFrame([("f", "\n".join([head, *lines]))], "source_file string, text string"), 1998).orderBy("row_index").collect()
     assert (first["date"].year, first["description_raw"]) == (year, "Order 2040 URGENT")
+
+
+def test_a_line_is_matched_for_all_its_fields(spark):
+    """No line is matched for each field, and no statement is made a second time for its year."""
+    df = spark.createDataFrame([("f", "chase.com\n12/29 ACME SHOP 44.94")], "source_file string, text string")
+    plan = statements.parse(df, "chase", 2025, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("regexp_extract(line") == 0
