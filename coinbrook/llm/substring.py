@@ -26,6 +26,8 @@ RADIUS = 3
 RUN_WORDS = 20
 _BLANKS = [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]  # fixed values: white space in Unicode
 _UNIT = "struct<d: bigint, e: int, at: int, size: int, words: int, whole: boolean, again: boolean>"
+#: What the removal of units needs of each.
+_PLACES = ("at", "size", "words", "whole", "again")
 _SLICE_CHARS = 2_000_000
 
 
@@ -190,13 +192,16 @@ def dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", run_words: in
     every = staged.select("row", "rank", F.posexplode("units").alias("place", "unit")).where("NOT unit.again")
     every = every.select("row", "rank", "place", "unit.d", "unit.e")
     owners = every.groupBy("d", "e").agg(F.min("rank").alias("owner"), F.max("rank").alias("last")).where("owner < last").drop("last")
+    owners = written(owners, "unit-owners")
+    released(docs.sparkSession)  # what was dealt to find them, before the digests are dealt again to be joined with them
     later = every.join(owners, ["d", "e"]).where("rank > owner").groupBy("row").agg(F.collect_list("place").alias("places"))
     later = written(later, "repeated-units")
     released(docs.sparkSession)  # the digests' shuffles, before the texts are dealt
 
-    slim = F.expr("transform(units, u -> struct(u.at AS at, u.size AS size, u.words AS words, u.whole AS whole, u.again AS again))")
-    touched = F.exists("units", lambda u: u["again"]) | F.col("places").isNotNull()
-    joined = staged.join(later, "row", "left").select(*[f"k{i}" for i in range(len(rest))], "t", touched.alias("touched"), slim.alias("units"), "places")
+    touched = F.exists("again", lambda a: a) | F.col("places").isNotNull()
+    # an array for each field, which takes a third of an array of structs; digests stay where they are
+    dealt = staged.select(*[f"k{i}" for i in range(len(rest))], "t", "row", *[f"units.{f}" for f in _PLACES])
+    joined = dealt.join(later, "row", "left").select(*[f"k{i}" for i in range(len(rest))], "t", touched.alias("touched"), *_PLACES, "places")
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     fields = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(rest)]
     fields += [T.StructField("t", T.StringType()), T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(span))]
@@ -208,19 +213,19 @@ def dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", run_words: in
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
             n = b.num_columns
-            found = b.column(n - 2)
-            counts = pc.fill_null(pc.list_value_length(found), 0)
+            found = b.columns[n - 1 - len(_PLACES) : n - 1]
+            kept = n - 3 - len(_PLACES)
+            counts = pc.fill_null(pc.list_value_length(found[0]), 0)
             texts, removed, spans = [], [], []
-            for k, (t, touched) in enumerate(zip(b.column(n - 4), b.column(n - 3).to_pylist())):
+            for k, (t, touched) in enumerate(zip(b.column(kept), b.column(kept + 1).to_pylist())):
                 own: list[tuple[int, int]] = []
                 if touched:
-                    columns = (found[k].values.field(c).to_pylist() for c in ("at", "size", "words", "whole", "again"))
-                    own = removed_spans(list(zip(*columns)), set(b.column(n - 1)[k].as_py() or ()), run_words)
+                    own = removed_spans(list(zip(*(c[k].as_py() for c in found))), set(b.column(n - 1)[k].as_py() or ()), run_words)
                 texts.append(without(t.as_py(), own) if own else t.as_py())
                 removed.append(sum(e - s for s, e in own))
                 spans.append([{"start": s, "end": e} for s, e in own])
             made = [pa.array(texts, pa.string()), counts.cast(pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: n - 4], *made], names=[f.name for f in fields])
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], *made], names=[f.name for f in fields])
 
     out = joined.mapInArrow(rebuilt, T.StructType(fields))
     back = {c: F.col(f"k{i}").alias(c) for i, c in enumerate(rest)} | {text: F.col("t").alias(text)}

@@ -115,3 +115,11 @@ def test_odd_rows(spark):
     assert sorted(r["text"] for r in rows if r["doc_id"] is None) == ["", "Null id here."]
     assert {r["doc_id"]: r["text"] for r in rows}[6] == "z\n" and {r["doc_id"]: r["text"] for r in rows}[4] == "x " * 30_000
     assert substring.dedup(docs.limit(0)).count() == 0
+
+
+def test_digests_are_not_dealt_with_the_texts(spark):
+    docs = spark.createDataFrame([(1, "a line\nanother"), (2, "a line\nown"), (3, None), (4, "")], "doc_id long, text string")
+    out = substring.dedup(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "places" in plan and "d:bigint" not in plan
+    assert {r["doc_id"]: (r["text"], r["n_units"]) for r in out.collect()} == {1: ("a line\nanother", 2), 2: ("own", 2), 3: (None, 0), 4: ("", 0)}
