@@ -34,6 +34,8 @@ _ORDER = ["EUR", "AUD", "CAD", "HKD", "GBP", "USD"]
 MONEY, PRICE, QUANTITY, RATE = "decimal(18,2)", "decimal(18,4)", "decimal(18,6)", "decimal(18,8)"
 #: Stands between the groups of a match. Statements do not print this control character; it is taken out of their texts.
 _CUT = "\x01"
+#: What Fidelity's cash is called.
+_CASH_WORDS = ["money market", "cash"]
 #: Share of the reported total that the sum may differ by.
 TOLERANCE, TOLERANCE_FOREIGN = 0.01, 0.02
 
@@ -125,9 +127,9 @@ def _position(**values: Column | str | None) -> Column:
     return F.struct(*[(own[k] if isinstance(own.get(k), Column) else F.lit(own.get(k))).cast(kind).alias(k) for k, kind in POSITION.items()])
 
 
-def _valued(found: Column) -> Column:
-    """Of an array of positions or nulls those that are worth something."""
-    return F.filter(found, lambda p: p["market_value"] > 0)
+def _worth(found: Column, by: str = "worth") -> Column:
+    """Of an array of holdings or nulls those that are worth something."""
+    return F.filter(found, lambda p: p[by] > 0)
 
 
 def _masked(number: Column, otherwise: str = "Unknown") -> Column:
@@ -145,7 +147,7 @@ def _type(of: str, low: Column, symbol: Column | None, category: Column | None)
     has = lambda *words: _any(low, list(words))
     if of == "fidelity":
         return _cases([
-            (has("money market", "cash"), "MONEY_MARKET"), (has("etf", "exchange traded"), "ETF"), (has("fund") & has("index", "etf"), "ETF"), (has("fund"), "MUTUAL_FUND"),
+            (has(*_CASH_WORDS), "MONEY_MARKET"), (has("etf", "exchange traded"), "ETF"), (has("fund") & has("index", "etf"), "ETF"), (has("fund"), "MUTUAL_FUND"),
             (has("bond", "treasury", "fixed income"), "BOND"), (has("gold", "silver", "commodity"), "ETF"),
         ], "STOCK")
     if of == "schwab":
@@ -245,24 +247,28 @@ def _fidelity(t: DataFrame) -> dict[str, Column]:
     core = rf"^(FIDELITY[A-Z\s]+|FDIC[A-Z\s]+)\s+{money2}\s+{money2}"
     mark = r"\(([A-Z]{1,5})\)"
 
-    def line(x: Column, i: Column) -> Column:
-        below = F.coalesce(_found(F.get("lines", i + 1), mark), _found(F.get("lines", i + 2), mark))
-
-        def security(g: Column) -> Column:
-            number = lambda k, to=MONEY: _number(F.get(g, F.lit(k - 1)), to)
-            known = lambda raw, name, kind: _position(
-                symbol=F.coalesce(_found(raw, mark), below), security_name=name, security_type=kind, asset_class=asset_class("fidelity", kind, name),
-                quantity=number(3, QUANTITY), price=number(4, PRICE), market_value=number(5), cost_basis=number(6),
-            )
-            bare = lambda raw: _stripped(F.regexp_replace(raw, r"\s*\([A-Z]{1,5}\)\s*", ""))
-            return _let(_stripped(F.get(g, F.lit(0))), lambda raw: _let(bare(raw), lambda name: _let(security_type("fidelity", name), lambda kind: known(raw, name, kind))))
+    bare = lambda raw: _stripped(F.regexp_replace(raw, r"\s*\([A-Z]{1,5}\)\s*", ""))
 
-        def cash(g: Column) -> Column:
-            held_in = lambda worth: _position(symbol=below, security_name=_stripped(F.get(g, F.lit(0))), security_type="MONEY_MARKET", asset_class="CASH", quantity=worth, price=F.lit("1.00"), market_value=worth)
-            return F.when(F.size(g) > 1, _let(_number(F.get(g, F.lit(2))), held_in))
+    def line(x: Column, i: Column) -> Column:
+        one = lambda g, worth, core: F.struct(i.alias("i"), g.alias("g"), _number(F.get(g, F.lit(worth - 1))).alias("worth"), F.lit(core).alias("core"))
+        skipped = _let(F.lower(x), lambda low: _any(low, ["total", "description", "beginning", "continued", "page ", "account"]))
+        cash = lambda g: F.when(F.size(g) > 1, one(g, 3, True))
+        return F.when(~skipped, _let(_groups(x, held + r"[\s\S]*", 7), lambda g: F.when(F.size(g) > 1, one(g, 5, False)).when(~F.col("several"), _let(_groups(x, core + r"[\s\S]*", 3), cash))))
+
+    def full(m: Column) -> Column:
+        below = F.coalesce(_found(F.get("lines", m["i"] + 1), mark), _found(F.get("lines", m["i"] + 2), mark))
+        number = lambda k, to=MONEY: _number(F.get(m["g"], F.lit(k - 1)), to)
+        known = lambda raw, name, kind: _position(
+            symbol=F.coalesce(_found(raw, mark), below), security_name=name, security_type=kind, asset_class=asset_class("fidelity", kind, name),
+            quantity=number(3, QUANTITY), price=number(4, PRICE), market_value=m["worth"], cost_basis=number(6),
+        )
+        security = lambda raw: _let(bare(raw), lambda name: _let(security_type("fidelity", name), lambda kind: known(raw, name, kind)))
+        cash = lambda raw: _position(symbol=below, security_name=raw, security_type="MONEY_MARKET", asset_class="CASH", quantity=m["worth"], price=F.lit("1.00"), market_value=m["worth"])
+        return _let(_stripped(F.get(m["g"], F.lit(0))), lambda raw: F.when(m["core"], cash(raw)).otherwise(security(raw)))
 
-        skipped = _let(F.lower(x), lambda low: _any(low, ["total", "subtotal", "description", "beginning", "continued", "page ", "account"]))
-        return F.when(~skipped, _let(_groups(x, held + r"[\s\S]*", 7), lambda g: F.when(F.size(g) > 1, security(g)).when(~F.col("several"), _let(_groups(x, core + r"[\s\S]*", 3), cash))))
+    def is_cash(m: Column) -> Column:
+        """Whether a holding's class is that of cash, by the words that tell ``security_type`` so."""
+        return m["core"] | _let(F.lower(bare(_stripped(F.get(m["g"], F.lit(0))))), lambda low: _any(low, _CASH_WORDS))
 
     pair = lambda name: rf"(?i){name}[^$]*\$[\d,]+\.?\d*[^$]*\${_N}"
     value = _amount(text, *[rf"(?i){p}[:\s]*\$?{_N}" for p in (r"Your\s+Account\s+Value", r"Ending\s+Account\s+Value", r"Account\s+Value")])
@@ -274,7 +280,9 @@ def _fidelity(t: DataFrame) -> dict[str, Column]:
         "total_value": F.coalesce(F.when(F.col("reported") != 0, F.col("reported")), value),
         "total_cash": _amount(text, pair(r"Total\s+Core\s+Account")),
         "total_securities": _amount(text, pair(r"Total\s+Exchange\s+Traded\s+Products")),
-        "positions": _valued(F.transform("lines", line)),
+        "held": lambda: _worth(F.transform("lines", line)),
+        "full": full,
+        "is_cash": is_cash,
     }
 
 
@@ -287,14 +295,17 @@ def _schwab(t: DataFrame) -> dict[str, Column]:
     year = F.coalesce(_found(text, as_of, 2), _found(text, r"(?i)(?:Period|Statement).*?(20\d{2})"), _found(text, r"(20\d{2})"))
     held = rf"([A-Z]{{1,5}})\s+([A-Z][A-Z\s]+(?:INC|CORP|LLC|LTD|CO)?)\s+{_N}\s+{_N}\s+{_N}"
 
-    def match(g: Column) -> Column:
-        number = lambda k, to=MONEY: _number(F.get(g, F.lit(k - 1)), to)
-        known = lambda name, kind: _position(symbol=F.get(g, F.lit(0)), security_name=name, security_type=kind, asset_class=asset_class("schwab", kind, name), quantity=number(3, QUANTITY), price=number(4, PRICE), market_value=number(5))
-        return _let(_stripped(F.get(g, F.lit(1))), lambda name: _let(security_type("schwab", name), lambda kind: known(name, kind)))
+    def full(m: Column) -> Column:
+        number = lambda k, to=MONEY: _number(F.get(m["g"], F.lit(k - 1)), to)
+        known = lambda name, kind: _position(symbol=F.get(m["g"], F.lit(0)), security_name=name, security_type=kind, asset_class=asset_class("schwab", kind, name), quantity=number(3, QUANTITY), price=number(4, PRICE), market_value=m["worth"])
+        sweep = _position(security_name="CHARLES SCHWAB BANK SWEEP", security_type="CASH", asset_class="CASH", quantity=m["worth"], price=F.lit("1.00"), market_value=m["worth"])
+        return F.when(m["g"].isNull(), sweep).otherwise(_let(_stripped(F.get(m["g"], F.lit(1))), lambda name: _let(security_type("schwab", name), lambda kind: known(name, kind))))
+
+    one = lambda g, worth: F.struct(g.alias("g"), worth.cast(MONEY).alias("worth"))
 
     total_swept = F.coalesce(_number(_found(text, rf"(?i)Total\s+Cash\s+and\s+Cash\s+Investments[^$]*\$[\d,]+\.?\d*[^$]*\${_N}")), F.lit(0))
     swept = _let(total_swept, lambda w: F.when(w > 0, w).otherwise(_number(_found(text, rf"(?i)Ending\s+Balance[^$]*\${_N}"))))
-    sweep = _let(swept, lambda w: _position(security_name="CHARLES SCHWAB BANK SWEEP", security_type="CASH", asset_class="CASH", quantity=w, price=F.lit("1.00"), market_value=w))
+    matched = F.transform(F.regexp_extract_all(text, F.lit(held), 0), lambda m: _let(_groups(m, held, 5), lambda g: one(g, _number(F.get(g, F.lit(4))))))
     nonzero = lambda a, b: _let(a, lambda x: F.when(x != 0, x).otherwise(b))
     return {
         "early": {"period": _groups(_found(text, span, 0), span, 4)},
@@ -304,7 +315,8 @@ def _schwab(t: DataFrame) -> dict[str, Column]:
         "total_value": _amount(text, rf"(?i)Ending\s+Account\s+Value[^$]*\${_N}", rf"(?i)Account\s+Value[:\s]*\${_N}", rf"(?i)Total[:\s]*\${_N}\s+100%"),
         "total_cash": nonzero(_amount(text, rf"(?i)Cash\s+and\s+Cash\s+Investments[:\s]*{_N}"), _amount(text, rf"(?i)Total\s+Cash\s+and\s+Cash\s+Investments[^$]*\${_N}[^$]*\${_N}", group=2)),
         "total_securities": nonzero(_amount(text, rf"(?i)(?:Equities|Total\s+Equities)[:\s]*{_N}"), _amount(text, rf"(?i)Total\s+Equities[^$]*\${_N}")),
-        "positions": _valued(F.concat(F.transform(F.regexp_extract_all(text, F.lit(held), 0), lambda m: _let(_groups(m, held, 5), match)), F.array(sweep))),
+        "held": _worth(F.concat(matched, F.array(one(F.lit(None).cast("array<string>"), swept)))),
+        "full": full,
     }
 
 
@@ -322,8 +334,7 @@ def _vanguard(t: DataFrame) -> dict[str, Column]:
         goes_on = (F.length(below) > 0) & (F.length(below) < 30) & ~F.contains(below, F.lit("$")) & ~below.rlike(r"^\d")
         name = F.concat(_stripped(F.substring_index(x, "$", 1)), F.when(goes_on, F.concat(F.lit(" "), below)).otherwise(""))
         name = _stripped(F.regexp_replace(name, "[®™]", ""))
-        known = lambda worth, name, kind: _position(security_name=name, security_type=kind, asset_class=asset_class("vanguard", kind, name), market_value=_number(worth))
-        named = lambda worth: _let(name, lambda n: F.when(F.length(n) >= 3, _let(security_type("vanguard", n), lambda kind: known(worth, n, kind))))
+        named = lambda worth: _let(name, lambda n: F.when(F.length(n) >= 3, F.struct(n.alias("name"), _number(worth).alias("worth"))))
         fund = F.contains(x, F.lit("$")) & _let(F.lower(x), lambda low: _any(low, ["vanguard", "target", "retire", "trust", "fund", "index"]))
         return F.when(fund, _let(amounts, lambda found: F.when(F.size(found) >= 2, named(F.element_at(found, -1)))))
 
@@ -335,7 +346,8 @@ def _vanguard(t: DataFrame) -> dict[str, Column]:
         "total_cash": cash,
         "total_securities": (value - cash).cast(MONEY),
         "section": _lines(section),
-        "positions": lambda: _valued(F.transform("section", line)),
+        "held": lambda: _worth(F.transform("section", line)),
+        "full": lambda m: _let(security_type("vanguard", m["name"]), lambda kind: _position(security_name=m["name"], security_type=kind, asset_class=asset_class("vanguard", kind, m["name"]), market_value=m["worth"])),
     }
 
 
@@ -358,12 +370,15 @@ def _wealthfront(t: DataFrame) -> dict[str, Column]:
     groups = lambda x: _let(_groups(x, forms[0], 5), lambda g: F.when(F.size(g) > 1, g).otherwise(_groups(x, forms[1], 5)))
 
     def line(category: Column, g: Column) -> Column:
-        name, mark = _stripped(F.get(g, F.lit(0))), F.get(g, F.lit(1))
-        long = F.length(mark) == 9
         number = lambda k, to=MONEY: _number(F.get(g, F.lit(k - 1)), to)
+        return F.struct(category.alias("category"), g.alias("g"), number(3, QUANTITY).alias("quantity"), number(5).alias("worth"))
+
+    def full(m: Column) -> Column:
+        name, mark, category = _stripped(F.get(m["g"], F.lit(0))), F.get(m["g"], F.lit(1)), m["category"]
+        long = F.length(mark) == 9
         known = lambda name, kind: _position(
             symbol=F.when(~long, mark), cusip=F.when(long, mark), security_name=name, security_type=kind, asset_class=asset_class("wealthfront", kind, name),
-            quantity=number(3, QUANTITY), price=number(4, PRICE), market_value=number(5),
+            quantity=m["quantity"], price=_number(F.get(m["g"], F.lit(3)), PRICE), market_value=m["worth"],
         )
         return _let(name, lambda n: _let(security_type("wealthfront", n, F.when(~long, mark), category), lambda kind: known(n, kind)))
 
@@ -375,7 +390,7 @@ def _wealthfront(t: DataFrame) -> dict[str, Column]:
         return _let(b.rlike(_WEALTH_HEADER.replace("(?im)^", "(?im)\\A")), lambda titled: _let(category(titled), lambda c: F.transform(lines(titled), lambda x: read(x, c))))
 
     # values and quantities beyond these are misread lines
-    credible = F.filter(F.flatten(F.transform(F.split(section, _WEALTH_HEADER), block)), lambda p: (p["market_value"] <= 10_000_000) & (p["quantity"] <= 1_000_000))
+    credible = F.filter(F.flatten(F.transform(F.split(section, _WEALTH_HEADER), block)), lambda p: (p["worth"] <= 10_000_000) & (p["quantity"] <= 1_000_000))
     first = F.filter(F.regexp_extract_all(F.substring(text, 1, 1500), F.lit(r"\b([0-9][A-Z0-9]{7}|[A-Z][0-9A-Z]{7})\b"), 1), lambda m: m.rlike("[A-Z]") & m.rlike("[0-9]"))
     numbers = [r"Wealthfront:\s*([A-Z0-9]{8})\b", r"(?i)ACCOUNT\s+NUMBERS?\s*[\n\r]+(?:Wealthfront:\s*)?([A-Z0-9]{8})", r"JTWROS\d?\s*(?:Apt\s+\d+)?\s*\n?\s*([A-Z0-9]{8})\b"]
     return {
@@ -386,7 +401,8 @@ def _wealthfront(t: DataFrame) -> dict[str, Column]:
         "total_value": value,
         "total_cash": cash,
         "total_securities": (value - cash).cast(MONEY),
-        "positions": _valued(credible),
+        "held": _worth(credible),
+        "full": full,
     }
 
 
@@ -434,7 +450,8 @@ def _equatex(t: DataFrame) -> dict[str, Column]:
         "total_cash": F.lit(0).cast(MONEY),
         "total_securities": value,
         "price": price,
-        "positions": lambda: _valued(F.array(*[plan(*p) for p in PLANS])),
+        "held": lambda: _worth(F.array(*[plan(*p) for p in PLANS]), "market_value"),
+        "worth": "market_value",
     }
 
 
@@ -473,12 +490,8 @@ def _ibkr(t: DataFrame) -> dict[str, Column]:
         rate = F.coalesce(F.element_at("fx_rates", F.lit(currency)), F.lit(1).cast(RATE))
 
         def match(g: Column) -> Column:
-            number = lambda k, to=MONEY: _number(F.get(g, F.lit(k - 1)), to)
-            symbol = F.get(g, F.lit(0))
-            return _let(number(6), lambda worth: _position(
-                symbol=symbol, security_name=F.coalesce(F.element_at("names", symbol), symbol), security_type="STOCK", asset_class="EQUITY", quantity=number(2, QUANTITY), price=number(5, PRICE),
-                market_value=worth, cost_basis=number(4), currency=currency, market_value_usd=F.round(worth * rate, 2), fx_rate_used=rate,
-            ))
+            dollars = lambda worth: F.struct(g.alias("g"), worth.alias("own"), F.round(worth * rate, 2).cast(MONEY).alias("worth"), rate.alias("rate"), F.lit(currency).alias("currency"))
+            return _let(_number(F.get(g, F.lit(5))), dollars)
 
         return F.transform(F.regexp_extract_all(part, F.lit(held), 0), lambda m: _let(_groups(m, held, 6), match))
 
@@ -488,7 +501,16 @@ def _ibkr(t: DataFrame) -> dict[str, Column]:
 
     by_currency = F.concat(*[rows(block(c), c) for c in _ORDER])
     dollars = rows(F.regexp_extract(text, r"(?s)Stocks\s*USD\s*(.*?)(?:Total|EUR|HKD|AUD|CAD|\z)", 1), "USD")
-    anywhere = F.filter(rows(text, "USD"), lambda p: ~p["symbol"].isin("EUR", "HKD", "USD", "GBP", "JPY") & (p["quantity"] > 0))
+    anywhere = F.filter(rows(text, "USD"), lambda m: ~F.get(m["g"], F.lit(0)).isin("EUR", "HKD", "USD", "GBP", "JPY") & (_number(F.get(m["g"], F.lit(1)), QUANTITY) > 0))
+
+    def full(m: Column) -> Column:
+        number = lambda k, to=MONEY: _number(F.get(m["g"], F.lit(k - 1)), to)
+        symbol = F.get(m["g"], F.lit(0))
+        return _position(
+            symbol=symbol, security_name=F.coalesce(F.element_at("names", symbol), symbol), security_type="STOCK", asset_class="EQUITY", quantity=number(2, QUANTITY), price=number(5, PRICE),
+            market_value=m["own"], cost_basis=number(4), currency=m["currency"], market_value_usd=m["worth"], fx_rate_used=m["rate"],
+        )
+
     return {
         "statement_date": _day(_found(text, span, 2), "MMMM d, yyyy"),
         "statement_start_date": _day(_found(text, span, 1), "MMMM d, yyyy"),
@@ -500,7 +522,8 @@ def _ibkr(t: DataFrame) -> dict[str, Column]:
         "cash_by_currency": cash,
         "names": names,
         "opened": opened,
-        "positions": lambda: _let(by_currency, lambda all: F.when(F.size(all) > 0, all).otherwise(_let(dollars, lambda d: F.when(F.size(d) > 0, d).otherwise(anywhere)))),
+        "full": full,
+        "held": lambda: _let(by_currency, lambda all: F.when(F.size(all) > 0, all).otherwise(_let(dollars, lambda d: F.when(F.size(d) > 0, d).otherwise(anywhere)))),
     }
 
 
@@ -525,21 +548,25 @@ def accounts(statements: DataFrame, of: str) -> DataFrame:
     said = read(cut)
     cut = cut.withColumns(said.pop("early", {}))
     kept = [F.col(c) for c in ("source_file", "account", "block", "several")]
-    late = said.pop("positions")
+    # what is held and worth is one column, so that totals need no names and classes of securities, and positions no second match
+    held, full, is_cash, worth = said.pop("held"), said.pop("full", None), said.pop("is_cash", None), said.pop("worth", "worth")
     blank = {"fx_rates": F.lit(None).cast(f"map<string,{RATE}>"), "cash_by_currency": F.lit(None).cast(f"map<string,{MONEY}>"), "base_currency": F.lit("USD"), "account_type": account_type(F.col("block"), of), "number": F.col("number")}
     said = blank | said
     out = cut.select(*kept, _lines(F.col("block")).alias("lines"), *[c.alias(k) for k, c in said.items()])
-    out = out.withColumn("positions", late() if callable(late) and not isinstance(late, Column) else late)
-    total = lambda value: F.aggregate("positions", F.lit(0).cast("decimal(38,2)"), lambda acc, p: (acc + F.coalesce(value(p), F.lit(0))).cast("decimal(38,2)")).cast(MONEY)
+    if isinstance(held, Column):  # said by the block alone
+        out = cut.select(*kept, _lines(F.col("block")).alias("lines"), *[c.alias(k) for k, c in said.items()], held.alias("held"))
+    else:
+        out = out.withColumn("held", held())
+    out = out.withColumn("positions", F.transform("held", full) if full else F.col("held"))
+    total = F.aggregate(F.col(f"held.{worth}"), F.lit(0).cast("decimal(38,2)"), lambda acc, w: (acc + F.coalesce(w, F.lit(0))).cast("decimal(38,2)")).cast(MONEY)
     if of == "ibkr":
         each = F.transform(F.map_entries("cash_by_currency"), lambda e: (e["value"] * F.coalesce(F.element_at("fx_rates", e["key"]), F.lit(1).cast(RATE))).cast("decimal(38,8)"))
         in_cash = F.aggregate(each, F.lit(0).cast("decimal(38,8)"), lambda acc, x: (acc + x).cast("decimal(38,8)"))
-        own = (total(lambda p: p["market_value_usd"]) + in_cash).cast(MONEY)
+        own = (total + in_cash).cast(MONEY)
         compared, tolerance, unknown = own, TOLERANCE_FOREIGN, "****0000"
     else:
-        own, tolerance, unknown = total(lambda p: p["market_value"]), TOLERANCE, "Unknown"
-        has_cash = F.exists("positions", lambda p: p["asset_class"] == "CASH")
-        compared = F.when(F.lit(of != "fidelity") | has_cash, own).otherwise((own + F.col("total_cash")).cast(MONEY))
+        own, tolerance, unknown = total, TOLERANCE, "Unknown"
+        compared = F.when(F.exists("held", is_cash), own).otherwise((own + F.col("total_cash")).cast(MONEY)) if is_cash else own
     out = out.withColumns({"provider": F.lit(of), "account_number": F.col("number"), "account_identifier": _masked(F.col("number"), unknown), "calculated_total": own, "compared": compared})
     diff = F.abs(F.col("total_value") - F.col("compared")).cast(MONEY)
     sound = F.when(F.col("total_value") == 0, F.col("compared") == 0).otherwise(diff / F.col("total_value") <= tolerance)

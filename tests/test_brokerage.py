@@ -154,3 +154,11 @@ def test_holdings_are_matched_once(spark, of, pattern):
 def test_control_characters_split_no_line(spark):
     (a,) = read(spark, "schwab", "Account Number: 6404-9694\nME\x01TA META PLATFORMS INC 325.0000 660.09000 214,529.25")
     assert names(a) == [("META", "META PLATFORMS INC", "STOCK", "EQUITY", D("214529.25"))]
+
+
+@pytest.mark.parametrize("of", ["fidelity", "schwab", "vanguard", "wealthfront"])
+def test_totals_need_no_classes(spark, of):
+    """Sums and reconciliations are worked out without telling what each security is."""
+    found = holdings.accounts(spark.createDataFrame([("a", "nothing")], "source_file string, text string"), of)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "FIXED_INCOME" in plan(found.select("positions")) and "FIXED_INCOME" not in plan(found.drop("positions"))
