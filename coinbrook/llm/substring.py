@@ -6,8 +6,9 @@ hashed to 96 bits; each digest belongs to the earliest document that has it. Els
 belongs to an earlier place; inside a line that stays, a run of pieces goes if all belong to earlier documents
 and it has enough words to be a passage and no chance phrase.
 
-Every text is read and hashed once, into a written table of texts and units. Digests are pre-aggregated before
-they are dealt, and what is joined with the repeated ones are numbers, not texts.
+Every text is hashed once, into a written table of texts and digests. Digests are pre-aggregated before they are
+dealt, and what is joined with the repeated ones are numbers, not texts. Where a unit lies is not kept: texts that
+lose something are cut into units once more.
 """
 
 from __future__ import annotations
@@ -25,15 +26,14 @@ RADIUS = 3
 #: Shortest run of repeated pieces inside a line that is removed, in words. Whole lines have no least length.
 RUN_WORDS = 20
 _BLANKS = [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]  # fixed values: white space in Unicode
-_UNIT = "struct<d: bigint, e: int, at: int, size: int, words: int, whole: boolean, again: boolean>"
-#: What the removal of units needs of each.
-_PLACES = ("at", "size", "words", "whole", "again")
+_UNIT = "struct<d: bigint, e: int>"
 _SLICE_CHARS = 2_000_000
 
 
 def _folded(text: str) -> str:
-    """Lower case, character by character, where that keeps the number of characters."""
-    low = text.lower()
+    """Lower case, character by character, where that keeps the number of characters. No character depends on those
+    around it, so a text is cut alike whatever it is joined with."""
+    low = text.replace("Σ", "σ").lower()  # the one letter whose lower case depends on its place
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
@@ -56,11 +56,11 @@ def _word_hashes(codes, starts, ends):
         return x ^ x >> np.uint64(27)
 
 
-def units(texts: list[str], run_words: int = RUN_WORDS) -> tuple[list[int], list[bytes], list]:
+def units(texts: list[str], run_words: int = RUN_WORDS, hashed: bool = True) -> tuple[list[int], list[bytes], list]:
     """The units of texts: how many there are up to each text's end, their digests (12 bytes), and of all units
     first character, characters, words and whether it is a whole line. Units are ordered by their first
     character, a line before its pieces; lines of at most ``run_words`` words have no pieces, as no run of them
-    could be long enough."""
+    could be long enough. Digests are left out unless ``hashed``."""
     import numpy as np
     import xxhash
 
@@ -94,7 +94,7 @@ def units(texts: list[str], run_words: int = RUN_WORDS) -> tuple[list[int], list
     odd = np.concatenate([[0], np.cumsum(blank[1:-1] & (codes != 32))])
     plain = (end - at == letters[b] - letters[a] + b - a - 1) & (odd[end] == odd[at])
     digests = []
-    for i, j, p in zip(at.tolist(), end.tolist(), plain.tolist()):
+    for i, j, p in zip(at.tolist(), end.tolist(), plain.tolist()) if hashed else ():
         u = joined[i:j] if p else " ".join(joined[i:j].split())
         digests.append(xxhash.xxh3_128_digest(u.lower().encode("utf-8", "surrogatepass"))[:12])
     text = np.searchsorted(begins, at, "right") - 1
@@ -143,7 +143,8 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _with_units(docs: DataFrame, rest: list[str], text: str, id: str, run_words: int) -> DataFrame:
-    """(k0.. , t, rank, row, units): written once, with a number for every row."""
+    """(k0.. , rank, row, t, units, n_units, again): written once, with a number for every row. Of units that are lines
+    their text has before there is no digest, but their places in ``again``."""
     row = F.monotonically_increasing_id()
     rank = F.coalesce(F.col(id).cast("long"), F.lit(1 << 62) + row)
     src = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(rest)], rank.alias("rank"), row.alias("row"), F.col(text).cast("string").alias("t"))
@@ -167,11 +168,20 @@ def _with_units(docs: DataFrame, rest: list[str], text: str, id: str, run_words:
                     end = n
                     seen.clear()
                 raw = np.frombuffer(b"".join(digests), np.dtype([("d", "<i8"), ("e", "<i4")]))
-                columns = [pa.array(np.ascontiguousarray(raw["d"])), pa.array(np.ascontiguousarray(raw["e"])), *(pa.array(x.astype(np.int32)) for x in own[:3]), pa.array(own[3]), pa.array(again, pa.bool_())]
-                made = pa.ListArray.from_arrays(pa.array([0, *counts], pa.int32()), pa.StructArray.from_arrays(columns, names=["d", "e", "at", "size", "words", "whole", "again"]))
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns), made], names=[*b.schema.names, "units"])
-
-    schema = T.StructType([*src.schema.fields, T.StructField("units", T._parse_datatype_string(f"array<{_UNIT}>"))])
+                gone = np.array(again, bool)
+                where, ends = np.flatnonzero(gone), np.array([0, *counts])
+                of_text = np.searchsorted(where, ends)
+                columns = [pa.array(np.ascontiguousarray(raw["d"])), pa.array(np.ascontiguousarray(raw["e"]))]
+                offsets = lambda x: pa.array(x.astype(np.int32))
+                places = pa.array((where - np.repeat(ends[:-1], np.diff(of_text))).astype(np.int32))
+                made = [
+                    pa.ListArray.from_arrays(offsets(ends), pa.StructArray.from_arrays(columns, names=["d", "e"], mask=pa.array(gone))),
+                    offsets(np.diff(ends)), pa.ListArray.from_arrays(offsets(of_text), places),
+                ]
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns), *made], names=[*b.schema.names, "units", "n_units", "again"])
+
+    own = [("units", T._parse_datatype_string(f"array<{_UNIT}>")), ("n_units", T.IntegerType()), ("again", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([*src.schema.fields, *(T.StructField(*f) for f in own)])
     return written(src.mapInArrow(hashed, schema), "text-units")
 
 
@@ -189,7 +199,7 @@ def dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", run_words: in
     names = ["n_units", "n_removed", "removed"]
     rest = [c for c in docs.columns if c != text and c not in names]
     staged = _with_units(docs, rest, text, id, run_words)
-    every = staged.select("row", "rank", F.posexplode("units").alias("place", "unit")).where("NOT unit.again")
+    every = staged.select("row", "rank", F.posexplode("units").alias("place", "unit")).where("unit IS NOT NULL")
     every = every.select("row", "rank", "place", "unit.d", "unit.e")
     owners = every.groupBy("d", "e").agg(F.min("rank").alias("owner"), F.max("rank").alias("last")).where("owner < last").drop("last")
     owners = written(owners, "unit-owners")
@@ -198,10 +208,8 @@ def dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", run_words: in
     later = written(later, "repeated-units")
     released(docs.sparkSession)  # the digests' shuffles, before the texts are dealt
 
-    touched = F.exists("again", lambda a: a) | F.col("places").isNotNull()
-    # an array for each field, which takes a third of an array of structs; digests stay where they are
-    dealt = staged.select(*[f"k{i}" for i in range(len(rest))], "t", "row", *[f"units.{f}" for f in _PLACES])
-    joined = dealt.join(later, "row", "left").select(*[f"k{i}" for i in range(len(rest))], "t", touched.alias("touched"), *_PLACES, "places")
+    dealt = staged.select(*[f"k{i}" for i in range(len(rest))], "t", "row", "n_units", "again")
+    joined = dealt.join(later, "row", "left").select(*[f"k{i}" for i in range(len(rest))], "t", "n_units", "again", "places")
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     fields = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(rest)]
     fields += [T.StructField("t", T.StringType()), T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(span))]
@@ -212,20 +220,20 @@ def dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", run_words: in
 
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
-            n = b.num_columns
-            found = b.columns[n - 1 - len(_PLACES) : n - 1]
-            kept = n - 3 - len(_PLACES)
-            counts = pc.fill_null(pc.list_value_length(found[0]), 0)
-            texts, removed, spans = [], [], []
-            for k, (t, touched) in enumerate(zip(b.column(kept), b.column(kept + 1).to_pylist())):
-                own: list[tuple[int, int]] = []
-                if touched:
-                    own = removed_spans(list(zip(*(c[k].as_py() for c in found))), set(b.column(n - 1)[k].as_py() or ()), run_words)
-                texts.append(without(t.as_py(), own) if own else t.as_py())
-                removed.append(sum(e - s for s, e in own))
-                spans.append([{"start": s, "end": e} for s, e in own])
-            made = [pa.array(texts, pa.string()), counts.cast(pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:kept], *made], names=[f.name for f in fields])
+            t, n_units, again, places = b.columns[-4:]
+            found: dict[int, list[tuple[int, int]]] = {}
+            touched = [k for k, (x, y) in enumerate(zip(pc.list_value_length(again).to_pylist(), places.is_valid().to_pylist())) if x or y]
+            for lo, hi in slices(pc.fill_null(pc.binary_length(t), 0).take(pa.array(touched, pa.int64())).to_pylist(), _SLICE_CHARS):
+                counts, _, own = units([t[k].as_py() for k in touched[lo:hi]], run_words, hashed=False)
+                for k, begin, end in zip(touched[lo:hi], [0, *counts], counts):
+                    before = set(again[k].as_py())
+                    each = zip(*(x[begin:end].tolist() for x in own), (place in before for place in range(end - begin)))
+                    found[k] = removed_spans(list(each), set(places[k].as_py() or ()), run_words)
+            spans = [found.get(k, []) for k in range(b.num_rows)]
+            texts = [without(x.as_py(), own) if own else x.as_py() for x, own in zip(t, spans)]
+            removed = pa.array([sum(e - s for s, e in own) for own in spans], pa.int64())
+            made = [pa.array(texts, pa.string()), n_units.cast(pa.int64()), removed, pa.array([[{"start": s, "end": e} for s, e in own] for own in spans], kind)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-4], *made], names=[f.name for f in fields])
 
     out = joined.mapInArrow(rebuilt, T.StructType(fields))
     back = {c: F.col(f"k{i}").alias(c) for i, c in enumerate(rest)} | {text: F.col("t").alias(text)}

@@ -123,3 +123,20 @@ def test_digests_are_not_dealt_with_the_texts(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "places" in plan and "d:bigint" not in plan
     assert {r["doc_id"]: (r["text"], r["n_units"]) for r in out.collect()} == {1: ("a line\nanother", 2), 2: ("own", 2), 3: (None, 0), 4: ("", 0)}
+
+
+def test_units_do_not_depend_on_the_texts_beside(spark):
+    """Places are found a second time among other texts; \u03a3 at a word's end and \u0130 must not move them."""
+    rng = np.random.default_rng(3)
+    text = " ".join("".join(rng.choice(list("ΑΒΓΔΕΣ"), 4)) + "Σ" for _ in range(400))
+    counts, digests, own = substring.units([text, "İ x"])
+    alone = substring.units([text])
+    assert alone[1] == digests[: counts[0]] and all((a == b[: counts[0]]).all() for a, b in zip(alone[2], own))
+    assert all((a == b).all() for a, b in zip(substring.units([text], hashed=False)[2], alone[2]))
+
+
+def test_no_places_of_units_are_kept(spark):
+    docs = spark.createDataFrame([(1, "a b\nc\na b\n c"), (2, None), (3, "")], "doc_id long, text string")
+    got = {r["rank"]: r for r in substring._with_units(docs, ["doc_id"], "text", "doc_id", 20).collect()}
+    assert [u is None for u in got[1]["units"]] == [False, False, True, True] and got[1]["again"] == [2, 3] and got[1]["n_units"] == 4
+    assert set(got[1]["units"][0].asDict()) == {"d", "e"} and got[2]["units"] == got[3]["again"] == []
