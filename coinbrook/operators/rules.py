@@ -135,29 +135,31 @@ def _grams(text: Column, size: Column) -> Column:
 
 
 def pattern_matches(texts: DataFrame, patterns: DataFrame, text: list[str], key: str) -> DataFrame:
-    """For large sets of literal rules (user_id, rule_id, pattern): each of the distinct ``texts`` (user_id, the columns
-    ``text`` in lower case, and a hash ``key`` of these) with the rule_id of each of its user's patterns that one of
-    the columns contains. Texts of equal hashes are compared each for itself.
+    """For large sets of literal patterns (user_id, pattern; in lower case, each once): each of the distinct ``texts``
+    (user_id, the columns ``text`` in lower case, and a hash ``key`` of these) with each of its user's patterns that one
+    of the columns contains. Texts of equal hashes stay together, and are compared each for itself.
 
     Every pattern is looked up by one of its parts of GRAM characters (all of it, if it is shorter), the one that fewest
     texts of the user have; only texts that have it are searched for the pattern. Both sides are dealt by user and part,
     and a pattern of frequent parts only is one that matches many texts.
     """
-    wanted = patterns.select("user_id", "rule_id", F.lower("pattern").alias("pattern")).where("pattern IS NOT NULL")
-    wanted = wanted.withColumn("size", F.least(F.length("pattern"), F.lit(GRAM)))
-    sizes = F.array(*[F.lit(n) for n in sorted(r["size"] for r in wanted.select("size").distinct().collect())])  # GRAM + 1 numbers at most
-    gram = F.flatten(F.transform(sizes, lambda n: F.flatten(F.array(*[_grams(F.col(c), n) for c in text]))))
-    index = texts.select("user_id", key, F.explode(F.array_distinct(gram)).alias("gram"))
+    wanted = patterns.select("user_id", "pattern", F.least(F.length("pattern"), F.lit(GRAM)).alias("size"))
+    sizes = F.array(*[F.lit(n) for n in range(GRAM + 1)])
+    gram = lambda t: F.flatten(F.transform(sizes, lambda n: F.flatten(F.array(*[_grams(t[c], n) for c in text]))))
+    others = [c for c in texts.columns if c not in ("user_id", key)]
+    held = texts.groupBy("user_id", key).agg(F.collect_list(F.struct(*others)).alias("same"))
+    index = held.select("user_id", key, F.explode(F.array_distinct(F.flatten(F.transform("same", gram)))).alias("gram"))
     keyed = wanted.withColumn("gram", F.explode(_grams(F.col("pattern"), F.col("size"))))
     often = index.join(keyed.select("user_id", "gram").distinct(), ["user_id", "gram"]).groupBy("user_id", "gram").agg(F.count("*").alias("texts"))
-    rarest = keyed.join(often, ["user_id", "gram"]).groupBy("user_id", "rule_id", "pattern").agg(F.min(F.struct("texts", "gram"))["gram"].alias("gram"), F.count("*").alias("found"), F.first("size").alias("size"))
+    rarest = keyed.join(often, ["user_id", "gram"]).groupBy("user_id", "pattern").agg(F.min(F.struct("texts", "gram"))["gram"].alias("gram"), F.count("*").alias("found"), F.first("size").alias("size"))
     # a pattern with a part that no text has matches nothing
-    rarest = rarest.where(F.col("found") == F.size(_grams(F.col("pattern"), F.col("size")))).select("user_id", "rule_id", "pattern", "gram")
-    candidates = index.join(rarest, ["user_id", "gram"]).select("user_id", key, "rule_id", "pattern").distinct()
-    held = None
+    rarest = rarest.where(F.col("found") == F.size(_grams(F.col("pattern"), F.col("size")))).select("user_id", "pattern", "gram")
+    candidates = index.join(rarest, ["user_id", "gram"]).select("user_id", key, "pattern")  # a pattern has one part
+    each = candidates.join(held, ["user_id", key]).select("user_id", key, "pattern", F.inline("same"))
+    found = None
     for c in text:
-        held = F.contains(c, "pattern") if held is None else held | F.contains(c, "pattern")
-    return candidates.join(texts, ["user_id", key]).where(held).select(*texts.columns, "rule_id")
+        found = F.contains(c, "pattern") if found is None else found | F.contains(c, "pattern")
+    return each.where(found).select(*texts.columns, "pattern")
 
 
 def _distinct_texts(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -168,13 +170,20 @@ def _distinct_texts(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, texts.withColumn("__hash", F.xxhash64("__merchant", "__description"))
 
 
+def _by_pattern(patterns: DataFrame, *columns: Column) -> DataFrame:
+    """(user_id, pattern in lower case, ``columns``) of the rules that have a pattern."""
+    return patterns.select("user_id", F.lower("pattern").alias("pattern"), *columns).where("pattern IS NOT NULL")
+
+
 def matched_by_join(tx: DataFrame, id: str, patterns: DataFrame) -> DataFrame:
     """For large sets of literal rules (user_id, rule_id, pattern, priority): the first match of each row, rows
-    without one left out. Each distinct pair of merchant and description of a user is looked up once."""
+    without one left out. Each distinct pair of merchant and description of a user is looked up once, and so is each
+    distinct pattern."""
     key = ["user_id", "__merchant", "__description"]
     rows, texts = _distinct_texts(tx)
-    found = pattern_matches(texts, patterns, key[1:], "__hash")
-    first = found.join(patterns.select("user_id", "rule_id", "priority"), ["user_id", "rule_id"]).groupBy(*key).agg(F.min(F.struct("priority", "rule_id")).alias("__first"))
+    best = _by_pattern(patterns, F.struct("priority", "rule_id").alias("best")).groupBy("user_id", "pattern").agg(F.min("best").alias("best"))
+    found = pattern_matches(texts, best, key[1:], "__hash")
+    first = found.join(best, ["user_id", "pattern"]).groupBy(*key).agg(F.min("best").alias("__first"))
     return rows.join(first, key).select(*tx.columns, F.col("__first.rule_id").alias("rule_id"), F.col("__first.priority").alias("priority"))
 
 
@@ -182,5 +191,7 @@ def counted_by_join(tx: DataFrame, patterns: DataFrame) -> DataFrame:
     """For large sets of literal rules (user_id, rule_id, pattern): (user_id, rule_id, match_count), how many of its
     user's rows each matches by itself, none included."""
     _, texts = _distinct_texts(tx)
-    found = pattern_matches(texts, patterns, ["__merchant", "__description"], "__hash").groupBy("user_id", "rule_id").agg(F.sum("__rows").alias("n"))
-    return patterns.select("user_id", "rule_id").join(found, ["user_id", "rule_id"], "left").select("user_id", "rule_id", F.coalesce("n", F.lit(0)).alias("match_count"))
+    rules = _by_pattern(patterns, F.col("rule_id"))
+    found = pattern_matches(texts, rules.select("user_id", "pattern").distinct(), ["__merchant", "__description"], "__hash").groupBy("user_id", "pattern").agg(F.sum("__rows").alias("n"))
+    counts = rules.join(found, ["user_id", "pattern"]).groupBy("user_id", "rule_id").agg(F.sum("n").alias("n"))
+    return patterns.select("user_id", "rule_id").join(counts, ["user_id", "rule_id"], "left").select("user_id", "rule_id", F.coalesce("n", F.lit(0)).alias("match_count"))

@@ -95,3 +95,20 @@ def test_yearly_plans_sum_rows_once(spark):
     for out in (spending.yearly_summary(df, 2025), spending.yoy_year_months(df, 2025, 2024)):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("sum(") <= 8 and out.count() == 12
+
+
+def test_rules_of_one_pattern_are_looked_up_once(spark, monkeypatch):
+    """Many rules of a user that look for the same text cost one lookup; a rule given twice counts as in SQL."""
+    df = spark.createDataFrame([(1, 1, "Shop", "at the shop"), (2, 1, "Café", "bar"), (3, 2, "Shop", "x")], "id int, user_id int, merchant string, description_raw string")
+    given = spark.createDataFrame([(1, f"r{i:03}", "SHOP" if i % 2 else "shop", 100 - i) for i in range(40)] + [(2, "a", "shop", 1), (2, "a", "shop", 1), (2, "b", None, 0)], "user_id int, rule_id string, pattern string, priority int")
+    asked, real = [], rules.pattern_matches
+
+    def counted(texts, patterns, *rest):
+        asked.append(patterns.count())
+        return real(texts, patterns, *rest)
+
+    monkeypatch.setattr(rules, "pattern_matches", counted)
+    assert {(r["id"], r["rule_id"], r["priority"]) for r in rules.matched_by_join(df, "id", given).collect()} == {(1, "r039", 61), (3, "a", 1)}
+    counts = [(r["user_id"], r["rule_id"], r["match_count"]) for r in rules.counted_by_join(df, given).collect()]
+    assert asked == [2, 2] and len(counts) == 43
+    assert {c for c in counts if c[0] == 1} == {(1, f"r{i:03}", 1) for i in range(40)} and {c for c in counts if c[0] == 2} == {(2, "a", 2), (2, "b", 0)}
