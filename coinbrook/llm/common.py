@@ -62,17 +62,68 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _least_reached(u, v, n: int):
+    """For each of ``n`` nodes the least number that edges between numbers ``u`` and ``v`` reach from it."""
+    import numpy as np
+
+    root = np.arange(n)
+    while True:
+        x, y = root[u], root[v]
+        apart = x != y
+        if not apart.any():
+            return root
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+#: Edges that a task of ``thinned`` takes together.
+_TAKEN_EDGES = 1_000_000
+
+
+def thinned(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Fewer edges (a, b) with the same components: each task ties the nodes that its edges connect to the least of them.
+    Edges are dealt by ``a``. Where many links name the same few nodes as ``b``, as a dense group does that is
+    linked at every key anew, about an edge a node and task is left of them; there are never more than before."""
+    kind = edges.schema[a].dataType
+    if edges.schema[b].dataType != kind:
+        raise ValueError("both ends of an edge are of one type")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, size = [], 0
+
+        def tied():
+            nodes, at = np.unique(np.concatenate([x for pair in zip(*held) for x in pair]), return_inverse=True)
+            root = _least_reached(at[:size], at[size:], len(nodes))
+            other = np.flatnonzero(root != np.arange(len(nodes)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[root[other]])], names=["a", "b"])
+
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            size += batch.num_rows
+            if size > _TAKEN_EDGES:
+                yield tied()
+                held, size = [], 0
+        if size:
+            yield tied()
+
+    own = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
+    return own.repartition("a").mapInArrow(run, f"a {kind.simpleString()}, b {kind.simpleString()}")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
     """Connected components of an undirected graph given by ``edges``: rows (node, root), root the least
     node of the component. Nodes without edges have no row.
 
-    Alternating large-star and small-star steps: each node links its larger neighbours, then itself and
-    its smaller neighbours, to the least one. Every step is a grouped minimum and one join; the number of
-    rows never grows, and the number of rounds grows with the logarithm of a component's size.
+    Edges are thinned first. Then come alternating large-star and small-star steps: each node links its larger
+    neighbours, then itself and its smaller neighbours, to the least one. Every step is a grouped minimum and one join;
+    the number of rows never grows, and the number of rounds grows with the logarithm of a component's size.
     """
-    cur = cut(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    )
+    cur = cut(thinned(edges, a, b).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _mark(cur)
     for _ in range(rounds):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))

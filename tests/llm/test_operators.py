@@ -51,6 +51,27 @@ def test_components_of_chains_and_stars(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_many_links_to_the_same_few_nodes_are_thinned(spark, monkeypatch):
+    """A dense group that is linked to many of its members anew costs rows by its members, not by its links."""
+    rng = np.random.default_rng(3)
+    names = rng.permutation(1 << 20)[:1_000].tolist()
+    edges = [(a, b) for a in names[60:500] for b in names[:60]] + [(a, b) for a in names[560:] for b in names[500:560]] + [(5_000_000, 5_000_001), (7, None)]
+    rows, mark = [], common._mark
+    monkeypatch.setattr(common, "_mark", lambda e: rows.append(mark(e)) or rows[-1])
+    got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: min(names[:500]) for k in names[:500]}, **{k: min(names[500:]) for k in names[500:]}, 5_000_000: 5_000_000, 5_000_001: 5_000_000}
+    assert max(n for n, _ in rows) <= 4 * len(names) < len(edges) // 10
+
+
+def test_thinned_takes_batches_and_types(spark, monkeypatch):
+    monkeypatch.setattr(common, "_TAKEN_EDGES", 3)
+    edges = [(f"n{i:02}", f"n{i + 1:02}") for i in range(40)]
+    got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {f"n{i:02}": "n00" for i in range(41)}
+    with pytest.raises(ValueError):
+        common.thinned(spark.createDataFrame([(1, "x")], "a long, b string"))
+
+
 # --- 1
 
 
