@@ -122,43 +122,45 @@ def peel(cells: DataFrame, key: list[str], turns: int = TURNS) -> DataFrame:
     return state.groupBy(*key).agg(only(1).alias("plus"), only(-1).alias("minus"), F.max(F.col("cell") >= 0).alias("failed"))
 
 
-def _ordered(docs: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame]:
-    """(did, h, text) without repeated rows, and by the same key: how many rows there are, the key (pdid, ph)
-    of the next document in descending order of the id, and how many characters are taken from it."""
+def _ranges(keys: DataFrame, parts: int) -> list[tuple]:
+    """The first and the last key (did, h) of each of up to ``parts`` ranges of about as many rows, in order."""
+    ranged = keys.repartitionByRange(parts, *_KEY).groupBy(F.spark_partition_id().alias("part"))
+    ends = ranged.agg(F.min(F.struct(*_KEY)).alias("first"), F.max(F.struct(*_KEY)).alias("last")).collect()  # one row per range
+    return sorted((tuple(r["first"]), tuple(r["last"])) for r in ends)
+
+
+def _in_order(docs: DataFrame, text: str, id: str) -> DataFrame:
+    """(part, home, did, h, text): the rows dealt by ranges of their keys; the last key of each range is a guest (not
+    at ``home``) in the next one, that of the last range in the first."""
+    spark = docs.sparkSession
     did = F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63)))
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     whole = docs.select(did.alias("did"), F.xxhash64(content).alias("h"), content.alias("text"))
-    keys = docs.select(did.alias("did"), F.xxhash64(content).alias("h"), F.length(content).alias("n"))
-    keys = keys.groupBy(*_KEY).agg(F.max("n").alias("n"), F.count("*").alias("copies"))
-    parts = max(1, docs.sparkSession.sparkContext.defaultParallelism)
-    keys = written(keys.repartitionByRange(parts, *_KEY).withColumn("part", F.spark_partition_id()), "document-order")
-    if not keys.where("copies > 1").isEmpty():
-        whole = whole.dropDuplicates(_KEY)
-    # the key before, within each range; the key before a range's first is the last of the range before
-    inside = Window.partitionBy("part").orderBy(*_KEY)
-    ends = keys.groupBy("part").agg(F.max(F.struct(*_KEY)).alias("end"))  # one row per range
-    before, last = F.lag("end").over(Window.orderBy("part")), F.max("end").over(Window.partitionBy(F.lit(0)))
-    ends = ends.select("part", F.coalesce(before, last).alias("end_before"))
-    linked = keys.withColumn("before", F.lag(F.struct(*_KEY)).over(inside)).join(F.broadcast(ends), "part")
-    linked = linked.withColumn("before", F.coalesce("before", "end_before"))
-    cut = F.floor(F.col("n") / 3).cast("int")
-    return whole, linked.select(*_KEY, "copies", F.col("before.did").alias("pdid"), F.col("before.h").alias("ph"), cut.alias("cut"))
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = _ranges(whole.select(*_KEY), parts)
+    parts = max(1, len(ranges))
+    key = "struct<did: long, h: long>"
+    bounds = spark.createDataFrame([([r[0] for r in ranges], [r[1] for r in ranges])], f"firsts array<{key}>, lasts array<{key}>")
+    placed = whole.crossJoin(F.broadcast(bounds)).withColumn("own", F.struct(*_KEY))
+    placed = placed.withColumn("at", F.size(F.filter("firsts", lambda first: first <= F.col("own"))) - 1)
+    places = F.expr(f"""inline(if(own = lasts[at], array(struct(at AS part, true AS home), struct(pmod(at + 1, {parts}) AS part, false AS home)), array(struct(at AS part, true AS home))))""")
+    return placed.select(*_KEY, "text", places).repartitionById(parts, F.col("part"))
 
 
 def versions(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """By key: ``copies`` (rows of the document), ``n_chars``, ``edited_sha256``, and the paragraph digests of the
     text (``own``), of its edited version (``edited``) and of the next document (``next``). The whole texts move
-    once, a third of them a second time."""
-    whole, order = _ordered(docs, text, id)
-    asked = order.select(F.col("pdid").alias("did"), F.col("ph").alias("h"), F.col("did").alias("rdid"), F.col("h").alias("rh"), "copies", "cut")
-    sent = whole.join(asked, _KEY).select(
-        F.col("rdid").alias("did"), F.col("rh").alias("h"), "copies", "cut", F.expr("left(text, cut)").alias("head"), paragraphs(F.col("text")).alias("next")
-    )
-    both = whole.join(sent, _KEY).withColumn("n_chars", F.length("text"))
-    both = both.withColumn("edit", F.concat(F.expr("left(text, n_chars - cut)"), "head"))
+    once, in the order of their keys: the next document in descending order of the id is the row before."""
+    dealt = _in_order(docs, text, id).withColumn("own", paragraphs(F.col("text")))
+    order = Window.partitionBy("part").orderBy("home", *_KEY)
+    before = F.lag(F.struct("home", *_KEY, "text", "own")).over(order)
+    rows = dealt.withColumn("before", before).withColumn("copies", F.count("*").over(Window.partitionBy("part", "home", *_KEY)))
+    again = F.coalesce((F.col("before.home") == F.col("home")) & (F.col("before.did") == F.col("did")) & (F.col("before.h") == F.col("h")), F.lit(False))
+    both = rows.where(F.col("home") & ~again).withColumn("n_chars", F.length("text")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int"))
+    both = both.withColumn("edit", F.concat(F.expr("left(text, n_chars - cut)"), F.expr("left(before.text, cut)")))
     return both.select(
         *_KEY, "copies", "n_chars", F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"),
-        paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edit")).alias("edited"), "next",
+        "own", paragraphs(F.col("edit")).alias("edited"), F.col("before.own").alias("next"),
     )
 
 

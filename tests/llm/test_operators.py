@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import os
+import re
 import struct
 import zlib
 from collections import Counter
@@ -388,6 +389,25 @@ def test_sketches(spark, docs, texts):
         assert by_text.setdefault(texts[i], got[i]["fingerprint"]) == got[i]["fingerprint"]
 
 
+def test_texts_move_once_and_the_next_document_is_across_ranges(spark):
+    """One shuffle of texts; repeated rows, null ids and equal ids at the ends of ranges keep their place in the order."""
+    rows = [(i % 11 if i % 4 else None, f"{'w' * (i % 7)} {i // 2 * 2}\nand line {i % 5}" if i % 13 else None) for i in range(60)] + [(3, "same")] * 3 + [(10, "last")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = df.select(F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit(""))).collect()
+    for few in (df, df.limit(1), df.where("text = 'same'")):
+        keys = hashes if few is df else [tuple(r) for r in few.select(F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit(""))).collect()]
+        order = sorted({tuple(k) for k in keys})
+        got = {(r["did"], r["h"]): r for r in iblt.versions(few).collect()}
+        assert len(got) == len(order) and sum(r["copies"] for r in got.values()) == len(keys)
+        for k, (did, h, t) in enumerate(order):
+            cut, r = len(t) // 3, got[did, h]
+            edited = t[: len(t) - cut] + order[k - 1][2][:cut]
+            assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+            assert (set(r["own"]), set(r["edited"]), set(r["next"])) == tuple(brute_paragraphs(x) for x in (t, edited, order[k - 1][2]))
+    plan = iblt.versions(df)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"(?<!Broadcast)Exchange ", plan)) == 1
+
+
 def test_fingerprints_subtract_and_are_retried_larger(spark, docs, texts):
     found = common.written(iblt.versions(docs), "paragraphs")
     rows, left = iblt.differences(found)
