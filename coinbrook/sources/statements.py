@@ -203,7 +203,8 @@ def parse(statements: DataFrame, name: str, as_of_year: int, as_of_month: int, t
         rows = _later_amounts(rows)
     # one match gives all groups of a line; a line that does not match has one part
     whole = F.regexp_replace("line", form.pattern + r"[\s\S]*", _CUT.join(f"${i}" for i in range(1, re.compile(form.pattern).groups + 1)))
-    rows = rows.withColumn("__g", F.split(whole, _CUT))
+    # by an outer generator, since filters that go below a projection match the line again
+    rows = rows.select("*", F.explode_outer(F.array(F.split(whole, _CUT))).alias("__g"))
     group = lambda i: F.get("__g", F.lit(i - 1))
     own = Window.partitionBy("source_file").orderBy("place")
     described = F.trim(group(form.description))

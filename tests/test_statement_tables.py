@@ -65,3 +65,12 @@ def test_a_line_is_matched_for_all_its_fields(spark):
     df = spark.createDataFrame([("f", "chase.com\n12/29 ACME SHOP 44.94")], "source_file string, text string")
     plan = statements.parse(df, "chase", 2025, 1)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("regexp_extract(line") == 0
+
+
+def test_a_line_is_matched_once(spark):
+    """Filters on what a line holds do not match it again below the projection."""
+    texts = spark.createDataFrame([("f", "Bank of America\nClosing Date: 02/15/1998\n01/02 01/03 A -1.00\nno line\n02/03 02/04 B 2.00")], "source_file string, text string")
+    for name in ("boa", "capital_one", "ally_bank"):
+        plan = statements.parse(texts, name, 1998, 2)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace(line") == 1
+    assert [(r["description_raw"], float(r["amount"])) for r in statements.parse(texts, "boa", 1998, 2).orderBy("row_index").collect()] == [("A", 1.0), ("B", 2.0)]
