@@ -8,19 +8,22 @@ knows all words and gives unknown ones the mass of those seen once. Each symbol
 suffix of its history that is a state, so a text's score is a proper probability.
 
 At scale: states and their next symbols are kept by absolute counts, so the tree grows with the corpus; it is a
-table and is never gathered. Known words are numbered by falling count. Texts are dealt into blocks of about
-sixteen million characters; each block gets one row for each of its distinct words and is written as numbers.
-Contexts are counted depth by depth: how often one occurs is the count of the shorter one with its latest symbol
-next, so only contexts frequent enough are counted. Each block then gets the rows of the tree that its own
-contexts ask for. What is broadcast: one row for each distinct count of a word (at most the square root of twice
-the tokens), and Bloom filters of at most FILTER_BITS bits; what they let through is settled by the joins.
+table and is never gathered. Texts are cut into words once, in blocks of about sixteen million characters, by the
+numbers that words have in their block; known words are then numbered by falling count, and each block gets the numbers
+of its own. Contexts are counted depth by depth: how often one occurs is the count of the shorter one with its latest
+symbol next, so only contexts frequent enough are counted. Each block then gets the rows of the tree that its own
+contexts ask for. What is counted, asked for and answered goes between tasks in packed arrays, an array for each pair of
+a task or block and a shard of keys, not row by row. What is broadcast: one row for each distinct count of a word (at
+most the square root of twice the tokens), and Bloom filters of at most FILTER_BITS bits; what they let through is
+settled by the shards.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +43,14 @@ FILTER_BITS = 1 << 28
 _BITS = 32
 #: Numbers of symbols: 0 stands for all unknown words, 1 for the start.
 OTHER, START = 0, 1
-_TASK_WORDS = 200_000
+#: Blocks are scored in so many rounds, each with a part of them, so that what they ask for never lies there all at once.
+_ROUNDS = 2
+#: Blocks that ask together, as most of what one asks for another does as well.
+_GROUPED = 3
 _GROUP_TOKENS = 150_000
 _SLICE_WORDS = 8192
+#: Keys that a task takes together, tokens counted in a shard, and rows of the tree in one.
+_TAKEN_KEYS, _SHARD_TOKENS, _SHARD_ROWS = 2_000_000, 2_000_000, 500_000
 
 
 def _tokens(text: str | None) -> list[bytes]:
@@ -50,62 +58,112 @@ def _tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), b""]
 
 
-def _word_table(docs: DataFrame) -> DataFrame:
-    """(word, learned): every distinct word of ``t`` and the end, with its count where ``learn`` is true."""
+def _coded(docs: DataFrame, block_chars: int) -> DataFrame:
+    """Texts (id, learn, block, symbols) by the numbers that words have in their block, and with no text the words of
+    each block (block, word, local, learned): number, and count where ``learn`` is true. A block is what a task reads,
+    up to so many characters."""
+    id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        names = ["block", "id", "learn", "symbols", "word", "local", "learned"]
+        block, chars, learned = TaskContext.get().partitionId() << 32, 0, np.zeros(0, np.int64)
+        number: dict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+
+        def texts(b, sizes, numbers):
+            nonlocal learned
+            symbols, taught = np.array(numbers, np.int32), np.repeat(b.column(0).to_numpy(zero_copy_only=False), sizes)
+            counts = np.bincount(symbols[taught], minlength=len(number))
+            counts[: len(learned)] += learned
+            learned = counts
+            each = pa.array(_as_bytes(sizes, symbols), pa.binary())
+            n = b.num_rows
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), b.column(2), b.column(0), each, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=names)
+
+        def words(id_type):
+            own = list(number)
+            for i in range(0, len(own), 20_000):
+                part = own[i : i + 20_000]
+                n = len(part)
+                nothing = [pa.nulls(n, t) for t in (id_type, pa.bool_(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *nothing, pa.array(part, pa.binary()), pa.array(np.arange(i, i + n, dtype=np.int32)), pa.array(learned[i : i + n])], names=names)
+            number.clear()
+
+        last = None
+        for b in batches:
+            begin, sizes, numbers, last = 0, [], [], b.schema.field(2).type
+            for i, t in enumerate(b.column(1).to_pylist()):
+                own = _tokens(t)
+                sizes.append(len(own))
+                numbers.extend(map(number.__getitem__, own))
+                chars += len(t or "")
+                if len(numbers) > _GROUP_TOKENS or chars >= block_chars or i == b.num_rows - 1:
+                    yield texts(b.slice(begin, i + 1 - begin), sizes, numbers)
+                    begin, sizes, numbers = i + 1, [], []
+                if chars >= block_chars:
+                    yield from words(last)
+                    block, chars, learned = block + 1, 0, np.zeros(0, np.int64)
+        if number:
+            yield from words(last)
 
-        known, others = Counter(), set()
+    return docs.select("learn", "t", "id").mapInArrow(run, f"block long, id {id_type}, learn boolean, symbols binary, word binary, local int, learned long")
 
-        def flush():
-            items = [*known.items(), *((w, 0) for w in others if w not in known)]
-            known.clear()
-            others.clear()
-            for i in range(0, len(items), 20_000):
-                part = items[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())], names=["word", "learned"])
 
-        for b in batches:
-            for learn, t in zip(b.column(0), b.column(1)):
-                (known if learn.as_py() else others).update(_tokens(t.as_py()))
-                if len(known) + len(others) > _TASK_WORDS:
-                    yield from flush()
-        yield from flush()
+def _words(coded: DataFrame) -> DataFrame:
+    return coded.where("word IS NOT NULL").groupBy("word").agg(F.sum("learned").alias("learned"))
 
-    found = docs.select("learn", "t").mapInArrow(run, "word binary, learned long")
-    return found.groupBy("word").agg(F.sum("learned").alias("learned"))
+
+def _word_table(docs: DataFrame) -> DataFrame:
+    """(word, learned): every distinct word of ``t`` and the end, with its count where ``learn`` is true."""
+    return _words(_coded(docs, BLOCK_CHARS))
 
 
-def _grouped(texts, number):
-    """Texts in groups: (how many tokens each has, the number of every token)."""
+def _as_bytes(sizes, symbols) -> list[bytes]:
+    """The numbers of each text, seven bits a byte from the lowest on; the last byte of a number is below 128."""
     import numpy as np
 
-    sizes, numbers = [], []
-    for t in texts:
-        own = _tokens(t.as_py())
-        sizes.append(len(own))
-        numbers.extend(map(number, own))
-        if len(numbers) > _GROUP_TOKENS:
-            yield np.array(sizes), np.array(numbers)
-            sizes, numbers = [], []
-    if sizes:
-        yield np.array(sizes), np.array(numbers)
+    symbols = symbols.astype(np.uint32)
+    width = np.ones(len(symbols), np.int64)
+    for k in range(1, 5):
+        width += symbols >= 1 << 7 * k
+    ends = np.cumsum(width)
+    out = np.zeros(int(width.sum()), np.uint8)
+    for k in range(int(width.max(initial=0))):
+        at = np.flatnonzero(width > k)
+        out[(ends - width)[at] + k] = symbols[at] >> np.uint32(7 * k) & np.uint32(127) | np.where(width[at] > k + 1, 128, 0)
+    return [x.tobytes() for x in np.split(out, ends[np.cumsum(sizes) - 1][:-1])]
 
 
 def _encoded_groups(encoded):
-    """Encoded texts in groups, as ``_grouped``."""
+    """Encoded texts in groups: (how many tokens each has, the number of every token)."""
     import numpy as np
 
+    def group(held):
+        raw = np.frombuffer(b"".join(held), np.uint8)
+        last = raw < 128
+        ends = np.flatnonzero(last)
+        begin = np.append(0, ends[:-1] + 1)
+        width = ends - begin + 1
+        symbols = (raw[begin] & 127).astype(np.int64)
+        for k in range(1, int(width.max())):
+            at = np.flatnonzero(width > k)
+            symbols[at] |= (raw[begin[at] + k] & 127).astype(np.int64) << 7 * k
+        upto = np.cumsum([len(x) for x in held])
+        return np.diff(np.searchsorted(ends, upto), prepend=0), symbols
+
     held, size = [], 0
-    for e in encoded:
-        held.append(np.frombuffer(e.as_py(), np.int32))
-        size += len(held[-1])
-        if size > _GROUP_TOKENS:
-            yield np.array([len(x) for x in held]), np.concatenate(held).astype(np.int64)
+    for e in encoded.to_pylist():
+        held.append(e)
+        size += len(e)
+        if size > 2 * _GROUP_TOKENS:
+            yield group(held)
             held, size = [], 0
     if held:
-        yield np.array([len(x) for x in held]), np.concatenate(held).astype(np.int64)
+        yield group(held)
 
 
 def _contexts(sizes, symbols, frequent: int):
@@ -187,45 +245,27 @@ class Counts:
         return self._of(symbols, self.base, self.base_unknown)
 
 
-def _dealt(src: DataFrame, block_chars: int) -> DataFrame:
-    chars = src.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, math.ceil(chars / block_chars))
-    return src.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(blocks)).cast("int")).repartitionById(blocks, F.col("block"))  # a task for each block
-
-
-def _encoded(src: DataFrame, numbered: DataFrame, block_chars: int) -> DataFrame:
-    """(id, learn, block, symbols): the numbers of each text's tokens as little-endian integers of four bytes."""
-    dealt = _dealt(src.select("id", "t", "learn"), block_chars)
-
-    def distinct_words(batches):
-        import pyarrow as pa
-
-        found: dict[int, set[bytes]] = {}
-        for b in batches:
-            for block, t in zip(b.column(3).to_pylist(), b.column(1)):
-                found.setdefault(block, set()).update(_tokens(t.as_py()))
-        for block, ws in found.items():
-            ws = list(ws)
-            for i in range(0, len(ws), 20_000):
-                part = ws[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.binary())], names=["block", "word"])
-
-    # all columns, so that the texts are dealt once for both
-    dictionary = dealt.mapInArrow(distinct_words, "block int, word binary").join(numbered.select("word", "number"), "word")
+def _encoded(coded: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(id, learn, block, symbols): the numbers of each text's tokens, as ``_as_bytes`` has them."""
+    texts = coded.where("word IS NULL").select("id", "learn", "block", "symbols")
+    known = coded.where("word IS NOT NULL").select("block", "local", "word").join(numbered.select("word", "number"), "word").select(F.col("block").alias("of"), "local", "number")
 
     def encode(texts, values):
         import numpy as np
         import pyarrow as pa
 
-        number = dict(zip(values.column("word").to_pylist(), values.column("number").to_pylist())).get
+        local = values.column("local").to_numpy()
+        number = np.full(int(local.max(initial=0)) + 1, OTHER, np.int32)
+        number[local] = values.column("number").to_numpy()
         out = []
-        for sizes, ids in _grouped(texts.column("t"), lambda w: number(w, OTHER)):
-            ids = ids.astype(np.int32)
-            out.extend(x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1]))
+        for sizes, symbols in _encoded_groups(texts.column("symbols")):
+            beyond = int(symbols.max()) + 1 - len(number)  # the last words of a block may be unknown
+            number = np.append(number, np.full(max(0, beyond), OTHER, np.int32))
+            out.extend(_as_bytes(sizes, number[symbols]))
         return pa.table([texts.column("id"), texts.column("learn"), texts.column("block"), pa.array(out, pa.binary())], names=["id", "learn", "block", "symbols"])
 
-    schema = f"id {src.schema['id'].dataType.simpleString()}, learn boolean, block int, symbols binary"
-    return dealt.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(encode, schema)
+    schema = f"id {coded.schema['id'].dataType.simpleString()}, learn boolean, block long, symbols binary"
+    return texts.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(encode, schema)
 
 
 def _mixed(recent, rest):
@@ -257,18 +297,36 @@ def _filter(keys: DataFrame):
     def placed(batches):
         import pyarrow as pa
 
+        def slices(keys):
+            where, mask = _place(*map(np.concatenate, zip(*keys)), n_words)
+            order = np.argsort(where)
+            where, mask = where[order], mask[order]
+            first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+            where, mask = where[first], np.bitwise_or.reduceat(mask, first)
+            cut = np.flatnonzero(np.diff(where // _SLICE_WORDS)) + 1
+            at, masks = np.split((where % _SLICE_WORDS).astype(np.int16), cut), np.split(mask, cut)
+            number = pa.array((where[np.append(0, cut)] // _SLICE_WORDS).astype(np.int32))
+            return pa.RecordBatch.from_arrays([number, pa.array([x.tobytes() for x in at], pa.binary()), pa.array([x.tobytes() for x in masks], pa.binary())], names=["slice", "at", "mask"])
+
+        held, size = [], 0
         for b in batches:
-            where, mask = _place(b.column(0).to_numpy(), b.column(1).to_numpy(), n_words)
-            yield pa.RecordBatch.from_arrays([pa.array((where // _SLICE_WORDS).astype(np.int32)), pa.array(where % _SLICE_WORDS), pa.array(mask.view(np.int64))], names=["slice", "at", "mask"])
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            size += b.num_rows
+            if size > _TAKEN_KEYS:
+                yield slices(held)
+                held, size = [], 0
+        if size:
+            yield slices(held)
 
     def made(table):
         import pyarrow as pa
 
         words = np.zeros(_SLICE_WORDS, np.uint64)
-        np.bitwise_or.at(words, table.column("at").to_numpy(), table.column("mask").to_numpy().view(np.uint64))
+        for at, mask in zip(table.column("at").to_pylist(), table.column("mask").to_pylist()):
+            words[np.frombuffer(at, np.int16)] |= np.frombuffer(mask, np.uint64)  # each place once
         return pa.table([pa.array([table.column("slice")[0].as_py()], pa.int32()), pa.array([words.tobytes()], pa.binary())], names=["slice", "words"])
 
-    found = keys.select("recent", "rest").mapInArrow(placed, "slice int, at long, mask long").groupBy("slice", "at").agg(F.bit_or("mask").alias("mask"))
+    found = keys.select("recent", "rest").mapInArrow(placed, "slice int, at binary, mask binary")
     whole = np.zeros(max(n_words, _SLICE_WORDS), np.uint64)
     for r in found.groupBy("slice").applyInArrow(made, "slice int, words binary").collect():
         whole[r["slice"] * _SLICE_WORDS : (r["slice"] + 1) * _SLICE_WORDS] = np.frombuffer(bytes(r["words"]), np.uint64)
@@ -280,56 +338,121 @@ def _may_hold(words, recent, rest):
     return words[where] & mask == mask
 
 
+def _marks(recent, rest):
+    """Marks of keys by which they are sorted and dealt: above by context, below by the whole key."""
+    import numpy as np
+
+    return _mixed(recent, rest >> _BITS << _BITS) >> np.uint64(40) << np.uint64(40) | _mixed(recent, rest) >> np.uint64(24)
+
+
 def _distinct(recent, rest, n):
-    """Distinct keys in order, with the sums of ``n``."""
+    """Distinct keys in the order of their marks, with these and the sums of ``n``."""
+    import numpy as np
+
+    mark = _marks(recent, rest)
+    order = np.argsort(mark)
+    mark, recent, rest = mark[order], recent[order], rest[order]
+    other = (recent[1:] != recent[:-1]) | (rest[1:] != rest[:-1])
+    if (other & (mark[1:] == mark[:-1])).any():  # keys of equal marks may lie mixed
+        again = np.lexsort((rest, recent, mark))
+        order, mark, recent, rest = order[again], mark[again], recent[again], rest[again]
+        other = (recent[1:] != recent[:-1]) | (rest[1:] != rest[:-1])
+    first = np.flatnonzero(np.append(True, other))
+    return mark[first], recent[first], rest[first], np.add.reduceat(n[order], first)
+
+
+def _packed(*columns) -> bytes:
+    """Columns of eight bytes, compressed: integers byte by byte of equal weight, others as they are."""
+    import numpy as np
+    import pyarrow as pa
+
+    planes = [c.view(np.uint8).reshape(-1, 8).T.ravel() if c.dtype.kind == "i" else c.view(np.uint8) for c in map(np.ascontiguousarray, columns)]
+    return pa.compress(np.concatenate(planes), "zstd", asbytes=True)
+
+
+def _unpacked(packed, n: int, kinds: str = "ii"):
+    """``n`` rows of columns, by the kinds of their types."""
+    import numpy as np
+    import pyarrow as pa
+
+    raw = np.frombuffer(pa.decompress(packed, 8 * n * len(kinds), "zstd", asbytes=True), np.uint8).reshape(len(kinds), 8 * n)
+    return [np.ascontiguousarray(x.reshape(8, n).T).view(np.int64).ravel() if k == "i" else x.view(np.float64) for x, k in zip(raw, kinds)]
+
+
+def _together(table, kinds: str = "ii"):
+    """The columns that packed rows of a table hold, one after the other."""
+    import numpy as np
+
+    sizes = table.column("n").to_numpy()
+    out, at = [np.empty(int(sizes.sum()), np.int64 if k == "i" else float) for k in kinds], 0
+    for packed, n in zip(table.column("rows"), sizes.tolist()):
+        for own, c in zip(out, _unpacked(packed.as_buffer(), n, kinds)):
+            own[at : at + n] = c
+        at += n
+    return out
+
+
+_SHARDED = "shard int, block long, n int, rows binary"
+
+
+def _shard(mark, shards: int):
     import numpy as np
 
-    order = np.lexsort((rest, recent))
-    recent, rest, n = recent[order], rest[order], n[order]
-    first = np.ones(len(recent), bool)
-    first[1:] = (recent[1:] != recent[:-1]) | (rest[1:] != rest[:-1])
-    return recent[first], rest[first], np.add.reduceat(n, np.flatnonzero(first)) if len(n) else n
+    return ((mark >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int32)
 
 
-def _counted(encoded: DataFrame, depth: int, frequent: int, least_symbol: float, among=None) -> DataFrame:
+def _sharded(mark, columns, shards: int, block: int = 0):
+    """Packed rows for each shard; ``mark``: the rows' marks, in an order of shards."""
+    import numpy as np
+    import pyarrow as pa
+
+    shard = _shard(mark, shards)
+    cut = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
+    rows = [_packed(*(c[i:j] for c in columns)) for i, j in zip(cut[:-1], cut[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]]), pa.array(np.full(len(rows), block)), pa.array(np.diff(cut).astype(np.int32)), pa.array(rows, pa.binary())], names=["shard", "block", "n", "rows"])
+
+
+def _counted(encoded: DataFrame, depth: int, frequent: int, least_symbol: float, shards: int, among=None) -> DataFrame:
     """(recent, rest, n): how often a symbol followed a context of ``depth``, where it did often enough; ``rest``
     is the oldest symbol above and the next below. ``among``: a filter of the contexts that count."""
 
     def run(batches):
         import numpy as np
-        import pyarrow as pa
 
         held, size = [], 0
-
-        def parts(recent, rest, n):
-            for i in range(0, len(n), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (recent, rest, n)], names=["recent", "rest", "n"])
-
         for b in batches:
             for sizes, symbols in _encoded_groups(b.column(0)):
                 at, recent, oldest = list(_contexts(sizes, symbols, frequent))[depth - 1]
                 if among is not None:
                     may = _may_hold(among.value, recent, oldest << _BITS)
                     at, recent, oldest = at[may], recent[may], oldest[may]
-                held.append(_distinct(recent, oldest << _BITS | symbols[at], np.ones(len(at), np.int64)))
-                size += len(held[-1][0])
-                if size > 2_000_000:
-                    held = [_distinct(*map(np.concatenate, zip(*held)))]
-                    size = len(held[0][0])
-                    if size > 1_000_000:
-                        yield from parts(*held[0])
+                held.append((recent, oldest << _BITS | symbols[at], np.ones(len(at), np.int64)))
+                size += len(at)
+                if size > _TAKEN_KEYS:
+                    mark, *own = _distinct(*map(np.concatenate, zip(*held)))
+                    held, size = [own], len(mark)
+                    if size > _TAKEN_KEYS // 2:
+                        yield _sharded(mark, own, shards)
                         held, size = [], 0
-        if held:
-            yield from parts(*_distinct(*map(np.concatenate, zip(*held))))
+        if size:
+            mark, *own = _distinct(*map(np.concatenate, zip(*held)))
+            yield _sharded(mark, own, shards)
+
+    def added(table):
+        import pyarrow as pa
+
+        _, *own = _distinct(*_together(table, "iii"))
+        enough = own[2] >= least_symbol
+        return pa.table([pa.array(c[enough]) for c in own], names=["recent", "rest", "n"])
 
-    found = encoded.where("learn").select("symbols").mapInArrow(run, "recent long, rest long, n long")
-    return found.groupBy("recent", "rest").agg(F.sum("n").alias("n")).where(F.col("n") >= least_symbol)
+    found = encoded.where("learn").select("symbols").mapInArrow(run, _SHARDED)
+    return found.groupBy("shard").applyInArrow(added, "recent long, rest long, n long")
 
 
 _NEXT = "rest & 4294967295L"
 
 
-def learn_table(encoded: DataFrame, counts: Counts, least_context: float, least_symbol: float, min_gain: float) -> DataFrame:
+def learn_table(encoded: DataFrame, counts: Counts, total: int, least_context: float, least_symbol: float, min_gain: float) -> DataFrame:
     """The tree as a table (recent, rest, value): for a state, with 0 as the next symbol, what symbols it does not
     hold get on top of the parent's probability (ln); for each of its next symbols the ln probability."""
     spark = encoded.sparkSession
@@ -366,7 +489,7 @@ def learn_table(encoded: DataFrame, counts: Counts, least_context: float, least_
             totals = written(again.select(moved, F.shiftleft(third, _BITS).alias("rest"), F.col("n").alias("total")), f"suffix-totals-{depth}")
             among = _filter(totals)
         before = pairs
-        pairs = written(_counted(encoded, depth, frequent, least_symbol, among), f"suffix-counts-{depth}")
+        pairs = written(_counted(encoded, depth, frequent, least_symbol, math.ceil(total / _SHARD_TOKENS) or 1, among), f"suffix-counts-{depth}")
         released(spark)
         each = pairs.withColumns({"symbol": F.expr(_NEXT), "own": F.expr("rest & -4294967296L")})
         if depth == 1:
@@ -482,15 +605,58 @@ class Tree:
             out[rest] += self.backoff[state[rest]]
             state[rest] = self.parent[state[rest]]
 
+
+@dataclass
+class Index:
+    """Rows of the tree by a hash table of their keys: ``slots`` holds row numbers, -1 where there is none."""
+
+    recent: object
+    rest: object
+    value: object
+    slots: object
+
+    @classmethod
+    def of(cls, recent, rest, value) -> Index:
+        import numpy as np
+
+        slots = np.full(1 << max(4, math.ceil(math.log2(max(1, len(recent)))) + 1), -1, np.int32)
+        left = np.arange(len(recent), dtype=np.int32)
+        at = (_mixed(recent, rest) & np.uint64(len(slots) - 1)).astype(np.int64)
+        while len(left):
+            free = slots[at] < 0
+            slots[at[free]] = left[free]
+            lost = slots[at] != left  # the slot is another's
+            left, at = left[lost], at[lost] + 1 & len(slots) - 1
+        return cls(recent, rest, value, slots)
+
+    def find(self, recent, rest):
+        """The numbers of the rows of keys, -1 where there is none."""
+        import numpy as np
+
+        at = (_mixed(recent, rest) & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        out = self.slots[at]
+        if not len(self.recent):
+            return out
+        left = np.flatnonzero((out >= 0) & ((self.recent[out] != recent) | (self.rest[out] != rest)))
+        while len(left):
+            at[left] = at[left] + 1 & len(self.slots) - 1
+            row = self.slots[at[left]]
+            out[left] = row
+            left = left[(row >= 0) & ((self.recent[row] != recent[left]) | (self.rest[row] != rest[left]))]
+        return out
+
     def scores(self, sizes, symbols, root, frequent: int):
-        """ln probabilities of texts of so many tokens each."""
+        """ln probabilities of texts of so many tokens each: a state's own if it holds the symbol, else what it leaves of
+        the next shorter one's."""
         import numpy as np
 
-        state = np.zeros(len(symbols), np.int64)
         for at, recent, oldest in _contexts(sizes, symbols, frequent):
-            found = self.states(recent, oldest)
-            state[at[found > 0]] = found[found > 0]
-        return np.add.reduceat(self.lookup(state, symbols, root), np.cumsum(sizes) - sizes)
+            state = self.find(recent, oldest << _BITS)
+            there = np.flatnonzero(state >= 0)
+            at, recent, rest, state = at[there], recent[there], oldest[there] << _BITS | symbols[at[there]], state[there]
+            entry = np.where(symbols[at] > OTHER, self.find(recent, rest), -1)
+            root[at] = np.where(entry >= 0, self.value[entry], self.value[state] + root[at]) if len(at) else root[at]
+        return np.add.reduceat(root, np.cumsum(sizes) - sizes)
 
 
 def _least(total: int, context_share: float, symbol_share: float) -> tuple[float, float]:
@@ -503,7 +669,7 @@ def learn_tree(src: DataFrame, words: DataFrame, total: int, unknown: float, dis
 
     numbered = written(_numbered(words), "numbers")
     counts = Counts.of(words, total, numbered.count(), unknown, discount)
-    table = learn_table(written(_encoded(src, numbered, BLOCK_CHARS), "encoded"), counts, *_least(total, context_share, symbol_share), min_gain).toPandas()
+    table = learn_table(written(_encoded(written(_coded(src, BLOCK_CHARS), "coded"), numbered), "encoded"), counts, total, *_least(total, context_share, symbol_share), min_gain).toPandas()
     numbers = {bytes(r["word"]): r["number"] for r in numbered.collect()}
     return Tree.of(table["recent"].to_numpy(np.int64), table["rest"].to_numpy(np.int64), table["value"].to_numpy(float), numbers)
 
@@ -528,7 +694,8 @@ def score(
     training rows every token is unknown, with probability one. Other columns are ignored.
     """
     src = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("t"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    words = written(_word_table(src), "words")
+    coded = written(_coded(src, block_chars), "coded")
+    words = written(_words(coded), "words")
     seen = F.col("learned") > 0
     size = words.agg(F.sum("learned"), F.count(F.when(seen, 1)), F.count(F.when(F.col("learned") == 1, 1))).first()
     total, distinct, once = size[0] or 0, size[1], size[2]
@@ -537,26 +704,27 @@ def score(
     unknown = min(unknown, 0.5) if total else 1.0
     discount = unknown * total / distinct if distinct else 0.0
     counts = Counts.of(words, total, distinct, unknown, discount)
-    encoded = written(_encoded(src, _numbered(words), block_chars), "encoded")
+    encoded = written(_encoded(coded, _numbered(words)), "encoded")
     released(src.sparkSession)
     least_context, least_symbol = _least(total, context_share, symbol_share)
-    table = written(learn_table(encoded, counts, least_context, least_symbol, min_gain), "suffix-tree")
+    table = written(learn_table(encoded, counts, total, least_context, least_symbol, min_gain), "suffix-tree")
     released(src.sparkSession)
     frequent = counts.frequent(least_context)
     may = _filter(table)
     shared = src.sparkSession.sparkContext.broadcast(tuple(vars(counts).values()))
 
+    blocks = coded.where("local = 0").count()
+    groups = max(1, math.ceil(blocks / _GROUPED))
+    shards = max(1, math.ceil(table.count() / _SHARD_ROWS), groups)
+
     def asked(batches):
         import numpy as np
         import pyarrow as pa
 
         held: dict[int, list] = {}
 
-        def parts(block):
-            recent, rest, _ = _distinct(*map(np.concatenate, zip(*held.pop(block))))
-            for i in range(0, len(recent), 50_000):
-                r = recent[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), block, np.int32)), pa.array(r), pa.array(rest[i : i + 50_000])], names=["block", "recent", "rest"])
+        def distinct(block):
+            return _distinct(*map(np.concatenate, zip(*held.pop(block))))
 
         for b in batches:
             blocks = b.column(0).to_numpy()
@@ -567,23 +735,64 @@ def score(
                         own = _may_hold(may.value, recent, oldest << _BITS)
                         at, recent, oldest = at[own], recent[own], oldest[own]
                         rest = oldest << _BITS | symbols[at]
-                        entry = (symbols[at] > OTHER) & _may_hold(may.value, recent, rest)
-                        recent, rest = np.concatenate([recent, recent[entry]]), np.concatenate([oldest << _BITS, rest[entry]])
-                        held.setdefault(block, []).append(_distinct(recent, rest, np.ones(len(rest), np.int64)))
-                if sum(len(x[0]) for x in held.get(block, [])) > 1_000_000:
-                    yield from parts(block)
+                        rest = np.where((symbols[at] > OTHER) & _may_hold(may.value, recent, rest), rest, oldest << _BITS)  # the state alone
+                        held.setdefault(block, []).append((recent, rest, np.ones(len(rest), np.int8)))
+                    if sum(len(x[0]) for x in held.get(block, [])) > _TAKEN_KEYS:
+                        mark, *own = distinct(block)
+                        if len(mark) > _TAKEN_KEYS // 2:
+                            yield _sharded(mark, own[:2], shards, block)
+                        else:
+                            held[block] = [own]
         for block in list(held):
-            yield from parts(block)
+            if sum(len(x[0]) for x in held[block]):
+                mark, *own = distinct(block)
+                yield _sharded(mark, own[:2], shards, block)
 
-    keys = encoded.select("block", "symbols").mapInArrow(asked, "block int, recent long, rest long")  # a few tasks may ask for the same
-    rows = keys.join(table, ["recent", "rest"]).select("block", "recent", "rest", "value")
+    def dealt(batches):
+        import numpy as np
+
+        def parts(held):
+            recent, rest, value = map(np.concatenate, zip(*held))
+            mark = _marks(recent, rest)
+            order = np.lexsort((rest, recent, _shard(mark, shards)))
+            return _sharded(mark[order], [recent[order], rest[order], value[order]], shards)
+
+        held, size = [], 0
+        for b in batches:
+            held.append([c.to_numpy() for c in b.columns])
+            size += b.num_rows
+            if size > _SHARD_ROWS:
+                yield parts(held)
+                held, size = [], 0
+        if size:
+            yield parts(held)
+
+    def answered(asked, own):
+        """For each block's keys the states of their contexts, each once, and what these have of the keys themselves."""
+        import numpy as np
+        import pyarrow as pa
+
+        recent, rest, value = _together(own, "iif")
+        order = np.lexsort((rest, recent))
+        index = Index.of(recent[order], rest[order], value[order])
+        found: dict[int, list] = {}
+        for block, n, packed in zip(*(asked.column(c).to_pylist() for c in ("block", "n", "rows"))):
+            recent, rest = _unpacked(packed, n)
+            own = np.append(index.find(recent, rest), index.find(recent, rest >> _BITS << _BITS))
+            found.setdefault(block, []).append(np.unique(own[own >= 0]))  # in the order of keys, which packs well
+        found = {block: rows for block, parts in found.items() if len(rows := np.unique(np.concatenate(parts)))}
+        packed = [_packed(index.recent[x], index.rest[x], index.value[x]) for x in found.values()]
+        return pa.table([pa.array(list(found), pa.int64()), pa.array([len(x) for x in found.values()], pa.int32()), pa.array(packed, pa.binary())], names=["block", "n", "rows"])
+
+    own = written(table.mapInArrow(dealt, _SHARDED), "suffix-shards")
+    released(src.sparkSession)
 
     def add_up(texts, values):
         import numpy as np
         import pyarrow as pa
 
         own = Counts(*shared.value)
-        tree = Tree.of(*(values.column(c).to_numpy() for c in ("recent", "rest", "value")))
+        tree = Index.of(*_together(values, "iif"))
         n, n_known, b, s = [], [], [], []
         for sizes, symbols in _encoded_groups(texts.column("symbols")):
             begin = np.cumsum(sizes) - sizes
@@ -596,8 +805,15 @@ def score(
         return pa.table([texts.column("id"), *cols], names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = f"id {docs.schema[id].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = encoded.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(add_up, schema)
-    return out.withColumnRenamed("id", id)
+    found = []
+    grouped = encoded.withColumn("block", F.expr(f"(shiftright(block, {_BITS}) + (block & 4294967295L)) % {groups}"))
+    for k in range(rounds := min(_ROUNDS, groups)):
+        texts = grouped.where(F.col("block") % rounds == k)
+        keys = texts.select("block", "symbols").mapInArrow(asked, _SHARDED)  # a few tasks may ask for the same
+        rows = keys.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(answered, "block long, n int, rows binary")
+        found.append(written(texts.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(add_up, schema), "scores"))
+        released(src.sparkSession)
+    return reduce(DataFrame.union, found).withColumnRenamed("id", id)
 
 
 def op1_suffix_tree(spark, sf_dir: str) -> DataFrame:
