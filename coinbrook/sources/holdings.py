@@ -32,8 +32,9 @@ _N, _X = r"([\d,]+\.?\d*)", r"([\d,.-]+)"
 _FOREIGN = "EUR|HKD|GBP|JPY|CHF|CAD|AUD"
 _ORDER = ["EUR", "AUD", "CAD", "HKD", "GBP", "USD"]
 MONEY, PRICE, QUANTITY, RATE = "decimal(18,2)", "decimal(18,4)", "decimal(18,6)", "decimal(18,8)"
-#: Stands between the groups of a match. Statements do not print this control character; it is taken out of their texts.
-_CUT = "\x01"
+#: Stand between the groups of a match, and around each match. Statements do not print these control characters; they are
+#: taken out of their texts.
+_CUT, _AROUND = "\x01", "\x02"
 #: What Fidelity's cash is called.
 _CASH_WORDS = ["money market", "cash"]
 #: Share of the reported total that the sum may differ by.
@@ -68,11 +69,13 @@ def account_type(text: Column, of: Column | str = "") -> Column:
     of = F.lit(of) if isinstance(of, str) else of
 
     def told(low: Column) -> Column:
-        word = lambda w: F.contains(low, F.lit(w)) & low.rlike(rf"\b{w}\b")
+        has = lambda w: F.contains(low, F.lit(w))
+        word = lambda w: has(w) & low.rlike(rf"\b{w}\b")
+        # what several words share is looked for first: few texts have it
         return _cases([
-            (_any(low, ["401(k)", "401k"]), "RETIREMENT_401K"),
-            (_any(low, ["roth ira", "roth individual"]), "IRA_ROTH"),
-            (_any(low, ["traditional ira", "rollover ira"]) | word("ira") & ~F.contains(low, F.lit("roth")), "IRA_TRADITIONAL"),
+            (has("401") & _any(low, ["401(k)", "401k"]), "RETIREMENT_401K"),
+            (has("roth i") & _any(low, ["roth ira", "roth individual"]), "IRA_ROTH"),
+            (has("ira") & (_any(low, ["traditional ira", "rollover ira"]) | word("ira") & ~has("roth")), "IRA_TRADITIONAL"),
             (_any(low, ["retirement plan"]), "RETIREMENT_401K"),
             ((of == "equatex") | _any(low, ["stock plan"]) | word("rsu") | word("espp"), "STOCK_PLAN"),
         ], "BROKERAGE")
@@ -90,6 +93,12 @@ def _groups(text: Column, pattern: str, n: int) -> Column:
     return F.split(F.regexp_replace(text, pattern, _CUT.join(f"${i}" for i in range(1, n + 1))), _CUT)
 
 
+def _matches(text: Column, pattern: str, n: int) -> Column:
+    """The groups of each match of a pattern in the text, by one pass over it."""
+    cut = F.split(F.regexp_replace(text, pattern, _AROUND + _CUT.join(f"${i}" for i in range(1, n + 1)) + _AROUND), _AROUND)
+    return F.transform(F.filter(cut, lambda x, i: i % 2 == 1), lambda x: F.split(x, _CUT))
+
+
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
     # not nullif, which Spark writes out as two matches
     return _let(F.regexp_extract(text, pattern, group), lambda m: F.when(m != "", m))
@@ -464,7 +473,7 @@ def _last_of_key(entries: Column) -> Column:
 def _entries(text: Column, pattern: str, groups: int, kind: str) -> Column:
     """(key, value) by the first and the last group of a pattern."""
     entry = lambda g: F.struct(F.get(g, F.lit(0)).alias("key"), _number(F.get(g, F.lit(groups - 1)), kind).alias("value"))
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: _let(_groups(m, pattern, groups), entry))
+    found = F.transform(_matches(text, pattern, groups), entry)
     return F.filter(found, lambda e: e["value"].isNotNull())
 
 
@@ -493,7 +502,7 @@ def _ibkr(t: DataFrame) -> dict[str, Column]:
             dollars = lambda worth: F.struct(g.alias("g"), worth.alias("own"), F.round(worth * rate, 2).cast(MONEY).alias("worth"), rate.alias("rate"), F.lit(currency).alias("currency"))
             return _let(_number(F.get(g, F.lit(5))), dollars)
 
-        return F.transform(F.regexp_extract_all(part, F.lit(held), 0), lambda m: _let(_groups(m, held, 6), match))
+        return F.transform(_matches(part, held, 6), match)
 
     def block(c: str) -> Column:
         body = F.regexp_extract(F.col("opened"), rf"(?s)(?:^|\n){c}\n(.*?)(?:\nTotal\b|\n(?:{'|'.join(_ORDER)})\n|\z)", 1)
@@ -512,8 +521,9 @@ def _ibkr(t: DataFrame) -> dict[str, Column]:
         )
 
     return {
-        "statement_date": _day(_found(text, span, 2), "MMMM d, yyyy"),
-        "statement_start_date": _day(_found(text, span, 1), "MMMM d, yyyy"),
+        "early": {"period": _groups(_found(text, span, 0), span, 2)},
+        "statement_date": _day(F.get("period", F.lit(1)), "MMMM d, yyyy"),
+        "statement_start_date": _day(F.get("period", F.lit(0)), "MMMM d, yyyy"),
         "base_currency": F.coalesce(_found(text, r"Base Currency\s+([A-Z]{3})"), F.lit("USD")),
         "total_value": fourth("Total"),
         "total_cash": fourth("Cash"),
@@ -544,7 +554,7 @@ def accounts(statements: DataFrame, of: str) -> DataFrame:
     by a sum of 0 only. A null text makes an account of nothing.
     """
     split, read = _FORMS[of]
-    cut = split(statements.select("source_file", F.replace(F.coalesce("text", F.lit("")), F.lit(_CUT), F.lit("")).alias("text")))
+    cut = split(statements.select("source_file", reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), (_CUT, _AROUND), F.coalesce("text", F.lit(""))).alias("text")))
     said = read(cut)
     cut = cut.withColumns(said.pop("early", {}))
     kept = [F.col(c) for c in ("source_file", "account", "block", "several")]

@@ -151,6 +151,17 @@ def test_holdings_are_matched_once(spark, of, pattern):
     assert pattern in plan and plan.count(pattern) <= most
 
 
+def test_matches_are_taken_apart_in_the_pass_that_finds_them(spark):
+    """A match's groups come with it: no holding, rate or balance is found first and then matched again."""
+    df = holdings.accounts(spark.createDataFrame([("f", "t")], "source_file string, text string"), "ibkr").select("source_file", "calculated_total")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 1  # the numbers of accounts
+    got = spark.createDataFrame([("AB 1 CD 22 x", "AB 1CD 22"), ("none", "")], "a string, b string").select(*[holdings._matches(F.col(c), r"([A-Z]+) (\d+)?", 2).alias(c) for c in "ab"]).collect()
+    assert [tuple(r) for r in got] == [([["AB", "1"], ["CD", "22"]], [["AB", "1"], ["CD", "22"]]), ([], [])]
+    (a,) = read(spark, "ibkr", "Account U1111111\nOpen Positions\nSymbol\nStocks\nUSD\nAB\x02C 5 1 2.0 10.00 3.0 15.00\nTotal 1")
+    assert [(p["symbol"], p["quantity"], p["market_value"]) for p in a["positions"]] == [("ABC", D("5.000000"), D("15.00"))]
+
+
 def test_control_characters_split_no_line(spark):
     (a,) = read(spark, "schwab", "Account Number: 6404-9694\nME\x01TA META PLATFORMS INC 325.0000 660.09000 214,529.25")
     assert names(a) == [("META", "META PLATFORMS INC", "STOCK", "EQUITY", D("214529.25"))]
