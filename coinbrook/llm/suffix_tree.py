@@ -21,9 +21,11 @@ settled by the shards.
 from __future__ import annotations
 
 import math
+import time
 from collections import defaultdict
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +53,7 @@ _GROUP_TOKENS = 150_000
 _SLICE_WORDS = 8192
 #: Keys that a task takes together, tokens counted in a shard, and rows of the tree in one.
 _TAKEN_KEYS, _SHARD_TOKENS, _SHARD_ROWS = 2_000_000, 2_000_000, 500_000
+_ADDED_KEYS = 250_000
 
 
 def _tokens(text: str | None) -> list[bytes]:
@@ -171,20 +174,20 @@ def _contexts(sizes, symbols, frequent: int):
     with ``recent`` and ``oldest``. Nothing stands before a start."""
     import numpy as np
 
-    place = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = np.arange(len(symbols))
-    recent, oldest = np.zeros(len(symbols), np.int64), np.zeros(len(symbols), np.int64)
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(symbols)) - np.repeat(starts, sizes)
+    usable, before = np.ones(len(symbols), bool), []
     for d in range(1, DEPTH + 1):
-        there = place[at] >= d - 1
-        at, recent, oldest = at[there], recent[there], oldest[there]
-        before = np.where(place[at] == d - 1, START, symbols[at - d])
-        usable = (before > OTHER) & (before <= frequent)
-        at, recent, oldest, before = at[usable], recent[usable], oldest[usable], before[usable]
-        if d < 3:
-            recent = recent | before << _BITS * (2 - d)
-        else:
-            oldest = before
-        yield at, recent, oldest
+        own = np.full(len(symbols), START)
+        own[d:] = symbols[:-d]
+        own[place == d - 1] = START
+        usable = usable & (place >= d - 1) & (own > OTHER) & (own <= frequent)
+        before.append(own)
+        at = np.flatnonzero(usable)
+        recent = before[0][at] << _BITS
+        if d > 1:
+            recent |= before[1][at]
+        yield at, recent, before[2][at] if d > 2 else np.zeros(len(at), np.int64)
 
 
 def _numbered(words: DataFrame) -> DataFrame:
@@ -361,6 +364,64 @@ def _distinct(recent, rest, n):
     return mark[first], recent[first], rest[first], np.add.reduceat(n[order], first)
 
 
+class Seen:
+    """Distinct keys by a hash table, with how often each was added."""
+
+    def __init__(self, keys: int):
+        import numpy as np
+
+        self.slots = np.full(1 << math.ceil(math.log2(2 * (keys + _ADDED_KEYS))), -1, np.int32)
+        self.recent, self.rest, self.n = (np.empty(keys + _ADDED_KEYS, np.int64) for _ in range(3))
+        self.size = 0
+
+    def add(self, recent, rest) -> None:
+        """At most _ADDED_KEYS more."""
+        import numpy as np
+
+        begin, m = self.size, len(recent)
+        self.recent[begin : begin + m], self.rest[begin : begin + m] = recent, rest  # a key's own row until it is known to be new
+        at = (_mixed(recent, rest) & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        row, left = np.empty(m, np.int32), np.arange(m, dtype=np.int32)
+        while len(left):
+            found = self.slots[at[left]]
+            free = left[found < 0]
+            self.slots[at[free]] = begin + free
+            found = self.slots[at[left]]
+            same = (self.recent[found] == recent[left]) & (self.rest[found] == rest[left])
+            row[left[same]] = found[same]
+            left = left[~same]
+            at[left] = at[left] + 1 & len(self.slots) - 1
+        new = np.flatnonzero(row == np.arange(begin, begin + m))
+        number = np.empty(m, np.int32)
+        number[new] = np.arange(begin, begin + len(new))
+        self.slots[at[new]] = number[new]
+        self.recent[begin : begin + len(new)], self.rest[begin : begin + len(new)] = recent[new], rest[new]
+        again = row >= begin
+        row[again] = number[row[again] - begin]
+        self.size = begin + len(new)
+        self.n[begin : self.size] = 0
+        self.n[: self.size] += np.bincount(row, minlength=self.size)
+
+    def taken(self):
+        """The keys in the order of their marks, with these and their numbers; none is left."""
+        import numpy as np
+
+        recent, rest, n = (x[: self.size] for x in (self.recent, self.rest, self.n))
+        mark = _marks(recent, rest)
+        order = np.argsort(mark)
+        self.slots.fill(-1)
+        self.size = 0
+        return mark[order], recent[order], rest[order], n[order]
+
+
+def _adding(seen: Seen, recent, rest):
+    """Adds keys; yields what ``seen`` held whenever it is full."""
+    for i in range(0, len(recent), _ADDED_KEYS):
+        seen.add(recent[i : i + _ADDED_KEYS], rest[i : i + _ADDED_KEYS])
+        if seen.size > _TAKEN_KEYS // 2:
+            yield seen.taken()
+
+
 def _packed(*columns) -> bytes:
     """Columns of eight bytes, compressed: integers byte by byte of equal weight, others as they are."""
     import numpy as np
@@ -417,25 +478,17 @@ def _counted(encoded: DataFrame, depth: int, frequent: int, least_symbol: float,
     is the oldest symbol above and the next below. ``among``: a filter of the contexts that count."""
 
     def run(batches):
-        import numpy as np
-
-        held, size = [], 0
+        seen = Seen(_TAKEN_KEYS // 2)
         for b in batches:
             for sizes, symbols in _encoded_groups(b.column(0)):
-                at, recent, oldest = list(_contexts(sizes, symbols, frequent))[depth - 1]
+                at, recent, oldest = next(islice(_contexts(sizes, symbols, frequent), depth - 1, None))
                 if among is not None:
                     may = _may_hold(among.value, recent, oldest << _BITS)
                     at, recent, oldest = at[may], recent[may], oldest[may]
-                held.append((recent, oldest << _BITS | symbols[at], np.ones(len(at), np.int64)))
-                size += len(at)
-                if size > _TAKEN_KEYS:
-                    mark, *own = _distinct(*map(np.concatenate, zip(*held)))
-                    held, size = [own], len(mark)
-                    if size > _TAKEN_KEYS // 2:
-                        yield _sharded(mark, own, shards)
-                        held, size = [], 0
-        if size:
-            mark, *own = _distinct(*map(np.concatenate, zip(*held)))
+                for mark, *own in _adding(seen, recent, oldest << _BITS | symbols[at]):
+                    yield _sharded(mark, own, shards)
+        if seen.size:
+            mark, *own = seen.taken()
             yield _sharded(mark, own, shards)
 
     def added(table):
@@ -721,14 +774,14 @@ def score(
         import numpy as np
         import pyarrow as pa
 
-        held: dict[int, list] = {}
-
-        def distinct(block):
-            return _distinct(*map(np.concatenate, zip(*held.pop(block))))
-
+        seen, last = Seen(_TAKEN_KEYS // 2), None
         for b in batches:
             blocks = b.column(0).to_numpy()
             for block in np.unique(blocks).tolist():
+                if block != last and seen.size:
+                    mark, *own, _ = seen.taken()
+                    yield _sharded(mark, own, shards, last)
+                last = block
                 rows = b.column(1).take(pa.array(np.flatnonzero(blocks == block)))
                 for sizes, symbols in _encoded_groups(rows):
                     for at, recent, oldest in _contexts(sizes, symbols, frequent):
@@ -736,17 +789,11 @@ def score(
                         at, recent, oldest = at[own], recent[own], oldest[own]
                         rest = oldest << _BITS | symbols[at]
                         rest = np.where((symbols[at] > OTHER) & _may_hold(may.value, recent, rest), rest, oldest << _BITS)  # the state alone
-                        held.setdefault(block, []).append((recent, rest, np.ones(len(rest), np.int8)))
-                    if sum(len(x[0]) for x in held.get(block, [])) > _TAKEN_KEYS:
-                        mark, *own = distinct(block)
-                        if len(mark) > _TAKEN_KEYS // 2:
-                            yield _sharded(mark, own[:2], shards, block)
-                        else:
-                            held[block] = [own]
-        for block in list(held):
-            if sum(len(x[0]) for x in held[block]):
-                mark, *own = distinct(block)
-                yield _sharded(mark, own[:2], shards, block)
+                        for mark, *own, _ in _adding(seen, recent, rest):
+                            yield _sharded(mark, own, shards, block)
+        if seen.size:
+            mark, *own, _ = seen.taken()
+            yield _sharded(mark, own, shards, last)
 
     def dealt(batches):
         import numpy as np
@@ -812,7 +859,10 @@ def score(
         keys = texts.select("block", "symbols").mapInArrow(asked, _SHARDED)  # a few tasks may ask for the same
         rows = keys.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(answered, "block long, n int, rows binary")
         found.append(written(texts.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(add_up, schema), "scores"))
-        released(src.sparkSession)
+        del texts, keys, rows
+        for _ in range(2):  # the end of a query is told to listeners a little later, and holds its shuffles until then
+            time.sleep(0.5)
+            released(src.sparkSession)
     return reduce(DataFrame.union, found).withColumnRenamed("id", id)
 
 

@@ -159,6 +159,22 @@ def test_suffix_tree_packs_and_finds():
     assert (suffix_tree.Index.of(recent[:0], rest[:0], value[:0]).find(recent, rest) == -1).all()
 
 
+@pytest.mark.parametrize("mixed", [suffix_tree._mixed, lambda recent, rest: np.zeros(len(recent), np.uint64)])
+def test_suffix_tree_counts_keys_seen(monkeypatch, mixed):
+    """Also where all keys meet in one place of the table, and over several fillings."""
+    monkeypatch.setattr(suffix_tree, "_mixed", mixed)
+    monkeypatch.setattr(suffix_tree, "_ADDED_KEYS", 50)
+    monkeypatch.setattr(suffix_tree, "_TAKEN_KEYS", 60)
+    rng = np.random.default_rng(2)
+    recent, rest = rng.integers(-3, 6, 700), rng.integers(0, 7, 700)
+    seen, got = suffix_tree.Seen(30), Counter()
+    taken = [x for i in range(0, 700, 70) for x in suffix_tree._adding(seen, recent[i : i + 70], rest[i : i + 70])] + [seen.taken()]
+    for mark, a, b, n in taken:
+        assert (np.diff(mark.astype(object)) >= 0).all() and len(set(zip(a.tolist(), b.tolist()))) == len(a)
+        got.update({(x, y): v for x, y, v in zip(a.tolist(), b.tolist(), n.tolist())})
+    assert len(taken) > 3 and got == Counter(zip(recent.tolist(), rest.tolist()))
+
+
 def test_suffix_tree_adds_up_keys_of_equal_marks(monkeypatch):
     """Marks only sort; keys are told apart by themselves."""
     monkeypatch.setattr(suffix_tree, "_mixed", lambda recent, rest: np.zeros(len(recent), np.uint64))
